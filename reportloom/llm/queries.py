@@ -6,21 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reportloom.llm import licenses, media, quality, sharding
+from reportloom.llm import bpe, chat, html, jaccard, licenses, media, packing, quality, sharding
 
 
-def _documents(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: f(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+def _over(table: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: f(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op2_quality_line_frequency": _documents(quality.op2),
-        "op3_license_digests": _documents(licenses.op3),
-        "op5_histogram_sort_shards": _documents(sharding.op5),
-        "op8_telephony_media": _documents(media.text_media),
+        "op1_signature_tree_join": _over("documents", jaccard.op1),
+        "op2_quality_line_frequency": _over("documents", quality.op2),
+        "op3_license_digests": _over("documents", licenses.op3),
+        "op4_chat_loss_masks": _over("conversations", chat.op4),
+        "op5_histogram_sort_shards": _over("documents", sharding.op5),
+        "op7_html_tree_scoring": _over("pages", html.extract),
+        "op8_telephony_media": _over("documents", media.text_media),
+        "op9_word_table_bpe": _over("documents", bpe.encode_decode),
+        "op10_vector_bin_packing": _over("documents", packing.pack_documents),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_line_frequency": quality.ORACLE, "op3_license_digests": licenses.ORACLE}
+    return {
+        "op1_signature_tree_join": jaccard.ORACLE,
+        "op2_quality_line_frequency": quality.ORACLE,
+        "op3_license_digests": licenses.ORACLE,
+        "op4_chat_loss_masks": chat.ORACLE,
+    }
