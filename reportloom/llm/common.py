@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -32,11 +33,22 @@ def ship(spark: SparkSession) -> None:
     sc._reportloom_shipped = True
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder, its lineage cut; the folder is set only where none is."""
-    sc = df.sparkSession.sparkContext
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's checkpoint folder, set here only where none is."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{shared(spark)}/{uuid.uuid4()}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared folder, its lineage cut."""
+    shared(df.sparkSession)
     return df.checkpoint()
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reportloom.llm import bpe, chat, html, jaccard, licenses, media, packing, quality, sharding
+from reportloom.llm import bpe, chat, html, jaccard, licenses, media, packing, quality, sharding, suffixes
 
 
 def _over(table: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_license_digests": _over("documents", licenses.op3),
         "op4_chat_loss_masks": _over("conversations", chat.op4),
         "op5_histogram_sort_shards": _over("documents", sharding.op5),
+        "op6_interval_tree_dedup": _over("documents", suffixes.dedup_digests),
         "op7_html_tree_scoring": _over("pages", html.extract),
         "op8_telephony_media": _over("documents", media.text_media),
         "op9_word_table_bpe": _over("documents", bpe.encode_decode),
@@ -33,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_quality_line_frequency": quality.ORACLE,
         "op3_license_digests": licenses.ORACLE,
         "op4_chat_loss_masks": chat.ORACLE,
+        "op6_interval_tree_dedup": suffixes.ORACLE,
     }
