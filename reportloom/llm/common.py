@@ -2,37 +2,20 @@
 
 from __future__ import annotations
 
-import io
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from reportloom.session import ship
+
 #: Words are maximal runs of bytes other than ASCII white space, as bytes.split() gives them.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once a session, so that workers can import it from anywhere."""
-    sc = spark.sparkContext
-    if getattr(sc, "_reportloom_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    data = io.BytesIO()
-    with zipfile.ZipFile(data, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    path = Path(tempfile.mkdtemp()) / "reportloom_pkg.zip"
-    path.write_bytes(data.getvalue())
-    sc.addPyFile(str(path))
-    sc._reportloom_shipped = True
-
-
 def shared(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's checkpoint folder, set here only where none is."""
     sc = spark.sparkContext

@@ -32,7 +32,8 @@ from reportloom.llm.common import arrow_schema, as_bytes, record, ship
 CAPACITY, MAX_SEGMENTS, WINDOW, MIN_CUT = 2048, 64, 1024, 16
 END_ID = 1
 _TABLE: dict[bytes, bytes] = {}
-_TABLE_WORDS = 400_000
+#: A worker's table of words is begun anew beyond this many, some 300 MB.
+_TABLE_WORDS = 1_400_000
 
 
 class Packer:
