@@ -48,7 +48,7 @@ def encode_words(path: str, words: Iterable[bytes]) -> Iterator[list[int]]:
     """The ids of each word."""
     t, words = tokenizer(path), list(words)
     for k in range(0, len(words), 10_000):
-        for e in t.encode_batch([w.decode() for w in words[k : k + 10_000]], add_special_tokens=False):
+        for e in t.encode_batch_fast([w.decode() for w in words[k : k + 10_000]], add_special_tokens=False):
             yield e.ids
 
 
@@ -60,12 +60,12 @@ def pieces(path: str) -> tuple[list[bytes], list[bytes]]:
     return [b"%d" % i for i in range(n)], [(t.id_to_token(i) or "").encode() for i in range(n)]
 
 
-def chunks(texts: list[bytes]) -> Iterator[range]:
-    """Ranges of texts of about _CHUNK bytes, so that the words of few texts are in memory at once."""
+def chunks(texts: list[bytes], chunk: int = _CHUNK) -> Iterator[range]:
+    """Ranges of texts of about so many bytes, so that what is made of few texts is in memory at once."""
     start = size = 0
     for k, x in enumerate(texts):
         size += len(x)
-        if size >= _CHUNK:
+        if size >= chunk:
             yield range(start, k + 1)
             start, size = k + 1, 0
     if start < len(texts):

@@ -37,6 +37,8 @@ from reportloom.llm.common import arrow_schema, as_bytes, cut, map_arrow, record
 from reportloom.llm.components import connected_components
 
 CHUNK, FANOUT = 512, 8
+#: Bytes that are hashed at a time; some ten numbers a byte are held meanwhile.
+HASHED = 1 << 19
 _RNG = np.random.default_rng(20_260_101)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
@@ -57,7 +59,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse, modulo 2**64."""
     if not _POWERS or len(_POWERS["up"]) < n:
-        size = 1 << max(22, int(n).bit_length())
+        size = 1 << max(20, int(n).bit_length())
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             a = np.full(size, base, np.uint64)
             a[0] = 1
@@ -77,7 +79,7 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def shingle_sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    for r in chunks(texts):
+    for r in chunks(texts, HASHED):
         own = [texts[i] for i in r]
         data = np.frombuffer(b"\n".join(own), np.uint8)
         start, h = word_hashes(data) if len(data) else (np.empty(0, np.int64), np.empty(0, np.uint64))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from reportloom.llm.bpe import chunks
 from reportloom.llm.common import arrow_schema, as_bytes, cut, map_arrow, record, ship
-from reportloom.llm.jaccard import mix, powers
+from reportloom.llm.jaccard import HASHED, mix, powers
 
 LENGTH, GRAM = 50, 24
 _BATCH = 300_000
@@ -42,7 +42,7 @@ LAST = (1 << 63) - 1
 
 def extents(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[range, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """By chunks of texts: (their numbers, and of each extent the text's number, anchor hash, start, end)."""
-    for r in chunks(texts):
+    for r in chunks(texts, HASHED):
         own = [texts[i] for i in r]
         data = np.frombuffer(b"".join(own), np.uint8)
         ends = np.cumsum([len(x) for x in own])
