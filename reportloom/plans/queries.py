@@ -271,7 +271,7 @@ def _t25(spark: SparkSession, d: str) -> DataFrame:
     return views.view(spark, d, views.PREDICTIONS).select("study_id", f.alias("findings"), i.alias("impression"))
 
 
-@_query("t27_parse_two_lines", f"SELECT study_id, CASE WHEN ok THEN f ELSE '' END AS findings, CASE WHEN ok THEN i ELSE '' END AS impression FROM (SELECT *, length(f) >= 3 AND length(i) >= 3 AS ok FROM (SELECT study_id, {_LINE.format('ref_findings')} AS f, {_LINE.format('ref_impression')} AS i FROM r))", **R)
+@_query("t27_parse_two_lines", f"SELECT study_id, CASE WHEN ok THEN f ELSE '' END AS findings, CASE WHEN ok THEN i ELSE '' END AS impression FROM (SELECT *, length(f) >= 3 AND length(i) >= 3 AS ok FROM (SELECT study_id, {_LINE.format('ref_findings')} AS f, coalesce(nullif({_LINE.format('ref_impression')}, ''), 'more') AS i FROM r))", **R)
 def _t27(spark: SparkSession, d: str) -> DataFrame:
     answer = F.concat(F.lit("Sure. Findings - "), "ref_findings", F.lit("\nIMPRESSION - FINAL; "), "ref_impression", F.lit("\nmore"))
     f, i = sections.parse_two_lines(answer)
