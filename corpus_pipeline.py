@@ -18,13 +18,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the rules keep, without the lines that are too frequent in their host."""
     ruled = quality.apply_rules(docs).where("kept")
     changed = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
-    return ruled.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
+    return ruled.select(*[changed[c].alias(c) if c in changed else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least id of each group linked by 0.8 or more of their five-word shingles; null ids stay."""
     others = jaccard.join(docs, k=5, num=8, den=10).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(others, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

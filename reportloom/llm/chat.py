@@ -74,12 +74,14 @@ def loss_mask(spans: np.ndarray, starts: list[int], ends: list[int]) -> tuple[np
     spans: (tokens, 2) offsets. Tokens that are parts of one character have its offsets.
     """
     begin, stop = np.asarray(starts, np.int64), np.asarray(ends, np.int64)
-    if not len(begin) or not len(spans):
-        return np.zeros(len(spans), bool), np.empty(0, np.int64), np.empty(0, np.int64)
-    k = np.searchsorted(stop, spans[:, 0], side="right")
-    j = np.minimum(k, len(stop) - 1)
-    mask = (k < len(stop)) & (begin[j] < spans[:, 1])
-    lo, hi, span = np.maximum(spans[mask, 0], begin[j[mask]]), np.minimum(spans[mask, 1], stop[j[mask]]), j[mask]
+    mask = np.zeros(len(spans), bool)
+    # the tokens of each span: from the first that ends behind its start to the last that starts before its end
+    first = np.searchsorted(spans[:, 1], begin, side="right")
+    n = np.maximum(np.searchsorted(spans[:, 0], stop, side="left") - first, 0)
+    span = np.repeat(np.arange(len(begin)), n)
+    token = np.repeat(first - np.concatenate((np.zeros(1, np.int64), np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else span
+    mask[token] = True
+    lo, hi = np.maximum(spans[token, 0], begin[span]), np.minimum(spans[token, 1], stop[span])
     if not len(lo):
         return mask, lo, hi
     hi = np.maximum.accumulate(hi)

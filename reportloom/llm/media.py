@@ -161,8 +161,7 @@ def _with_binary(df: DataFrame, source: str, out: str, f, keep_null: bool = Fals
 
     from reportloom.llm.common import ship
 
-    if out in df.columns:
-        raise ValueError(f"{out} is a column already")
+    df = df.drop(out)  # a column of that name is replaced
     ship(df.sparkSession)
 
     def run(batches):

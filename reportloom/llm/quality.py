@@ -7,8 +7,8 @@ rows a task; the join that marks lines back may be split by AQE, as its other si
 5 % are at most 20 times the mean number of lines of a text of the host.
 
 Defined results: a null text counts as empty and fails the base rules; null hosts form one host; null ids are one id; rows
-that repeat an id and host are judged each on its own text; an empty table gives an empty result; input columns keep their
-names, and a clash with a result column raises ValueError.
+that repeat an id and host are judged each on its own text; an empty table gives an empty result; input columns travel in the
+struct `row`, so none of their names can clash.
 """
 
 from __future__ import annotations
@@ -55,12 +55,10 @@ _COLUMNS = {
 _LINES = f"transform(filter(transform(split(_t, '\\n'), x -> lower(btrim(regexp_replace(x, '{_S}+', ' '), ' '))), x -> x <> ''), x -> struct(xxhash64(x) AS h, size(split(x, ' ')) AS n))"
 
 
-def base_metrics(docs: DataFrame) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
-    clash = [c for c in [*_COLUMNS, "base_failed"] if c in docs.columns]
-    if clash:
-        raise ValueError(f"columns exist already: {clash}")
-    out = docs.withColumn("_t", F.coalesce(F.col("text").cast("string"), F.lit("")))
+def base_metrics(docs: DataFrame, host: str = "source") -> DataFrame:
+    """row (the input columns), doc_id, _host, _t (the text), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("doc_id"), F.col(f"`{host}`").alias("_host"), text.alias("_t"))
     out = out.withColumn("_words", F.expr(f"array_remove(split(_t, '{_S}+'), '')"))
     out = out.withColumns({k: F.expr(v) for k, v in _COLUMNS.items()})
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
@@ -69,7 +67,7 @@ def base_metrics(docs: DataFrame) -> DataFrame:
 
 def frequent_lines(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, min_share_percent: int = MIN_SHARE_PERCENT) -> DataFrame:
     """(_host, h, n_docs): lines in more than min_docs distinct texts of a host and more than min_share_percent of them."""
-    texts = docs.select(F.col(host).alias("_host"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t")).withColumn("_d", F.xxhash64("_t"))
+    texts = docs.select(F.col(f"`{host}`").alias("_host"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t")).withColumn("_d", F.xxhash64("_t"))
     lines = texts.select("_host", "_d", F.explode(F.array_distinct(F.expr(_LINES + ".h"))).alias("h"))
     counts = lines.distinct().groupBy("_host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
     hosts = texts.select("_host", "_d").distinct().groupBy("_host").agg(F.count("*").alias("_of")).withColumnRenamed("_host", "_h")
@@ -77,9 +75,9 @@ def frequent_lines(docs: DataFrame, host: str = "source", min_docs: int = MIN_DO
 
 
 def apply_rules(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, min_share_percent: int = MIN_SHARE_PERCENT) -> DataFrame:
-    """docs with the base metrics, n_removed_words, base_failed, kept, and clean_text: the text without frequent lines."""
-    based = base_metrics(docs).withColumns({"_lines": F.expr(_LINES), "_host": F.col(host)})
-    lines = docs.select(F.col("doc_id").alias("_i"), F.col(host).alias("_h"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t"))
+    """row (the input columns), doc_id, the base metrics, n_removed_words, base_failed, kept, and clean_text: the text without frequent lines."""
+    based = base_metrics(docs, host).withColumn("_lines", F.expr(_LINES))
+    lines = docs.select(F.col("doc_id").alias("_i"), F.col(f"`{host}`").alias("_h"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t"))
     lines = lines.select("_i", "_h", F.explode(F.array_distinct(F.expr(_LINES + ".h"))).alias("_lh"))
     often = frequent_lines(docs, host, min_docs, min_share_percent)
     marked = lines.join(often, (F.col("_lh") == F.col("h")) & F.col("_h").eqNullSafe(F.col("_host"))).groupBy("_i", "_h").agg(F.collect_set("h").alias("_often"))
@@ -88,7 +86,7 @@ def apply_rules(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS,
     out = out.withColumn("n_removed_words", removed)
     left = F.col("n_words") - F.col("n_removed_words")
     depleted = (F.col("n_removed_words") > 0) & ((left < MIN_WORDS) | (100 * F.col("n_removed_words") > MAX_REMOVED_PERCENT * F.col("n_words")))
-    clean = F.expr(f"IF(_often IS NULL, text, array_join(filter(split(_t, '\\n'), x -> NOT array_contains(_often, xxhash64(lower(btrim(regexp_replace(x, '{_S}+', ' '), ' '))))), '\\n'))")
+    clean = F.expr(f"IF(_often IS NULL, row.text, array_join(filter(split(_t, '\\n'), x -> NOT array_contains(_often, xxhash64(lower(btrim(regexp_replace(x, '{_S}+', ' '), ' '))))), '\\n'))")
     return out.withColumns({"kept": ~F.col("base_failed") & ~depleted, "clean_text": clean}).drop("_t", "_lines", "_host", "_i", "_h", "_often")
 
 

@@ -105,10 +105,14 @@ def assign(docs: DataFrame, shards: int = 16, fanout_bits: int = 12, tolerance:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, files: int = 4) -> None:
-    """docs as Parquet folders shard=0.. under path, each of `files` files; rows keep all their columns. Moves texts once."""
-    placed = assign(docs, shards).select("shard", F.col("key").alias("_key")).distinct()
-    keyed = docs.withColumn("_key", text_key())
-    keyed.join(placed, "_key").repartition(shards * files, "shard", F.col("_key") % files).drop("_key").write.partitionBy("shard").parquet(path)
+    """docs as Parquet folders shard=0.. under path, each of `files` files; rows keep their columns, one called shard as shard_input. Moves texts once.
+
+    Splitters are keys, so a row's own key tells its shard: no join.
+    """
+    sized = cut(docs.select((F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), text_key().alias("key")))
+    starts, _ = splitters(sized, shards)
+    keyed = docs.withColumnRenamed("shard", "shard_input").withColumn("shard", sum((F.when(text_key() >= s, 1).otherwise(0) for s in starts), F.lit(0)).cast("int"))
+    keyed.repartition(shards * files, "shard", F.pmod(F.xxhash64(text_key()), F.lit(files))).write.partitionBy("shard").parquet(path)
 
 
 def op5(docs: DataFrame) -> DataFrame:

@@ -320,7 +320,7 @@ def dedup_digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
 def dedup_texts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """docs with what repeats from earlier documents removed from the texts, in whole characters; rows whose text goes whole are dropped."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    marked = _marked(docs.select("doc_id", "text", F.struct(*others, F.lit(0).alias("_")).alias("rest")), length, gram)
+    marked = _marked(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in others], F.lit(0).alias("_")).alias("rest")), length, gram)
     schema = "doc_id " + dict(docs.dtypes)["doc_id"]
 
     def run(batches):
