@@ -154,17 +154,26 @@ def node_of(s: np.ndarray) -> tuple[int, int]:
 # ---------------------------------------------------------------- signature trees
 
 
+def signature(s: np.ndarray) -> np.ndarray:
+    """The token bitmap of a set, of twice as many bits as tokens or more."""
+    bits = width([len(s)])
+    row = np.zeros(bits, bool)
+    row[(s & _U(bits - 1)).astype(np.int64)] = True
+    return np.packbits(row, bitorder="little").view(np.uint64)
+
+
+def folded(sig: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap at a smaller width, or as it is."""
+    return sig if len(sig) == words else np.bitwise_or.reduce(sig.reshape(-1, words), axis=0)
+
+
 class Tree:
-    """A signature tree over sets, in the order given: bits, size range, hidden tokens and component range of each node of each level, leaves first."""
-
-    def __init__(self, sets: list[np.ndarray], label: np.ndarray, bits: int):
-        size = np.array([len(x) for x in sets], np.int64)
-        sig = np.zeros((len(sets), bits), bool)
-        for row, x in zip(sig, sets, strict=True):
-            row[(x & _U(bits - 1)).astype(np.int64)] = True
-        sig = np.packbits(sig, axis=1).view(np.uint64)
+    """A signature tree over leaves, in the order given: bits, size range, hidden tokens and component range of each node of each level, leaves first."""
+
+    def __init__(self, sigs: list[np.ndarray], size: np.ndarray, label: np.ndarray, words: int):
+        sig = np.stack([folded(x, words) for x in sigs])
         hidden = size - np.bitwise_count(sig).sum(axis=1, dtype=np.int64)
-        self.sets, self.levels = sets, [(sig, size, size, hidden, label, label)]
+        self.levels = [(sig, size, size, hidden, label, label)]
         while len(sig) > 1:
             at = np.arange(0, len(sig), FANOUT)
             prev = self.levels[-1]
@@ -177,8 +186,8 @@ def order(sets: list[np.ndarray]) -> np.ndarray:
     return np.lexsort((np.array([x[0] for x in sets], np.uint64), np.array([len(x) for x in sets])))
 
 
-def width(sets: list[np.ndarray]) -> int:
-    return 1 << max(8, int(2 * max(map(len, sets)) - 1).bit_length())
+def width(sizes: list[int]) -> int:
+    return 1 << max(8, int(2 * max(sizes) - 1).bit_length())
 
 
 def traverse(a: Tree, b: Tree, num: int, den: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -230,7 +239,7 @@ def traverse(a: Tree, b: Tree, num: int, den: int, same: bool) -> Iterator[tuple
 
 def tree_links(ids: list[int], sets: list[np.ndarray], labels: list[int], num: int, den: int, split: int | None = None) -> list[tuple[int, int]]:
     """Links that join the given nodes' components: between sets[:split] and the rest, or among all."""
-    bits = width(sets)
+    words = min(width([len(x)]) for x in sets) // 64
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -240,7 +249,7 @@ def tree_links(ids: list[int], sets: list[np.ndarray], labels: list[int], num: i
 
     def tree(k: np.ndarray) -> tuple[Tree, np.ndarray]:
         k = k[order([sets[x] for x in k])]
-        return Tree([sets[x] for x in k], np.array([labels[x] for x in k], np.int64), bits), k
+        return Tree([signature(sets[x]) for x in k], np.array([len(sets[x]) for x in k]), np.array([labels[x] for x in k], np.int64), words), k
 
     if split is None:
         a, ka = tree(np.arange(len(sets)))
@@ -261,22 +270,36 @@ def tree_links(ids: list[int], sets: list[np.ndarray], labels: list[int], num: i
     return out
 
 
+def with_partner(sigs: list[np.ndarray], sizes: list[int], num: int, den: int) -> np.ndarray:
+    """Which leaves the bounds alone leave with another that they may link with."""
+    size = np.array(sizes, np.int64)
+    k = np.argsort(size, kind="stable")
+    tree = Tree([sigs[x] for x in k], size[k], np.arange(len(size)), min(map(len, sigs)))
+    alive = np.zeros(len(size), bool)
+    for i, j in traverse(tree, tree, num, den, True):
+        alive[k[i]] = alive[k[j]] = True
+        if alive.all():
+            break
+    return alive
+
+
 # ---------------------------------------------------------------- the join
 
 
 def nodes(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, node, check): node and check are null without shingles."""
+    """(doc_id, n_shingles, node, check, sig): the last three are null without shingles."""
 
     def f(b: pa.RecordBatch) -> dict:
-        n, node, more = [], [], []
+        n, node, more, sig = [], [], [], []
         for s in shingle_sets(as_bytes(b.column(1)), k):
             x, y = node_of(s) if len(s) else (None, None)
             n.append(len(s))
             node.append(x)
             more.append(y)
-        return {"doc_id": b.column(0), "n_shingles": n, "node": node, "check": more}
+            sig.append(signature(s).tobytes() if len(s) else None)
+        return {"doc_id": b.column(0), "n_shingles": n, "node": node, "check": more, "sig": sig}
 
-    return map_arrow(docs, "doc_id long, n_shingles long, node long, check long", f)
+    return map_arrow(docs, "doc_id long, n_shingles long, node long, check long, sig binary", f)
 
 
 def candidate_groups(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -338,6 +361,26 @@ def _grouped(batches, n_keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
         yield now, rows
 
 
+def _alive(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(anchor, node) of rows (anchor, node, size, sig) that the bitmaps leave a partner in their group."""
+    schema = arrow_schema("anchor long, node long")
+
+    def run(batches):
+        out: list[tuple[int, int]] = []
+        for (anchor,), got in _grouped(batches, 1):
+            ids, sizes, sigs = map(list, zip(*got, strict=True))
+            alive = with_partner([np.frombuffer(x, np.uint64) for x in sigs], sizes, num, den)
+            out += [(anchor, ids[k]) for k in np.flatnonzero(alive).tolist()]
+            if len(out) > 10_000:
+                yield record({"anchor": [x for x, _ in out], "node": [x for _, x in out]}, schema)
+                out = []
+        if out:
+            yield record({"anchor": [x for x, _ in out], "node": [x for _, x in out]}, schema)
+
+    dealt = rows.select("anchor", "node", "size", "sig").repartition("anchor").sortWithinPartitions("anchor", "node")
+    return dealt.mapInArrow(run, "anchor long, node long")
+
+
 def _join(rows: DataFrame, keys: list[str], num: int, den: int, tiles: bool) -> DataFrame:
     """Links (u, v) found by signature trees in the groups of rows (*keys, side, node, label, tokens)."""
     schema = arrow_schema("u long, v long")
@@ -364,26 +407,30 @@ def join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, chunk: int =
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ship(docs.sparkSession)
     members = cut(nodes(docs, k))
-    by_node = members.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("check").alias("_a"), F.max("check").alias("_b"))
+    by_node = members.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("check").alias("_a"), F.max("check").alias("_b"), F.max("n_shingles").alias("size"), F.max("sig").alias("sig"))
     checked = F.when(F.col("_a") == F.col("_b"), F.col("rep")).otherwise(F.raise_error(F.lit("two sets share a 64-bit digest")))
-    by_node = cut(by_node.select("node", checked.alias("rep")))
+    by_node = cut(by_node.select("node", checked.alias("rep"), "size", "sig"))
 
     stars = cut(candidate_groups(docs, k, num, den))
     group = stars.union(stars.select("anchor", F.col("anchor").alias("node"))).distinct()
-    needed = group.select("node").distinct().join(by_node, "node").select(F.col("rep").alias("doc_id")).distinct()
+    counts = group.groupBy("anchor").agg(F.count("*").alias("n"))
+    sized = cut(group.join(counts, "anchor"))
+    # small groups: nodes that the bitmaps alone leave without a partner go before any tokens are sent
+    small = _alive(sized.where(F.col("n") <= chunk).join(by_node.select("node", "size", "sig"), "node"), num, den).withColumn("n", F.lit(1).cast("long"))
+    sized = cut(sized.where(F.col("n") > chunk).select("anchor", "node", "n").unionByName(small))
+    needed = sized.select("node").distinct().join(by_node, "node").select(F.col("rep").alias("doc_id")).distinct()
 
     def tokens(b: pa.RecordBatch) -> dict:
         got = [(node_of(s)[0], s.tobytes()) for s in shingle_sets(as_bytes(b.column(1)), k) if len(s)]
         return {"node": [x for x, _ in got], "tokens": [x for _, x in got]}
 
-    sets = cut(map_arrow(docs.join(needed, "doc_id", "left_semi"), "node long, tokens binary", tokens).dropDuplicates(["node"]))
+    # rows that repeat an id give a node twice, which the join passes over as linked already
+    sets = cut(map_arrow(docs.join(needed, "doc_id", "left_semi"), "node long, tokens binary", tokens))
 
-    counts = group.groupBy("anchor").agg(F.count("*").alias("n"))
-    sized = cut(group.join(counts, "anchor"))
     # round one: chunks of at most about `chunk` nodes, and the anchor in each
     n_chunks = F.ceil(F.col("n") / chunk).cast("int")
-    own = sized.where("node <> anchor").select("anchor", F.pmod(F.xxhash64("node"), n_chunks).cast("int").alias("chunk"), "node")
-    lead = sized.where("node = anchor").select("anchor", F.explode(F.sequence(F.lit(0), n_chunks - 1)).alias("chunk"), "node")
+    own = sized.where("n = 1 OR node <> anchor").select("anchor", F.pmod(F.xxhash64("node"), n_chunks).cast("int").alias("chunk"), "node")
+    lead = sized.where("n > 1 AND node = anchor").select("anchor", F.explode(F.sequence(F.lit(0), n_chunks - 1)).alias("chunk"), "node")
     first = own.union(lead).join(sets, "node").withColumns({"side": F.lit(0), "label": F.col("node")})
     links = cut(_join(first, ["anchor", "chunk"], num, den, tiles=False))
     labels = cut(connected_components(links))
