@@ -42,7 +42,7 @@ def with_sections(studies: DataFrame, root: str) -> DataFrame:
     """Studies with indication, ref_findings and ref_impression of their report files; '' without a file. Bytes that aren't UTF-8 are dropped."""
     spark = studies.sparkSession
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "s*.txt").load(root)
-    clean = F.replace(F.decode(F.col("content"), F.lit("UTF-8")), F.lit("�"), F.lit(""))
+    clean = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
     files = files.select(F.regexp_extract("path", r"(p[^/]*/p[^/]*/s[^/]*\.txt)$", 1).alias("_key"), clean.alias("_text"))
     keyed = studies.withColumn("_key", F.regexp_extract(report_path(F.col("subject_id"), F.col("study_id")), r"(p[^/]*/p[^/]*/s[^/]*\.txt)$", 1))
     s = sections(F.col("_text"))
