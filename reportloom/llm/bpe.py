@@ -60,6 +60,11 @@ def pieces(path: str) -> tuple[list[bytes], list[bytes]]:
     return [b"%d" % i for i in range(n)], [(t.id_to_token(i) or "").encode() for i in range(n)]
 
 
+def small_ids(path: str) -> str:
+    """The least type that holds the tokenizer's ids."""
+    return "<u2" if tokenizer(path).get_vocab_size() <= 1 << 16 else "<u4"
+
+
 def chunks(texts: list[bytes], chunk: int = _CHUNK) -> Iterator[range]:
     """Ranges of texts of about so many bytes, so that what is made of few texts is in memory at once."""
     start = size = 0
@@ -108,7 +113,7 @@ def word_ids(docs: DataFrame, path: str, blocks: int, buckets: int) -> tuple[Dat
         for k, ids in enumerate(encode_words(path, words)):
             counts[k] = len(ids)
             flat += ids
-        ids = np.array(flat, "<u4")
+        ids = np.array(flat, small_ids(path))
         ends = np.cumsum(counts, dtype=np.int64)
         out = []
         for own in asks:
@@ -145,7 +150,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str | None = None, block_byte
         piece_of: dict[bytes, bytes] = {}
         own = vocabulary(texts, buckets)
         for bucket, counts, ids in zip(*(answer.column(c).to_pylist() for c in ("bucket", "counts", "ids")), strict=True):
-            flat, at = np.frombuffer(ids, "<u4").tolist(), 0
+            flat, at = np.frombuffer(ids, small_ids(path)).tolist(), 0
             for w, n in zip(own[bucket], np.frombuffer(counts, "<u4").tolist(), strict=True):
                 got = flat[at : at + n]
                 at += n
