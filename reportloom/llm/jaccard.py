@@ -37,6 +37,10 @@ from reportloom.llm.common import arrow_schema, as_bytes, cut, map_arrow, record
 from reportloom.llm.components import connected_components
 
 CHUNK, FANOUT = 512, 8
+#: Groups of up to this many nodes lose members without a possible partner by their bitmaps, some hundred bytes a node, in one task.
+PRUNED = 16_384
+#: Up to this many ids, of some ten bytes, are broadcast to the texts; more are joined by an exchange.
+BROADCAST_IDS = 200_000
 #: Bytes that are hashed at a time; some ten numbers a byte are held meanwhile.
 HASHED = 1 << 19
 _RNG = np.random.default_rng(20_260_101)
@@ -415,10 +419,13 @@ def join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, chunk: int =
     group = stars.union(stars.select("anchor", F.col("anchor").alias("node"))).distinct()
     counts = group.groupBy("anchor").agg(F.count("*").alias("n"))
     sized = cut(group.join(counts, "anchor"))
-    # small groups: nodes that the bitmaps alone leave without a partner go before any tokens are sent
-    small = _alive(sized.where(F.col("n") <= chunk).join(by_node.select("node", "size", "sig"), "node"), num, den).withColumn("n", F.lit(1).cast("long"))
-    sized = cut(sized.where(F.col("n") > chunk).select("anchor", "node", "n").unionByName(small))
-    needed = sized.select("node").distinct().join(by_node, "node").select(F.col("rep").alias("doc_id")).distinct()
+    # nodes that the bitmaps alone leave without a partner in their group go before any tokens are sent
+    alive = _alive(sized.where(F.col("n") <= PRUNED).join(by_node.select("node", "size", "sig"), "node"), num, den)
+    kept = sized.where(F.col("n") > PRUNED).select("anchor", "node").union(alive.union(alive.select("anchor", F.col("anchor").alias("node"))).distinct())
+    kept = cut(kept)
+    sized = cut(kept.join(kept.groupBy("anchor").agg(F.count("*").alias("n")), "anchor"))
+    needed = cut(sized.select("node").distinct().join(by_node, "node").select(F.col("rep").alias("doc_id")).distinct())
+    needed = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
 
     def tokens(b: pa.RecordBatch) -> dict:
         got = [(node_of(s)[0], s.tobytes()) for s in shingle_sets(as_bytes(b.column(1)), k) if len(s)]
@@ -429,8 +436,8 @@ def join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, chunk: int =
 
     # round one: chunks of at most about `chunk` nodes, and the anchor in each
     n_chunks = F.ceil(F.col("n") / chunk).cast("int")
-    own = sized.where("n = 1 OR node <> anchor").select("anchor", F.pmod(F.xxhash64("node"), n_chunks).cast("int").alias("chunk"), "node")
-    lead = sized.where("n > 1 AND node = anchor").select("anchor", F.explode(F.sequence(F.lit(0), n_chunks - 1)).alias("chunk"), "node")
+    own = sized.where("node <> anchor").select("anchor", F.pmod(F.xxhash64("node"), n_chunks).cast("int").alias("chunk"), "node")
+    lead = sized.where("node = anchor").select("anchor", F.explode(F.sequence(F.lit(0), n_chunks - 1)).alias("chunk"), "node")
     first = own.union(lead).join(sets, "node").withColumns({"side": F.lit(0), "label": F.col("node")})
     links = cut(_join(first, ["anchor", "chunk"], num, den, tiles=False))
     labels = cut(connected_components(links))
