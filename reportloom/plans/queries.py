@@ -55,12 +55,21 @@ _LINE = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 @_query("p1_cohort_build", "SELECT study_id, subject_id, dicom_id, split, ViewPosition, ref_findings, ref_impression FROM (SELECT *, row_number() OVER (PARTITION BY study_id % 500 ORDER BY subject_id, study_id, dicom_id) AS n FROM r WHERE ViewPosition IN ('AP', 'PA')) WHERE n = 1 AND ref_findings <> '' AND ref_impression <> ''", **R)
 def _p1(spark: SparkSession, d: str) -> DataFrame:
     """Three tables joined, frontal views, one row a study (here 500 studies), complete."""
-    r = _reports(spark, d).withColumn("group", F.col("study_id") % 500)
+    return _cohort(_reports(spark, d).withColumn("group", F.col("study_id") % 500), "group")
+
+
+def _cohort(r: DataFrame, study: str) -> DataFrame:
     joined = r.drop("split", "ViewPosition").join(r.select("dicom_id", "split"), "dicom_id").join(r.select("dicom_id", "ViewPosition"), "dicom_id", "left")
-    one = select.first_per(joined.where(F.col("ViewPosition").isin(*cohort.FRONTAL)), "group", "subject_id", "study_id", "dicom_id")
+    one = select.first_per(joined.where(F.col("ViewPosition").isin(*cohort.FRONTAL)), study, "subject_id", "study_id", "dicom_id")
     return cohort.complete(one).select("study_id", "subject_id", "dicom_id", "split", "ViewPosition", "ref_findings", "ref_impression")
 
 
+@_query("p1_cohort_build_all", "SELECT study_id, subject_id, dicom_id, split, ViewPosition, ref_findings, ref_impression FROM (SELECT *, row_number() OVER (PARTITION BY study_id ORDER BY subject_id, study_id, dicom_id) AS n FROM r WHERE ViewPosition IN ('AP', 'PA')) WHERE n = 1 AND ref_findings <> '' AND ref_impression <> ''", **R)
+def _p1_all(spark: SparkSession, d: str) -> DataFrame:
+    """p1_cohort_build with one row for each study of the table."""
+    return _cohort(_reports(spark, d), "study_id")
+
+
 @_query("a16_bundle_summary", "SELECT s.split, count(r.study_id) AS n FROM (VALUES ('train', 'train'), ('valid', 'validate'), ('test', 'test')) s(split, name) LEFT JOIN r ON r.split = s.name AND ref_findings <> '' AND ref_impression <> '' GROUP BY s.split", **R)
 def _a16(spark: SparkSession, d: str) -> DataFrame:
     return cohort.baseline(_reports(spark, d)).summary()
@@ -510,7 +519,10 @@ def _p8(spark: SparkSession, d: str) -> DataFrame:
     r=views.REPORTS, q=views.QC, j=_JUDGED, s=_CHOSEN,
 )
 def _p11(spark: SparkSession, d: str) -> DataFrame:
-    source, qc, chosen = _synthetic(spark, d)
+    return _status(*_synthetic(spark, d))
+
+
+def _status(source: DataFrame, qc: DataFrame, chosen: DataFrame) -> DataFrame:
     out = manifests.source_status(source, qc, qc, chosen)
     return out.select("study_id", "status", "candidate_count", "passed_candidate_count", "best_sim", "selected_candidate_idx", "selected_image_path")
 
@@ -521,12 +533,49 @@ def _p11(spark: SparkSession, d: str) -> DataFrame:
     r=views.REPORTS, q=views.QC, j=_JUDGED, s=_CHOSEN,
 )
 def _p10(spark: SparkSession, d: str) -> DataFrame:
-    source, _, chosen = _synthetic(spark, d)
+    return _training(*_synthetic(spark, d))
+
+
+def _training(source: DataFrame, _: DataFrame, chosen: DataFrame) -> DataFrame:
     m = manifests.training_manifests(source, chosen)
     cols = ["study_id", "split", "image_source"]
     return m["train_real_baseline"].select(*cols, F.lit(None).cast("string").alias("image_path")).union(m["train_synthetic_pretrain"].select(*cols, "image_path"))
 
 
+def _synthetic_all(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As _synthetic, over every source study, with candidates for a number of studies that grows and no target."""
+    qc = manifests.judged(views.view(spark, d, views.QC_ALL), 0.0005)
+    source = _reports(spark, d).withColumn("source_order", F.col("study_id"))
+    return source, qc, manifests.selected(qc, source)
+
+
+_CHOSEN_ALL = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY study_id ORDER BY coalesce(sim, -1) DESC, candidate_idx) AS n FROM j WHERE technical_ok AND sim_ok) WHERE n = 1 AND study_id IN (SELECT study_id FROM r)"
+_ALL = {"r": views.REPORTS, "q": views.QC_ALL, "j": _JUDGED, "s": _CHOSEN_ALL}
+
+
+@_query("p8_selected_all", "SELECT study_id, candidate_idx, sim, 'best_sim' AS selection_reason FROM s", **_ALL)
+def _p8_all(spark: SparkSession, d: str) -> DataFrame:
+    return _synthetic_all(spark, d)[2].select("study_id", "candidate_idx", "sim", "selection_reason")
+
+
+@_query(
+    "p11_source_status_all",
+    "SELECT CAST(r.study_id AS VARCHAR) AS study_id, CASE WHEN s.study_id IS NOT NULL THEN 'accepted' WHEN c.n > 0 THEN 'rejected_no_candidate_passed' ELSE 'not_attempted' END AS status, coalesce(c.n, 0) AS candidate_count, coalesce(c.passed, 0) AS passed_candidate_count, c.best AS best_sim, s.candidate_idx AS selected_candidate_idx, coalesce(s.image_path, '') AS selected_image_path FROM r LEFT JOIN s ON s.study_id = r.study_id LEFT JOIN (SELECT study_id, count(*) AS n, count(*) FILTER (technical_ok AND sim_ok) AS passed, max(sim) AS best FROM j GROUP BY study_id) c ON c.study_id = r.study_id",
+    **_ALL,
+)
+def _p11_all(spark: SparkSession, d: str) -> DataFrame:
+    return _status(*_synthetic_all(spark, d))
+
+
+@_query(
+    "p10_training_manifests_all",
+    "SELECT CAST(r.study_id AS VARCHAR) AS study_id, r.split, 'real_dicom' AS image_source, NULL AS image_path FROM r JOIN s ON s.study_id = r.study_id UNION ALL SELECT CAST(r.study_id AS VARCHAR), r.split, 'synthetic_png', s.image_path FROM r JOIN s ON s.study_id = r.study_id",
+    **_ALL,
+)
+def _p10_all(spark: SparkSession, d: str) -> DataFrame:
+    return _training(*_synthetic_all(spark, d))
+
+
 @_query("p7_eligible_sources")
 def _p7(spark: SparkSession, d: str) -> DataFrame:
     out = manifests.eligible(_reports(spark, d))

@@ -30,6 +30,9 @@ PREDICTIONS = """SELECT conv_id * 1000 + turn AS study_id, concat(CASE turn % 5
 QC = """SELECT vec_id AS row_id, vec_id % 120 AS study_id, CAST(vec_id // 120 AS INTEGER) AS candidate_idx, concat('i', CAST(vec_id AS VARCHAR(20))) AS image_path, label % 4 <> 0 AS technical_ok,
   CASE WHEN label % 4 = 0 THEN 'low_contrast_std' ELSE 'ok' END AS technical_reason, CASE WHEN vec_id % 11 = 0 THEN NULL ELSE CAST(vec_id % 17 AS DOUBLE) / 10000 END AS sim FROM embeddings"""
 
+#: QC with four candidates a study, so that the number of studies grows with the table.
+QC_ALL = QC.replace("vec_id % 120 AS study_id", "vec_id // 4 AS study_id").replace("vec_id // 120 AS INTEGER", "vec_id % 4 AS INTEGER")
+
 
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
@@ -38,5 +41,5 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A view over the table it names, in Spark's dialect."""
     name = sql.rsplit("FROM ", 1)[1].split()[0]
-    sql = sql.replace("doc_id // 200", "doc_id DIV 200").replace("vec_id // 120", "vec_id DIV 120")
+    sql = sql.replace("doc_id // 200", "doc_id DIV 200").replace("vec_id // 120", "vec_id DIV 120").replace("vec_id // 4", "vec_id DIV 4")
     return spark.sql(f"{sql.rsplit('FROM ', 1)[0]}FROM {{source}}", source=spark.read.parquet(f"{sf_dir}/{name}.parquet"))

@@ -329,3 +329,17 @@ def test_manifests(spark):
 
 def test_every_query_with_sql_has_a_query():
     assert set(queries.oracle_sql()) <= set(queries.queries()) and len(queries.queries()) > 70
+
+
+def test_whole_tables(spark, tmp_path):
+    """Each source study has a row, on a table with ids beyond 200 and more than 500 studies."""
+    n = 1300
+    spark.range(n).selectExpr("id AS doc_id", "concat('a', id, chr(10), 'b') AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(n).selectExpr("id AS vec_id", "CAST(id % 3 AS INT) AS label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    run = {k: queries.queries()[k](spark, str(tmp_path)).collect() for k in ("p1_cohort_build_all", "p8_selected_all", "p10_training_manifests_all", "p11_source_status_all")}
+    assert {r.study_id for r in run["p1_cohort_build_all"]} == {k for k in range(n) if k % 3 < 2 and k % 11}
+    passed = {k for k in range(n // 4) if any(v % 3 and v % 11 and v % 17 >= 5 for v in range(4 * k, 4 * k + 4))}
+    assert {r.study_id for r in run["p8_selected_all"]} == passed and max(passed) > 200
+    assert sorted(int(r.study_id) for r in run["p10_training_manifests_all"]) == sorted([*passed, *passed])
+    status = {int(r.study_id): r.status for r in run["p11_source_status_all"]}
+    assert len(run["p11_source_status_all"]) == n and status == {k: "accepted" if k in passed else "rejected_no_candidate_passed" if k < n // 4 else "not_attempted" for k in range(n)}
