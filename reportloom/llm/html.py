@@ -1,9 +1,10 @@
 """Main text of web pages by tree scoring.
 
 Each text run of a block element is a paragraph. It passes points for its length and commas to its container and, halved and
-then by thirds, to the ancestors above; a container's points are discounted by its link density. The best container is kept,
-with those siblings that score a fifth of it or are long paragraphs with few links. What a page says is furniture - by
-element, role or class - takes no part. Blocks come out in page order, each on one line.
+then by thirds, to the ancestors above; a container's points are discounted by its link density. If the best container is in an
+article or main, all of that is the text, but for lists of links beside the article. Else the best container is kept, with
+h1 beside it and those siblings that score a fifth of it or are long paragraphs with few links. What a page says is
+furniture - by element, role or class - takes no part. Blocks come out in page order, each on one line.
 
 Defined results: a null or empty page gives the empty text; unclosed, misnested and cut-off markup is closed where a browser
 would close it, as far as it shapes the text; a page without any paragraph that scores gives what text its body has outside
@@ -149,6 +150,15 @@ def _within(x: _Node | None, tags: tuple[str, ...]) -> bool:
     return False
 
 
+def _outermost(x: _Node | None, tag: str) -> _Node | None:
+    found = None
+    while x is not None:
+        if x.tag == tag:
+            found = x
+        x = x.up
+    return found
+
+
 def _within_furniture(x: _Node) -> bool:
     """Whether anything but a header drops x."""
     while x is not None and x.drop:
@@ -191,15 +201,28 @@ def main_blocks(page: str) -> list[str]:
     # a list, table cell or heading group isn't a container of its own
     while best.tag in ("p", "li", "ul", "ol", "tr", "td", "tbody", "table", "blockquote", "dl", "dd") and best.up is not None and best.up.tag not in ("body", "html", "#page"):
         best = best.up
+    # the parts of an article are one text, whichever of them scores most
+    best = _outermost(best, "article") or best
+    main = _outermost(best, "main")
+    best = best if best.tag == "article" else main or best
     least = max(10.0, 0.2 * value.get(id(best), best.score))
 
-    kept: dict[int, bool] = {id(best): True}
+    around = set()  # from the article up to its main
+    x = best.up
+    while main is not None and best is not main and x is not None and x is not main.up:
+        around.add(id(x))
+        x = x.up
+    kept: dict[int, bool] = {id(best): True} | dict.fromkeys(around, True)
 
     def keep(x: _Node, text: str) -> bool:
         chain = []
         while x is not None:
             if id(x) in kept:
                 got = kept[id(x)]
+                # beside the article in its main: all but lists of links
+                if chain and id(x) in around:
+                    y = chain[-1]
+                    got = y.tag in _HEADINGS or y.link_chars < 0.5 * y.chars
                 break
             chain.append(x)
             if x.up is best.up and best.up is not None:
@@ -207,7 +230,7 @@ def main_blocks(page: str) -> list[str]:
                 if best.tag in ("article", "main") and best.up.tag in ("body", "html", "#page"):
                     got = x.tag == best.tag and value.get(id(x), 0) >= least
                 else:
-                    got = value.get(id(x), 0) >= least or x.tag == "p" and few and x.chars > 80
+                    got = value.get(id(x), 0) >= least or x.tag == "p" and few and x.chars > 80 or x.tag == "h1"
                 break
             x = x.up
         else:

@@ -71,6 +71,29 @@ def test_html(spark):
     assert got[99].text == ""
 
 
+_LONG = "Words, and words, and more, " + "of a text that goes on " * 20 + "to, its, end."
+_TAIL = "A short part, of some sixty characters, that ends the story."
+
+
+@pytest.mark.parametrize("n", [2, 12])
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><article><h1>T</h1><section>{}</section><section><p>{}</p></section></article></body>",
+        "<body><main><h1>T</h1><div><div>{}</div></div><div><p>{}</p></div></main></body>",
+        "<body><main><h1>T</h1><article><div>{}</div><div>{}</div></article><ul><li><a href=/x>More, and more, of other pages</a></li></ul></main></body>",
+        "<body><article><header><h1>T</h1></header><div><section>{}</section></div>{}</article><div><p>Not, of, this, text, but of another, altogether.</p></div></body>",
+    ],
+)
+def test_html_keeps_all_of_an_article(page, n):
+    got = html.main_blocks(page.format(f"<p>{_LONG}</p>" * n, _TAIL))
+    assert got == ["T", *[_LONG] * n, _TAIL]
+
+
+def test_html_keeps_title_beside_content():
+    assert html.main_blocks(f"<body><h1>T</h1><div><p>{_LONG}</p></div><ul><li><a href=/>Home</a></li></ul></body>") == ["T", _LONG]
+
+
 def test_html_survives_anything():
     r = np.random.default_rng(7)
     parts = ["<p>", "</p>", "<div class=ad>", "</div>", "<table><tr><td>", "</table>", "<li>", "text, more text that is long ", "&amp;", "<", ">", "</", "<!--", "-->", "<a href='>'>", "</a>", "<h1>", "<header>", "</header>", "<article>", "<script>", "</script>", "<br/>", '"']
