@@ -4,7 +4,8 @@ Each text run of a block element is a paragraph. It passes points for its length
 then by thirds, to the ancestors above; a container's points are discounted by its link density. If the best container is in an
 article or main, all of that is the text, but for lists of links beside the article. Else the best container is kept, with
 h1 beside it and those siblings that score a fifth of it or are long paragraphs with few links. What a page says is
-furniture - by element, role or class - takes no part. Blocks come out in page order, each on one line.
+furniture - by element, role or class - takes no part; but a class or id that only describes the layout says nothing, and one
+on the container of the text doesn't count. Blocks come out in page order, each on one line.
 
 Defined results: a null or empty page gives the empty text; unclosed, misnested and cut-off markup is closed where a browser
 would close it, as far as it shapes the text; a page without any paragraph that scores gives what text its body has outside
@@ -39,33 +40,101 @@ _NAMES = re.compile(
     r"comments?|commentlist|disqus|replies|respond|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|pagination|pager|masthead|toolbar|header|skip)(?:$|[\s_-])",
     re.I,
 )
+#: Compounds that describe a layout or state and no furniture (has-sidebar, comments-open), and headers of a text.
+_LAYOUT = re.compile(r"(?:^|[_-])(?:has|with|no|without)[_-]|[_-](?:open|closed|enabled|disabled)$|(?:^|[_-])(?:post|entry|article|story)[_-]+header$", re.I)
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 
 
 class _Node:
-    __slots__ = ("tag", "up", "score", "chars", "link_chars", "drop", "head", "order")
+    __slots__ = ("tag", "up", "score", "chars", "link_chars", "drop", "head", "own", "named", "title", "points", "h1")
 
-    def __init__(self, tag: str, up: _Node | None, drop: bool, head: bool):
-        self.tag, self.up, self.drop, self.head = tag, up, drop, head
-        self.score, self.chars, self.link_chars = 0.0, 0, 0
+    def __init__(self, tag: str, up: _Node | None, head: bool, own: bool = False, named: bool = False, title: bool = False):
+        self.tag, self.up, self.head, self.own, self.named, self.title = tag, up, head, own, named, title
+        self.score, self.chars, self.link_chars, self.points, self.h1 = 0.0, 0, 0, 0.0, False
+        self.drop = _dropped(self, own)
 
 
-def _furniture(tag: str, attrs: str) -> bool:
-    if tag in _FURNITURE:
-        return True
+def _dropped(x: _Node, own: bool) -> bool:
+    return own or x.up is not None and x.up.drop and not (x.title and not _within_furniture(x.up))
+
+
+def _furniture(tag: str, attrs: str) -> tuple[bool, bool]:
+    """Whether an element is furniture, and whether a class or id says so."""
+    if tag in _FURNITURE or tag == "header":
+        return True, False
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return False, False
+    named = False
     for k, a, b, c in _ATTR.findall(attrs):
         v, k = a or b or c, k.lower()
-        if k == "hidden" or k == "role" and v.lower() in _ROLES or k in ("class", "id") and _NAMES.search(v):
+        if k == "hidden" or k == "role" and v.lower() in _ROLES:
+            return True, False
+        if k in ("class", "id") and _NAMES.search(v):
+            named = named or any(_NAMES.search(x) and not _LAYOUT.search(x) for x in v.split())
+    return False, named
+
+
+def _points(tag: str, text: str) -> float:
+    return 0.0 if tag in _HEADINGS or len(text) < 25 else 1 + text.count(",") + text.count("，") + min(len(text) / 100, 3)
+
+
+def _drop_named(nodes: list[_Node], blocks: list[tuple[_Node, str, int]]) -> None:
+    """Drops what classes and ids name furniture, but for containers of the text.
+
+    These are elements that hold more than half of the page's points and an h1; while no article or main is left, those that hold
+    one, by points; and, if no block is left, the one with more than half of the points.
+    """
+    articles: dict[int, _Node] = {}
+    total = 0.0
+    for node, text, _ in blocks:
+        points = _points(node.tag, text)
+        total += points
+        x = node
+        while x is not None:
+            x.points += points
+            x.h1 = x.h1 or node.tag == "h1"
+            if x.tag in ("article", "main"):
+                articles[id(x)] = x
+            x = x.up
+    named = sorted((x for x in nodes if x.named), key=lambda x: -x.points)
+    free = [a for a in articles.values() if not _any_named(a)]
+    if not any(a.h1 for a in free):
+        for x in named:
+            if x.points > 0.5 * total and x.h1:
+                x.named = False
+    holds = {id(y) for a in articles.values() for y in _above(a)}
+    for x in [x for x in named if id(x) in holds]:
+        if any(not _any_named(a) for a in articles.values()):
+            break
+        x.named = False
+    for x in [x for x in named if x.points > 0.5 * total]:
+        if any(not _any_named(b[0]) for b in blocks):
+            break
+        x.named = False
+    for x in nodes:
+        x.drop = _dropped(x, x.own or x.named)
+
+
+def _above(x: _Node) -> list[_Node]:
+    found = []
+    while x.up is not None:
+        x = x.up
+        found.append(x)
+    return found
+
+
+def _any_named(x: _Node | None) -> bool:
+    while x is not None:
+        if x.named:
             return True
+        x = x.up
     return False
 
 
 def _blocks(page: str) -> list[tuple[_Node, str, int]]:
     """(element, text, characters inside links) of each text run outside furniture, in page order."""
-    top = _Node("#page", None, False, False)
-    node, out, run = top, [], []
+    top = _Node("#page", None, False)
+    node, out, run, nodes = top, [], [], []
     linked, in_link = 0, False
     at, n = 0, len(page)
 
@@ -133,12 +202,13 @@ def _blocks(page: str) -> list[tuple[_Node, str, int]]:
                         x = x.up
                 if inner is not node:
                     close(inner)
-                inside = name in _HEADINGS and node.head  # a heading in the article's own header is its title
-                head = node.head or name == "header"
-                in_article = _within(node, ("article", "main"))
-                drop = (node.drop and not (inside and in_article and not _within_furniture(node))) or _furniture(name, attrs) or name == "header"
-                node = _Node(name, node, drop, head)
+                title = name in _HEADINGS and node.head and _within(node, ("article", "main"))  # a heading in the article's own header
+                node = _Node(name, node, node.head or name == "header", *_furniture(name, attrs), title)
+                nodes.append(node)
     flush()
+    if any(x.named for x in nodes):
+        _drop_named(nodes, out)
+        out = [b for b in out if not b[0].drop]
     return out
 
 
@@ -183,7 +253,7 @@ def main_blocks(page: str) -> list[str]:
             x.link_chars += linked
             x = x.up
         holder = node if node.tag in ("div", "section", "article", "main", "body", "#page", "td") else node.up or node
-        points = 0.0 if node.tag in _HEADINGS or len(text) < 25 else 1 + text.count(",") + text.count("，") + min(len(text) / 100, 3)
+        points = _points(node.tag, text)
         part, level = points, 0
         while points and holder is not None and holder.tag not in ("html", "#page") and level < 6:
             if id(holder) not in scored:

@@ -94,6 +94,28 @@ def test_html_keeps_title_beside_content():
     assert html.main_blocks(f"<body><h1>T</h1><div><p>{_LONG}</p></div><ul><li><a href=/>Home</a></li></ul></body>") == ["T", _LONG]
 
 
+_NOISE = "<div class='sidebar'><p>Aside, with, commas, and words, and more words.</p></div><div id='comments'>" + "<p>First! I, for one, like this text very much, and more.</p>" * 2 + "</div>"
+
+
+@pytest.mark.parametrize("name", ["post has-sidebar", "content-with-sidebar", "no-sidebar", "with-header", "post comments-open", "layout_no_nav", "sidebar-right", "related-layout"])
+@pytest.mark.parametrize("tag", ["div", "section"])
+def test_html_layout_classes(name, tag):
+    text = f"<h1>T</h1>{f'<p>{_LONG}</p>' * 3}"
+    want = ["T", *[_LONG] * 3]
+    for attr in ("class", "id"):
+        assert html.main_blocks(f"<body><{tag} {attr}='{name}'>{text}</{tag}>{_NOISE}</body>") == want
+        assert html.main_blocks(f"<body><{tag} {attr}='{name}'><article>{text}</article>{_NOISE}</{tag}></body>") == want
+        assert html.main_blocks(f"<body><{tag} {attr}='{name}'><div class='post-header'><h1>T</h1></div>{text[10:]}</{tag}>{_NOISE}</body>") == want
+
+
+def test_html_furniture_by_name_still_goes():
+    short = "<p>A short post, of a few words, and that is all.</p>"
+    talk = "<p>First! I, for one, like this text very much, and more.</p>" * 50
+    for page in (f"<div class='post'><h1>T</h1>{short}</div><div class='comments'>{talk}</div>", f"<article><h1>T</h1>{short}</article><div class='comment-list comments'><article>{talk}</article></div>"):
+        assert html.main_blocks(f"<body>{page}</body>") == ["T", "A short post, of a few words, and that is all."]
+    assert html.main_blocks(f"<body><div class='sidebar-right'><article><h1>T</h1>{short}</article><div class='comments'><article>{talk}</article></div></div></body>")[0] == "T"
+
+
 def test_html_survives_anything():
     r = np.random.default_rng(7)
     parts = ["<p>", "</p>", "<div class=ad>", "</div>", "<table><tr><td>", "</table>", "<li>", "text, more text that is long ", "&amp;", "<", ">", "</", "<!--", "-->", "<a href='>'>", "</a>", "<h1>", "<header>", "</header>", "<article>", "<script>", "</script>", "<br/>", '"']
