@@ -10,6 +10,9 @@ an empty table gives an empty result; if two known texts have one digest the sma
 
 from __future__ import annotations
 
+from functools import cache
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +27,13 @@ SPELLINGS = {
     "realise": "realize", "recognise": "recognize", "signalling": "signaling", "utilisation": "utilization", "whilst": "while", "wilful": "wilfull",
 }
 _SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F\x{A0}\x{AB}\x{BB}\x{2010}-\x{201F}\x{2026}]+"
-_COPYRIGHT = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: Copyright lines as the registered SQL takes them: any that begins so.
+_SQL_COPYRIGHT = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: Copyright lines: with a year, sign or holder. "copyright notice" or "(c) You must" at the start of a line is the licence's own text.
+_COPYRIGHT = (
+    r"(^|\n)[^a-z0-9\n]*(?:all rights reserved|©|\(c\)[ \t:,]*(?:copyright|[0-9]{4}|[<\[{])|"
+    r"copyright[ \t:]*(?:\(c\)|©|&copy;|[0-9]{4}|[<\[{]|by\b|the\b)|copyright\b[^\n]*(?:\b(?:19|20)[0-9]{2}\b|all rights reserved))[^\n]*"
+)
 _SPELLED = "(" + "|".join(sorted(SPELLINGS)) + ")"
 
 
@@ -45,10 +54,10 @@ def known_digests(licenses: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, licenses: DataFrame | None = None) -> DataFrame:
     """doc_id, canonical_chars, digest, license_id (null: none) of each row of docs (doc_id, text).
 
-    The built-in table of a dozen texts is broadcast; a table of one's own is joined as the optimiser sees fit.
+    The built-in table of digests is broadcast; a table of one's own is joined as the optimiser sees fit.
     """
     if licenses is None:
-        known = F.broadcast(known_digests(docs.sparkSession.createDataFrame(list(KNOWN.items()), "license_id string, text string")))
+        known = F.broadcast(known_digests(docs.sparkSession.createDataFrame(known_texts(), "license_id string, text string")))
     else:
         known = known_digests(licenses)
     c = docs.select("doc_id", canonical(F.col("text")).alias("c"))
@@ -90,10 +99,45 @@ KNOWN = {
     "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3.",
 }
 
+# Titles that files put before a text, in front of or behind the copyright line.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "ISC"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "BSD Zero Clause License (0BSD)", "0BSD"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License", "BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "BSD License", "The BSD License"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng license"),
+    "WTFPL": ("DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\nVersion 2, December 2004", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
+_NOTICES = [("MIT notice", "Released under the MIT License.")]
+_END = "END OF TERMS AND CONDITIONS"
+
+
+@cache
+def known_texts() -> list[tuple[str, str]]:
+    """(license_id, text) of KNOWN, the whole texts in license_texts and the usual variants of both."""
+    whole = [(f.stem, f.read_text(encoding="utf-8")) for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))]
+    found = [*KNOWN.items(), *_NOTICES]
+    for name, t in [("MIT", KNOWN["MIT (no title)"]), *((k, KNOWN[k]) for k in ("ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Zlib", "WTFPL")), *whole]:
+        forms = [t]
+        if name.startswith("BSD-"):
+            numbers = [f"\n{k}. " for k in (1, 2, 3)]
+            for to in ("\n* ", *(["\n({}) "] if name == "BSD-3-Clause" else [])):
+                x = t
+                for k, n in enumerate(numbers, 1):
+                    x = x.replace(n, to.format(k))
+                forms.append(x)
+        forms += [x.replace("and/or distribute", "and distribute") for x in forms if name in ("ISC", "0BSD")]
+        forms += [x.split(_END)[0] + _END for x in forms if _END in x]
+        forms += [x.replace("http://", "https://") for x in forms]
+        found += [(name, x) for x in forms] + [(name, f"{title}\n\n{x}") for title in TITLES.get(name, ()) for x in forms]
+    return list(dict.fromkeys(found))
+
 
 def _sql(text: str) -> str:
     low = rf"regexp_replace(lower(coalesce({text}, '')), '\r\n?', chr(10), 'g')"
-    plain = rf"trim(regexp_replace(regexp_replace({low}, '{_COPYRIGHT}', '\1', 'g'), '{_SEPARATORS}', ' ', 'g'), ' ')"
+    plain = rf"trim(regexp_replace(regexp_replace({low}, '{_SQL_COPYRIGHT}', '\1', 'g'), '{_SEPARATORS}', ' ', 'g'), ' ')"
     cases = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in SPELLINGS.items())
     return f"array_to_string(list_transform(string_split({plain}, ' '), lambda w: CASE w {cases} ELSE w END), ' ')"
 

@@ -2,8 +2,10 @@
 
 import hashlib
 import re
+import textwrap
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -134,6 +136,26 @@ def test_quality_plan_is_native(docs):
 # ------------------------------------------------------------ 3
 
 
+def test_license_files_as_they_are_found(spark):
+    mit, isc, bsd = licenses.KNOWN["MIT (no title)"], licenses.KNOWN["ISC"], licenses.KNOWN["BSD-3-Clause"]
+    wrap = lambda t, n=70: "\n\n".join(textwrap.fill(x, n) for x in t.split("\n\n"))
+    line = isc.replace("the above copyright notice", "the above\ncopyright notice")
+    whole = {f.stem: f.read_text() for f in (Path(licenses.__file__).parent / "license_texts").glob("*.txt")}
+    cases = [
+        ("The MIT License (MIT)\n\nCopyright (c) 2019 Some Body\n\n" + wrap(mit), "MIT"), ("Copyright 2019 Some Body\n\n" + wrap(mit, 60), "MIT"), ("Released under the MIT License.", "MIT notice"),
+        ("ISC License\n\nCopyright (c) 2004-2010, Some Body\n\n" + line, "ISC"), (line.replace("and/or", "and"), "ISC"), ("ISC License\n" + licenses.KNOWN["0BSD"], None),
+        *[(wrap(isc, n), "ISC") for n in range(40, 90)],
+        ("BSD 3-Clause License\n\nCopyright (c) 2017, X\nAll rights reserved.\n\n" + wrap(bsd), "BSD-3-Clause"), (bsd.replace("\n1. ", "\n* ").replace("\n2. ", "\n* ").replace("\n3. ", "\n* "), "BSD-3-Clause"),
+        *[(t, k) for k, t in whole.items()], *[(t.replace("\n", "\r\n").upper(), k) for k, t in whole.items()],
+        ("Copyright 2024 Some Body\n\n" + whole["Apache-2.0"].split("END OF TERMS AND CONDITIONS")[0] + "END OF TERMS AND CONDITIONS", "Apache-2.0"),
+        *[(wrap(whole["Apache-2.0"], n), "Apache-2.0") for n in (50, 61, 72)],
+        (whole["GPL-3.0"][:-400], None), (isc.replace("copyright notice", "notice"), None),
+    ]
+    got = licenses.op3(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(k, r.license_id) for k, r in enumerate(got)] == [(k, want) for k, (_, want) in enumerate(cases)]
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense", "CC0-1.0", "BSL-1.0"} <= set(whole)
+
+
 def test_licenses(spark):
     mit = licenses.KNOWN["MIT"]
     texts = [mit, mit.upper().replace("\n", "\r\n"), mit.replace("<year> <holder>", "1999-2024 Some Body"), mit + " extra", mit.replace("sublicense", "sub license"), licenses.KNOWN["0BSD"].replace("LIABLE", "liable;"), "", None, "Copyright 2020 X", "Licenced", licenses.KNOWN["Zlib"].replace("acknowledgment", "acknowledgement")]
