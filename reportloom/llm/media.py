@@ -176,22 +176,54 @@ def pad(data: bytes, unit: int = BLOCK) -> bytes:
     return data + b"\0" * (max(unit, -(-len(data) // unit) * unit) - len(data))
 
 
+def _parts(raws, size: int = 1 << 21):
+    """Lists of consecutive byte strings of about `size` bytes together, or one longer string."""
+    part, total = [], 0
+    for raw in raws:
+        part.append(raw)
+        total += len(raw)
+        if total >= size or len(part) == 4096:
+            yield part
+            part, total = [], 0
+    if part:
+        yield part
+
+
+def decode_all(codec: str, coded: list[bytes]) -> list[np.ndarray]:
+    """decode of each; blocks of ADPCM don't depend on each other, so those of all texts are decoded together."""
+    if codec != "adpcm":
+        return [decode(codec, x) for x in coded]
+    samples = decode_adpcm(b"".join(coded))
+    ends = np.cumsum([len(x) // BLOCK * (2 * (BLOCK - 4) + 1) for x in coded])
+    return np.split(samples, ends[:-1])
+
+
 def text_media(docs: DataFrame, codec: str = "mulaw", rate: int = 16000) -> DataFrame:
     """Each text's UTF-8 bytes, zero-padded, as telephony codes in a WAVE file, read back, expanded, resampled and described.
 
-    docs: doc_id, text (null: empty). One row in, one row out, no exchange: columns as registered in queries.py.
+    docs: doc_id, text (null: empty). One row in, one row out, no exchange: columns as registered in queries.py. The first columns
+    are of `codec`; digests of the file and of the resampled PCM file and features of the other codecs follow, by their names.
     """
+    others = [c for c in ("mulaw", "alaw", "adpcm") if c != codec]
+    last = ["pcm_sha256", *[f"{c}_{k}" for c in others for k in ("media_sha256", "pcm_sha256", "feature")]]
 
     def f(b: pa.RecordBatch) -> dict:
-        got: dict[str, list] = {k: [] for k in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
-        for raw in as_bytes(b.column(1)):
-            file = wave(codec, pad(raw))
-            kind, own, data = read_wave(file)
-            pcm = wave("pcm", resample(decode(kind, data), own, rate).tobytes(), rate)
-            row = (len(raw), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-BLOCK:]), len(file), hashlib.sha256(file).hexdigest(), features(np.frombuffer(read_wave(pcm)[2], "<i2")))
-            for k, v in zip(got, row, strict=True):
-                got[k].append(v)
+        got: dict[str, list] = {k: [] for k in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *last)}
+        for part in _parts(as_bytes(b.column(1))):
+            payloads = [pad(raw) for raw in part]
+            for c in (codec, *others):
+                files = [wave(c, x) for x in payloads]
+                coded = [read_wave(x) for x in files]
+                prefix = "" if c == codec else f"{c}_"
+                for raw, file, (_, own, data), samples in zip(part, files, coded, decode_all(c, [x[2] for x in coded]), strict=True):
+                    pcm = wave("pcm", resample(samples, own, rate).tobytes(), rate)
+                    row = {f"{prefix}media_sha256": hashlib.sha256(file).hexdigest(), f"{prefix}pcm_sha256": hashlib.sha256(pcm).hexdigest(), f"{prefix}feature": features(np.frombuffer(read_wave(pcm)[2], "<i2"))}
+                    if c == codec:
+                        row |= {"n_bytes": len(raw), "payload_bytes": len(data), "payload_sha256": hashlib.sha256(data).hexdigest(), "tail_crc32": zlib.crc32(data[-BLOCK:]), "media_bytes": len(file)}
+                    for k, v in row.items():
+                        got[k].append(v)
         return got | {"doc_id": b.column(0)}
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
+    schema += ", ".join(f"{k} string" for k in last)
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), schema, f)

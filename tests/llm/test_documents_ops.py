@@ -348,6 +348,18 @@ def test_packing_limits():
 # ------------------------------------------------------------ all
 
 
+def test_text_media_runs_all_codecs(spark):
+    docs = spark.createDataFrame(documents(), SCHEMA)
+    got = media.text_media(docs).collect()
+    data = spark.createDataFrame([(k, media.pad((t or "").encode())) for k, (_, t, *_) in enumerate(documents())], "k long, payload binary")
+    for codec, prefix in (("mulaw", ""), ("alaw", "alaw_"), ("adpcm", "adpcm_")):
+        want = Counter()
+        for r in media.to_pcm(media.store(data, codec=codec)).collect():
+            pcm = bytes(r.pcm)
+            want[hashlib.sha256(bytes(r.media)).hexdigest(), hashlib.sha256(pcm).hexdigest(), media.features(np.frombuffer(media.read_wave(pcm)[2], "<i2"))] += 1
+        assert Counter((r[f"{prefix}media_sha256"], r[f"{prefix}pcm_sha256"], r[f"{prefix}feature"]) for r in got) == want
+
+
 @pytest.mark.parametrize("op", [jaccard.op1, quality.op2, licenses.op3, sharding.op5, suffixes.dedup_digests, media.text_media, bpe.encode_decode, packing.pack_documents])
 def test_empty_table(docs, op):
     assert op(docs.where("false")).count() == 0
