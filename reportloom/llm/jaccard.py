@@ -424,7 +424,9 @@ def join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, chunk: int =
     kept = sized.where(F.col("n") > PRUNED).select("anchor", "node").union(alive.union(alive.select("anchor", F.col("anchor").alias("node"))).distinct())
     kept = cut(kept)
     sized = cut(kept.join(kept.groupBy("anchor").agg(F.count("*").alias("n")), "anchor"))
-    needed = cut(sized.select("node").distinct().join(by_node, "node").select(F.col("rep").alias("doc_id")).distinct())
+    wanted = cut(sized.select("node").distinct().join(by_node, "node").select("node", F.col("rep").alias("doc_id")))
+    nameless = cut(wanted.where("doc_id IS NULL").select("node"))
+    needed = cut(wanted.where("doc_id IS NOT NULL").select("doc_id").distinct())
     needed = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
 
     def tokens(b: pa.RecordBatch) -> dict:
@@ -432,7 +434,11 @@ def join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, chunk: int =
         return {"node": [x for x, _ in got], "tokens": [x for _, x in got]}
 
     # rows that repeat an id give a node twice, which the join passes over as linked already
-    sets = cut(map_arrow(docs.join(needed, "doc_id", "left_semi"), "node long, tokens binary", tokens))
+    sets = map_arrow(docs.join(needed, "doc_id", "left_semi"), "node long, tokens binary", tokens)
+    if not nameless.isEmpty():  # sets that only rows with a null id hold
+        own = map_arrow(docs.where("doc_id IS NULL"), "node long, tokens binary", tokens)
+        sets = sets.union(own.join(nameless, "node", "left_semi").dropDuplicates(["node"]))
+    sets = cut(sets)
 
     # round one: chunks of at most about `chunk` nodes, and the anchor in each
     n_chunks = F.ceil(F.col("n") / chunk).cast("int")

@@ -360,6 +360,14 @@ def test_text_media_runs_all_codecs(spark):
         assert Counter((r[f"{prefix}media_sha256"], r[f"{prefix}pcm_sha256"], r[f"{prefix}feature"]) for r in got) == want
 
 
+def test_near_copies_with_null_ids_only(spark):
+    text = " ".join(f"w{k}" for k in range(200))
+    other = " ".join(f"v{k}" for k in range(200))
+    rows = [(5, text), (None, text + " tail"), (None, text + " tail"), (None, "x " + text), (6, other), (None, "far from all of these " * 9)]
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.op1(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {(5, 198, 5): 1, (None, 199, 5): 3, (6, 198, 6): 1, (None, 5, None): 1}
+
+
 @pytest.mark.parametrize("op", [jaccard.op1, quality.op2, licenses.op3, sharding.op5, suffixes.dedup_digests, media.text_media, bpe.encode_decode, packing.pack_documents])
 def test_empty_table(docs, op):
     assert op(docs.where("false")).count() == 0
