@@ -4,10 +4,32 @@ from __future__ import annotations
 
 import io
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share: that of spark.checkpoint.dir or, where it is unset, one under the warehouse (on one machine, a temporary one)."""
+    sc = spark.sparkContext
+    given = sc.getConf().get("spark.checkpoint.dir")
+    if sc.getCheckpointDir() is None:
+        own = given or (tempfile.mkdtemp(prefix="checkpoint-") if sc.master.startswith("local") and "cluster" not in sc.master else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoint")
+        sc.setCheckpointDir(own)
+    return given or sc.getCheckpointDir()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{shared(spark)}/{uuid.uuid4()}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared folder, its lineage cut."""
+    shared(df.sparkSession)
+    return df.checkpoint()
 
 
 def ship(spark: SparkSession | None = None) -> None:
