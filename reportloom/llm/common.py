@@ -2,52 +2,68 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from reportloom.session import ship
+from reportloom.session import cut, scratch, ship
+
+__all__ = ["arrow_schema", "as_bytes", "cut", "map_arrow", "one_per_text", "partitions", "pick", "record", "scratch", "ship", "slices"]
 
 #: Words are maximal runs of bytes other than ASCII white space, as bytes.split() gives them.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def shared(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint folder, set here only where none is."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+#: Stands for a null id, behind all others.
+LAST = (1 << 63) - 1
+#: Up to this many keys, of some ten bytes, are broadcast to the texts; more are joined by an exchange.
+BROADCAST_KEYS = 200_000
+
 
+def pick(docs: DataFrame, keys: DataFrame, keep: bool, on: str | list[str] = "doc_id") -> DataFrame:
+    """The rows of docs whose key is among keys (keep), or isn't; rows with a null key are never among them."""
+    return docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, "left_semi" if keep else "left_anti")
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder."""
-    return f"{shared(spark)}/{uuid.uuid4()}"
 
+def one_per_text(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, tid, text) of docs without the copies of a text in documents of a greater id (or null id, if there are others),
+    and (tid, rep, n): the least id and the bytes of each text. docs: doc_id, tid (64-bit hash of the text), text, not null.
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder, its lineage cut."""
-    shared(df.sparkSession)
-    return df.checkpoint()
+    Rows that repeat both id and text are left as they are. Ids and hashes are aggregated and exchanged, texts only where the
+    copies are too many to broadcast. Two texts of one hash raise an error.
+    """
+    keyed = docs.select(F.coalesce(F.col("doc_id"), F.lit(LAST)).alias("doc_id"), "tid", "text")
+    ids = keyed.select("doc_id", "tid", F.md5("text").alias("m"), F.octet_length("text").alias("n")).groupBy("tid").agg(F.min("doc_id").alias("rep"), F.min("m").alias("_a"), F.max("m").alias("_b"), F.max("n").alias("n"))
+    checked = F.when(F.col("_a") == F.col("_b"), F.col("rep")).otherwise(F.raise_error(F.lit("two texts share a 64-bit hash")))
+    ids = cut(ids.select("tid", checked.alias("rep"), "n"))
+    copies = keyed.select("doc_id", "tid").distinct().join(ids.select(F.col("rep").alias("doc_id"), "tid"), ["doc_id", "tid"], "left_anti")
+    return pick(keyed, cut(copies), keep=False, on=["doc_id", "tid"]), ids
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def map_arrow(df: DataFrame, schema: str, f: Callable[[pa.RecordBatch], dict | None]) -> DataFrame:
-    """df.mapInArrow with f from a batch to the columns of a batch of any length."""
+def slices(b: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about `size` bytes, or of one larger row."""
+    step = max(1, b.num_rows * size // max(b.nbytes, 1))
+    for at in range(0, b.num_rows, step):
+        yield b.slice(at, step)
+
+
+def map_arrow(df: DataFrame, schema: str, f: Callable[[pa.RecordBatch], dict | None], size: int = 8 << 20) -> DataFrame:
+    """df.mapInArrow with f from a part of a batch, of about `size` bytes, to the columns of a batch of any length."""
     ship(df.sparkSession)
     out = _arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows and (got := f(b)) is not None:
-                yield record(got, out)
+            for part in slices(b, size):
+                if (got := f(part)) is not None:
+                    yield record(got, out)
 
     return df.mapInArrow(run, schema)
 
