@@ -22,9 +22,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each group linked by 0.8 or more of their five-word shingles; null ids stay."""
-    others = jaccard.join(docs, k=5, num=8, den=10).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    """One document of each group linked by 0.8 or more of their five-word shingles, that of the least id; null ids stay.
+
+    Rows that repeat an id and a text are one document; texts without words are linked with nothing and stay.
+    """
+    return jaccard.one_of_each(docs, k=5, num=8, den=10)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
