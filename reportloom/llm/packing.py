@@ -7,7 +7,7 @@ largest example is cut to fill the sequence as far as the limits let it; what is
 
 Each partition packs its own rows as they come, in windows of WINDOW examples, and carries what is open into the next, so it
 needs no exchange, memory doesn't grow with the input, and a partition has one unfilled sequence. Ids come in the words'
-order from a table of distinct words; a worker keeps a bounded table of the words it has met and starts it anew when full.
+order from a table of distinct words; a worker keeps a bounded table of the words it has met, of which those not met again go.
 A sequence's id is its partition's number times 2**32 plus its number there, so a task that is run again gives it again.
 
 Defined results: a null or empty text is one token, the end; repeated rows are examples of their own; null ids stay null; an
@@ -26,14 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reportloom.llm.bpe import chunks, encode_words
+from reportloom.llm.bpe import chunks, encode_words, words
 from reportloom.llm.common import arrow_schema, as_bytes, record, ship
 
 CAPACITY, MAX_SEGMENTS, WINDOW, MIN_CUT = 2048, 64, 1024, 16
 END_ID = 1
-_TABLE: dict[bytes, bytes] = {}
-#: A worker's table of words is begun anew beyond this many, some 300 MB.
-_TABLE_WORDS = 1_400_000
+#: A worker's words with their ids: those met lately, and those met before. Beyond _TABLE_WORDS (some 50 MB) the first become the second.
+_TABLES: list[dict[str, bytes]] = [{}, {}]
+_TABLE_WORDS = 250_000
 
 
 class Packer:
@@ -138,15 +138,18 @@ def _windows(p: Packer, examples) -> Iterator[list[tuple]]:
 def tokenize(path: str, texts: list[bytes]) -> Iterator[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers, with the end id."""
     end = np.array([END_ID], "<u4").tobytes()
-    for r in chunks(texts):
-        split = [texts[k].split() for k in r]
-        if len(_TABLE) > _TABLE_WORDS:
-            _TABLE.clear()
-        new = set().union(*split).difference(_TABLE)
-        for w, ids in zip(new, encode_words(path, new), strict=True):
-            _TABLE[w] = np.array(ids, "<u4").tobytes()
-        for words in split:
-            yield b"".join([_TABLE[w] for w in words]) + end
+    for r in chunks(texts, 1 << 20):
+        split = [words(path, texts[k]) for k in r]
+        if len(_TABLES[0]) > _TABLE_WORDS:
+            _TABLES[:] = [{}, _TABLES[0]]
+        late, early = _TABLES
+        new = set().union(*split).difference(late)
+        known = new & early.keys()
+        late.update({w: early[w] for w in known})
+        new = list(new - known)
+        late.update(zip(new, encode_words(path, new), strict=True))
+        for own in split:
+            yield b"".join([late[w] for w in own]) + end
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None, with_ids: bool = False) -> DataFrame:
