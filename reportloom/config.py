@@ -21,11 +21,13 @@ def is_unset(value: Any, sentinels: Iterable[Any] = ("", "none", None)) -> bool:
 
 
 def resolve(cfg: dict, key: str, default: Any = None, sentinels: Iterable[Any] = ("", "none", None)) -> Any:
-    """V6: data.key unless it is unset, then experiment.data.key unless that is, then data.key as it stands."""
+    """V6: data.key unless it is unset, then experiment.data.key (or the default without one) unless that is, then data.key as it stands."""
     sentinels = tuple(sentinels)
     top = (cfg.get("data") or {}).get(key, default)
-    own = ((cfg.get("experiment") or {}).get("data") or {}).get(key)
-    return own if is_unset(top, sentinels) and not is_unset(own, sentinels) else top
+    if not is_unset(top, sentinels):
+        return top
+    own = ((cfg.get("experiment") or {}).get("data") or {}).get(key, default)
+    return top if is_unset(own, sentinels) else own
 
 
 def as_int(cfg: dict, key: str, default: int) -> int:
@@ -63,6 +65,7 @@ def manifest_paths(out: str, artifact: str = "") -> dict[str, str]:
         if not safe:
             raise ValueError(f"unfit artifact name: {artifact!r}")
         base = base / "artifacts" / safe
+    # Names of the tables.
     tables = (
         "eligible_train_pool", "generation_prompts", "synthetic_candidates_manifest", "synthetic_qc_manifest", "synthetic_selected_manifest", "source_study_status",
         "train_real_baseline_manifest", "train_synthetic_pretrain_manifest", "train_real_finetune_manifest",
@@ -92,7 +95,20 @@ class Registry:
         return self.entries[name.lower()]
 
 
-#: What each image augmentation mode consists of; pixels aren't changed here.
+# Limits of the image augmentations, mild and strong.
+MILD = {"rotate": 3, "shift": 0.02, "scale": 0.05, "brightness_contrast": 0.10, "gamma": (90, 110), "noise_std": (0.01, 0.02), "noise_p": 0.5, "blur": (3, 5)}
+STRONG = {"rotate": 8, "shift": 0.2, "scale": 0.15, "brightness_contrast": 0.30, "gamma": (80, 120), "noise_std": (0.04, 0.08), "noise_p": 0.9, "blur": (3, 7)}
+#: What each image augmentation mode consists of.
 IMAGE_MODES = {"none": (), "geo": ("shift_scale_rotate",), "photo": ("brightness_contrast", "gamma", "noise"), "mix": ("shift_scale_rotate", "brightness_contrast", "gamma"), "strong": ("shift_scale_rotate", "brightness_contrast", "gamma", "noise", "blur")}
+
+
+def image_recipe(mode: str | None) -> dict[str, Any] | None:
+    """The steps and limits of a mode, for an image augmentation plug-in; None for none. An unknown mode raises ValueError."""
+    name = mode or "none"
+    if name not in IMAGE_MODES:
+        raise ValueError(f"unknown image mode: {mode!r}")
+    return {"steps": IMAGE_MODES[name], **(STRONG if name == "strong" else MILD)} if IMAGE_MODES[name] else None
+
+
 #: V9: presets that are passed to a generator plug-in.
 GENERATION = {"greedy": {"do_sample": False, "num_beams": 1}, "beam": {"do_sample": False, "num_beams": 4}, "sample": {"do_sample": True, "num_beams": 1}, "guarded": {"do_sample": False, "num_beams": 1, "no_repeat_ngram_size": 6}}

@@ -48,11 +48,8 @@ def split_prediction(generated: Column | str, form=text) -> tuple[Column, Column
 
 
 # Spellings of the impression header in generated texts.
-_HEADER_FORMS = (
-    r"IMPRESSION(?:{s}*[_-]{s}*(?:REVISED|REV|FINAL|OUTPUT|\d+))?", "IMPRESSION_REVISED", "IMPRESSION_", "IMPRESSIONS", r"IMPRESS{s}+ION", "IMPREESSION",
-    "IMPESSION", "IMPRESION", "IMPRISSION", "IMPRESSSION", "IMPRSSION", "IMPRSSON", "IMPRSSIONS", "IMMPRESSION",
-)
-_IMPRESSION_HEADER = rf"\b(?:{'|'.join(x.replace('{s}', WS) for x in _HEADER_FORMS)})\b"
+HEADER_FORMS = r"\b(?:IMPRESSION(?:\s*[_-]\s*(?:REVISED|REV|FINAL|OUTPUT|\d+))?|IMPRESSION_REVISED|IMPRESSION_|IMPRESSIONS|IMPRESS\s+ION|IMPREESSION|IMPESSION|IMPRESION|IMPRISSION|IMPRESSSION|IMPRSSION|IMPRSSON|IMPRSSIONS|IMMPRESSION)\b"
+_IMPRESSION_HEADER = HEADER_FORMS.replace(r"\s", WS)
 
 
 def parse_two_lines(generated: Column | str) -> tuple[Column, Column]:

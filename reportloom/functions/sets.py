@@ -49,6 +49,23 @@ def relations(annotation: Column) -> Column:
     return F.coalesce(found, F.array().cast(f"array<struct<source:{kind},type:string,target:{kind}>>"))
 
 
+def entities_related(annotation: Column) -> Column:
+    """The entities, each with whether it has relations."""
+    none = F.array().cast("array<struct<tokens:array<string>,label:string,related:boolean>>")
+    found = F.array_distinct(F.transform(F.map_values(annotation), lambda e: F.struct(clean_tokens(e.tokens).alias("tokens"), F.trim(F.coalesce(e.label, F.lit(""))).alias("label"), (F.coalesce(F.size(e.relations), F.lit(0)) > 0).alias("related"))))
+    return F.coalesce(found, none)
+
+
+def entities_and_relations(annotation: Column) -> Column:
+    """The entities without relations, and the relations, as texts."""
+
+    def key(x: Column) -> Column:
+        return F.concat_ws("\x01", F.array_join(x.tokens, " "), x.label)
+
+    lone = F.transform(F.filter(entities_related(annotation), lambda e: ~e.related), key)
+    return F.array_distinct(F.concat(lone, F.transform(relations(annotation), lambda r: F.concat_ws("\x02", key(r.source), r.type, key(r.target)))))
+
+
 def annotation(json: Column) -> Column:
     """M6: the entity map of an annotation in JSON, through wrappings of up to four levels with one key, or with key 0."""
     now = json

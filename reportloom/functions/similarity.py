@@ -1,15 +1,17 @@
-"""Text functions that no Spark expression gives, in Arrow batches: sequence similarity, repeated n-grams, ROUGE-L."""
+"""Text functions that no Spark expression gives, in Arrow batches: sequence similarity, repeated n-grams, ROUGE, diffs."""
 
 from __future__ import annotations
 
 import re
-from difflib import SequenceMatcher
+from collections import Counter
+from difflib import SequenceMatcher, unified_diff
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
+from reportloom.functions.stems import stem
 from reportloom.functions.text import literal_one_line
 from reportloom.session import ship
 
@@ -63,6 +65,7 @@ def ngram_repeat(c: Column) -> Column:
 
 
 _ROUGE_WORD = re.compile(r"[a-z0-9]+")
+ROUGE = ("rouge1", "rouge2", "rougeL", "rougeLsum")
 
 
 def lcs(a: list[str], b: list[str]) -> int:
@@ -78,17 +81,72 @@ def lcs(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-@F.pandas_udf(DoubleType())
-def _rouge_l(pred: pd.Series, ref: pd.Series) -> pd.Series:
-    def one(p: str | None, r: str | None) -> float:
-        x, y = _ROUGE_WORD.findall((p or "").lower()), _ROUGE_WORD.findall((r or "").lower())
-        n = lcs(x, y) if x and y else 0
-        return 2 * n / (len(x) + len(y)) if n else 0.0
+def lcs_places(a: list[str], b: list[str]) -> set[int]:
+    """Places in a of one longest common subsequence: that which takes the last equal words, walking back along the shorter prefix of b where two are as long."""
+    rows = [[0] * (len(b) + 1)]
+    for x in a:
+        prev, row = rows[-1], [0]
+        for j, y in enumerate(b):
+            row.append(prev[j] + 1 if x == y else max(prev[j + 1], row[j]))
+        rows.append(row)
+    i, j, out = len(a), len(b), set()
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            out.add(i - 1)
+            i, j = i - 1, j - 1
+        elif rows[i][j - 1] > rows[i - 1][j]:
+            j -= 1
+        else:
+            i -= 1
+    return out
+
+
+def _f(hit: int, p: int, r: int) -> float:
+    return 2 * hit / (p + r) if hit else 0.0
+
+
+def rouge_words(t: str) -> list[str]:
+    """Runs of ASCII letters and digits in lower case, those of more than three characters stemmed."""
+    return [stem(w) if len(w) > 3 else w for w in _ROUGE_WORD.findall(t.lower())]
+
+
+def rouge_of(pred: str, ref: str) -> tuple[float, float, float, float]:
+    """F-measures of common words, of common pairs, of the longest common subsequence, and of the union of those of each line with the other text's lines."""
+    p, r = rouge_words(pred), rouge_words(ref)
+    out = []
+    for n in (1, 2):
+        a, b = (Counter(zip(*(x[k:] for k in range(n)), strict=False)) for x in (p, r))
+        out.append(_f((a & b).total(), a.total(), b.total()))
+    out.append(_f(lcs(p, r) if p and r else 0, len(p), len(r)))
+    ps, rs = ([w for x in t.split("\n") if x and (w := rouge_words(x))] for t in (pred, ref))
+    left, wanted, hit = Counter(w for x in ps for w in x), Counter(w for x in rs for w in x), 0
+    for line in rs:
+        for i in sorted(set().union(*(lcs_places(line, x) for x in ps)) if ps else ()):
+            w = line[i]
+            if left[w] > 0 and wanted[w] > 0:  # a word counts as often as both texts have it
+                hit += 1
+                left[w] -= 1
+                wanted[w] -= 1
+    return (*out, _f(hit, sum(map(len, ps)), sum(map(len, rs))))
+
+
+@F.pandas_udf(StructType([StructField(k, DoubleType()) for k in ROUGE]))
+def _rouge(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([rouge_of(p or "", r or "") for p, r in zip(pred, ref, strict=True)], columns=list(ROUGE), dtype="float64")
+
+
+def rouge_scores(pred: Column, ref: Column) -> Column:
+    """struct(rouge1, rouge2, rougeL, rougeLsum); null counts as empty."""
+    ship()
+    return _rouge(pred, ref)
+
 
-    return pd.Series([one(p, r) for p, r in zip(pred, ref, strict=True)], dtype="float64")
+@F.pandas_udf(StringType())
+def _diff(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series(["\n".join(unified_diff((x or "").splitlines(), (y or "").splitlines(), "before", "after", lineterm="")) for x, y in zip(a, b, strict=True)], dtype="object")
 
 
-def rouge_l(pred: Column, ref: Column) -> Column:
-    """F-measure of the longest common subsequence of words, unstemmed; stems would have to come from a stemmer of one's own."""
+def shown_diff(a: Column, b: Column) -> Column:
+    """The lines that differ, as a unified diff; '' for equal texts."""
     ship()
-    return _rouge_l(pred, ref)
+    return _diff(a, b)

@@ -15,6 +15,7 @@ _LINE_ENDS = r"[\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 # Words that tie a sentence to another one.
 DEPENDENCY_CUES = ("compared to", "comparison", "previous", "prior", "interval", "again", "as before", "therefore", "however", "this", "these", "above")
+# Names of the target formats and the end of a target.
 TARGET_FORMATS = {"findings": ("findings", "findings only", "findings-only"), "findings + impression": ("findings + impression", "findings and impression", "full", "full report")}
 TERMINATOR = " END_REPORT"
 
@@ -85,9 +86,14 @@ def generation_form(c: Column | str) -> Column:
 # ---------------------------------------------------------------- bullets and sentences
 
 
+def lists(t: Column) -> Column:
+    """T10, of a text in the form T2."""
+    return t.rlike(rf"(?mdU)^{BULLET}")
+
+
 def is_bulleted(c: Column | str) -> Column:
     """A line begins with a bullet."""
-    return keep_newlines(c).rlike(rf"(?mdU)^{BULLET}")
+    return lists(keep_newlines(c))
 
 
 def strip_bullet(line: Column) -> Column:
@@ -98,22 +104,28 @@ def strip_bullet(line: Column) -> Column:
     return strip(F.when(at > 0, F.concat(F.substr(line, F.lit(1), at - 1), F.substr(line, at + long))).otherwise(line))
 
 
-def bullet_items(c: Column | str) -> Column:
-    """The non-empty lines, without bullets."""
-    lines = F.transform(F.split(keep_newlines(c), _LINE_ENDS), strip)
+def _items(t: Column) -> Column:
+    lines = F.transform(F.split(t, _LINE_ENDS), strip)
     items = F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.when(x.rlike(rf"(?U)\A{BULLET}"), strip_bullet(x)).otherwise(x))
     return F.filter(items, lambda x: x != "")
 
 
-def sentences(c: Column | str) -> Column:
-    """Bullet items, or pieces between sentence ends before a capital or digit, and lines."""
+def bullet_items(c: Column | str) -> Column:
+    """The non-empty lines, without bullets."""
+    return _items(keep_newlines(c))
+
+
+def split_sentences(t: Column) -> Column:
+    """T11, of a text in the form T2."""
+    # blanks are single and marks gone in such a text, so its pieces need no more than their ends trimmed
+    parts = F.filter(F.transform(F.split(t, rf"(?U)(?<=[.!?]){WS}+(?=[A-Z0-9])|\n+"), strip), lambda x: x != "")
+    whole = bind(parts, lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(t)))
+    return F.when(t == "", F.array().cast("array<string>")).when(lists(t), _items(t)).otherwise(whole)
 
-    def cut(t: Column) -> Column:
-        parts = F.filter(F.transform(F.split(t, rf"(?U)(?<=[.!?]){WS}+(?=[A-Z0-9])|\n+"), keep_newlines), lambda x: x != "")
-        whole = bind(parts, lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(t)))
-        return F.when(t == "", F.array().cast("array<string>")).when(t.rlike(rf"(?mdU)^{BULLET}"), bullet_items(t)).otherwise(whole)
 
-    return bind(keep_newlines(c), cut)
+def sentences(c: Column | str) -> Column:
+    """Bullet items, or pieces between sentence ends before a capital or digit, and lines."""
+    return bind(keep_newlines(c), split_sentences)
 
 
 def _without_period(s: Column) -> Column:
@@ -125,15 +137,15 @@ def _with_period(s: Column) -> Column:
     return F.when(t.rlike(r"[.!?]\z") | (t == ""), t).otherwise(F.concat(t, F.lit(".")))
 
 
-def join_sentences(parts: Column, style: int = 0) -> Column:
-    """0 spaces, 1 ended by periods, 2 semicolons, 3 dashed lines."""
+def join_sentences(parts: Column, style: int = 0, normal: bool = False) -> Column:
+    """0 spaces, 1 ended by periods, 2 semicolons, 3 dashed lines. normal: the parts are in the form T2, and none is empty."""
     joined = {
         0: lambda s: F.array_join(s, " "),
         1: lambda s: F.array_join(F.transform(s, lambda x: _with_period(_without_period(x))), " "),
         2: lambda s: F.concat(F.array_join(F.transform(s, _without_period), "; "), F.lit(".")),
         3: lambda s: F.array_join(F.transform(s, lambda x: F.concat(F.lit("- "), _without_period(x))), "\n"),
     }[style]
-    kept = F.filter(F.transform(parts, keep_newlines), lambda x: x != "")
+    kept = parts if normal else F.filter(F.transform(parts, keep_newlines), lambda x: x != "")
     return bind(kept, lambda s: F.when(F.size(s) == 0, F.lit("")).otherwise(joined(s)))
 
 
@@ -156,12 +168,13 @@ def can_shuffle(parts: Column) -> Column:
     return (F.size(parts) >= 2) & ~F.exists(parts, lambda s: s.rlike(cue))
 
 
-def merge_short(parts: Column, least: int = 35) -> Column:
-    """From the left, a sentence and the next become one if either is short; a merged one isn't merged again."""
+def merge_short(parts: Column, least: int = 35, normal: bool = False) -> Column:
+    """From the left, a sentence and the next become one if either is short; a merged one isn't merged again. normal: as in T12."""
+    form = strip if normal else keep_newlines
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("held"))
 
     def step(s: Column, x: Column) -> Column:
-        pair = keep_newlines(F.concat(_without_period(s.held), F.lit("; "), sub(x, rf"^{WS}+", "")))
+        pair = form(F.concat(_without_period(s.held), F.lit("; "), sub(x, rf"^{WS}+", "")))
         short = (F.length(s.held) < least) | (F.length(x) < least)
         return (
             F.when(s.held.isNull(), F.struct(s.done.alias("done"), x.alias("held")))
@@ -251,14 +264,16 @@ def ended(c: Column | str, eos: str | None = None) -> Column:
     return F.when(F.endswith(t, F.lit(end)), t).otherwise(F.concat(t, F.lit(end)))
 
 
+PARAPHRASE_HEAD = (
+    "Rewrite the report below in other words. Keep every fact, negation, side, place, degree and change over time as it is; add none and "
+    "leave none out. Write as a radiologist would, at about the same length, without names, dates or comments.\n"
+    "Answer in exactly two lines:\nFINDINGS: ...\nIMPRESSION: ...\n\nReport\n"
+)
+
+
 def paraphrase_prompt(findings: Column | str, impression: Column | str) -> Column:
     """T24, in words of our own."""
-    head = (
-        "Rewrite the report below in other words. Keep every fact, negation, side, place, degree and change over time as it is; add none and "
-        "leave none out. Write as a radiologist would, at about the same length, without names, dates or comments.\n"
-        "Answer in exactly two lines:\nFINDINGS: ...\nIMPRESSION: ...\n\nReport\n"
-    )
-    return F.concat(F.lit(head + "FINDINGS: "), literal_one_line(findings), F.lit("\nIMPRESSION: "), literal_one_line(impression), F.lit("\n"))
+    return F.concat(F.lit(PARAPHRASE_HEAD + "FINDINGS: "), literal_one_line(findings), F.lit("\nIMPRESSION: "), literal_one_line(impression), F.lit("\n"))
 
 
 # ---------------------------------------------------------------- tokens and forms for scorers
@@ -334,6 +349,35 @@ def runs(words: Column, n: int) -> Column:
     return bind(words, of)
 
 
+def counted(grams: Column) -> Column:
+    """A multiset of texts as a set: each occurrence with its number among its equals, so that intersections count clipped."""
+
+    def of(s: Column) -> Column:
+        n = F.size(s)
+        at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        first = F.filter(at, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+
+        def numbered(f: Column) -> Column:
+            return F.flatten(F.transform(f, lambda p, k: F.transform(F.sequence(F.lit(0), F.coalesce(F.get(f, k + 1), n) - p - 1), lambda j: F.concat(F.get(s, p), F.lit("\x02"), j.cast("string")))))
+
+        return bind(first, numbered)
+
+    return bind(F.array_sort(grams), of)
+
+
+# The steps of the customary tokenizer of machine translation scores (mteval 13a), as (pattern, replacement).
+TOKENIZER_13A = ((r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 "), (r"([^0-9])([\.,])", "$1 $2 "), (r"([\.,])([^0-9])", " $1 $2"), (r"([0-9])(-)", "$1 $2 "))
+
+
+def tokens_13a(c: Column | str) -> Column:
+    """Tokens of the 13a tokenizer: marks stand alone, but points and commas between digits and dashes behind none."""
+    t = F.replace(F.replace(F.translate(F.replace(F.replace(sub(text(c), r"\s+\z", "", ""), F.lit("<skipped>"), F.lit("")), F.lit("-\n"), F.lit("")), "\n", " "), F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&"))
+    t = F.concat(F.lit(" "), F.replace(F.replace(t, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit(" "))
+    for pattern, to in TOKENIZER_13A:
+        t = sub(t, pattern, to, "")
+    return F.filter(F.split(t, rf"(?U){WS}+"), lambda x: x != "")
+
+
 def word_count(c: Column | str) -> Column:
     """T41."""
     return F.regexp_count(text(c), F.lit(r"(?U)\b\w+\b"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import random
-import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reportloom.config import image_recipe
 from reportloom.functions import text as T
 from reportloom.operators import gates
 from reportloom.operators.select import det_rand, first_per, integer_key
@@ -66,99 +66,69 @@ def chat_view(view: DataFrame) -> DataFrame:
     return view.withColumn("messages", F.array(message("user", part("image", F.lit(None).cast("string")), part("text", asked)), message("assistant", part("text", F.col("target")))))
 
 
-# ---------------------------------------------------------------- structural changes with a sequential generator
+# ---------------------------------------------------------------- structural changes
 
+#: The changes, each of which leaves the words as they are; a text's draws say in which order they are tried.
+CHANGES = ("shuffle", "to_paragraph", "to_list", "points")
+MERGED, STYLES = 0.35, 3
 
-_SPACE = re.compile(r"[ \t]+")
-_CUT = re.compile(r"(?<=[.!?])\s+(?=[A-Z0-9])|\n+")
-_MARK = re.compile(r"^\s*(?:[-*•]|\d+[.)])\s+", re.M)
-_CUE = re.compile(rf"\b({'|'.join(T.DEPENDENCY_CUES)})\b", re.I)
 
+def in_drawn_order(parts: Column, key: Column, seed: int) -> Column:
+    """An array in a repeatable random order: by a number drawn for each place, then by place."""
+    drawn = F.transform(parts, lambda x, i: F.struct(det_rand(key * 64 + i, seed).alias("u"), i.alias("i"), x.alias("x")))
+    return F.transform(F.array_sort(drawn), lambda e: e.x)
 
-def _norm(s: str | None) -> str:
-    t = re.sub(r"[​-‍﻿]", "", (s or "").strip().replace("\r\n", "\n").replace("\r", "\n"))
-    return re.sub(r"\n{3,}", "\n\n", _SPACE.sub(" ", t)).strip()
 
+def _mixed(parts: Column, key: Column, seed: int) -> Column:
+    """Sentences in another order, now and then with short ones merged, joined in a drawn style; '' where one depends on another."""
+    pick = F.floor(det_rand(key * 64 + 62, seed) * STYLES)
 
-def _bare(s: str) -> str:
-    return s.strip().rstrip(".").strip()
+    def joined(p: Column) -> Column:
+        return F.when(pick == 0, T.join_sentences(p, 0, True)).when(pick == 1, T.join_sentences(p, 1, True)).otherwise(T.join_sentences(p, 2, True))
 
+    new = T.bind(in_drawn_order(parts, key, seed), lambda p: F.when(det_rand(key * 64 + 61, seed) < MERGED, T.merge_short(p, normal=True)).otherwise(p))
+    return F.when(T.can_shuffle(parts), T.bind(new, joined)).otherwise("")
 
-def _items(t: str) -> list[str]:
-    lines = (x.strip() for x in t.splitlines())
-    return [y for y in (_MARK.sub("", x, count=1).strip() if _MARK.match(x) else x for x in lines if x) if y]
 
+def change(c: Column | str, key: Column, seed: int = 42) -> Column:
+    """Of four changes in drawn order - sentences mixed, list to paragraph, paragraph to list, blanks before points - the first that changes the text. key: a whole number for each text and attempt, below 50 million.
 
-def _pieces(t: str) -> list[str]:
-    if not t:
-        return []
-    return _items(t) if _MARK.search(t) else [p for p in map(_norm, _CUT.split(t)) if p] or [t]
-
-
-def _joined(parts: list[str], style: int) -> str:
-    parts = [p for p in map(_norm, parts) if p]
-    if not parts:
-        return ""
-    if style == 1:
-        return " ".join(b if (b := _bare(p))[-1:] in tuple(".!?") else b + "." if b else "" for p in parts)
-    return "; ".join(map(_bare, parts)) + "." if style == 2 else " ".join(parts)
-
+    The text is cut into sentences once, and a change is made only where those before it changed nothing.
+    """
 
-def _paired(parts: list[str], least: int = 35) -> list[str]:
-    out, held = [], None
-    for p in parts:
-        if held is None:
-            held = p
-        elif min(len(held), len(p)) < least:
-            out.append(_norm(f"{_bare(held)}; {p.lstrip()}"))
-            held = None
-        else:
-            out.append(held)
-            held = p
-    return out if held is None else [*out, held]
+    def of(x: Column) -> Column:
+        t, parts, listed = x.t, x.parts, x.listed
+        made = (
+            _mixed(parts, key, seed), F.when(listed & (F.size(parts) > 0), T.join_sentences(parts, 1, True)).otherwise(""), F.when(listed | (F.size(parts) < 2), "").otherwise(T.join_sentences(parts, 3, True)),
+            T.sub(t, rf"{T.WS}+([,.;])", "$1"),
+        )
 
+        def attempt(found: Column, n: Column) -> Column:
+            new = F.lit("")
+            for k, one in enumerate(made):
+                new = F.when(n == k, one).otherwise(new)
+            return F.when(found.isNotNull(), found).otherwise(T.bind(T.keep_newlines(new), lambda y: F.when((y != "") & (y != t), y)))
 
-def change_once(s: str | None, rng: random.Random) -> str:
-    """Four changes in random order - shuffle sentences, list to paragraph, paragraph to list, blanks before points - of which the first that changes the text is made."""
-    t = _norm(s)
-    if not t:
-        return t
-    parts, listed = _pieces(t), bool(_MARK.search(t))
+        order = in_drawn_order(F.array(*[F.lit(k) for k in range(len(CHANGES))]), key, seed + 1)
+        return F.coalesce(F.aggregate(order, F.lit(None).cast("string"), attempt), t)
 
-    def shuffle() -> str:
-        if len(parts) < 2 or any(map(_CUE.search, parts)):
-            return ""
-        mixed = list(parts)
-        rng.shuffle(mixed)
-        if rng.random() < 0.35:
-            mixed = _paired(mixed)
-        return _joined(mixed, rng.randint(0, 2))
+    def cut(t: Column) -> Column:
+        return T.bind(F.struct(t.alias("t"), T.split_sentences(t).alias("parts"), T.lists(t).alias("listed")), of)
 
-    changes = {
-        "shuffle": shuffle,
-        "bullets_to_para": lambda: _joined(_items(t), 1) if listed else "",
-        "para_to_bullets": lambda: "\n".join(f"- {_bare(p)}" for p in parts) if len(parts) >= 2 and not listed else "",
-        "punct": lambda: re.sub(r"\s+([,.])", r"\1", t.replace(" .", ".").replace(" ;", ";")),
-    }
-    order = list(changes)
-    rng.shuffle(order)
-    return next((new for name in order if (new := _norm(changes[name]())) and new != t), t)
+    return T.bind(T.keep_newlines(c), cut)
 
 
 def change_attempts(df: DataFrame, tries: int = 5, seed: int = 42) -> DataFrame:
-    """Rows (study_id, findings, impression) with attempts: array of (af, ai), from one generator a study."""
-
-    ship(df.sparkSession)
+    """Rows (study_id, findings, impression) with attempts: array of (af, ai), each with draws of its own."""
+    sid = F.col("study_id").cast("long") % 1_000_000
 
-    @F.pandas_udf("array<struct<af:string,ai:string>>")
-    def run(ids: pd.Series, f: pd.Series, i: pd.Series) -> pd.Series:
-        out = []
-        for sid, x, y in zip(ids, f, i, strict=True):
-            rng = random.Random(seed + int(sid) % 10_000_000)
-            out.append([{"af": change_once(x, rng), "ai": change_once(y, rng)} for _ in range(tries)])
-        return pd.Series(out)
+    def attempt(k: int) -> Column:
+        key = sid * 32 + 2 * k
+        return F.struct(change("findings", key, seed).alias("af"), change("impression", key + 1, seed).alias("ai"))
 
-    return df.withColumn("attempts", run("study_id", "findings", "impression"))
+    if tries > 16:
+        raise ValueError("at most 16 attempts")
+    return df.withColumn("attempts", F.array(*[attempt(k) for k in range(tries)]))
 
 
 def structural_bank(df: DataFrame, tries: int = 5, seed: int = 42, max_delta: int = 800) -> tuple[DataFrame, DataFrame]:
@@ -184,7 +154,26 @@ def reject_reasons(rows: DataFrame, top: int = 20) -> DataFrame:
     return rows.groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason").limit(top)
 
 
-def shuffled_sentences(c: Column, seed: int, style: int = 1) -> Column:
-    """Sentences in random order if none depends on another."""
+def shuffled_sentences(c: Column, key: Column, seed: int = 0, style: int = 1) -> Column:
+    """Sentences in a drawn order if none depends on another."""
     parts = T.sentences(c)
-    return F.when(T.can_shuffle(parts), T.keep_newlines(T.join_sentences(F.shuffle(parts, F.lit(seed)), style))).otherwise(T.keep_newlines(c))
+    return F.when(T.can_shuffle(parts), T.keep_newlines(T.join_sentences(in_drawn_order(parts, key, seed), style))).otherwise(T.keep_newlines(c))
+
+
+def image_augmented(images: DataFrame, factory: Callable[[dict | None], Callable[[bytes], bytes]], mode: str, column: str = "image") -> DataFrame:
+    """Images (a binary column) passed through a plug-in, made once a worker from the recipe of a mode; null images stay null."""
+    recipe = image_recipe(mode)
+    ship(images.sparkSession)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        change_image = factory(recipe)
+        for f in frames:
+            f[column] = [None if x is None else change_image(bytes(x)) for x in f[column]]
+            yield f
+
+    return images if recipe is None else images.mapInPandas(run, images.schema)
+
+
+def evaluation_view(df: DataFrame) -> DataFrame:
+    """V3: the five columns that evaluation reads, the study as text; a column that is lacking is ''."""
+    return df.select(F.col("study_id").cast("string").alias("study_id"), F.col("dcm_path").cast("string").alias("dcm_path"), *[F.col(c) if c in df.columns else F.lit("").alias(c) for c in ("indication", "ref_findings", "ref_impression")])

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import subprocess
+import tempfile
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reportloom.functions import sets
 from reportloom.functions.sections import split_prediction
-from reportloom.functions.similarity import ngram_repeat, rouge_l
-from reportloom.functions.text import WS, punctuation_run, runs, scorer_form, strip, text, unescaped, word_count
-from reportloom.operators.select import PRIME, det_rand
+from reportloom.functions.similarity import ROUGE, ngram_repeat, rouge_scores
+from reportloom.functions.text import WS, bind, counted, punctuation_run, runs, scorer_form, strip, text, tokens_13a, unescaped, word_count
+from reportloom.operators.select import PRIME, det_rand, ordinal
+from reportloom.session import cut
 
 TIME = rf"(?iU)at{WS}+\d{{1,2}}:\d{{2}}{WS}*(?:a\.?m\.?|p\.?m\.?)?"
 FLAGS = (
@@ -98,53 +103,93 @@ def extra_positives(df: DataFrame, names: list[str], pred: str = "pred", ref: st
     return out.select(F.inline(F.array(*rows, total)))
 
 
-def bleu(df: DataFrame, pred: str, ref: str, order: int = 4, smooth: bool = True) -> DataFrame:
-    """Corpus BLEU of words and punctuation, with exponential smoothing. Clipped n-gram counts are summed, so nothing is gathered.
+def _bleu_counts(pred: Column | str, ref: Column | str, order: int = 4) -> Column:
+    """Of a pair of texts: token counts, and for each n the number of n-grams of pred and how many of them ref has, clipped."""
 
-    The tokens are runs of letters and digits, or single other marks: near, but not equal, to the customary tokenizer.
-    """
+    def count(x: Column) -> Column:
+        of = {"hyp": F.size(x.p), "ref": F.size(x.r)}
+        for n in range(1, order + 1):
+            of[f"t{n}"] = F.greatest(F.size(x.p) - n + 1, F.lit(0))
+            of[f"m{n}"] = F.size(F.array_intersect(counted(runs(x.p, n)), counted(runs(x.r, n))))
+        return F.struct(*[v.cast("long").alias(k) for k, v in of.items()])
 
-    def words(c: str) -> Column:
-        return F.regexp_extract_all(text(c), F.lit(r"[\p{L}\p{M}\p{N}]+|[^\s\p{L}\p{M}\p{N}]"), F.lit(0))
+    return bind(F.struct(tokens_13a(pred).alias("p"), tokens_13a(ref).alias("r")), count)
 
-    rows = df.select(F.monotonically_increasing_id().alias("id"), words(pred).alias("p"), words(ref).alias("r"))
-    sums = rows.agg(F.sum(F.size("p")).alias("hyp"), F.sum(F.size("r")).alias("ref"), *[F.sum(F.greatest(F.size("p") - n + 1, F.lit(0))).alias(f"t{n}") for n in range(1, order + 1)])
-    both = None
-    for n in range(1, order + 1):
-        p = rows.select("id", F.explode(runs(F.col("p"), n)).alias("g")).groupBy("id", "g").agg(F.count("*").alias("a"))
-        r = rows.select("id", F.explode(runs(F.col("r"), n)).alias("g")).groupBy("id", "g").agg(F.count("*").alias("b"))
-        hit = p.join(r, ["id", "g"]).agg(F.coalesce(F.sum(F.least("a", "b")), F.lit(0)).alias(f"m{n}"))
-        both = hit if both is None else both.join(hit)  # one row each
-    one = sums.join(both)
+
+def _bleu_score(x: Callable[[str], Column], order: int = 4, smooth: bool = True) -> dict[str, Column]:
+    """score, p1.., bp, hyp_len and ref_len from summed counts."""
     precisions, zeros = [], F.lit(0)
     for n in range(1, order + 1):
-        none = F.col(f"m{n}") == 0
+        none, t = x(f"m{n}") == 0, F.greatest(x(f"t{n}"), F.lit(1))
         zeros = zeros + F.when(none, 1).otherwise(0) if smooth else zeros
-        low = 1.0 / (F.pow(F.lit(2.0), zeros) * F.greatest(F.col(f"t{n}"), F.lit(1))) if smooth else F.lit(0.0)
-        precisions.append(F.when(none, low).otherwise(F.col(f"m{n}").cast("double") / F.greatest(F.col(f"t{n}"), F.lit(1))))
-    brevity = F.when(F.col("hyp") == 0, 0.0).when(F.col("hyp") < F.col("ref"), F.exp(1 - F.col("ref").cast("double") / F.col("hyp"))).otherwise(1.0)
+        low = 1.0 / (F.pow(F.lit(2.0), zeros) * t) if smooth else F.lit(0.0)
+        precisions.append(F.when(none, low).otherwise(x(f"m{n}").cast("double") / t))
+    hyp, ref = x("hyp"), x("ref")
+    brevity = F.when(hyp == 0, 0.0).when(hyp < ref, F.exp(1 - ref.cast("double") / hyp)).otherwise(1.0)
     mean = F.exp(sum((F.ln(p) for p in precisions), F.lit(0.0)) / order)
-    return one.select(F.coalesce(brevity * mean * 100, F.lit(0.0)).alias("score"), *[(p * 100).alias(f"p{n}") for n, p in enumerate(precisions, 1)], brevity.alias("bp"), F.col("hyp").alias("hyp_len"), F.col("ref").alias("ref_len"))
+    # without a match of any kind, or without tokens, the score is 0
+    score = F.when(hyp.isNull() | (hyp == 0) | (x("m1") == 0), 0.0).otherwise(brevity * mean * 100)
+    return {"score": score, **{f"p{n}": p * 100 for n, p in enumerate(precisions, 1)}, "bp": brevity, "hyp_len": hyp, "ref_len": ref}
+
+
+def _sums(name: str, order: int = 4) -> list[Column]:
+    return [F.sum(F.col(f"{name}.{k}")).alias(f"{name}_{k}") for k in ("hyp", "ref", *(f"{x}{n}" for n in range(1, order + 1) for x in "tm"))]
+
+
+def bleu(df: DataFrame, pred: str, ref: str, order: int = 4, smooth: bool = True) -> DataFrame:
+    """Corpus BLEU of 13a tokens, with exponential smoothing. Counts are clipped within each row and summed: one scan, no exchange of n-grams."""
+    sums = df.select(_bleu_counts(pred, ref, order).alias("b")).agg(*_sums("b", order))
+    return sums.select(*[v.alias(k) for k, v in _bleu_score(lambda k: F.col(f"b_{k}"), order, smooth).items()])
 
 
 def rouge(df: DataFrame, pred: str, ref: str) -> DataFrame:
-    """The mean ROUGE-L."""
-    return df.agg(safe_mean(rouge_l(F.col(pred), F.col(ref))).alias("rouge_l"))
+    """Mean F-measures of ROUGE-1, -2, -L and -Lsum of stemmed words; 0 without rows."""
+    rows = df.select(rouge_scores(F.col(pred), F.col(ref)).alias("s"))
+    return rows.agg(*[safe_mean(F.col(f"s.{k}")).alias(k) for k in ROUGE])
+
+
+def entity_f1(df: DataFrame, pred: str = "hyp_ann", ref: str = "ref_ann") -> DataFrame:
+    """(n, rg_e, rg_er, rg_bar_er) of annotations from a plug-in: mean F1 of entities, of entities with whether they have relations, and of entities with their relations.
+
+    A row without an annotation on either side scores 0; without rows the means are 0.
+    """
+
+    def f1(a: Column, b: Column) -> Column:
+        both, n = F.size(F.array_intersect(a, b)), F.size(a) + F.size(b)
+        return F.when(F.col(pred).isNull() | F.col(ref).isNull(), 0.0).when(n == 0, 1.0).otherwise(2.0 * both / F.greatest(n, F.lit(1)))
+
+    forms = {"rg_e": sets.entities, "rg_er": sets.entities_related, "rg_bar_er": sets.entities_and_relations}
+    return df.select(*[f1(of(F.col(pred)), of(F.col(ref))).alias(k) for k, of in forms.items()]).agg(F.count("*").alias("n"), *[safe_mean(F.col(k)).alias(k) for k in forms])
+
+
+VIEWS = ("findings", "impression", "full")
+#: What a scorer may fail of; other errors, such as those of a Spark job, aren't a metric's own and are raised.
+SCORER_ERRORS = (AnalysisException, ArithmeticError, AttributeError, ImportError, LookupError, OSError, RuntimeError, TypeError, ValueError)
 
 
 def suite(df: DataFrame, scorers: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
-    """(view, metric, value, status) over findings, impressions and full texts; a scorer that fails is reported, not raised."""
-    parts = []
-    for view in ("findings", "impression", "full"):
-        p, r = f"pred_{view}", f"ref_{view}"
-        parts.append(df.agg(F.count("*").cast("double").alias("value")).select(F.lit(view).alias("view"), F.lit("n").alias("metric"), "value", F.lit("ok").alias("status")))
-        parts.append(rouge(df, p, r).select(F.lit(view), F.lit("rouge_l"), "rouge_l", F.lit("ok")))
-        parts.append(bleu(df, p, r).select(F.lit(view), F.lit("bleu"), "score", F.lit("ok")))
+    """(view, metric, value, status) over findings, impressions and full texts; a scorer that fails is reported, not raised.
+
+    All texts' metrics come from one scan. Where there are annotations (pred_ann_<view>, ref_ann_<view>), the F1 of entities and
+    their detail are among them. Scorers take df and give one value.
+    """
+    counts = df.select("*", *[_bleu_counts(f"pred_{v}", f"ref_{v}").alias(f"_b_{v}") for v in VIEWS], *[rouge_scores(F.col(f"pred_{v}"), F.col(f"ref_{v}")).alias(f"_r_{v}") for v in VIEWS])
+    sums = counts.agg(F.count("*").alias("_n"), *[c for v in VIEWS for c in (*_sums(f"_b_{v}"), *(safe_mean(F.col(f"_r_{v}.{k}")).alias(f"_r_{v}_{k}") for k in ROUGE))])
+    rows = []
+    for v in VIEWS:
+        bleu_score = _bleu_score(lambda k, v=v: F.col(f"_b_{v}_{k}"))["score"]
+        values = {"n": F.col("_n").cast("double"), **{k: F.col(f"_r_{v}_{k}") for k in ROUGE}, "bleu": bleu_score}
+        rows += [F.struct(F.lit(v).alias("view"), F.lit(k).alias("metric"), x.alias("value"), F.lit("ok").alias("status")) for k, x in values.items()]
+    parts = [sums.select(F.inline(F.array(*rows)))]
+    for v in VIEWS:
+        if {f"pred_ann_{v}", f"ref_ann_{v}"} <= set(df.columns):
+            for table in (entity_f1(df, f"pred_ann_{v}", f"ref_ann_{v}").drop("n"), overlap_detail(df, f"ref_ann_{v}", f"pred_ann_{v}").drop("n")):
+                parts.append(table.select(F.inline(F.array(*[F.struct(F.lit(v).alias("view"), F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"), F.lit("ok").alias("status")) for c in table.columns]))))
     for name, scorer in (scorers or {}).items():
         try:
             value = scorer(df).first()[0]
             status = "ok"
-        except Exception as e:  # noqa: BLE001  one metric's failure must not end the others
+        except SCORER_ERRORS as e:
             value, status = None, f"failed: {type(e).__name__}"
         parts.append(df.sparkSession.createDataFrame([("full", name, None if value is None else float(value), status)], "view string, metric string, value double, status string"))
     out = parts[0]
@@ -153,22 +198,46 @@ def suite(df: DataFrame, scorers: dict[str, Callable[[DataFrame], DataFrame]] |
     return out
 
 
-def bootstrap(values: DataFrame, column: str, n: int = 1000, alpha: float = 0.05, seed: int = 0, statistic: Callable[[Column], Column] = F.avg) -> DataFrame:
-    """(mean, ci_low, ci_high, n): the statistic of n resamples with replacement, repeatable; zeros without values.
+def labelled(df: DataFrame, command: Callable[[str, str], list[str]], column: str, labels: list[str]) -> DataFrame:
+    """Df with label columns from an outside program, run once a batch on files of the task's own temporary folder.
 
-    Draws are rows, joined to the values by position, so neither values nor resamples are gathered. values: column and a unique id.
+    command(input, output) gives the program's arguments; it reads a CSV with the column `text` and writes one with the labels,
+    a row for each row, in order. A program that fails, or gives another number of rows, raises RuntimeError.
     """
-    from pyspark.sql import Window
+    from pyspark.sql.types import DoubleType, StructField, StructType
+
+    out = StructType([*df.schema.fields, *[StructField(x, DoubleType()) for x in labels]])
 
-    ranked = values.select((F.row_number().over(Window.orderBy("id")) - 1).alias("at"), F.col(column).cast("double").alias("x"))
-    size = ranked.agg(F.count("*").alias("size"))
-    draws = values.sparkSession.range(n).withColumnRenamed("id", "rep").join(size).where("size > 0")
-    draws = draws.select("rep", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("k"))
-    draws = draws.select("rep", F.floor(det_rand((F.col("rep") * F.col("size") + F.col("k")) % PRIME, seed) * F.col("size")).cast("long").alias("at"))
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            with tempfile.TemporaryDirectory() as d:
+                f[column].fillna("").to_frame("text").to_csv(f"{d}/in.csv", index=False)
+                done = subprocess.run(command(f"{d}/in.csv", f"{d}/out.csv"), capture_output=True, text=True, check=False)
+                if done.returncode:
+                    raise RuntimeError(f"the labeler failed: {done.stderr[-500:]}")
+                got = pd.read_csv(f"{d}/out.csv")
+            if len(got) != len(f):
+                raise RuntimeError(f"the labeler gave {len(got)} rows for {len(f)}")
+            yield f.assign(**{x: got[x].astype("float64").to_numpy() for x in labels})
+
+    return df.mapInPandas(run, out)
+
+
+def bootstrap(values: DataFrame, column: str, n: int = 1000, alpha: float = 0.05, seed: int = 0, statistic: Callable[[Column], Column] = F.avg) -> DataFrame:
+    """(mean, ci_low, ci_high, n): the statistic of n resamples with replacement, repeatable; zeros without values.
+
+    Draws are rows of a range, dealt to all tasks and joined to the values by position; neither values nor resamples are
+    gathered, and no array holds a resample. values: column and a unique id.
+    """
+    ranked = cut(ordinal(values.select("id", F.col(column).cast("double").alias("x")), "id", name="at").select("at", "x"))
+    size = ranked.count()
+    draws = values.sparkSession.range(n * size)
+    at = F.floor(det_rand(F.col("id") % PRIME, seed) * size).cast("long")
+    draws = draws.select((F.floor(F.col("id") / F.lit(max(size, 1)))).alias("rep"), at.alias("at"))
     stats = draws.join(ranked, "at").groupBy("rep").agg(statistic(F.col("x")).alias("s"))
     q = stats.agg(F.percentile("s", F.lit(alpha / 2)).alias("low"), F.percentile("s", F.lit(1 - alpha / 2)).alias("high"))
     whole = ranked.agg(statistic(F.col("x")).alias("whole"), F.count("*").alias("n"))
     return whole.join(q).select(F.coalesce("whole", F.lit(0.0)).alias("mean"), F.coalesce("low", F.lit(0.0)).alias("ci_low"), F.coalesce("high", F.lit(0.0)).alias("ci_high"), "n")
 
 
-__all__ = ["unescaped", "predictions", "pathology", "pathology_summary", "length_outliers", "length_stats", "overlap_detail", "sanitised", "extra_positives", "bleu", "rouge", "suite", "bootstrap"]
+__all__ = ["unescaped", "predictions", "pathology", "pathology_summary", "length_outliers", "length_stats", "overlap_detail", "sanitised", "extra_positives", "bleu", "rouge", "entity_f1", "labelled", "suite", "bootstrap"]

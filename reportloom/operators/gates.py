@@ -19,12 +19,7 @@ SIDES = ("right", "left", "bilateral")
 DEGREES = ("mild", "moderate", "severe")
 SIDE_PATTERNS = {"left": r"\b(left|lt)\b", "right": r"\b(right|rt)\b", "bilateral": r"\b(bilateral|bilaterally|both|bibasilar|bibasal|biapical|bihilar)\b"}
 DEGREE_PATTERNS = {x: rf"\b{x}(?:ly)?\b" for x in ("mild", "moderate", "severe", "minimal", "marked")}
-ARTIFACTS = (
-    "```", r"<\s*unused\d+", r"<\|.*?\|>", "<start_of_image>",
-    r"\b(?:task|hard rules|input|output|rewrite|rewritten|paraphrase|rationale|explanation|hint)\s*:",
-    r"\b(?:case file|blockchain_tag|blocktext|tool_text|macro findings|endmacro)\b",
-    r"\b(?:patient|name|date of examination|study date|exam type|procedure|comparison)\s*:", r"\b(?:findings?)\s*:",
-)
+ARTIFACTS = r"```|<\s*unused\d+|<\|.*?\|>|<start_of_image>|\b(?:task|hard rules|input|output|rewrite|rewritten|paraphrase|rationale|explanation|hint)\s*:|\b(?:case file|blockchain_tag|blocktext|tool_text|macro findings|endmacro)\b|\b(?:patient|name|date of examination|study date|exam type|procedure|comparison)\s*:|\b(?:findings?)\s*:"
 NEW_TERMS = ("hemothorax", "hydropneumothorax")
 
 
@@ -124,7 +119,7 @@ def well_formed(src: Column, cand: Column, limits: Limits = PARAPHRASE) -> Colum
     """Not empty, one impression marker, no artifact, no grave term that is new, a like length."""
     s, c = strip(text(src)), strip(text(cand))
     markers = F.regexp_count(c, F.lit(rf"(?iU)\bimpression{WS}*:"))
-    artifact = c.rlike("(?isU)" + "|".join(ARTIFACTS).replace(r"\s", WS))
+    artifact = c.rlike("(?isU)" + ARTIFACTS.replace(r"\s", WS))
     new = F.lit(False)
     for term in NEW_TERMS:
         new = new | (c.rlike(rf"(?iU)\b{term}\b") & ~s.rlike(rf"(?iU)\b{term}\b"))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reportloom.functions.text import generation_form, text
 from reportloom.operators.gates import technical
-from reportloom.operators.select import best_passing, first_per, head, id_text, present, score, shuffled, truthy
+from reportloom.operators.select import best_passing, first_per, head, id_text, ordinal, present, score, shuffled, truthy
 
 # The words that tell a patient's sex.
 MARKED = r"(?iU)(?<![A-Za-z0-9])_+\s*([MF])\b"
@@ -82,7 +83,7 @@ def eligible(cohort: DataFrame, split: str = "train", need_sex: bool = True, sex
     rows = rows.where((F.col("prompt_tokens") <= max_prompt) & (F.col("impression_tokens") <= max_impression)).withColumn("source_key", id_text(F.col("study_id")))
     if seed is not None:
         return shuffled(rows, "study_id", seed).withColumnRenamed("shuffle_order", "source_order")
-    return rows.withColumn("source_order", F.row_number().over(Window.orderBy("subject_id", "study_id", "dicom_id")) - 1)
+    return ordinal(rows, "subject_id", "study_id", "dicom_id", name="source_order")
 
 
 def fixed_sources(manifest: DataFrame, need_sex: bool = True) -> DataFrame:
@@ -158,6 +159,18 @@ def selected(qc: DataFrame, source: DataFrame, target: int = -1) -> DataFrame:
     return head(best, target, "source_order", "study_id")
 
 
+def reselect(qc: DataFrame, source: DataFrame, min_sim: float = MIN_SIM, kind: str = "sigmoid_logit", target: int = -1, **options) -> DataFrame:
+    """The selection of a QC table judged anew by other limits, without a reason of selection."""
+    return selected(judged(qc, min_sim, kind, **options), source, target).drop("selection_reason")
+
+
+def rescore(candidates: DataFrame, source: DataFrame, score_of: Callable[[DataFrame], DataFrame], min_sim: float = MIN_SIM, kind: str = "sigmoid_logit", target: int = -1, **options) -> tuple[DataFrame, DataFrame]:
+    """(qc, selected) of candidates whose scores are computed anew by a plug-in that adds the columns sigmoid, logit and cosine; the kind says which is sim."""
+    scored = score_of(candidates.drop("sim"))
+    qc = judged(scored.withColumn("sim", F.col(chosen_score(kind))), min_sim, kind, **options)
+    return qc, selected(qc, source, target)
+
+
 def source_status(source: DataFrame, candidates: DataFrame, qc: DataFrame, chosen: DataFrame) -> DataFrame:
     """Accepted, rejected_no_candidate_passed or not_attempted, with counts, for each source study."""
     c = candidates.groupBy(id_text(F.col("study_id")).alias("study_id")).agg(F.count("*").alias("candidate_count"))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reportloom.session import cut
+
 PRIME = 2147483647
 
 
@@ -38,8 +40,14 @@ def present(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def ordinal(df: DataFrame, *order: Column | str, name: str = "ordinal") -> DataFrame:
-    """rows numbered from 0. All rows in one total order meet in one task; use it on manifests, not on corpora."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1)
+    """rows numbered from 0 in an order. They are sorted by range, and each partition counts from where those before it end; the sorted rows are kept, so that both passes see the same partitions."""
+    shift = F.lit(1 << 33)
+    placed = cut(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part, inner = F.floor(F.col("_at") / shift), F.col("_at") % shift
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row a partition
+    begin = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_part", begin.alias("_begin"))
+    return placed.withColumn("_part", part).join(F.broadcast(offsets), "_part").select(*df.columns, (F.col("_begin") + inner).alias(name))
 
 
 def first_per(df: DataFrame, key: str | list[str], *order: Column | str) -> DataFrame:

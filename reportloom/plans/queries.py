@@ -2,38 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reportloom.functions import sections, sets, similarity
 from reportloom.functions import text as T
 from reportloom.operators import augment, candidates, cohort, evaluate, gates, manifests, select
-from reportloom.plans import views
+from reportloom.plans import sql, views
+from reportloom.plans.registry import QUERIES, SQL, Query, query
 from reportloom.sources import io
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def _query(name: str, sql: str | None = None, **ctes: str) -> Callable[[Query], Query]:
-    def put(f: Query) -> Query:
-        _QUERIES[name] = f
-        if sql is not None:
-            _SQL[name] = (f"WITH {', '.join(f'{k} AS ({v})' for k, v in ctes.items())} " if ctes else "") + sql
-        return f
-
-    return put
-
-
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
 
 
 def _reports(spark: SparkSession, d: str) -> DataFrame:
@@ -52,30 +36,24 @@ _LINE = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 # ---------------------------------------------------------------- cohorts and relational operators
 
 
-@_query("p1_cohort_build", "SELECT study_id, subject_id, dicom_id, split, ViewPosition, ref_findings, ref_impression FROM (SELECT *, row_number() OVER (PARTITION BY study_id % 500 ORDER BY subject_id, study_id, dicom_id) AS n FROM r WHERE ViewPosition IN ('AP', 'PA')) WHERE n = 1 AND ref_findings <> '' AND ref_impression <> ''", **R)
-def _p1(spark: SparkSession, d: str) -> DataFrame:
-    """Three tables joined, frontal views, one row a study (here 500 studies), complete."""
-    return _cohort(_reports(spark, d).withColumn("group", F.col("study_id") % 500), "group")
-
-
 def _cohort(r: DataFrame, study: str) -> DataFrame:
     joined = r.drop("split", "ViewPosition").join(r.select("dicom_id", "split"), "dicom_id").join(r.select("dicom_id", "ViewPosition"), "dicom_id", "left")
     one = select.first_per(joined.where(F.col("ViewPosition").isin(*cohort.FRONTAL)), study, "subject_id", "study_id", "dicom_id")
     return cohort.complete(one).select("study_id", "subject_id", "dicom_id", "split", "ViewPosition", "ref_findings", "ref_impression")
 
 
-@_query("p1_cohort_build_all", "SELECT study_id, subject_id, dicom_id, split, ViewPosition, ref_findings, ref_impression FROM (SELECT *, row_number() OVER (PARTITION BY study_id ORDER BY subject_id, study_id, dicom_id) AS n FROM r WHERE ViewPosition IN ('AP', 'PA')) WHERE n = 1 AND ref_findings <> '' AND ref_impression <> ''", **R)
-def _p1_all(spark: SparkSession, d: str) -> DataFrame:
-    """p1_cohort_build with one row for each study of the table."""
+@query("p1_cohort_build", "SELECT study_id, subject_id, dicom_id, split, ViewPosition, ref_findings, ref_impression FROM (SELECT *, row_number() OVER (PARTITION BY study_id ORDER BY subject_id, study_id, dicom_id) AS n FROM r WHERE ViewPosition IN ('AP', 'PA')) WHERE n = 1 AND ref_findings <> '' AND ref_impression <> ''", **R)
+def _p1(spark: SparkSession, d: str) -> DataFrame:
+    """Three tables joined, frontal views, one row a study, complete."""
     return _cohort(_reports(spark, d), "study_id")
 
 
-@_query("a16_bundle_summary", "SELECT s.split, count(r.study_id) AS n FROM (VALUES ('train', 'train'), ('valid', 'validate'), ('test', 'test')) s(split, name) LEFT JOIN r ON r.split = s.name AND ref_findings <> '' AND ref_impression <> '' GROUP BY s.split", **R)
+@query("a16_bundle_summary", "SELECT s.split, count(r.study_id) AS n FROM (VALUES ('train', 'train'), ('valid', 'validate'), ('test', 'test')) s(split, name) LEFT JOIN r ON r.split = s.name AND ref_findings <> '' AND ref_impression <> '' GROUP BY s.split", **R)
 def _a16(spark: SparkSession, d: str) -> DataFrame:
     return cohort.baseline(_reports(spark, d)).summary()
 
 
-@_query(
+@query(
     "f5_eligibility_funnel",
     "SELECT 0 AS step, 'all' AS name, count(*) AS n FROM r UNION ALL SELECT 1, 'train', count(*) FROM r WHERE split = 'train' UNION ALL SELECT 2, 'frontal', count(*) FROM r WHERE split = 'train' AND ViewPosition <> 'LATERAL' UNION ALL SELECT 3, 'complete', count(*) FROM r WHERE split = 'train' AND ViewPosition <> 'LATERAL' AND ref_findings <> '' AND ref_impression <> ''",
     **R,
@@ -84,25 +62,25 @@ def _f5(spark: SparkSession, d: str) -> DataFrame:
     return cohort.funnel(_reports(spark, d), ("train", F.col("split") == "train"), ("frontal", F.upper("ViewPosition").isin("AP", "PA")), ("complete", (F.col("ref_findings") != "") & (F.col("ref_impression") != "")))
 
 
-@_query("f9_ids_f10_truthy", "SELECT doc_id, CAST(doc_id AS VARCHAR) AS id, doc_id % 4 IN (0, 2) AS yes FROM documents")
+@query("f9_ids_f10_truthy", "SELECT doc_id, CAST(doc_id AS VARCHAR) AS id, doc_id % 4 IN (0, 2) AS yes FROM documents")
 def _f9(spark: SparkSession, d: str) -> DataFrame:
     t = spark.read.parquet(f"{d}/documents.parquet")
     word = F.element_at(F.array(F.lit(" YES "), F.lit("no"), F.lit("1"), F.lit(None)), (F.col("doc_id") % 4 + 1).cast("int"))
     return t.select("doc_id", select.id_text(F.concat(F.lit(" "), F.col("doc_id").cast("string"), F.lit(".0"))).alias("id"), select.truthy(word).alias("yes"))
 
 
-@_query("f6_token_budget", r"SELECT study_id, len(list_filter(string_split(ref_impression, ' '), lambda x: x <> '')) AS n FROM r WHERE len(list_filter(string_split(ref_impression, ' '), lambda x: x <> '')) <= 64", **R)
+@query("f6_token_budget", r"SELECT study_id, len(list_filter(string_split(ref_impression, ' '), lambda x: x <> '')) AS n FROM r WHERE len(list_filter(string_split(ref_impression, ' '), lambda x: x <> '')) <= 64", **R)
 def _f6(spark: SparkSession, d: str) -> DataFrame:
     r = _reports(spark, d).select("study_id", manifests.token_count(F.col("ref_impression")).cast("long").alias("n"))
     return r.where("n <= 64")
 
 
-@_query("w1_first_lineitem_per_order", "SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n FROM lineitem) WHERE n = 1")
+@query("w1_first_lineitem_per_order", "SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n FROM lineitem) WHERE n = 1")
 def _w1(spark: SparkSession, d: str) -> DataFrame:
     return select.first_per(spark.read.parquet(f"{d}/lineitem.parquet"), "l_orderkey", "l_linenumber", "l_partkey").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@_query("j1_j2_orders_customers", "SELECT n_name, count(*) AS orders, count(DISTINCT c_custkey) AS customers FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+@query("j1_j2_orders_customers", "SELECT n_name, count(*) AS orders, count(DISTINCT c_custkey) AS customers FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
 def _j1(spark: SparkSession, d: str) -> DataFrame:
     t = views.tables(spark, d, "orders", "customer", "nation")
     c = t["customer"].join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "n_name")
@@ -113,22 +91,22 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
     return views.view(spark, d, views.CANDIDATES)
 
 
-@_query("w2_best_candidates", "SELECT ex_id, cand_id, msl_sim FROM (SELECT *, row_number() OVER (PARTITION BY ex_id ORDER BY msl_sim DESC NULLS LAST, cand_id) AS n FROM c WHERE keep_ok) WHERE n = 1", **C)
+@query("w2_best_candidates", "SELECT ex_id, cand_id, msl_sim FROM (SELECT *, row_number() OVER (PARTITION BY ex_id ORDER BY msl_sim DESC NULLS LAST, cand_id) AS n FROM c WHERE keep_ok) WHERE n = 1", **C)
 def _w2(spark: SparkSession, d: str) -> DataFrame:
     return select.best_candidates(_candidates(spark, d)).select("ex_id", "cand_id", "msl_sim")
 
 
-@_query("w3_best_passing", "SELECT study_id, candidate_idx, sim FROM (SELECT *, row_number() OVER (PARTITION BY study_id ORDER BY coalesce(sim, -1) DESC, candidate_idx) AS n FROM q WHERE technical_ok) WHERE n = 1", **Q)
+@query("w3_best_passing", "SELECT study_id, candidate_idx, sim FROM (SELECT *, row_number() OVER (PARTITION BY study_id ORDER BY coalesce(sim, -1) DESC, candidate_idx) AS n FROM q WHERE technical_ok) WHERE n = 1", **Q)
 def _w3(spark: SparkSession, d: str) -> DataFrame:
     return select.best_passing(views.view(spark, d, views.QC), passed="technical_ok").select("study_id", "candidate_idx", "sim")
 
 
-@_query("w4_first_accepted", "SELECT row_id, study_id FROM q WHERE technical_ok ORDER BY study_id, candidate_idx LIMIT 100", **Q)
+@query("w4_first_accepted", "SELECT row_id, study_id FROM q WHERE technical_ok ORDER BY study_id, candidate_idx LIMIT 100", **Q)
 def _w4(spark: SparkSession, d: str) -> DataFrame:
     return select.first_accepted(views.view(spark, d, views.QC), 100, "technical_ok", "study_id", "candidate_idx").select("row_id", "study_id")
 
 
-@_query("w5_merge_shards", "SELECT study_id, cand_id FROM (SELECT *, row_number() OVER (PARTITION BY study_id ORDER BY 3 - cand_id % 4, cand_id) AS n FROM c) WHERE n = 1", **C)
+@query("w5_merge_shards", "SELECT study_id, cand_id FROM (SELECT *, row_number() OVER (PARTITION BY study_id ORDER BY 3 - cand_id % 4, cand_id) AS n FROM c) WHERE n = 1", **C)
 def _w5(spark: SparkSession, d: str) -> DataFrame:
     """Four shards, the last first."""
     c = _candidates(spark, d).select("study_id", "cand_id")
@@ -143,58 +121,51 @@ def _rand_sql(key: str, seed: int) -> str:
     return f"((({b} * {b}) + 48271) % 2147483647) / 2147483647.0::DOUBLE"
 
 
-@_query("l4_sample", f"SELECT doc_id FROM documents ORDER BY {_rand_sql('doc_id', 7)}, doc_id LIMIT 50")
+@query("l4_sample", f"SELECT doc_id FROM documents ORDER BY {_rand_sql('doc_id', 7)}, doc_id LIMIT 50")
 def _l4(spark: SparkSession, d: str) -> DataFrame:
     return select.sample(spark.read.parquet(f"{d}/documents.parquet").select("doc_id"), 50, "doc_id", 7)
 
 
-@_query("l5_shuffle_l6_shards", f"SELECT doc_id, row_number() OVER (ORDER BY {_rand_sql('doc_id', 3)}, doc_id) - 1 AS shuffle_order, CAST(CAST(floor({_rand_sql('doc_id', 0)} * 2147483647) AS BIGINT) % 4 AS INTEGER) AS shard_id FROM documents")
+@query("l5_shuffle_l6_shards", f"SELECT doc_id, row_number() OVER (ORDER BY {_rand_sql('doc_id', 3)}, doc_id) - 1 AS shuffle_order, CAST(CAST(floor({_rand_sql('doc_id', 0)} * 2147483647) AS BIGINT) % 4 AS INTEGER) AS shard_id FROM documents")
 def _l5(spark: SparkSession, d: str) -> DataFrame:
     return select.with_shard(select.shuffled(spark.read.parquet(f"{d}/documents.parquet").select("doc_id"), "doc_id", 3), 4, "doc_id")
 
 
-@_query("j4_by_id_list", "SELECT doc_id, doc_id AS rank, lang FROM documents WHERE doc_id % 9 = 0")
+@query("j4_by_id_list", "SELECT doc_id, doc_id AS rank, lang FROM documents WHERE doc_id % 9 = 0")
 def _j4(spark: SparkSession, d: str) -> DataFrame:
     t = spark.read.parquet(f"{d}/documents.parquet")
     return select.by_id_list(t.select("doc_id", "lang"), t.where("doc_id % 9 = 0").select("doc_id", F.col("doc_id").alias("rank")), "doc_id").select("doc_id", "rank", "lang")
 
 
-@_query("j6_matches_source", "SELECT true AS same, false AS other")
-def _j6(spark: SparkSession, d: str) -> DataFrame:
-    r = _reports(spark, d).select("study_id", "ref_findings")
-    other = r.withColumn("ref_findings", F.concat("ref_findings", F.lit("!")))
-    return spark.createDataFrame([(select.matches_source(r, r, ["ref_findings"]), select.matches_source(other, r, ["ref_findings"]))], "same boolean, other boolean")
-
-
-@_query("j7_not_done", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("j7_not_done", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def _j7(spark: SparkSession, d: str) -> DataFrame:
     t = views.tables(spark, d, "documents", "labels")
     return select.not_done(t["documents"].select("doc_id"), t["labels"], "doc_id")
 
 
-@_query("j10_semi_join_labels", "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+@query("j10_semi_join_labels", "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def _j10(spark: SparkSession, d: str) -> DataFrame:
     t = views.tables(spark, d, "documents", "labels")
     return t["documents"].select("doc_id", "lang").join(t["labels"].where("quality = 1"), "doc_id", "left_semi")
 
 
-@_query("a4_value_counts", "SELECT reason, count(*) AS n FROM c GROUP BY reason", **C)
+@query("a4_value_counts", "SELECT reason, count(*) AS n FROM c GROUP BY reason", **C)
 def _a4(spark: SparkSession, d: str) -> DataFrame:
     """A1, A4: counts with a bucket for null."""
     return _candidates(spark, d).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@_query("a2_a3_a5_per_key", "SELECT ex_id, count(*) FILTER (keep_ok) AS passed, max(msl_sim) AS best, count(DISTINCT reason) AS reasons FROM c GROUP BY ex_id", **C)
+@query("a2_a3_a5_per_key", "SELECT ex_id, count(*) FILTER (keep_ok) AS passed, max(msl_sim) AS best, count(DISTINCT reason) AS reasons FROM c GROUP BY ex_id", **C)
 def _a2(spark: SparkSession, d: str) -> DataFrame:
     return _candidates(spark, d).groupBy("ex_id").agg(F.count_if("keep_ok").alias("passed"), F.max(select.score(F.col("msl_sim"))).alias("best"), F.count_distinct("reason").alias("reasons"))
 
 
-@_query("a6_reject_reasons", "SELECT reason, count(*) AS n FROM c WHERE reason IS NOT NULL GROUP BY reason ORDER BY n DESC, reason LIMIT 20", **C)
+@query("a6_reject_reasons", "SELECT reason, count(*) AS n FROM c WHERE reason IS NOT NULL GROUP BY reason ORDER BY n DESC, reason LIMIT 20", **C)
 def _a6(spark: SparkSession, d: str) -> DataFrame:
     return augment.reject_reasons(_candidates(spark, d).where("reason IS NOT NULL"))
 
 
-@_query("a7_alternatives", f"SELECT study_key, string_agg(t, '|' ORDER BY o, t) AS alts, count(*) AS n FROM (SELECT CAST(study_id AS VARCHAR) AS study_key, {_LINE.format('text')} AS t, min(cand_id) AS o FROM c GROUP BY 1, 2) WHERE t <> '' GROUP BY study_key", **C)
+@query("a7_alternatives", f"SELECT study_key, string_agg(t, '|' ORDER BY o, t) AS alts, count(*) AS n FROM (SELECT CAST(study_id AS VARCHAR) AS study_key, {_LINE.format('text')} AS t, min(cand_id) AS o FROM c GROUP BY 1, 2) WHERE t <> '' GROUP BY study_key", **C)
 def _a7(spark: SparkSession, d: str) -> DataFrame:
     m = augment.alternatives(_candidates(spark, d), "study_id", "text", "cand_id")
     return m.select("study_key", F.array_join("alts", "|").alias("alts"), F.size("alts").cast("long").alias("n"))
@@ -203,7 +174,7 @@ def _a7(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- text
 
 
-@_query("t1_one_line", f"SELECT doc_id, {_LINE.format('text')} AS t1, {_LINE.format('text')} AS t7 FROM documents")
+@query("t1_one_line", f"SELECT doc_id, {_LINE.format('text')} AS t1, {_LINE.format('text')} AS t7 FROM documents")
 def _t1(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", T.one_line("text").alias("t1"), T.generation_form("text").alias("t7"))
 
@@ -211,49 +182,28 @@ def _t1(spark: SparkSession, d: str) -> DataFrame:
 _KEEP = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim({0}, chr(9) || chr(10) || chr(13) || ' '), '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n\n\n+', chr(10) || chr(10), 'g'), '[\x{{200b}}-\x{{200d}}\x{{feff}}]', '', 'g'), chr(9) || chr(10) || chr(13) || ' ')"
 
 
-@_query("t2_keep_newlines", f"SELECT doc_id, {_KEEP.format('text')} AS t2, {_LINE.format('text')} AS t3, {_LINE.format('text')} AS t4, regexp_replace({_KEEP.format('text')}, '\\n\\n+', chr(10), 'g') AS t18 FROM documents")
+@query("t2_keep_newlines", f"SELECT doc_id, {_KEEP.format('text')} AS t2, {_LINE.format('text')} AS t3, {_LINE.format('text')} AS t4, regexp_replace({_KEEP.format('text')}, '\\n\\n+', chr(10), 'g') AS t18 FROM documents")
 def _t2(spark: SparkSession, d: str) -> DataFrame:
     t = spark.read.parquet(f"{d}/documents.parquet")
     return t.select("doc_id", T.keep_newlines("text").alias("t2"), T.norm_one_line("text").alias("t3"), T.filter_form("text").alias("t4"), T.augmented_target("text").alias("t18"))
 
 
-@_query("t5_t6_literal_and_punctuation", f"SELECT doc_id, {_LINE.format('text')} || ' a b' AS t5, {_LINE.format('text')} || ':.,' AS t6 FROM documents")
+@query("t5_t6_literal_and_punctuation", f"SELECT doc_id, {_LINE.format('text')} || ' a b' AS t5, {_LINE.format('text')} || ':.,' AS t6 FROM documents")
 def _t5(spark: SparkSession, d: str) -> DataFrame:
     t = spark.read.parquet(f"{d}/documents.parquet").withColumn("x", T.one_line("text"))
     return t.select("doc_id", T.literal_one_line(F.concat("x", F.lit("\\na\\rb"))).alias("t5"), T.compact_lines(F.concat("x", F.lit("；：。，"))).alias("t6"))
 
 
-@_query("t10_bullets_t13", "SELECT doc_id, true AS listed, 3 AS items, '- a' || chr(10) || '- b.c' AS listed_again, 'a. b.c.' AS paragraph FROM documents")
-def _t10(spark: SparkSession, d: str) -> DataFrame:
-    t = spark.read.parquet(f"{d}/documents.parquet").select("doc_id")
-    listed = F.lit("- one\n 2) two.\n• three")
-    return t.select("doc_id", T.is_bulleted(listed).alias("listed"), F.size(T.bullet_items(listed)).alias("items"), T.paragraph_to_bullets(F.lit("a.\nb.c.")).alias("listed_again"), T.bullets_to_paragraph(F.lit("* a\n* b.c")).alias("paragraph"))
-
-
-@_query("t11_sentences_t12_t14_t15")
-def _t11(spark: SparkSession, d: str) -> DataFrame:
-    """Sentences need look-around, which the checking engine lacks; tests compare them with Python."""
-    s = spark.read.parquet(f"{d}/documents.parquet").withColumn("s", T.sentences("text"))
-    return s.select("doc_id", F.size("s").alias("n"), *[T.join_sentences(F.col("s"), k).alias(f"joined{k}") for k in range(4)], T.can_shuffle(F.col("s")).alias("can_shuffle"), F.size(T.merge_short(F.col("s"))).alias("n_merged"))
-
-
-@_query("t16_structural_changes")
-def _t16(spark: SparkSession, d: str) -> DataFrame:
-    r = _reports(spark, d).select("study_id", F.col("ref_findings").alias("findings"), F.col("ref_impression").alias("impression"))
-    return augment.change_attempts(r, 2).select("study_id", F.col("attempts")[0].af.alias("first"), F.col("attempts")[1].ai.alias("second"))
-
-
-@_query("p4_structural_bank")
-def _p4(spark: SparkSession, d: str) -> DataFrame:
-    return augment.structural_bank(_reports(spark, d))[0]
-
-
-@_query("t20_sectioned_target", f"SELECT study_id, CASE WHEN i = '' THEN f WHEN f = '' THEN 'impression: ' || i ELSE f || ' impression: ' || i END AS t20 FROM (SELECT study_id, {_LINE.format('ref_findings')} AS f, {_LINE.format('ref_impression')} AS i FROM r)", **R)
+@query(
+    "t20_sectioned_target",
+    f"SELECT study_id, CASE WHEN i = '' THEN f WHEN f = '' THEN b ELSE {sql.strip(f"f || CASE WHEN {sql.breaks('f')} THEN chr(10) ELSE ' ' END || b")} END AS t20 FROM (SELECT *, CASE WHEN {sql.breaks('i')} THEN 'impression:' || chr(10) ELSE 'impression: ' END || i AS b FROM (SELECT study_id, {sql.augmented('ref_findings')} AS f, {sql.augmented('ref_impression')} AS i FROM r))",
+    **R,
+)
 def _t20(spark: SparkSession, d: str) -> DataFrame:
     return _reports(spark, d).select("study_id", T.sectioned_target("ref_findings", "ref_impression").alias("t20"))
 
 
-@_query(
+@query(
     "t21_prompt_t22_target",
     f"SELECT study_id, CASE WHEN indication = '' THEN '<start_of_image> findings:' ELSE '<start_of_image> ' || {_LINE.format('indication')} || ' findings:' END AS prompt, trim(CASE WHEN i = '' THEN f ELSE f || ' impression: ' || i END) || ' END_REPORT' AS target, f || '</s>' AS findings_only FROM (SELECT *, {_LINE.format('ref_findings')} AS f, {_LINE.format('ref_impression')} AS i FROM r)",
     **R,
@@ -262,75 +212,38 @@ def _t21(spark: SparkSession, d: str) -> DataFrame:
     return _reports(spark, d).select("study_id", T.prompt("indication").alias("prompt"), T.target("ref_findings", "ref_impression").alias("target"), T.target("ref_findings", "ref_impression", "findings only", "</s>").alias("findings_only"))
 
 
-@_query("t8_sections")
-def _t8(spark: SparkSession, d: str) -> DataFrame:
-    """Reports with headers put together from two lines of a text."""
-    r = _reports(spark, d).withColumn("report", F.concat(F.lit("FINAL REPORT\nINDICATION: "), "indication", F.lit("\nFINDINGS:\n"), "ref_findings", F.lit("\nIMPRESSION: "), "ref_impression", F.lit("\n")))
-    s = sections.sections("report")
-    return r.select("study_id", *[v.alias(k) for k, v in s.items()])
-
-
-@_query(
-    "t25_parse_prediction",
-    r"SELECT study_id, CASE WHEN pos = 0 THEN t ELSE trim(substr(t, 1, pos - 1)) END AS findings, CASE WHEN pos = 0 THEN '' ELSE trim(regexp_replace(substr(t, pos), '^impression\s*:\s*', '', 'i')) END AS impression FROM (SELECT study_id, t, CASE WHEN regexp_matches(t, '\bimpression\s*:', 'i') THEN length(regexp_extract(t, '^(.*?)\bimpression\s*:', 1, 'is')) + 1 ELSE 0 END AS pos FROM (SELECT study_id, regexp_replace(trim(raw_pred), '^[\s/\\|]+', '') AS t FROM g))",
-    **G,
-)
-def _t25(spark: SparkSession, d: str) -> DataFrame:
-    f, i = sections.split_prediction("raw_pred")
-    return views.view(spark, d, views.PREDICTIONS).select("study_id", f.alias("findings"), i.alias("impression"))
-
-
-@_query("t27_parse_two_lines", f"SELECT study_id, CASE WHEN ok THEN f ELSE '' END AS findings, CASE WHEN ok THEN i ELSE '' END AS impression FROM (SELECT *, length(f) >= 3 AND length(i) >= 3 AS ok FROM (SELECT study_id, {_LINE.format('ref_findings')} AS f, coalesce(nullif({_LINE.format('ref_impression')}, ''), 'more') AS i FROM r))", **R)
+@query("t27_parse_two_lines", f"SELECT study_id, CASE WHEN ok THEN f ELSE '' END AS findings, CASE WHEN ok THEN i ELSE '' END AS impression FROM (SELECT *, length(f) >= 3 AND length(i) >= 3 AS ok FROM (SELECT study_id, {_LINE.format('ref_findings')} AS f, coalesce(nullif({_LINE.format('ref_impression')}, ''), 'more') AS i FROM r))", **R)
 def _t27(spark: SparkSession, d: str) -> DataFrame:
     answer = F.concat(F.lit("Sure. Findings - "), "ref_findings", F.lit("\nIMPRESSION - FINAL; "), "ref_impression", F.lit("\nmore"))
     f, i = sections.parse_two_lines(answer)
     return _reports(spark, d).select("study_id", f.alias("findings"), i.alias("impression"))
 
 
-@_query("t29_impression_of", f"SELECT study_id, trim(ref_impression, chr(9) || chr(10) || chr(13) || ' ') AS t29, {_LINE.format(chr(39) + 'Impression- ' + chr(39) + ' || ref_impression')} AS t30 FROM r", **R)
+@query("t29_impression_of", f"SELECT study_id, {sql.strip('ref_impression')} AS t29, {_LINE.format(chr(39) + 'Impression- ' + chr(39) + ' || ref_impression')} AS t30 FROM r", **R)
 def _t29(spark: SparkSession, d: str) -> DataFrame:
     full = F.concat(F.lit("x. Impression- "), "ref_impression", F.lit(" Findings: y"))
     return _reports(spark, d).select("study_id", sections.impression_of(full).alias("t29"), sections.embedding_text(F.concat(F.lit("Impression- "), "ref_impression")).alias("t30"))
 
 
-@_query("t31_t33_scorer_forms", f"SELECT study_id, {_LINE.format('replace(ref_findings, chr(59), ' + chr(39) + '. ' + chr(39) + ')')} AS t31, {_LINE.format('ref_findings')} || '.' AS t33 FROM r", **R)
-def _t31(spark: SparkSession, d: str) -> DataFrame:
-    return _reports(spark, d).select("study_id", T.entity_form(F.concat(F.lit("- "), "ref_findings")).alias("t31"), T.unescaped(F.concat("ref_findings", F.lit("\\."))).alias("t33"))
-
-
-@_query("t32_scorer_sentences")
-def _t32(spark: SparkSession, d: str) -> DataFrame:
-    return _reports(spark, d).select("study_id", T.scorer_form("ref_findings").alias("t32"))
-
-
-@_query("t34_t35_tokens", "SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, ' '), lambda x: regexp_replace(lower(x), '[^a-z0-9]+', '', 'g')), lambda x: x <> ''), ' ') AS t34, len(regexp_extract_all(lower(text), '[A-Za-z0-9]+|[^\\\\sA-Za-z0-9]')) AS n35, len(list_distinct(regexp_extract_all(lower(text), '[A-Za-z0-9]+|[^\\\\sA-Za-z0-9]'))) AS d35 FROM documents")
+@query("t34_t35_tokens", "SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, ' '), lambda x: regexp_replace(lower(x), '[^a-z0-9]+', '', 'g')), lambda x: x <> ''), ' ') AS t34, len(regexp_extract_all(lower(text), '[A-Za-z0-9]+|[^\\\\sA-Za-z0-9]')) AS n35, len(list_distinct(regexp_extract_all(lower(text), '[A-Za-z0-9]+|[^\\\\sA-Za-z0-9]'))) AS d35 FROM documents")
 def _t34(spark: SparkSession, d: str) -> DataFrame:
     t = spark.read.parquet(f"{d}/documents.parquet").withColumn("t", T.tokens("text"))
     return t.select("doc_id", F.array_join(T.clean_tokens(F.split("text", " ")), " ").alias("t34"), F.size("t").cast("long").alias("n35"), F.size(F.array_distinct("t")).cast("long").alias("d35"))
 
 
-@_query("t36_ngrams", "SELECT doc_id, count(DISTINCT g) AS n FROM (SELECT doc_id, w || chr(1) || lead(w, 1) OVER o || chr(1) || lead(w, 2) OVER o || chr(1) || lead(w, 3) OVER o AS g FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w, unnest(range(len(string_split(text, ' ')))) AS i FROM documents) WINDOW o AS (PARTITION BY doc_id ORDER BY i)) WHERE g IS NOT NULL GROUP BY doc_id")
+@query("t36_ngrams", "SELECT doc_id, count(DISTINCT g) AS n FROM (SELECT doc_id, w || chr(1) || lead(w, 1) OVER o || chr(1) || lead(w, 2) OVER o || chr(1) || lead(w, 3) OVER o AS g FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w, unnest(range(len(string_split(text, ' ')))) AS i FROM documents) WINDOW o AS (PARTITION BY doc_id ORDER BY i)) WHERE g IS NOT NULL GROUP BY doc_id")
 def _t36(spark: SparkSession, d: str) -> DataFrame:
     t = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.size(T.ngrams(F.split("text", " "), 4)).cast("long").alias("n"))
     return t.where("n > 0")
 
 
-@_query("t37_sequence_similarity")
+@query("t37_sequence_similarity")
 def _t37(spark: SparkSession, d: str) -> DataFrame:
     r = _reports(spark, d)
     return r.select("study_id", similarity.sequence_ratio(F.col("ref_findings"), F.col("ref_impression")).alias("ratio"))
 
 
-@_query(
-    "t38_patient_sex",
-    "SELECT study_id, CASE study_id % 5 WHEN 1 THEN CASE WHEN study_id % 2 = 0 THEN 'F' ELSE 'M' END WHEN 2 THEN 'F' WHEN 3 THEN 'M' ELSE 'unknown' END AS sex, CASE study_id % 5 WHEN 0 THEN 'not_found' WHEN 4 THEN 'conflict' ELSE 'ok' END AS status, CASE study_id % 5 WHEN 1 THEN CASE WHEN study_id % 2 = 0 THEN '___ F' ELSE '___ M' END WHEN 2 THEN 'woman' WHEN 3 THEN 'gentleman' WHEN 4 THEN 'indication=woman; indication=man' ELSE '' END AS evidence FROM r",
-    **R,
-)
-def _t38(spark: SparkSession, d: str) -> DataFrame:
-    return _reports(spark, d).withColumn("s", manifests.patient_sex({"indication": "indication"})).select("study_id", "s.sex", "s.status", "s.evidence")
-
-
-@_query(
+@query(
     "t39_image_prompt_t40_path",
     f"SELECT study_id, trim(CASE WHEN study_id % 2 = 0 THEN 'Adult female. ' ELSE 'Adult patient. ' END || CASE WHEN ViewPosition = 'AP' THEN 'AP' ELSE 'PA' END || ' frontal chest radiograph. ' || {_LINE.format('ref_impression')}) AS prompt, 'p' || substr(CAST(subject_id AS VARCHAR), 1, 2) || '/p' || subject_id || '/s' || study_id || '/cand_01_seed' || (133701 + 2 * study_id) || '.png' AS path FROM r WHERE ViewPosition IN ('AP', 'PA')",
     **R,
@@ -341,7 +254,7 @@ def _t39(spark: SparkSession, d: str) -> DataFrame:
     return r.select("study_id", manifests.image_prompt("ref_impression", F.col("ViewPosition"), F.when(F.col("study_id") % 2 == 0, "female")).alias("prompt"), manifests.candidate_path(F.col("subject_id"), F.col("study_id"), F.lit(1), seed).alias("path"))
 
 
-@_query("t45_artifact_name_s7_path", "SELECT study_id, trim(regexp_replace('..run ' || ref_impression, '[^A-Za-z0-9_.=-]+', '_', 'g'), '._') AS name, 'files/p' || substr(CAST(subject_id AS VARCHAR), 1, 2) || '/p' || subject_id || '/s' || study_id || '.txt' AS path FROM r", **R)
+@query("t45_artifact_name_s7_path", "SELECT study_id, trim(regexp_replace('..run ' || ref_impression, '[^A-Za-z0-9_.=-]+', '_', 'g'), '._') AS name, 'files/p' || substr(CAST(subject_id AS VARCHAR), 1, 2) || '/p' || subject_id || '/s' || study_id || '.txt' AS path FROM r", **R)
 def _t45(spark: SparkSession, d: str) -> DataFrame:
     return _reports(spark, d).select("study_id", T.artifact_name(F.concat(F.lit("..run "), "ref_impression")).alias("name"), io.report_path(F.col("subject_id"), F.col("study_id")).alias("path"))
 
@@ -349,7 +262,7 @@ def _t45(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- gates
 
 
-@_query("g1_same_words", "SELECT study_id, list_sort(list_distinct(regexp_extract_all(lower(src_full), '\\b(right|left|bilateral)\\b'))) = list_sort(list_distinct(regexp_extract_all(lower(cand_full), '\\b(right|left|bilateral)\\b'))) AND list_sort(list_distinct(regexp_extract_all(lower(src_full), '\\b(mild|moderate|severe)\\b'))) = list_sort(list_distinct(regexp_extract_all(lower(cand_full), '\\b(mild|moderate|severe)\\b'))) AS ok FROM p", **P)
+@query("g1_same_words", "SELECT study_id, list_sort(list_distinct(regexp_extract_all(lower(src_full), '\\b(right|left|bilateral)\\b'))) = list_sort(list_distinct(regexp_extract_all(lower(cand_full), '\\b(right|left|bilateral)\\b'))) AND list_sort(list_distinct(regexp_extract_all(lower(src_full), '\\b(mild|moderate|severe)\\b'))) = list_sort(list_distinct(regexp_extract_all(lower(cand_full), '\\b(mild|moderate|severe)\\b'))) AS ok FROM p", **P)
 def _g1(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).select("study_id", gates.same_words(F.col("src_full"), F.col("cand_full")).ok.alias("ok"))
 
@@ -364,7 +277,7 @@ def _has(text: str, words: str) -> str:
 _BOTH = "bilateral|bilaterally|both|bibasilar|bibasal|biapical|bihilar"
 
 
-@_query(
+@query(
     "g2_sides_kept",
     "SELECT study_id, NOT flip AS ok, CASE WHEN flip THEN 'laterality_mismatch' WHEN sev THEN 'severity_mismatch' WHEN lat THEN 'laterality_warning' ELSE 'ok' END AS reason FROM (SELECT *, (sl <> sr) AND NOT sb AND CASE WHEN sl THEN NOT cl OR cr ELSE NOT cr OR cl END AS flip, sl <> cl OR sr <> cr OR sb <> cb AS lat FROM x)",
     p=views.PAIRS,
@@ -376,12 +289,12 @@ def _g2(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).withColumn("g", gates.sides_kept(F.col("src_full"), F.col("cand_full"))).select("study_id", "g.ok", "g.reason")
 
 
-@_query("g3_ascii_only", "SELECT study_id, strlen(cand_full) = length(cand_full) AS ok, array_to_string(list_sort(list_distinct(regexp_extract_all(cand_full, '[^\\x00-\\x7F]')))[1:10], '') AS bad_chars FROM p", **P)
+@query("g3_ascii_only", "SELECT study_id, strlen(cand_full) = length(cand_full) AS ok, array_to_string(list_sort(list_distinct(regexp_extract_all(cand_full, '[^\\x00-\\x7F]')))[1:10], '') AS bad_chars FROM p", **P)
 def _g3(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).withColumn("g", gates.ascii_only(F.col("cand_full"))).select("study_id", "g.ok", "g.bad_chars")
 
 
-@_query("g4_changed_enough")
+@query("g4_changed_enough")
 def _g4(spark: SparkSession, d: str) -> DataFrame:
     p = similarity.with_sequence_ratio(_pairs(spark, d), "src_full", "cand_full", "ratio")
     return p.withColumn("g", gates.changed_enough(F.col("src_full"), F.col("cand_full"), F.col("ratio"))).select("study_id", "g.ok", "g.reason", "g.seq_ratio", "g.overlap4", "g.changed_frac")
@@ -390,7 +303,7 @@ def _g4(spark: SparkSession, d: str) -> DataFrame:
 _UNIGRAMS = "SELECT study_id, side, w, row_number() OVER (PARTITION BY study_id, side ORDER BY i) AS i FROM (SELECT study_id, 'a' AS side, unnest(a) AS w, unnest(range(len(a))) AS i FROM x UNION ALL SELECT study_id, 'b', unnest(b), unnest(range(len(b))) FROM x)"
 
 
-@_query(
+@query(
     "g4_overlap_and_changed",
     "SELECT p.study_id, round(coalesce(gg.i / gg.u, 0), 9) AS overlap4, round(1 - coalesce(ss.i, 0) / greatest(1, coalesce(ss.n, 0)), 9) AS changed_frac FROM p LEFT JOIN (SELECT study_id, count(*) FILTER (n = 2)::DOUBLE AS i, count(*) AS u FROM (SELECT study_id, g, count(DISTINCT side) AS n FROM y WHERE g IS NOT NULL GROUP BY ALL) GROUP BY study_id) gg USING (study_id) LEFT JOIN (SELECT study_id, count(*) FILTER (n = 2)::DOUBLE AS i, count(*) FILTER (a) AS n FROM (SELECT study_id, w, count(DISTINCT side) AS n, bool_or(side = 'a') AS a FROM z GROUP BY ALL) GROUP BY study_id) ss USING (study_id)",
     p=views.PAIRS,
@@ -403,46 +316,22 @@ def _g4b(spark: SparkSession, d: str) -> DataFrame:
     return p.select("study_id", F.round("g.overlap4", 9).alias("overlap4"), F.round("g.changed_frac", 9).alias("changed_frac"))
 
 
-_ARTIFACT = "|".join(gates.ARTIFACTS)
+_ARTIFACT = gates.ARTIFACTS
 
 
-@_query(
+@query(
     "g5_well_formed",
-    f"SELECT study_id, CASE WHEN c = '' THEN 'empty_candidate' WHEN m <> 1 THEN 'bad_impression_marker_count' WHEN regexp_matches(c, '{_ARTIFACT}', 'is') THEN 'artifact_or_nested_header' WHEN regexp_matches(lower(c), '\\bhemothorax\\b') AND NOT regexp_matches(lower(s), '\\bhemothorax\\b') THEN 'unsupported_new_term' WHEN ratio < 0.55 THEN 'too_short' WHEN ratio > 1.8 THEN 'too_long' ELSE 'ok' END AS reason FROM (SELECT *, len(regexp_extract_all(lower(c), '\\bimpression\\s*:')) AS m, length({_LINE.format('c')})::DOUBLE / greatest(1, length({_LINE.format('s')})) AS ratio FROM (SELECT study_id, trim(cand_full) AS c, trim(src_full) AS s FROM p))",
+    f"SELECT study_id, CASE WHEN c = '' THEN 'empty_candidate' WHEN m <> 1 THEN 'bad_impression_marker_count' WHEN regexp_matches(c, '{_ARTIFACT}', 'is') THEN 'artifact_or_nested_header' WHEN regexp_matches(lower(c), '\\bhemothorax\\b') AND NOT regexp_matches(lower(s), '\\bhemothorax\\b') THEN 'unsupported_new_term' WHEN ratio < 0.55 THEN 'too_short' WHEN ratio > 1.8 THEN 'too_long' ELSE 'ok' END AS reason FROM (SELECT *, len(regexp_extract_all(lower(c), '\\bimpression\\s*:')) AS m, length({_LINE.format('c')})::DOUBLE / greatest(1, length({_LINE.format('s')})) AS ratio FROM (SELECT study_id, {sql.strip('cand_full')} AS c, {sql.strip('src_full')} AS s FROM p))",
     **P,
 )
 def _g5(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).select("study_id", gates.well_formed(F.col("src_full"), F.col("cand_full")).reason.alias("reason"))
 
 
-def _stats(spark: SparkSession, d: str) -> DataFrame:
-    """Sets of words of an id's digits, as annotations with small differences."""
-    ann = lambda k: F.map_from_entries(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.struct(i.cast("string"), F.struct(F.array((F.col("doc_id") + i * k).cast("string")).alias("tokens"), F.lit("X").alias("label"), F.array(F.array(F.lit("at"), ((i + 1) % 5).cast("string"))).alias("relations")))))
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", ann(F.lit(1)).alias("ref_ann"), ann(F.col("doc_id") % 3).alias("hyp_ann"))
-
-
-@_query(
-    "g6_entities_kept_g15_score",
-    "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'ent_recall_low' WHEN 1 THEN 'ok' ELSE 'ent_recall_low' END AS reason, CASE doc_id % 3 WHEN 0 THEN -1 WHEN 1 THEN 1 ELSE 0 END AS sign, CASE doc_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 1.0 ELSE 0.5 END::DOUBLE AS ent_p, CASE doc_id % 3 WHEN 0 THEN 0.25 WHEN 1 THEN 1.0 ELSE 0.5 END::DOUBLE AS ent_r FROM documents",
-)
-def _g6(spark: SparkSession, d: str) -> DataFrame:
-    """Annotations that agree, lose or change entities."""
-    s = sets.pair_stats(F.col("ref_ann"), F.col("hyp_ann"))
-    t = _stats(spark, d).select("doc_id", *[v.alias(k) for k, v in s.items()])
-    x = {k: F.col(k) for k in s}
-    score = gates.candidate_score(x)
-    return t.select("doc_id", gates.entities_kept(x).reason.alias("reason"), F.when(score > 0, 1).when(F.col("ent_p") == 1, -1).otherwise(0).alias("sign"), "ent_p", "ent_r")
-
-
-@_query("a15_overlap_detail", "SELECT count(*) AS n, count(*) AS n_scored, 0 AS n_skipped, avg(CASE doc_id % 3 WHEN 2 THEN 0.5 ELSE 1.0 END::DOUBLE) AS entity_precision, avg(CASE doc_id % 3 WHEN 0 THEN 0.25 WHEN 1 THEN 1.0 ELSE 0.5 END::DOUBLE) AS entity_recall FROM documents")
-def _a15(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.overlap_detail(_stats(spark, d)).select("n", "n_scored", "n_skipped", "entity_precision", "entity_recall")
-
-
 _LABELS = "SELECT doc_id, [quality, toxic, CAST(doc_id % 2 AS INTEGER)] AS s, [CAST(doc_id % 3 = 0 AS INTEGER), toxic, 1] AS c FROM labels"
 
 
-@_query(
+@query(
     "g7_labels_kept_a13",
     "SELECT doc_id, e AS extra_pos, m AS miss_pos, e + m AS hamming, e <= 0 AND m <= 1 AND e + m <= 2 AS ok FROM (SELECT doc_id, CAST(list_sum(list_transform(list_zip(s, c), lambda x: CASE WHEN x[2] = 1 AND x[1] = 0 THEN 1 ELSE 0 END)) AS INTEGER) AS e, CAST(list_sum(list_transform(list_zip(s, c), lambda x: CASE WHEN x[2] = 0 AND x[1] = 1 THEN 1 ELSE 0 END)) AS INTEGER) AS m FROM l)",
     l=_LABELS,
@@ -453,7 +342,7 @@ def _g7(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/labels.parquet").withColumn("g", gates.labels_kept(src, cand)).select("doc_id", "g.extra_pos", "g.miss_pos", "g.hamming", "g.ok")
 
 
-@_query(
+@query(
     "g8_similar_m3",
     "SELECT a.vec_id, round(s, 6) AS sim, s BETWEEN 0.75 AND 0.985 AS ok FROM (SELECT x.vec_id, list_dot_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) / (sqrt(list_dot_product(x.embedding::DOUBLE[], x.embedding::DOUBLE[])) * sqrt(list_dot_product(y.embedding::DOUBLE[], y.embedding::DOUBLE[]))) AS s FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1) a",
 )
@@ -464,7 +353,7 @@ def _g8(spark: SparkSession, d: str) -> DataFrame:
     return s.select("vec_id", F.round("s", 6).alias("sim"), gates.similar(F.col("s")).ok.alias("ok"))
 
 
-@_query("g9_evaluate_candidates")
+@query("g9_evaluate_candidates")
 def _g9(spark: SparkSession, d: str) -> DataFrame:
     """Cheap gates on all rows, then label and similarity scorers on those that passed."""
     p = _pairs(spark, d).withColumn("row_id", F.col("study_id"))
@@ -474,13 +363,7 @@ def _g9(spark: SparkSession, d: str) -> DataFrame:
     return out.select("study_id", *[f"{n}_{k}" for n in ("quick", "lex", "ascii", "format", "chex", "rg", "msl") for k in ("ok", "reason")], "keep_ok")
 
 
-@_query("g10_reapply_gates")
-def _g10(spark: SparkSession, d: str) -> DataFrame:
-    p = _pairs(spark, d).withColumns({"lex_ok": F.col("study_id") % 2 == 0, "ascii_ok": F.when(F.col("study_id") % 3 > 0, True)})
-    return gates.reapply(p, enabled=frozenset({"quick", "format", "lex", "ascii"})).select("study_id", "quick_ok", "format_ok", "format_reason", "keep_ok")
-
-
-@_query(
+@query(
     "g11_technical_qc_m2",
     "SELECT vec_id, round(m, 9) AS mean, round(s, 9) AS std, round(p99 - p01, 9) AS range, CASE WHEN b >= 0.995 THEN 'almost_all_black' WHEN w >= 0.995 THEN 'almost_all_white' WHEN s < 0.01 THEN 'low_contrast_std' WHEN p99 - p01 < 0.05 THEN 'low_percentile_range' ELSE 'ok' END AS technical_reason FROM (SELECT vec_id, avg(p) AS m, stddev_pop(p) AS s, quantile_cont(p, 0.01) AS p01, quantile_cont(p, 0.99) AS p99, avg((p <= 0.02)::INTEGER) AS b, avg((p >= 0.98)::INTEGER) AS w FROM (SELECT vec_id, abs(unnest(embedding)::DOUBLE) * (CASE WHEN vec_id % 5 = 0 THEN 0.001 ELSE 1 END)::DOUBLE AS p FROM embeddings) GROUP BY vec_id)",
 )
@@ -494,92 +377,53 @@ def _g11(spark: SparkSession, d: str) -> DataFrame:
 _JUDGED = "SELECT *, coalesce(sim >= 0.0005, false) AS sim_ok FROM q"
 
 
-@_query("g12_f13_judged", "SELECT row_id, technical_ok AND sim_ok AS all_filters_pass, CASE WHEN technical_ok AND sim_ok THEN '' WHEN NOT technical_ok THEN technical_reason ELSE 'below_threshold' END AS reject_reason FROM j", q=views.QC, j=_JUDGED)
+@query("g12_f13_judged", "SELECT row_id, technical_ok AND sim_ok AS all_filters_pass, CASE WHEN technical_ok AND sim_ok THEN '' WHEN NOT technical_ok THEN technical_reason ELSE 'below_threshold' END AS reject_reason FROM j", q=views.QC, j=_JUDGED)
 def _g12(spark: SparkSession, d: str) -> DataFrame:
     return manifests.judged(views.view(spark, d, views.QC), 0.0005).select("row_id", "all_filters_pass", "reject_reason")
 
 
-def _synthetic(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    qc = manifests.judged(views.view(spark, d, views.QC), 0.0005)
-    source = _reports(spark, d).where("study_id < 200").withColumn("source_order", F.col("study_id"))
-    return source, qc, manifests.selected(qc, source, 60)
-
-
-_CHOSEN = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY study_id ORDER BY coalesce(sim, -1) DESC, candidate_idx) AS n FROM j WHERE technical_ok AND sim_ok) WHERE n = 1 AND study_id < 200 ORDER BY study_id LIMIT 60"
-
-
-@_query("p8_selected", "SELECT study_id, candidate_idx, sim, 'best_sim' AS selection_reason FROM s", q=views.QC, j=_JUDGED, s=_CHOSEN)
-def _p8(spark: SparkSession, d: str) -> DataFrame:
-    return _synthetic(spark, d)[2].select("study_id", "candidate_idx", "sim", "selection_reason")
-
-
-@_query(
-    "p11_source_status",
-    "SELECT CAST(r.study_id AS VARCHAR) AS study_id, CASE WHEN s.study_id IS NOT NULL THEN 'accepted' WHEN c.n > 0 THEN 'rejected_no_candidate_passed' ELSE 'not_attempted' END AS status, coalesce(c.n, 0) AS candidate_count, coalesce(c.passed, 0) AS passed_candidate_count, c.best AS best_sim, s.candidate_idx AS selected_candidate_idx, coalesce(s.image_path, '') AS selected_image_path FROM r LEFT JOIN s ON s.study_id = r.study_id LEFT JOIN (SELECT study_id, count(*) AS n, count(*) FILTER (technical_ok AND sim_ok) AS passed, max(sim) AS best FROM j GROUP BY study_id) c ON c.study_id = r.study_id WHERE r.study_id < 200",
-    r=views.REPORTS, q=views.QC, j=_JUDGED, s=_CHOSEN,
-)
-def _p11(spark: SparkSession, d: str) -> DataFrame:
-    return _status(*_synthetic(spark, d))
-
-
 def _status(source: DataFrame, qc: DataFrame, chosen: DataFrame) -> DataFrame:
     out = manifests.source_status(source, qc, qc, chosen)
     return out.select("study_id", "status", "candidate_count", "passed_candidate_count", "best_sim", "selected_candidate_idx", "selected_image_path")
 
 
-@_query(
-    "p10_training_manifests",
-    "SELECT CAST(r.study_id AS VARCHAR) AS study_id, r.split, 'real_dicom' AS image_source, NULL AS image_path FROM r JOIN s ON s.study_id = r.study_id UNION ALL SELECT CAST(r.study_id AS VARCHAR), r.split, 'synthetic_png', s.image_path FROM r JOIN s ON s.study_id = r.study_id",
-    r=views.REPORTS, q=views.QC, j=_JUDGED, s=_CHOSEN,
-)
-def _p10(spark: SparkSession, d: str) -> DataFrame:
-    return _training(*_synthetic(spark, d))
-
-
 def _training(source: DataFrame, _: DataFrame, chosen: DataFrame) -> DataFrame:
     m = manifests.training_manifests(source, chosen)
     cols = ["study_id", "split", "image_source"]
     return m["train_real_baseline"].select(*cols, F.lit(None).cast("string").alias("image_path")).union(m["train_synthetic_pretrain"].select(*cols, "image_path"))
 
 
-def _synthetic_all(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """As _synthetic, over every source study, with candidates for a number of studies that grows and no target."""
-    qc = manifests.judged(views.view(spark, d, views.QC_ALL), 0.0005)
+def _synthetic(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    qc = manifests.judged(views.view(spark, d, views.QC), 0.0005)
     source = _reports(spark, d).withColumn("source_order", F.col("study_id"))
     return source, qc, manifests.selected(qc, source)
 
 
-_CHOSEN_ALL = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY study_id ORDER BY coalesce(sim, -1) DESC, candidate_idx) AS n FROM j WHERE technical_ok AND sim_ok) WHERE n = 1 AND study_id IN (SELECT study_id FROM r)"
-_ALL = {"r": views.REPORTS, "q": views.QC_ALL, "j": _JUDGED, "s": _CHOSEN_ALL}
+_CHOSEN = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY study_id ORDER BY coalesce(sim, -1) DESC, candidate_idx) AS n FROM j WHERE technical_ok AND sim_ok) WHERE n = 1 AND study_id IN (SELECT study_id FROM r)"
+_SYNTHETIC = {"r": views.REPORTS, "q": views.QC, "j": _JUDGED, "s": _CHOSEN}
 
 
-@_query("p8_selected_all", "SELECT study_id, candidate_idx, sim, 'best_sim' AS selection_reason FROM s", **_ALL)
-def _p8_all(spark: SparkSession, d: str) -> DataFrame:
-    return _synthetic_all(spark, d)[2].select("study_id", "candidate_idx", "sim", "selection_reason")
+@query("p8_selected", "SELECT study_id, candidate_idx, sim, 'best_sim' AS selection_reason FROM s", **_SYNTHETIC)
+def _p8(spark: SparkSession, d: str) -> DataFrame:
+    return _synthetic(spark, d)[2].select("study_id", "candidate_idx", "sim", "selection_reason")
 
 
-@_query(
-    "p11_source_status_all",
+@query(
+    "p11_source_status",
     "SELECT CAST(r.study_id AS VARCHAR) AS study_id, CASE WHEN s.study_id IS NOT NULL THEN 'accepted' WHEN c.n > 0 THEN 'rejected_no_candidate_passed' ELSE 'not_attempted' END AS status, coalesce(c.n, 0) AS candidate_count, coalesce(c.passed, 0) AS passed_candidate_count, c.best AS best_sim, s.candidate_idx AS selected_candidate_idx, coalesce(s.image_path, '') AS selected_image_path FROM r LEFT JOIN s ON s.study_id = r.study_id LEFT JOIN (SELECT study_id, count(*) AS n, count(*) FILTER (technical_ok AND sim_ok) AS passed, max(sim) AS best FROM j GROUP BY study_id) c ON c.study_id = r.study_id",
-    **_ALL,
+    **_SYNTHETIC,
 )
-def _p11_all(spark: SparkSession, d: str) -> DataFrame:
-    return _status(*_synthetic_all(spark, d))
+def _p11(spark: SparkSession, d: str) -> DataFrame:
+    return _status(*_synthetic(spark, d))
 
 
-@_query(
-    "p10_training_manifests_all",
+@query(
+    "p10_training_manifests",
     "SELECT CAST(r.study_id AS VARCHAR) AS study_id, r.split, 'real_dicom' AS image_source, NULL AS image_path FROM r JOIN s ON s.study_id = r.study_id UNION ALL SELECT CAST(r.study_id AS VARCHAR), r.split, 'synthetic_png', s.image_path FROM r JOIN s ON s.study_id = r.study_id",
-    **_ALL,
+    **_SYNTHETIC,
 )
-def _p10_all(spark: SparkSession, d: str) -> DataFrame:
-    return _training(*_synthetic_all(spark, d))
-
-
-@_query("p7_eligible_sources")
-def _p7(spark: SparkSession, d: str) -> DataFrame:
-    out = manifests.eligible(_reports(spark, d))
-    return out.select("study_id", "patient_sex", "patient_sex_status", "prompt", "prompt_tokens", "source_order")
+def _p10(spark: SparkSession, d: str) -> DataFrame:
+    return _training(*_synthetic(spark, d))
 
 
 # ---------------------------------------------------------------- evaluation
@@ -589,52 +433,52 @@ def _predictions(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.predictions(views.view(spark, d, views.PREDICTIONS))
 
 
-@_query("e1_predictions", "SELECT study_id, trim(raw_pred) AS pred_full, trim(ref_findings || ' ' || ref_impression) AS ref_full FROM g", **G)
+@query("e1_predictions", "SELECT study_id, " + sql.strip("raw_pred") + " AS pred_full, " + sql.strip("ref_findings || ' ' || ref_impression") + " AS ref_full FROM g", **G)
 def _e1(spark: SparkSession, d: str) -> DataFrame:
     return _predictions(spark, d).select("study_id", "pred_full", "ref_full")
 
 
-@_query("l2_length_outliers", "SELECT study_id, p AS pred_len, r AS ref_len, abs(p - r) AS len_abs_delta FROM (SELECT study_id, length(trim(raw_pred)) AS p, length(trim(ref_findings || ' ' || ref_impression)) AS r FROM g) ORDER BY len_abs_delta DESC, study_id LIMIT 20", **G)
+@query("l2_length_outliers", f"SELECT study_id, p AS pred_len, r AS ref_len, abs(p - r) AS len_abs_delta FROM (SELECT study_id, length({sql.strip('raw_pred')}) AS p, length({sql.strip("ref_findings || ' ' || ref_impression")}) AS r FROM g) ORDER BY len_abs_delta DESC, study_id LIMIT 20", **G)
 def _l2(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.length_outliers(_predictions(spark, d)).select("study_id", *[F.col(c).cast("long").alias(c) for c in ("pred_len", "ref_len", "len_abs_delta")])
 
 
-_FLAGGED = r"""SELECT CAST(study_id AS VARCHAR) AS study_id, length(raw) AS raw_chars, len(regexp_extract_all(raw, '[\p{L}\p{M}\p{N}_]+')) AS raw_words,
+_FLAGGED = rf"""SELECT CAST(study_id AS VARCHAR) AS study_id, length(raw) AS raw_chars, len(regexp_extract_all(raw, '[\p{{L}}\p{{M}}\p{{N}}_]+')) AS raw_words,
   regexp_matches(raw, '^\s*and\b', 'i') AS raw_starts_and, regexp_matches(raw, '^\s*/') AS raw_starts_slash, len(regexp_extract_all(lower(raw), '\bimpression\s*:')) AS impression_marker_count,
   len(regexp_extract_all(lower(raw), 'at\s+\d\d?:\d\d\s*(a\.?m\.?|p\.?m\.?)?')) AS time_like_count,
-  coalesce(list_max(list_transform(regexp_extract_all(raw, '_{10,}|-{10,}'), lambda x: length(x))), 0) AS max_punct_run_len FROM (SELECT study_id, trim(raw_pred) AS raw FROM g)"""
+  coalesce(list_max(list_transform(regexp_extract_all(raw, '_{{10,}}|-{{10,}}'), lambda x: length(x))), 0) AS max_punct_run_len FROM (SELECT study_id, {sql.strip('raw_pred')} AS raw FROM g)"""
 
 
-@_query("e3_pathology_t41_t42", "SELECT * FROM f", g=views.PREDICTIONS, f=_FLAGGED)
+@query("e3_pathology_t41_t42", "SELECT * FROM f", g=views.PREDICTIONS, f=_FLAGGED)
 def _e3(spark: SparkSession, d: str) -> DataFrame:
     f = evaluate.pathology(_predictions(spark, d))
     longs = ("raw_chars", "raw_words", "impression_marker_count", "time_like_count", "max_punct_run_len")
     return f.select("study_id", "raw_starts_and", "raw_starts_slash", *[F.col(c).cast("long").alias(c) for c in longs])
 
 
-@_query("e3_pathology_all_columns")
+@query("e3_pathology_all_columns")
 def _e3b(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.pathology(_predictions(spark, d))
 
 
-@_query("a8_pathology_summary", "SELECT count(*) AS n, count(*) FILTER (raw_starts_and) AS raw_starts_and, count(*) FILTER (impression_marker_count > 1) AS multiple_impression_markers, count(*) FILTER (max_punct_run_len >= 30) AS long_punct_run, CAST(sum(time_like_count) AS BIGINT) AS time_like_total_occurrences, max(max_punct_run_len) AS max_punct_run_len FROM f", g=views.PREDICTIONS, f=_FLAGGED)
+@query("a8_pathology_summary", "SELECT count(*) AS n, count(*) FILTER (raw_starts_and) AS raw_starts_and, count(*) FILTER (impression_marker_count > 1) AS multiple_impression_markers, count(*) FILTER (max_punct_run_len >= 30) AS long_punct_run, CAST(sum(time_like_count) AS BIGINT) AS time_like_total_occurrences, max(max_punct_run_len) AS max_punct_run_len FROM f", g=views.PREDICTIONS, f=_FLAGGED)
 def _a8(spark: SparkSession, d: str) -> DataFrame:
     s = evaluate.pathology_summary(evaluate.pathology(_predictions(spark, d)))
     return s.select("n", "raw_starts_and", "multiple_impression_markers", "long_punct_run", F.col("time_like_total_occurrences"), F.col("max_punct_run_len").cast("long").alias("max_punct_run_len"))
 
 
-@_query("t43_ngram_repeat")
+@query("t43_ngram_repeat")
 def _t43(spark: SparkSession, d: str) -> DataFrame:
     t = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", similarity.ngram_repeat(F.col("text")).alias("g"))
     return t.select("doc_id", "g.count", "g.gram")
 
 
-@_query("a10_length_stats", r"SELECT avg(n) AS mean, quantile_cont(n::DOUBLE, 0.5) AS median, quantile_cont(n::DOUBLE, 0.9) AS p90, max(n) AS max FROM (SELECT len(regexp_extract_all(text, '\S+')) AS n FROM documents)")
+@query("a10_length_stats", r"SELECT avg(n) AS mean, quantile_cont(n::DOUBLE, 0.5) AS median, quantile_cont(n::DOUBLE, 0.9) AS p90, max(n) AS max FROM (SELECT len(regexp_extract_all(text, '\S+')) AS n FROM documents)")
 def _a10(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.length_stats(spark.read.parquet(f"{d}/documents.parquet"), "text").withColumn("max", F.col("max").cast("long"))
 
 
-@_query(
+@query(
     "a11_bootstrap",
     f"SELECT round((SELECT avg(x) FROM v), 9) AS mean, round(quantile_cont(s, 0.025), 9) AS ci_low, round(quantile_cont(s, 0.975), 9) AS ci_high, any_value(size) AS n FROM (SELECT rep, any_value(size) AS size, avg(x) AS s FROM (SELECT rep, size, CAST(floor({_rand_sql('((rep * size + k) % 2147483647)', 0)} * size) AS BIGINT) AS pos FROM w) d JOIN v USING (pos) GROUP BY rep)",
     v="SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, quality::DOUBLE AS x FROM labels",
@@ -645,48 +489,16 @@ def _a11(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.bootstrap(values, "x", 200).select(*[F.round(c, 9).alias(c) for c in ("mean", "ci_low", "ci_high")], "n")
 
 
-@_query("a12_extra_positives", "SELECT 'a' AS label, avg((c[1] = 1 AND s[1] <> 1)::INTEGER) AS rate FROM l UNION ALL SELECT 'b', avg((c[2] = 1 AND s[2] <> 1)::INTEGER) FROM l UNION ALL SELECT 'H_cxp', avg((c[1] = 1 AND s[1] <> 1)::INTEGER) + avg((c[2] = 1 AND s[2] <> 1)::INTEGER) FROM l", l=_LABELS)
+@query("a12_extra_positives", "SELECT 'a' AS label, avg((c[1] = 1 AND s[1] <> 1)::INTEGER) AS rate FROM l UNION ALL SELECT 'b', avg((c[2] = 1 AND s[2] <> 1)::INTEGER) FROM l UNION ALL SELECT 'H_cxp', avg((c[1] = 1 AND s[1] <> 1)::INTEGER) + avg((c[2] = 1 AND s[2] <> 1)::INTEGER) FROM l", l=_LABELS)
 def _a12(spark: SparkSession, d: str) -> DataFrame:
     t = spark.read.parquet(f"{d}/labels.parquet").select(F.array("quality", "toxic").alias("ref"), F.array((F.col("doc_id") % 3 == 0).cast("int"), F.col("toxic")).alias("pred"))
     return evaluate.extra_positives(t, ["a", "b"])
 
 
-@_query("a17_sanitised")
-def _a17(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.sanitised(_predictions(spark, d), "pred_full", "ref_full")
-
-
-@_query(
-    "a18_bleu",
-    "SELECT round(100 * bp * exp((ln(m1 / t1) + ln(m2 / t2) + ln(m3 / t3) + ln(m4 / t4)) / 4), 6) AS score, h AS hyp_len, r AS ref_len FROM (SELECT *, CASE WHEN h < r THEN exp(1 - r::DOUBLE / h) ELSE 1 END AS bp FROM s, "
-    + ", ".join(f"m{n}" for n in range(1, 5))
-    + ")",
-    g=views.PREDICTIONS,
-    w=r"SELECT row_number() OVER () AS id, regexp_extract_all(trim(raw_pred), '[\p{L}\p{M}\p{N}]+|[^\s\p{L}\p{M}\p{N}]') AS p, regexp_extract_all(trim(ref_findings || ' ' || ref_impression), '[\p{L}\p{M}\p{N}]+|[^\s\p{L}\p{M}\p{N}]') AS q FROM g",
-    s="SELECT CAST(sum(len(p)) AS BIGINT) AS h, CAST(sum(len(q)) AS BIGINT) AS r, " + ", ".join(f"sum(greatest(len(p) - {n - 1}, 0))::DOUBLE AS t{n}" for n in range(1, 5)) + " FROM w",
-    z="SELECT id, 0 AS side, unnest(p) AS w, unnest(range(len(p))) AS i FROM w UNION ALL SELECT id, 1, unnest(q), unnest(range(len(q))) FROM w",
-    y="SELECT id, side, w AS x1, " + ", ".join("w || " + " || ".join(f"chr(1) || lead(w, {k}) OVER o" for k in range(1, n)) + f" AS x{n}" for n in range(2, 5)) + " FROM z WINDOW o AS (PARTITION BY id, side ORDER BY i)",
-    **{f"m{n}": f"SELECT sum(least(a, b))::DOUBLE AS m{n} FROM (SELECT id, x{n}, count(*) FILTER (side = 0) AS a, count(*) FILTER (side = 1) AS b FROM y WHERE x{n} IS NOT NULL GROUP BY ALL)" for n in range(1, 5)},
-)
-def _a18(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.bleu(_predictions(spark, d), "pred_full", "ref_full").select(F.round("score", 6).alias("score"), "hyp_len", "ref_len")
-
-
-@_query("a18_rouge_l")
-def _a18b(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.rouge(_predictions(spark, d), "pred_full", "ref_full")
-
-
-@_query("e4_suite_e5")
-def _e4(spark: SparkSession, d: str) -> DataFrame:
-    r = _predictions(spark, d).withColumns({"ref_findings": T.text("ref_findings"), "ref_impression": T.text("ref_impression")})
-    return evaluate.suite(r, {"mean_length": lambda x: x.agg(F.avg(F.length("pred_full"))), "broken": lambda x: x.select("no_such_column")})
-
-
 # ---------------------------------------------------------------- training views, vectors
 
 
-@_query(
+@query(
     "v1_training_view_m9",
     f"SELECT study_id, u <= 0.5 AND n > 0 AS used_aug, CASE WHEN u <= 0.5 AND n > 0 THEN 'alt ' || (1 + CAST(floor(u2 * n) AS INTEGER)) || ' END_REPORT' ELSE trim(CASE WHEN i = '' THEN f ELSE f || ' impression: ' || i END) || ' END_REPORT' END AS target FROM (SELECT study_id, {_rand_sql('study_id', 0)} AS u, {_rand_sql('study_id', 1)} AS u2, study_id % 3 AS n, {_LINE.format('ref_findings')} AS f, {_LINE.format('ref_impression')} AS i FROM r)",
     **R,
@@ -698,19 +510,14 @@ def _v1(spark: SparkSession, d: str) -> DataFrame:
     return augment.training_view(r, alts, 0.5).select("study_id", "used_aug", "target")
 
 
-@_query("v2_chat_view")
-def _v2(spark: SparkSession, d: str) -> DataFrame:
-    return augment.chat_view(augment.training_view(_reports(spark, d))).select("study_id", F.to_json("messages").alias("messages"))
-
-
-@_query("v4_masked_v5_padded", "SELECT doc_id, array_to_string(list_concat([-100, 2, -100, CAST(doc_id % 7 AS INTEGER)], CASE WHEN doc_id % 2 = 0 THEN [-100, -100] ELSE [] END), ',') AS labels FROM documents")
+@query("v4_masked_v5_padded", "SELECT doc_id, array_to_string(list_concat([-100, 2, -100, CAST(doc_id % 7 AS INTEGER)], CASE WHEN doc_id % 2 = 0 THEN [-100, -100] ELSE [] END), ',') AS labels FROM documents")
 def _v4(spark: SparkSession, d: str) -> DataFrame:
     base = F.array(F.lit(1), F.lit(2), F.lit(9), (F.col("doc_id") % 7).cast("int"))
     labels = sets.padded(sets.masked(base, F.array(F.lit(9)), F.lit(1)), F.when(F.col("doc_id") % 2 == 0, 6).otherwise(4))
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.array_join(F.transform(labels, lambda x: x.cast("string")), ",").alias("labels"))
 
 
-@_query("m1_min_max_s10_geometry", "SELECT vec_id, CAST(list_sum(list_transform(embedding, lambda x: CAST(floor((x::DOUBLE - list_min(embedding)::DOUBLE) / (list_max(embedding)::DOUBLE - list_min(embedding)::DOUBLE) * 255) AS INTEGER))) AS BIGINT) AS total, 896 AS new_w, 448 AS new_h, 224 AS top FROM embeddings")
+@query("m1_min_max_s10_geometry", "SELECT vec_id, CAST(list_sum(list_transform(embedding, lambda x: CAST(floor((x::DOUBLE - list_min(embedding)::DOUBLE) / (list_max(embedding)::DOUBLE - list_min(embedding)::DOUBLE) * 255) AS INTEGER))) AS BIGINT) AS total, 896 AS new_w, 448 AS new_h, 224 AS top FROM embeddings")
 def _m1(spark: SparkSession, d: str) -> DataFrame:
     g = sets.square_geometry(F.lit(1000), F.lit(500))
     px = F.transform("embedding", lambda x: x.cast("double"))
@@ -718,32 +525,28 @@ def _m1(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", total.alias("total"), g["new_w"].alias("new_w"), g["new_h"].alias("new_h"), g["top"].alias("top"))
 
 
-@_query("m3_sigmoid_m5_class", "SELECT vec_id, round(1 / (1 + exp(-embedding[1]::DOUBLE)), 9) AS s, CASE WHEN list_position(embedding[1:4], list_max(embedding[1:4])) IN (2, 4) THEN 1 ELSE 0 END AS label FROM embeddings")
+@query("m3_sigmoid_m5_class", "SELECT vec_id, round(1 / (1 + exp(-embedding[1]::DOUBLE)), 9) AS s, CASE WHEN list_position(embedding[1:4], list_max(embedding[1:4])) IN (2, 4) THEN 1 ELSE 0 END AS label FROM embeddings")
 def _m3(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("embedding")
     return spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.round(sets.sigmoid(e[0].cast("double")), 9).alias("s"), sets.class_label(F.slice(e, 1, 4)).alias("label"))
 
 
-@_query("m4_pooled", "SELECT vec_id, round(m[1] / sqrt(list_dot_product(m, m)), 6) AS first FROM (SELECT vec_id, list_transform(list_zip(a, b), lambda x: (x[1] + x[2]) / 2) AS m FROM (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS a, list_transform(list_reverse(e), lambda x: x / sqrt(list_dot_product(e, e))) AS b FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)))")
+@query("m4_pooled", "SELECT vec_id, round(m[1] / sqrt(list_dot_product(m, m)), 6) AS first FROM (SELECT vec_id, list_transform(list_zip(a, b), lambda x: (x[1] + x[2]) / 2) AS m FROM (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS a, list_transform(list_reverse(e), lambda x: x / sqrt(list_dot_product(e, e))) AS b FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)))")
 def _m4(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", sets.normalised(F.col("embedding")).alias("a"), sets.normalised(F.reverse("embedding")).alias("b"))
     return e.select("vec_id", F.round(sets.pooled(F.array("a", "b"))[0], 6).alias("first"))
 
 
-@_query("m8_prefixed", "SELECT event_id, event_type AS kept FROM events")
+@query("m8_prefixed", "SELECT event_id, event_type AS kept FROM events")
 def _m8(spark: SparkSession, d: str) -> DataFrame:
     m = F.create_map(F.lit("rad_a"), F.col("event_type"), F.lit("other"), F.lit("x"))
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", sets.with_prefix(m, "rad_")["rad_a"].alias("kept"))
 
 
-@_query("s11_image_reader", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 OR doc_id % 2 = 0 THEN 'png' ELSE 'dicom' END AS reader FROM documents")
+@query("s11_image_reader", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 OR doc_id % 2 = 0 THEN 'png' ELSE 'dicom' END AS reader FROM documents")
 def _s11(spark: SparkSession, d: str) -> DataFrame:
     t = spark.read.parquet(f"{d}/documents.parquet")
     return t.select("doc_id", io.image_reader(F.when(F.col("doc_id") % 3 == 0, " Synthetic_PNG"), F.when(F.col("doc_id") % 2 == 0, "a.png").otherwise(" ")).alias("reader"))
 
 
-@_query("p5_paraphrase_candidates")
-def _p5(spark: SparkSession, d: str) -> DataFrame:
-    """A generator in batches, gates in two stages; failures stay as rows."""
-    r = _reports(spark, d).where("ref_findings <> '' AND ref_impression <> ''").select("study_id", "ref_findings", "ref_impression")
-    return candidates.candidates(r, candidates.rule_generator, {}).select("ex_id", "cand_id", "parsed_ok", "quick_reason", "lex_reason", "ascii_ok", "keep_ok", "filter_error")
+from reportloom.plans import table_queries, text_queries  # noqa: E402, F401  they put down the rest

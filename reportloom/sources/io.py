@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegralType
 
 from reportloom.functions.sections import sections
 
@@ -21,10 +22,26 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A CSV with a header; a missing or empty one is an empty table of the schema."""
+    """The schema's columns, by name, of a CSV with a header; a missing or empty one is an empty table of the schema.
+
+    Columns may stand in any order, among others. A value that isn't of its type is null (a whole number may end in .0); a file
+    that has rows but lacks a column raises ValueError.
+    """
+    empty = spark.createDataFrame([], schema)
     if not exists(spark, path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+        return empty
+    found = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    lacking = [c for c in empty.columns if c not in found.columns]
+    if lacking:
+        if not found.columns:
+            return empty
+        raise ValueError(f"{path} lacks {lacking}")
+
+    def typed(name: str, kind: DataType) -> Column:
+        c = F.col(f"`{name}`")
+        return (F.regexp_replace(F.trim(c), r"\.0+$", "") if isinstance(kind, IntegralType) else c).try_cast(kind).alias(name)
+
+    return found.select(*[typed(f.name, f.dataType) for f in empty.schema.fields])
 
 
 def read_parts(spark: SparkSession, *paths: str) -> DataFrame:
@@ -38,11 +55,18 @@ def report_path(subject: Column, study: Column, root: str = "files") -> Column:
     return F.concat(F.lit(f"{root}/p"), F.substring(s, 1, 2), F.lit("/p"), s, F.lit("/s"), study.cast("string"), F.lit(".txt"))
 
 
+def valid_utf8(content: Column) -> Column:
+    """Bytes as text, without those that aren't UTF-8; a replacement mark that the bytes hold stays."""
+    held = F.replace(F.replace(content.cast("string"), F.lit("\ue000"), F.lit("\ue000a")), F.lit("\ufffd"), F.lit("\ue000b"))
+    valid = F.replace(F.make_valid_utf8(held), F.lit("\ufffd"), F.lit(""))
+    return F.replace(F.replace(valid, F.lit("\ue000b"), F.lit("\ufffd")), F.lit("\ue000a"), F.lit("\ue000"))
+
+
 def with_sections(studies: DataFrame, root: str) -> DataFrame:
     """Studies with indication, ref_findings and ref_impression of their report files; '' without a file. Bytes that aren't UTF-8 are dropped."""
     spark = studies.sparkSession
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "s*.txt").load(root)
-    clean = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
+    clean = valid_utf8(F.col("content"))
     files = files.select(F.regexp_extract("path", r"(p[^/]*/p[^/]*/s[^/]*\.txt)$", 1).alias("_key"), clean.alias("_text"))
     keyed = studies.withColumn("_key", F.regexp_extract(report_path(F.col("subject_id"), F.col("study_id")), r"(p[^/]*/p[^/]*/s[^/]*\.txt)$", 1))
     s = sections(F.col("_text"))
@@ -56,6 +80,18 @@ def existing(df: DataFrame, column: str, root: str, glob: str = "*") -> DataFram
     return df.join(files, F.regexp_replace(F.col(column), "^file:/*", "/") == F.col("_path"), "left_semi")
 
 
+def build_cohort(spark: SparkSession, records: str, splits: str, metadata: str, reports: str, cache: str, images: str | None = None) -> DataFrame:
+    """P1 with files: the three CSVs joined, one row a study, rows whose image is under `images` (if given), with their reports' sections, cached as Parquet at `cache` and read from there if it is."""
+    from reportloom.operators.cohort import cohort
+
+    if not exists(spark, cache):
+        rows = cohort(read_csv(spark, records, RECORDS), read_csv(spark, splits, SPLITS), read_csv(spark, metadata, METADATA))
+        rows = rows.withColumn("dcm_path", F.concat(F.lit(f"{images}/"), "path") if images else F.col("path"))
+        rows = existing(rows, "dcm_path", images) if images else rows
+        write_parquet(with_sections(rows, reports), cache)
+    return read_parts(spark, cache)
+
+
 def image_reader(source: Column, path: Column) -> Column:
     """Png for a synthetic source or any path to an image, otherwise dicom."""
     png = F.lower(F.trim(F.coalesce(source, F.lit("")))).isin("synthetic", "synthetic_png", "png") | (F.trim(F.coalesce(path, F.lit(""))) != "")
@@ -72,10 +108,14 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def write_json(payload: dict, path: str) -> None:
-    """K3: a small payload, indented, other than ASCII kept."""
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(payload, f, indent=2, ensure_ascii=False)
+def write_json(spark: SparkSession, payload: dict, path: str) -> None:
+    """K3: a small payload, indented, other than ASCII kept, to any file system that Spark knows."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(json.dumps(payload, indent=2, ensure_ascii=False).encode()))
+    finally:
+        out.close()
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame | None:
