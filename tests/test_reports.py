@@ -60,7 +60,6 @@ def test_forms(spark, f, text, want):
 )
 def test_sentences(spark, text, want):
     assert on(spark, T.sentences, text) == want
-    assert augment._pieces(augment._norm(text)) == want
 
 
 def test_sentence_functions(spark):
@@ -216,14 +215,29 @@ def test_sets(spark):
     assert one(spark, sets.class_label(F.array(*map(F.lit, (0.1, 0.2, 0.2, 0.9))), "classification")) == -1
 
 
+def test_structural_changes(spark):
+    t = spark.createDataFrame([(k, x) for k, x in enumerate(["A b. C d. E f.", "- a\n- b", "a , b .", "", None, "One here. Two there. Three now."])], "k long, t string")
+    every = t.crossJoin(spark.range(40).withColumnRenamed("id", "draw"))
+    got = {}
+    for r in every.select("k", augment.change("t", F.col("k") * 64 + F.col("draw")).alias("new")).collect():
+        got.setdefault(r.k, set()).add(r.new)
+    assert "a. b." in got[1] and got[2] == {"a, b."} and got[3] == got[4] == {""}
+    assert got[5] >= {"- One here\n- Two there\n- Three now"} and len(got[5]) > 6
+    words = lambda x: sorted(x.replace("-", " ").replace(".", " ").replace(";", " ").lower().split())
+    assert all(words(x) == words("One here. Two there. Three now.") for x in got[5])
+
+
+def test_shuffled_sentences(spark):
+    t = "One. Two. Three. Four."
+    got = {one(spark, augment.shuffled_sentences(F.lit(t), F.lit(k))) for k in range(6)}
+    assert len(got) > 2 and all(sorted(x.split()) == sorted(t.split()) for x in got)
+    assert one(spark, augment.shuffled_sentences(F.lit("One. Two as before."), F.lit(1))) == "One. Two as before."
+
+
 def test_augmentation(spark):
-    rng = random.Random(3)
-    for t in ("A b. C d. E f.", "- a\n- b", "a , b .", "", None):
-        assert isinstance(augment.change_once(t, rng), str)
-    assert {augment.change_once("One here. Two there. Three now.", random.Random(k)) for k in range(20)} > {"- One here\n- Two there\n- Three now"}
     df = spark.createDataFrame([(1, "Left lung clear. Heart fine. Bones fine.", "Normal. Stable."), (2, "", "x"), (3, "same", "same")], "study_id long, ref_findings string, ref_impression string")
     bank, reasons = augment.structural_bank(df)
-    assert [r.study_id for r in bank.collect()] == ["1"] and {r.reason: r.n for r in reasons.collect()}["identical"] == 5
+    assert [r.study_id for r in bank.collect()] == ["1"] and {r.reason: r.n for r in reasons.collect()} == {"identical": 5, "empty_ref": 1}
     alts = augment.structural_map(bank.withColumn("ord", F.lit(0)))
     view = augment.training_view(df.withColumn("indication", F.lit("")), alts, 1.0).orderBy("study_id").collect()
     assert [r.used_aug for r in view] == [True, False, False] and view[1].target == "impression: x END_REPORT" and all(r.target.endswith(" END_REPORT") for r in view)
@@ -248,6 +262,11 @@ def test_cohort(spark):
 def test_config():
     cfg = {"data": {"a": "none", "b": 3, "n": "x, y,"}, "experiment": {"data": {"a": 5, "b": 4}}}
     assert (config.resolve(cfg, "a"), config.resolve(cfg, "b"), config.resolve(cfg, "c", 9), config.names(cfg, "n", [])) == (5, 3, 9, ["x", "y"])
+    assert config.resolve({"data": {"a": "none"}}, "a", 5) == 5 and config.as_int({"data": {"a": ""}, "experiment": {"data": {}}}, "a", 5) == 5
+    assert config.resolve({"data": {"a": "none"}, "experiment": {"data": {"a": None}}}, "a", 5) == "none" and config.resolve({}, "a", 5) == 5
+    assert config.image_recipe("none") is None and config.image_recipe("strong")["rotate"] == 8 and config.image_recipe("geo")["rotate"] == 3
+    with pytest.raises(ValueError):
+        config.image_recipe("zz")
     assert config.shard_ids("all", 3) == [0, 1, 2] and config.shard_ids("0, 2", 3) == [0, 2] and config.as_bool({"data": {"k": "Yes"}}, "k", False)
     with pytest.raises(ValueError):
         config.manifest_paths("out", "...")
@@ -262,6 +281,11 @@ def test_evaluation(spark):
     assert evaluate.pathology_summary(evaluate.pathology(p.where("false"))).first().n == 0
     assert evaluate.bleu(p.select(F.lit("a b c d e").alias("p"), F.lit("a b c d e").alias("r")), "p", "r").first().score == pytest.approx(100)
     assert evaluate.rouge(spark.createDataFrame([("a b c", "a c d")], "p string, r string"), "p", "r").first()[0] == pytest.approx(2 / 3)
+    mixed = spark.createDataFrame([(k, f"the cat {k} sat, on 1,000.5 mats-and (a) 5-6", f"the cat {k % 7} sat. on 1,000.5 mats and a 5-6") for k in range(60)], "k int, p string, r string")
+    plain = evaluate.bleu(mixed, "p", "r").first()
+    assert evaluate.bleu(mixed.repartition(7, "r").distinct(), "p", "r").first() == plain and 0 < plain.score < 100
+    assert evaluate.bleu(mixed.where("false"), "p", "r").first().score == 0.0
+    assert one(spark, T.tokens_13a(F.lit("Hi, it&apos;s 1,000.5-x (ok). &amp;\nEnd-\ned <skipped>"))) == ["Hi", ",", "it", "&", "apos", ";", "s", "1,000.5", "-", "x", "(", "ok", ")", ".", "&", "Ended"]
     v = spark.range(50).withColumn("x", (F.col("id") % 7).cast("double"))
     b = evaluate.bootstrap(v, "x", 100).first()
     assert b.ci_low <= b.mean <= b.ci_high and b.n == 50
@@ -299,6 +323,15 @@ def test_sources(spark, tmp_path):
     got = {r.study_id: (r.ref_findings, r.ref_impression) for r in io.with_sections(df, str(tmp_path / "files")).collect()}
     assert got == {9: ("ok here", "fine"), 8: ("", "")}
     assert io.read_csv(spark, str(tmp_path / "none.csv"), io.SPLITS).count() == 0
+    (tmp_path / "empty.csv").write_text("")
+    assert io.read_csv(spark, str(tmp_path / "empty.csv"), io.SPLITS).count() == 0
+    (tmp_path / "order.csv").write_text("extra,split,study_id,dicom_id\nx,train,50.0,d1\ny,test,zz,d2\n")
+    assert [tuple(r) for r in io.read_csv(spark, str(tmp_path / "order.csv"), io.SPLITS).orderBy("dicom_id").collect()] == [("d1", "train"), ("d2", "test")]
+    assert [r.study_id for r in io.read_csv(spark, str(tmp_path / "order.csv"), "dicom_id string, study_id long").orderBy("dicom_id").collect()] == [50, None]
+    with pytest.raises(ValueError):
+        io.read_csv(spark, str(tmp_path / "order.csv"), io.METADATA)
+    raw = "\ue000a \ufffd \ue000".encode() + b"\xff\xc3 ok"
+    assert one(spark, io.valid_utf8(F.lit(bytearray(raw)))) == "\ue000a \ufffd \ue000 ok"
     io.write_csv(df, str(tmp_path / "c"))
     assert io.read_csv(spark, str(tmp_path / "c"), "subject_id long, study_id long, dicom_id string").count() == 2
     select.write_shards(select.with_shard(df, 2), str(tmp_path / "s"))
@@ -336,10 +369,78 @@ def test_whole_tables(spark, tmp_path):
     n = 1300
     spark.range(n).selectExpr("id AS doc_id", "concat('a', id, chr(10), 'b') AS text").write.parquet(f"{tmp_path}/documents.parquet")
     spark.range(n).selectExpr("id AS vec_id", "CAST(id % 3 AS INT) AS label").write.parquet(f"{tmp_path}/embeddings.parquet")
-    run = {k: queries.queries()[k](spark, str(tmp_path)).collect() for k in ("p1_cohort_build_all", "p8_selected_all", "p10_training_manifests_all", "p11_source_status_all")}
-    assert {r.study_id for r in run["p1_cohort_build_all"]} == {k for k in range(n) if k % 3 < 2 and k % 11}
+    run = {k: queries.queries()[k](spark, str(tmp_path)).collect() for k in ("p1_cohort_build", "p8_selected", "p10_training_manifests", "p11_source_status")}
+    assert {r.study_id for r in run["p1_cohort_build"]} == {k for k in range(n) if k % 3 < 2 and k % 11}
     passed = {k for k in range(n // 4) if any(v % 3 and v % 11 and v % 17 >= 5 for v in range(4 * k, 4 * k + 4))}
-    assert {r.study_id for r in run["p8_selected_all"]} == passed and max(passed) > 200
-    assert sorted(int(r.study_id) for r in run["p10_training_manifests_all"]) == sorted([*passed, *passed])
-    status = {int(r.study_id): r.status for r in run["p11_source_status_all"]}
-    assert len(run["p11_source_status_all"]) == n and status == {k: "accepted" if k in passed else "rejected_no_candidate_passed" if k < n // 4 else "not_attempted" for k in range(n)}
+    assert {r.study_id for r in run["p8_selected"]} == passed and max(passed) > 200
+    assert sorted(int(r.study_id) for r in run["p10_training_manifests"]) == sorted([*passed, *passed])
+    status = {int(r.study_id): r.status for r in run["p11_source_status"]}
+    assert len(run["p11_source_status"]) == n and status == {k: "accepted" if k in passed else "rejected_no_candidate_passed" if k < n // 4 else "not_attempted" for k in range(n)}
+
+
+def test_stems():
+    """The examples of the algorithm's paper, and the usual exceptions."""
+    known = "caresses caress ponies poni ties tie cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl sized size hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky relational relat conditional condit rational ration valenci valenc digitizer digit radicalli radic vileli vile vietnamization vietnam operator oper feudalism feudal decisiveness decis hopefulness hope sensibiliti sensibl triplicate triplic formative form electriciti electr goodness good revival reviv allowance allow airliner airlin adjustable adjust defensible defens irritant irrit replacement replac adjustment adjust dependent depend adoption adopt communism commun angulariti angular effective effect bowdlerize bowdler probate probat rate rate cease ceas controll control roll roll dying die news news".split()
+    for word, want in zip(known[::2], known[1::2], strict=True):
+        assert similarity.stem(word) == want, word
+
+
+def test_rouge():
+    assert similarity.rouge_of("the cats sat", "the cat sitting") == pytest.approx((2 / 3, 1 / 2, 2 / 3, 2 / 3))
+    assert similarity.rouge_of("", "a b") == (0.0, 0.0, 0.0, 0.0) and similarity.rouge_of("a b", "a b") == (1.0, 1.0, 1.0, 1.0)
+    # lines in another order: the whole texts share three words in order, the union of the lines all five
+    assert similarity.rouge_of("d e\na b c", "a b c\nd e")[2:] == pytest.approx((3 / 5, 1.0))
+    r = random.Random(4)
+    for _ in range(200):
+        a, b = ([r.choice("abcd") for _ in range(r.randrange(9))] for _ in range(2))
+        assert len(similarity.lcs_places(a, b)) == (similarity.lcs(a, b) if a and b else 0)
+
+
+def test_plugins(spark, tmp_path):
+    import difflib
+    import sys
+
+    t = spark.createDataFrame([(1, "one two", b"ab"), (2, None, None)], "k long, t string, image binary")
+    program = "import csv, sys; rows = list(csv.DictReader(open(sys.argv[1]))); w = csv.writer(open(sys.argv[2], 'w')); w.writerow(['words']); [w.writerow([len(r['text'].split())]) for r in rows]"
+    assert {(r.k, r.words) for r in evaluate.labelled(t, lambda i, o: [sys.executable, "-c", program, i, o], "t", ["words"]).collect()} == {(1, 2.0), (2, 0.0)}
+    with pytest.raises(Exception, match="labeler failed"):
+        evaluate.labelled(t, lambda i, o: [sys.executable, "-c", "raise SystemExit(3)"], "t", ["words"]).collect()
+    assert {r.k: r.image for r in augment.image_augmented(t, lambda recipe: lambda x: x + str(recipe["rotate"]).encode(), "strong").collect()} == {1: bytearray(b"ab8"), 2: None}
+    assert augment.image_augmented(t, None, "none") is t
+    a, b = "x\ny\nz", "x\nw\nz"
+    assert one(spark, similarity.shown_diff(F.lit(a), F.lit(b))) == "\n".join(difflib.unified_diff(a.split("\n"), b.split("\n"), "before", "after", lineterm=""))
+    assert evaluate.suite(evaluate.predictions(spark.createDataFrame([(1, "a impression: b", "a", "b")], "study_id long, raw_pred string, ref_findings string, ref_impression string"))).where("view = 'findings' AND metric = 'rouge1'").first().value == 1.0
+
+
+def test_entity_f1(spark):
+    ann = lambda x: F.when(F.lit(x is not None), sets.annotation(F.lit(x or "{}")))
+    full = '{"entities": {"1": {"tokens": ["lung"], "label": "A", "relations": [["at", "2"]]}, "2": {"tokens": ["clear"], "label": "B", "relations": []}}}'
+    lone = '{"entities": {"1": {"tokens": ["lung"], "label": "A", "relations": []}, "2": {"tokens": ["clear"], "label": "B", "relations": []}}}'
+    t = spark.range(1)
+    row = evaluate.entity_f1(t.select(ann(full).alias("ref_ann"), ann(lone).alias("hyp_ann"))).first()
+    assert (row.rg_e, row.rg_er, row.rg_bar_er) == (1.0, 0.5, 0.5)
+    assert evaluate.entity_f1(t.select(ann(full).alias("ref_ann"), ann(None).alias("hyp_ann"))).first().rg_e == 0.0
+    assert evaluate.entity_f1(t.where("false").select(ann(full).alias("ref_ann"), ann(full).alias("hyp_ann"))).first().n == 0
+
+
+def test_ordinal_over_partitions(spark):
+    t = spark.range(1000).withColumn("x", F.pmod(F.xxhash64("id"), F.lit(50))).repartition(7)
+    got = [(r.ordinal, r.x, r.id) for r in select.ordinal(t, "x", "id").orderBy("ordinal").collect()]
+    assert [n for n, *_ in got] == list(range(1000)) and [g[1:] for g in got] == sorted(g[1:] for g in got)
+    assert select.ordinal(t.where("false"), "x").count() == 0
+
+
+def test_cohort_from_files(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("path,dicom_id,subject_id,study_id\na.dcm,a,123,9\nb.dcm,b,123,8\nc.dcm,c,124,7\n")
+    (tmp_path / "s.csv").write_text("study_id,dicom_id,split\n9,a,train\n8,b,test\n7,c,train\n")
+    (tmp_path / "m.csv").write_text("dicom_id,Rows,ViewPosition\na,1,AP\nb,2,PA\nc,3,LL\n")
+    (tmp_path / "img").mkdir()
+    (tmp_path / "img" / "a.dcm").write_bytes(b"x")
+    root = tmp_path / "files" / "p12" / "p123"
+    root.mkdir(parents=True)
+    (root / "s9.txt").write_text("FINDINGS: ok\nIMPRESSION: fine\n")
+    args = (spark, *(str(tmp_path / f) for f in ("r.csv", "s.csv", "m.csv", "files", "cache")), str(tmp_path / "img"))
+    for _ in range(2):
+        got = io.build_cohort(*args).collect()
+        assert [(r.study_id, r.split, r.ViewPosition, r.ref_findings, r.ref_impression) for r in got] == [(9, "train", "AP", "ok", "fine")]
+        (tmp_path / "r.csv").write_text("")  # the second time it comes from the cache
