@@ -4,12 +4,13 @@ Each text run of a block element is a paragraph. It passes points for its length
 then by thirds, to the ancestors above; a container's points are discounted by its link density. If the best container is in an
 article or main, all of that is the text, but for lists of links beside the article. Else the best container is kept, with
 h1 beside it and those siblings that score a fifth of it or are long paragraphs with few links. What a page says is
-furniture - by element, role or class - takes no part; but a class or id that only describes the layout says nothing, and one
-on the container of the text doesn't count. Blocks come out in page order, each on one line.
+furniture - by element, role or class - takes no part; but a class or id that only describes the layout says nothing, one on the
+container of the text doesn't count, and in an article or main only names wholly made of furniture's words do. Blocks come out in page order, each on one line.
 
 Defined results: a null or empty page gives the empty text; unclosed, misnested and cut-off markup is closed where a browser
 would close it, as far as it shapes the text; a page without any paragraph that scores gives what text its body has outside
-furniture; equal pages give equal texts; an empty table gives an empty result.
+furniture; equal pages give equal texts, also in repeated rows; null ids and urls stay null; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,6 +41,13 @@ _NAMES = re.compile(
     r"comments?|commentlist|disqus|replies|respond|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|pagination|pager|masthead|toolbar|header|skip)(?:$|[\s_-])",
     re.I,
 )
+#: Parts of names that say nothing. In an article or main, a name is furniture only if it is made of these and of furniture's own words:
+#: share-buttons is, share-price-table isn't.
+_NEUTRAL = re.compile(
+    r"(?:box|wrap|wrapper|container|block|blocks|list|lists|section|area|slot|unit|bar|buttons?|links?|title|content|inner|outer|left|right|top|bottom|primary|secondary|main|site|page|post|posts|"
+    r"entry|article|articles|global|item|items|group|row|col|form|tools?|icons?|[0-9]+|mobile|desktop|inline)",
+    re.I,
+)
 #: Compounds that describe a layout or state and no furniture (has-sidebar, comments-open), and headers of a text.
 _LAYOUT = re.compile(r"(?:^|[_-])(?:has|with|no|without)[_-]|[_-](?:open|closed|enabled|disabled)$|(?:^|[_-])(?:post|entry|article|story)[_-]+header$", re.I)
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
@@ -58,8 +66,15 @@ def _dropped(x: _Node, own: bool) -> bool:
     return own or x.up is not None and x.up.drop and not (x.title and not _within_furniture(x.up))
 
 
-def _furniture(tag: str, attrs: str) -> tuple[bool, bool]:
-    """Whether an element is furniture, and whether a class or id says so."""
+def _names_furniture(name: str, inside: bool) -> bool:
+    """Whether one class or id names furniture; inside an article or main every part of it must."""
+    if not _NAMES.search(name) or _LAYOUT.search(name):
+        return False
+    return not inside or all(_NAMES.fullmatch(x) or _NEUTRAL.fullmatch(x) for x in re.split("[_-]+", name) if x)
+
+
+def _furniture(tag: str, attrs: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element is furniture, and whether a class or id says so; inside: it stands in an article or main."""
     if tag in _FURNITURE or tag == "header":
         return True, False
     if not attrs or tag in ("html", "body", "article", "main"):
@@ -70,7 +85,7 @@ def _furniture(tag: str, attrs: str) -> tuple[bool, bool]:
         if k == "hidden" or k == "role" and v.lower() in _ROLES:
             return True, False
         if k in ("class", "id") and _NAMES.search(v):
-            named = named or any(_NAMES.search(x) and not _LAYOUT.search(x) for x in v.split())
+            named = named or any(_names_furniture(x, inside) for x in v.split())
     return False, named
 
 
@@ -203,7 +218,7 @@ def _blocks(page: str) -> list[tuple[_Node, str, int]]:
                 if inner is not node:
                     close(inner)
                 title = name in _HEADINGS and node.head and _within(node, ("article", "main"))  # a heading in the article's own header
-                node = _Node(name, node, node.head or name == "header", *_furniture(name, attrs), title)
+                node = _Node(name, node, node.head or name == "header", *_furniture(name, attrs, _within(node, ("article", "main"))), title)
                 nodes.append(node)
     flush()
     if any(x.named for x in nodes):

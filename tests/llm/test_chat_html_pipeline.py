@@ -108,6 +108,32 @@ def test_html_layout_classes(name, tag):
         assert html.main_blocks(f"<body><{tag} {attr}='{name}'><div class='post-header'><h1>T</h1></div>{text[10:]}</{tag}>{_NOISE}</body>") == want
 
 
+def test_html_names_inside_an_article():
+    """Words of furniture's in longer names don't take text from an article; names made of them only do."""
+    r = __import__("random").Random(2)
+    words = ["share", "header", "nav", "social", "related", "comment", "menu", "banner", "login", "ad", "notice", "popup", "footer"]
+    for _ in range(60):
+        blocks, want = [], []
+        for k in range(8):
+            text = f"Paragraph {k}, with words, and more words, " + "of a text that goes on " * r.randrange(1, 9)
+            name = f"{r.choice(words)}{r.choice('-_')}{r.choice(['price', 'war', 'story', 'figures'])}{r.choice('-_')}{r.choice(['table', 'chart', 'text'])}"
+            kind = r.randrange(3)
+            blocks.append([f"<div class='{name}'><p>{text}</p></div>", f"<p id='{name}'>{text}</p>", f"<div class='{r.choice(['ad', 'share-buttons', 'related_posts', 'newsletter-signup', 'social-links'])}'><p>{text}</p></div>"][kind])
+            want += [" ".join(text.split())] * (kind < 2)
+        got = html.main_blocks(f"<body><div class='nav-bar'><p>{_LONG}</p></div><article><h1>T</h1>{''.join(blocks)}</article></body>")
+        assert got == ["T", *want]
+    for inner in ("<pre>a\n  b, c</pre>", "<details><summary>a b, c</summary></details>", "<noscript><p>no</p></noscript><p>a b, c</p><textarea>no</textarea>"):
+        assert html.main_blocks(f"<article><p>{_LONG}</p>{inner}</article>") == [_LONG, "a b, c"]
+
+
+def test_html_tables_without_rows_and_with_other_columns(spark):
+    schema = "page_id long, url string, html string, text string, n_chars string"
+    assert html.extract(spark.createDataFrame([], schema)).columns == ["page_id", "url", "text", "n_chars"] and html.extract(spark.createDataFrame([], schema)).count() == 0
+    row = (1, None, f"<p>{_LONG}</p>", "clash", "x")
+    got = html.extract(spark.createDataFrame([row, row, (None, "u", "", None, None)], schema)).collect()
+    assert sorted((r.page_id or 0, r.text) for r in got) == [(0, ""), (1, _LONG), (1, _LONG)]
+
+
 def test_html_furniture_by_name_still_goes():
     short = "<p>A short post, of a few words, and that is all.</p>"
     talk = "<p>First! I, for one, like this text very much, and more.</p>" * 50
