@@ -1,10 +1,10 @@
 """Quality rules with cross-document line frequency, in DataFrame and SQL functions only.
 
 Base rules look at one text. The line rule hashes normalised lines (ASCII white space collapsed, lower case), counts in how
-many distinct texts of a host each occurs, removes lines above both limits from the texts, and rejects texts that this
-depletes. Hosts, lines and texts are aggregated before they are exchanged, so a line that most texts of a host share is a few
+many distinct documents of a host each occurs (or distinct texts, where copies are left to a later stage), removes lines above
+both limits from the texts, and rejects documents that this depletes. Hosts, lines and documents are aggregated before they are exchanged, so a line that most texts of a host share is a few
 rows a task; the join that marks lines back may be split by AQE, as its other side has one row a key. Lines above a share of
-5 % are at most 20 times the mean number of lines of a text of the host.
+5 % are at most 20 times the mean number of lines of a document of the host.
 
 Defined results: a null text counts as empty and fails the base rules; null hosts form one host; null ids are one id; rows
 that repeat an id and host are judged each on its own text; an empty table gives an empty result; input columns travel in the
@@ -65,21 +65,27 @@ def base_metrics(docs: DataFrame, host: str = "source") -> DataFrame:
     return out.withColumn("base_failed", failed).drop("_words")
 
 
-def frequent_lines(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, min_share_percent: int = MIN_SHARE_PERCENT) -> DataFrame:
-    """(_host, h, n_docs): lines in more than min_docs distinct texts of a host and more than min_share_percent of them."""
-    texts = docs.select(F.col(f"`{host}`").alias("_host"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t")).withColumn("_d", F.xxhash64("_t"))
+COUNTED = ("documents", "texts")
+
+
+def frequent_lines(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, min_share_percent: int = MIN_SHARE_PERCENT, count: str = "documents") -> DataFrame:
+    """(_host, h, n_docs): lines in more than min_docs distinct documents (ids), or distinct texts, of a host and more than min_share_percent of them."""
+    if count not in COUNTED:
+        raise ValueError(f"count is one of {COUNTED}")
+    texts = docs.select(F.col(f"`{host}`").alias("_host"), F.col("doc_id").alias("_d"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t"))
+    texts = texts.withColumn("_d", F.xxhash64("_t")) if count == "texts" else texts
     lines = texts.select("_host", "_d", F.explode(F.array_distinct(F.expr(_LINES + ".h"))).alias("h"))
     counts = lines.distinct().groupBy("_host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
     hosts = texts.select("_host", "_d").distinct().groupBy("_host").agg(F.count("*").alias("_of")).withColumnRenamed("_host", "_h")
     return counts.join(hosts, F.col("_host").eqNullSafe(F.col("_h"))).where(100 * F.col("n_docs") > min_share_percent * F.col("_of")).select("_host", "h", "n_docs")
 
 
-def apply_rules(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, min_share_percent: int = MIN_SHARE_PERCENT) -> DataFrame:
+def apply_rules(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, min_share_percent: int = MIN_SHARE_PERCENT, count: str = "documents") -> DataFrame:
     """row (the input columns), doc_id, the base metrics, n_removed_words, base_failed, kept, and clean_text: the text without frequent lines."""
     based = base_metrics(docs, host).withColumn("_lines", F.expr(_LINES))
     lines = docs.select(F.col("doc_id").alias("_i"), F.col(f"`{host}`").alias("_h"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t"))
     lines = lines.select("_i", "_h", F.explode(F.array_distinct(F.expr(_LINES + ".h"))).alias("_lh"))
-    often = frequent_lines(docs, host, min_docs, min_share_percent)
+    often = frequent_lines(docs, host, min_docs, min_share_percent, count)
     marked = lines.join(often, (F.col("_lh") == F.col("h")) & F.col("_h").eqNullSafe(F.col("_host"))).groupBy("_i", "_h").agg(F.collect_set("h").alias("_often"))
     out = based.join(marked, F.col("doc_id").eqNullSafe(F.col("_i")) & F.col("_host").eqNullSafe(F.col("_h")), "left")
     removed = F.expr("IF(_often IS NULL, 0L, aggregate(_lines, 0L, (a, x) -> a + IF(array_contains(_often, x.h), x.n, 0)))")
@@ -102,13 +108,13 @@ g AS (SELECT r, unnest(range(1, len(w) - 3)) AS i, w FROM w WHERE len(w) >= 5),
 h AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i+1], w[i+2], w[i+3], w[i+4]) AS c FROM g),
 p AS (SELECT r, i - coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -5) AS step FROM h WHERE c > 1),
 rep AS (SELECT r, CAST(sum(least(5, step)) AS BIGINT) AS n FROM p GROUP BY r),
-raw AS (SELECT r, source, t, unnest(string_split(t, chr(10))) AS l FROM d),
-ln AS (SELECT r, source, t, l, lower(array_to_string(regexp_extract_all(l, '[^\x20\x09-\x0D]+'), ' ')) AS n FROM raw),
+raw AS (SELECT r, coalesce(CAST(doc_id AS VARCHAR), '') AS i, source, unnest(string_split(t, chr(10))) AS l FROM d),
+ln AS (SELECT r, i, source, l, lower(array_to_string(regexp_extract_all(l, '[^\x20\x09-\x0D]+'), ' ')) AS n FROM raw),
 lw AS (SELECT * FROM ln WHERE n <> ''),
 dup AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM lw GROUP BY r),
-ho AS (SELECT source, count(DISTINCT t) AS c FROM d GROUP BY source),
+ho AS (SELECT source, count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), '')) AS c FROM d GROUP BY source),
 fr AS (SELECT lw.source, n FROM lw JOIN ho ON lw.source IS NOT DISTINCT FROM ho.source GROUP BY lw.source, n, ho.c
-  HAVING count(DISTINCT t) > 10 AND 100 * count(DISTINCT t) > 5 * ho.c),
+  HAVING count(DISTINCT i) > 10 AND 100 * count(DISTINCT i) > 5 * ho.c),
 rem AS (SELECT r, CAST(sum(len(string_split(lw.n, ' '))) AS BIGINT) AS n FROM lw JOIN fr ON lw.n = fr.n AND lw.source IS NOT DISTINCT FROM fr.source GROUP BY r),
 m AS (SELECT d.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(length(array_to_string(w.w, '')) AS BIGINT) AS word_chars,
   CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
