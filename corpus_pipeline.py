@@ -15,8 +15,11 @@ from reportloom.llm.common import scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, without the lines that are too frequent in their host."""
-    ruled = quality.apply_rules(docs).where("kept")
+    """Documents that the rules keep, without the lines that are too frequent in their host.
+
+    Lines are counted by distinct texts, not documents: copies are the next stage's, which leaves one of them.
+    """
+    ruled = quality.apply_rules(docs, count="texts").where("kept")
     changed = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
     return ruled.select(*[changed[c].alias(c) if c in changed else F.col("row").getField(c).alias(c) for c in docs.columns])
 
@@ -30,13 +33,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of 50 bytes or more that an earlier one has; those of which nothing is left go."""
+    """Documents without passages of 50 bytes or more that an earlier one has; those of which nothing is left go.
+
+    A null or short text stays as it is; a null id comes after all others; rows of one id don't take from each other.
+    """
     new = suffixes.dedup_texts(docs)
     return new.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else new
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents in sequences of 2048 tokens."""
+    """The pieces of the documents in sequences of 2048 tokens; a null or empty text is one token, each row an example of its own."""
     return packing.pack_documents(docs)
 
 
