@@ -5,11 +5,14 @@ spellings to one - and the digest of the whole canonical text is joined with the
 made by the same expressions.
 
 Defined results: a null or empty text (or one of copyright lines alone) matches nothing; repeated rows give repeated rows;
-an empty table gives an empty result; if two known texts have one digest the smaller id is reported.
+null ids stay null; an empty table gives an empty result; other columns are ignored; if two known texts have one digest the
+smaller id is reported.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from functools import cache
 from pathlib import Path
 
@@ -27,8 +30,6 @@ SPELLINGS = {
     "realise": "realize", "recognise": "recognize", "signalling": "signaling", "utilisation": "utilization", "whilst": "while", "wilful": "wilfull",
 }
 _SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F\x{A0}\x{AB}\x{BB}\x{2010}-\x{201F}\x{2026}]+"
-#: Copyright lines as the registered SQL takes them: any that begins so.
-_SQL_COPYRIGHT = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 #: Copyright lines: with a year, sign or holder. "copyright notice" or "(c) You must" at the start of a line is the licence's own text.
 _COPYRIGHT = (
     r"(^|\n)[^a-z0-9\n]*(?:all rights reserved|©|\(c\)[ \t:,]*(?:copyright|[0-9]{4}|[<\[{])|"
@@ -135,17 +136,64 @@ def known_texts() -> list[tuple[str, str]]:
     return list(dict.fromkeys(found))
 
 
+def plain_canonical(text: str) -> str:
+    """canonical() of one text, without Spark."""
+    low = re.sub(r"\r\n?", "\n", text.lower())
+    plain = re.sub(_PY_SEPARATORS, " ", re.sub(_COPYRIGHT, r"\1", low)).strip(" ")
+    return " ".join(SPELLINGS.get(w, w) for w in plain.split(" "))
+
+
+_PY_SEPARATORS = re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: "\\u" + m[1].zfill(4), _SEPARATORS)
+
+
 def _sql(text: str) -> str:
     low = rf"regexp_replace(lower(coalesce({text}, '')), '\r\n?', chr(10), 'g')"
-    plain = rf"trim(regexp_replace(regexp_replace({low}, '{_SQL_COPYRIGHT}', '\1', 'g'), '{_SEPARATORS}', ' ', 'g'), ' ')"
+    plain = rf"trim(regexp_replace(regexp_replace({low}, '{_COPYRIGHT}', '\1', 'g'), '{_SEPARATORS}', ' ', 'g'), ' ')"
     cases = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in SPELLINGS.items())
     return f"array_to_string(list_transform(string_split({plain}, ' '), lambda w: CASE w {cases} ELSE w END), ' ')"
 
 
+def _digests() -> str:
+    """The known digests as SQL values, made without Spark or the checking engine."""
+    least: dict[str, str] = {}
+    for name, text in known_texts():
+        d = hashlib.sha256(plain_canonical(text).encode()).hexdigest()
+        least[d] = min(name, least.get(d, name))
+    return ", ".join(f"('{d}', '{n}')" for d, n in least.items())
+
+
 ORACLE = f"""
-WITH k(license_id, t) AS (VALUES {", ".join("('" + a + "', '" + b.replace("'", "''") + "')" for a, b in KNOWN.items())}),
-kd AS (SELECT sha256({_sql("t")}) AS digest, min(license_id) AS license_id FROM k GROUP BY 1),
+WITH kd(digest, license_id) AS (VALUES {_digests()}),
 c AS (SELECT doc_id, {_sql("text")} AS c FROM documents),
 d AS (SELECT doc_id, CAST(length(c) AS BIGINT) AS canonical_chars, sha256(c) AS digest FROM c)
 SELECT doc_id, canonical_chars, digest, license_id, license_id IS NOT NULL AS is_license FROM d LEFT JOIN kd USING (digest)
 """
+
+_VARIANTS = ("lower({0})", "upper({0})", "concat('Copyright (c) 2020 Some Body', chr(10), {0}, chr(10))", "replace({0}, '.', ' -- ')", "concat({0}, ' and more')")
+
+
+def variants(docs: DataFrame) -> DataFrame:
+    """The short known texts in other cases and punctuation, under new copyright lines and with words added, beside all documents: name, variant, license_id."""
+    spark = docs.sparkSession
+    texts = spark.createDataFrame(list(KNOWN.items()), "name string, text string")
+    rows = None
+    for k, v in enumerate(_VARIANTS):
+        part = texts.select("name", F.lit(k).alias("variant"), F.expr(v.format("text").replace("chr(", "char(")).alias("text"))
+        rows = part if rows is None else rows.union(part)
+    every = rows.union(docs.select(F.col("doc_id").cast("string"), F.lit(-1), F.col("text").cast("string")))
+    found = scan(every.withColumn("doc_id", F.struct("name", "variant")))
+    return found.select("doc_id.name", "doc_id.variant", "license_id")
+
+
+def _variants_sql() -> str:
+    texts = ", ".join("('" + a + "', '" + b.replace("'", "''") + "')" for a, b in KNOWN.items())
+    parts = " UNION ALL ".join(f"SELECT name, {k} AS variant, {v.format('text')} AS text FROM k" for k, v in enumerate(_VARIANTS))
+    return f"""
+WITH k(name, text) AS (VALUES {texts}), kd(digest, license_id) AS (VALUES {_digests()}),
+v AS ({parts} UNION ALL SELECT CAST(doc_id AS VARCHAR), -1, text FROM documents),
+d AS (SELECT name, variant, sha256({_sql("text")}) AS digest FROM v)
+SELECT name, variant, license_id FROM d LEFT JOIN kd USING (digest)
+"""
+
+
+VARIANTS_ORACLE = _variants_sql()

@@ -25,6 +25,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_telephony_media": _over("documents", media.text_media),
         "op9_word_table_bpe": _over("documents", bpe.encode_decode),
         "op10_vector_bin_packing": _over("documents", packing.pack_documents),
+        "license_variants": _over("documents", licenses.variants),
+        "shards_by_bytes": _over("documents", lambda docs: sharding.assign(docs).select("doc_id", "size", "shard", "slot")),
     }
 
 
@@ -35,4 +37,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_license_digests": licenses.ORACLE,
         "op4_chat_loss_masks": chat.ORACLE,
         "op6_interval_tree_dedup": suffixes.ORACLE,
+        "license_variants": licenses.VARIANTS_ORACLE,
+        "shards_by_bytes": sharding.ORACLE,
     }
