@@ -115,7 +115,7 @@ def format_chats(conversations: DataFrame, tokenizer_path: str | None = None) ->
         text, starts, ends = render(turns)
         e = tokenizer(path).encode(text, add_special_tokens=False)
         mask, lo, hi = loss_mask(np.array(e.offsets, np.int64).reshape(-1, 2), starts, ends)
-        return {"conv_id": conv, "segment": number, "n_turns": len(turns), "formatted": text, "ids": e.ids, "loss": mask.tolist(), "loss_starts": lo.tolist(), "loss_ends": hi.tolist()}
+        return {"conv_id": conv, "segment": number, "n_turns": len(turns), "formatted": text, "ids": np.array(e.ids, np.int32), "loss": mask, "loss_starts": lo, "loss_ends": hi}
 
     def run(batches):
         conv, number, turns, chars, any_yet, out, held = None, 0, [], 0, False, [], 0
@@ -160,7 +160,12 @@ def digest(formatted: DataFrame) -> DataFrame:
                 out.append({**state, "turns_sha256": state["turns_sha256"].hexdigest(), "loss_sha256": state["loss_sha256"].hexdigest()})
 
         for b in batches:
-            for x in b.to_pylist():
+            col = {c: b.column(b.schema.get_field_index(c)) for c in ("conv_id", "segment", "formatted", "ids", "loss", "loss_starts", "loss_ends")}
+            # ids and mask stay in their flat buffers
+            tokens = np.diff(col["ids"].offsets.to_numpy())
+            borne = np.diff(np.concatenate((np.zeros(1, np.int64), np.cumsum(col["loss"].values.to_numpy(zero_copy_only=False), dtype=np.int64)))[col["loss"].offsets.to_numpy()])
+            rows = zip(*(col[c].to_pylist() for c in ("conv_id", "segment", "formatted", "loss_starts", "loss_ends")), tokens.tolist(), borne.tolist(), strict=True)
+            for x in (dict(zip(("conv_id", "segment", "formatted", "loss_starts", "loss_ends", "tokens", "borne"), r, strict=True)) for r in rows):
                 if x["segment"] == 0:
                     close()
                     state = {k: 0 for k in schema.names} | {"conv_id": x["conv_id"], "turns_sha256": hashlib.sha256(), "loss_sha256": hashlib.sha256()}
@@ -171,8 +176,8 @@ def digest(formatted: DataFrame) -> DataFrame:
                 state["loss_chars"] += len(lost)
                 state["loss_sha256"].update(lost.encode())
                 state["formatted_chars"] += len(x["formatted"])
-                state["n_tokens"] += len(x["ids"])
-                state["n_loss_tokens"] += sum(x["loss"])
+                state["n_tokens"] += x["tokens"]
+                state["n_loss_tokens"] += x["borne"]
             if len(out) > 1000:
                 yield record({c: [r[c] for r in out] for c in schema.names}, schema)
                 out.clear()
