@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from reportloom.functions import sections, sets, similarity
 from reportloom.functions import text as T
-from reportloom.operators import augment, candidates, cohort, evaluate, gates, manifests, select
+from reportloom.operators import augment, cohort, evaluate, gates, manifests, select
 from reportloom.plans import sql, views
 from reportloom.plans.registry import QUERIES, SQL, Query, query
 from reportloom.sources import io
 
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -274,7 +274,6 @@ def _p6(spark: SparkSession, d: str) -> DataFrame:
 
 
 _EXCHANGED = ("replace(replace(replace(replace({0}, ' the ', ' this '), ' of ', ' within '), ' and ', ' as well as '), ' is ', ' remains ')", "replace(replace(replace({0}, ' of ', ' within '), ' and ', ' as well as '), ' is ', ' remains ')")
-_ANSWER = r"""{0}"""
 
 
 def _answered(x: str) -> str:
