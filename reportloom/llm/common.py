@@ -64,6 +64,7 @@ def map_arrow(df: DataFrame, schema: str, f: Callable[[pa.RecordBatch], dict | N
             for part in slices(b, size):
                 if (got := f(part)) is not None:
                     yield record(got, out)
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

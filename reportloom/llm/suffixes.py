@@ -11,8 +11,16 @@ its interval tree; an interval of at least `length` whose occurrences aren't all
 maximal repeat group (an extent's own left end counts as another byte), and all its occurrences that lie in a document after
 its first are spans to remove. An interval that fails this test has all its occurrences inside those of one that passes.
 
-Equal texts are one text, that of the least id; the others are removed whole if they are at least `length` bytes long.
-What is held at once: a batch of texts, and the different extents of one anchor, of some 80 bytes each.
+Equal texts are one text, that of the least id, and only that one sends anchors; the others are removed whole if they are at
+least `length` bytes long. Both exchanges are aggregated before they begin, so that what is common is few rows a batch:
+
+* Anchors travel as sorted differences in buckets, six bytes each. One that two texts of a batch share is known to be shared:
+  the batch sends it once, marked, and names its own texts itself.
+* Of equal extents in a batch only those of the least document travel; the others are removed whole, and neighbouring ones of
+  these merge to runs.
+
+What is held at once: a batch of texts with its anchors, a bucket's anchors (of BUCKET_BYTES of text), and the different
+extents of one anchor, of some 80 bytes each. A text longer than half a megabyte is hashed in overlapping windows.
 
 Defined results: a null text counts as empty; texts shorter than `length` lose nothing; rows that repeat both id and text are
 one document; rows that repeat an id with other text are texts of one document, which don't remove from each other; a null id
@@ -30,20 +38,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reportloom.llm.bpe import chunks
-from reportloom.llm.common import arrow_schema, as_bytes, cut, map_arrow, record, ship
+from reportloom.llm.common import LAST, arrow_schema, as_bytes, cut, map_arrow, one_per_text, record, ship
 from reportloom.llm.jaccard import HASHED, mix, powers
 
 LENGTH, GRAM = 50, 24
 _BATCH = 300_000
+#: Bytes of text whose anchors meet in one bucket, some two million.
+BUCKET_BYTES = 32 << 20
+#: Anchors of a bucket that are sorted together.
+_RANGE = 1 << 18
 _BYTE = np.random.default_rng(50).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _U = np.uint64
-LAST = (1 << 63) - 1
 
 
-def extents(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[range, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """By chunks of texts: (their numbers, and of each extent the text's number, anchor hash, start, end)."""
-    for r in chunks(texts, HASHED):
-        own = [texts[i] for i in r]
+def _windows(texts: list[bytes], length: int, window: int) -> Iterator[tuple[np.ndarray, list[bytes], np.ndarray]]:
+    """(numbers, pieces, offsets): about `window` bytes of texts at a time; of a longer text, windows that overlap by length - 1."""
+    for r in chunks(texts, window):
+        whole = [i for i in r if len(texts[i]) <= window]  # but for the last of a chunk, all are
+        if whole:
+            yield np.array(whole, np.int64), [texts[i] for i in whole], np.zeros(len(whole), np.int64)
+        for i in r:
+            if len(texts[i]) > window:
+                for at in range(0, len(texts[i]) - length + 1, window):
+                    yield np.array([i], np.int64), [texts[i][at : at + window + length - 1]], np.array([at], np.int64)
+
+
+def extents(texts: list[bytes], length: int = LENGTH, gram: int = GRAM, window: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By chunks of texts: of each extent the text's number, anchor hash, start and end."""
+    for number, own, offset in _windows(texts, length, window or HASHED):
         data = np.frombuffer(b"".join(own), np.uint8)
         ends = np.cumsum([len(x) for x in own])
         if len(data) < length:
@@ -71,48 +93,135 @@ def extents(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Itera
         last = np.append(first[1:], len(anchor)) - 1
         lo, hi = start[first], start[last] + length
         text = np.searchsorted(ends, lo, side="right")
-        yield r, text, g[anchor[first]].view(np.int64), lo - begins[text], hi - begins[text]
+        shift = offset[text] - begins[text]
+        yield number[text], g[anchor[first]].view(np.int64), lo + shift, hi + shift
 
 
-def shared_anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """(tid, anchor) of the anchors that occur in two texts at least; texts: tid, text."""
+def _marks(anchor: np.ndarray) -> np.ndarray:
+    """The sixteen bits by which a text knows its shared anchors again; others with the same bits are only read in vain."""
+    return ((anchor.view(np.uint64) >> _U(16)) & _U(0xFFFF)).astype("<u2")
 
-    def f(b: pa.RecordBatch) -> dict:
-        tid = b.column(0).to_numpy()
-        got = [(tid[np.arange(r.start, r.stop)[text]], a) for r, text, a, _, _ in extents(as_bytes(b.column(1)), length, gram)]
-        if not got:
-            return {"anchor": [], "tid": []}
-        return {"anchor": pa.array(np.concatenate([a for _, a in got])), "tid": pa.array(np.concatenate([t for t, _ in got]))}
 
-    schema = arrow_schema("tid long, anchor long")
+def _pack(x: np.ndarray, width: int) -> bytes:
+    """Unsigned numbers of so many bytes, behind one byte that says how many."""
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
 
-    def shared(batches):
-        held = None  # the last row's anchor and text, and whether that anchor is known to be shared
-        for b in batches:
-            a, t = b.column(0).to_numpy(), b.column(1).to_numpy()
+
+def _unpack(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, f"<u{x[0]}", offset=1)
+
+
+def shared_anchors(texts: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
+    """(tid, marks) of the anchors that occur in two texts at least, a text's in several rows; texts: tid, text."""
+
+    def ask(b: pa.RecordBatch) -> dict | None:
+        tid, own = np.unique(b.column(0).to_numpy(), return_inverse=True)
+        got = list(extents(as_bytes(b.column(1)), length, gram))
+        if not got:
+            return None
+        a = np.concatenate([x[1] for x in got]).view(np.uint64) >> _U(16)
+        t = own[np.concatenate([x[0] for x in got])]
+        by = np.lexsort((t, a))
+        a, t = a[by], t[by]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (t[1:] != t[:-1])
+        a, t = a[new], t[new]
+        first = np.flatnonzero(np.diff(a, prepend=a[0] + _U(1)))
+        n = np.diff(np.append(first, len(a)))
+        many = np.repeat(n > 1, n)
+        out: dict[str, list] = {"bucket": [], "base": [], "anchors": [], "owners": [], "tids": []}
+        sent, owner = a[first], np.where(n > 1, len(tid), t[first])  # the number behind the last marks what is shared
+        place = ((sent >> _U(16)) * _U(buckets)) >> _U(32)
+        starts = np.flatnonzero(np.diff(place, prepend=_U(buckets)))
+        for i, j in zip(starts.tolist(), np.append(starts[1:], len(sent)).tolist(), strict=True):
+            used, at = np.unique(owner[i:j], return_inverse=True)
+            step = np.diff(sent[i:j], prepend=sent[i])
+            out["bucket"].append(int(place[i]))
+            out["base"].append(int(sent[i]))
+            out["anchors"].append(_pack(step, 4 if step.max() < 1 << 32 else 8))
+            out["owners"].append(_pack(at, 2 if len(used) < 1 << 16 else 4))
+            out["tids"].append(tid[used[used < len(tid)]].tobytes())
+        # what is known to be shared goes to any bucket, to be handed on
+        a, t = a[many], t[many]
+        by = np.argsort(t, kind="stable")
+        a, t = a[by], t[by]
+        first = np.flatnonzero(np.diff(t, prepend=-1))
+        for i, j in zip(first.tolist(), [*first[1:].tolist(), len(a)], strict=False):  # none if none is shared
+            out["bucket"].append(int(tid[t[i]] % buckets))
+            out["base"].append(-1)
+            out["anchors"].append((a[i:j] & _U(0xFFFF)).astype("<u2").tobytes())
+            out["owners"].append(b"")
+            out["tids"].append(tid[t[i] : t[i] + 1].tobytes())
+        return out
+
+    schema = arrow_schema("tid long, marks binary")
+
+    def shared(rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(tid, mark) of the shared anchors of a bucket that aren't known to be already, by ranges of about _RANGE anchors."""
+        parts = [(np.cumsum(_unpack(anchors), dtype=np.uint64) + _U(base), _unpack(owners), np.append(np.frombuffer(known, np.int64), np.int64(0))) for base, anchors, owners, known in rows]
+        low, high = min(int(x[0]) for x, _, _ in parts), max(int(x[-1]) for x, _, _ in parts)
+        pieces = 1 + sum(len(x) for x, _, _ in parts) // _RANGE
+        edges = [low + (high + 1 - low) * k // pieces for k in range(pieces)] + [high + 1]
+        cuts = [np.searchsorted(x, np.array(edges, np.uint64)).tolist() for x, _, _ in parts]
+        for k in range(pieces):
+            own = [(x[c[k] : c[k + 1]], o[c[k] : c[k + 1]], t) for (x, o, t), c in zip(parts, cuts, strict=True)]
+            a, marked, tid = np.concatenate([x for x, _, _ in own]), np.concatenate([o == len(t) - 1 for _, o, t in own]), np.concatenate([t[o] for _, o, t in own])
             if not len(a):
                 continue
-            known = False
-            if held is not None and held[0] == a[0]:
-                a, t, known = np.append(np.int64(held[0]), a), np.append(np.int64(held[1]), t), held[2]
-            new = np.ones(len(a), bool)
-            new[1:] = a[1:] != a[:-1]
-            first = np.flatnonzero(new)
-            last = np.append(first[1:], len(a)) - 1
-            many = t[first] != t[last]
-            was = known and not many[0]
-            if known:
-                many[0] = True
-            keep = np.repeat(many, last - first + 1)
-            keep[1:] &= new[1:] | (t[1:] != t[:-1])
-            if known:
-                keep[0] = False  # given out with the last batch
-            held = (int(a[-1]), int(t[-1]), bool(many[-1]) or (was and len(first) == 1))
-            if keep.any():
-                yield record({"tid": pa.array(t[keep]), "anchor": pa.array(a[keep])}, schema)
-
-    found = map_arrow(texts, "anchor long, tid long", f).repartition("anchor").sortWithinPartitions("anchor", "tid")
-    return found.mapInArrow(shared, "tid long, anchor long")
+            by = np.argsort(a, kind="stable")
+            a, marked, tid = a[by], marked[by], tid[by]
+            first = np.flatnonzero(np.diff(a, prepend=a[0] + _U(1)))
+            n = np.diff(np.append(first, len(a)))
+            many = np.logical_or.reduceat(marked, first) | (np.minimum.reduceat(tid, first) != np.maximum.reduceat(tid, first))
+            keep = np.repeat(many, n) & ~marked
+            yield tid[keep], (a[keep] & _U(0xFFFF)).astype("<u2")
+
+    def answer(batches):
+        now, rows = None, []
+        tids: list[np.ndarray] = []
+        marks: list[np.ndarray] = []
+
+        held = 0
+
+        def put(found) -> None:
+            nonlocal held
+            for t, m in found:
+                tids.append(t)
+                marks.append(m)
+                held += len(t)
+
+        def given() -> pa.RecordBatch:
+            t, m = np.concatenate(tids), np.concatenate(marks)
+            tids.clear(), marks.clear()
+            nonlocal held
+            held = 0
+            by = np.argsort(t, kind="stable")
+            t, m = t[by], m[by]
+            first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+            ends = np.append(first[1:], len(t))
+            return record({"tid": pa.array(t[first]), "marks": [m[i:j].tobytes() for i, j in zip(first.tolist(), ends.tolist(), strict=True)]}, schema)
+
+        for b in batches:
+            for k in range(b.num_rows):
+                bucket, base, anchors, owners, known = (c[k].as_py() for c in b.columns)
+                if base == -1:
+                    m = np.frombuffer(anchors, "<u2")
+                    put([(np.full(len(m), np.frombuffer(known, np.int64)[0]), m)])
+                else:
+                    if bucket != now and rows:
+                        put(shared(rows))
+                        rows = []
+                    now = bucket
+                    rows.append((base, anchors, owners, known))
+                if held > 4 * _RANGE:
+                    yield given()
+        if rows:
+            put(shared(rows))
+        if held:
+            yield given()
+
+    asked = map_arrow(texts, "bucket int, base long, anchors binary, owners binary, tids binary", ask).repartition("bucket").sortWithinPartitions("bucket")
+    return asked.mapInArrow(answer, "tid long, marks binary")
 
 
 def interval_groups(exts: list[bytes], doc: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -153,8 +262,13 @@ def interval_groups(exts: list[bytes], doc: np.ndarray, length: int) -> Iterator
                 stack.append((x, start))
 
 
+def _pairs(x: bytes) -> list[tuple[int, int]]:
+    return list(map(tuple, np.frombuffer(x, np.int64).reshape(-1, 2).tolist()))
+
+
 def spans(rows: DataFrame, length: int) -> DataFrame:
-    """(tid, start, size) of what is to be removed; rows: anchor, doc, tid, start, bytes of each extent of a shared anchor."""
+    """(tid, start, size) of what is to be removed. rows: anchor, bytes, doc, places of each batch's different extents of a
+    shared anchor, places being (tid, start) pairs in the least document; or, with null bytes, (tid, start) of spans of size `doc`."""
     schema = arrow_schema("tid long, start long, size long")
 
     def run(batches):
@@ -197,7 +311,11 @@ def spans(rows: DataFrame, length: int) -> DataFrame:
             own.clear()
 
         for b in batches:
-            for a, x, d, tid, start in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+            for a, x, d, at in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                if x is None:
+                    for tid, start in _pairs(at):
+                        put(tid, start, d)
+                    continue
                 if a != now:
                     ended()
                     now = a
@@ -205,11 +323,12 @@ def spans(rows: DataFrame, length: int) -> DataFrame:
                         scan()
                 if own and own[-1][0] == x:
                     if own[-1][1] == d:
-                        own[-1][2].append((tid, start))
+                        own[-1][2].extend(_pairs(at))
                     else:  # the whole extent is in an earlier document: a group of equal leaves
-                        put(tid, start, len(x))
+                        for tid, start in _pairs(at):
+                            put(tid, start, len(x))
                 else:
-                    own.append((x, d, [(tid, start)]))
+                    own.append((x, d, _pairs(at)))
             if len(out[0]) > 50_000:
                 yield given()
         ended()
@@ -217,10 +336,65 @@ def spans(rows: DataFrame, length: int) -> DataFrame:
         if out[0]:
             yield given()
 
-    dealt = rows.select("anchor", "bytes", "doc", "tid", "start").repartition("anchor").sortWithinPartitions("anchor", "bytes", "doc", "tid", "start")
+    dealt = rows.select("anchor", "bytes", "doc", "places").repartition("anchor").sortWithinPartitions("anchor", "bytes", "doc")
     return dealt.mapInArrow(run, "tid long, start long, size long")
 
 
+def merged(tid: np.ndarray, start: np.ndarray, end: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans that touch or overlap as runs (tid, start, size) of at most `most` bytes."""
+    by = np.lexsort((start, tid))
+    tid, start, end = tid[by], start[by], end[by]
+    own = np.cumsum(np.append(0, tid[1:] != tid[:-1]))
+    # texts one behind the other, so that the running end never reaches into the next text
+    wide = int(end.max()) + 2
+    reach = np.maximum.accumulate(end + own * wide)
+    first = np.flatnonzero(np.append(True, start[1:] + own[1:] * wide > reach[:-1]))
+    last = np.append(first[1:], len(tid)) - 1
+    tid, start, size = tid[first], start[first], reach[last] - own[first] * wide - start[first]
+    n = -(-size // most)
+    part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(tid, n), np.repeat(start, n) + part * most, np.minimum(np.repeat(size, n) - part * most, most)
+
+
+def send(anchor: np.ndarray, doc: np.ndarray, tid: np.ndarray, start: np.ndarray, exts: list[bytes]) -> dict[str, list]:
+    """Rows for spans() of a batch's extents."""
+    out: dict[str, list] = {"anchor": [], "bytes": [], "doc": [], "places": []}
+    by = sorted(range(len(exts)), key=lambda k: (anchor[k], exts[k], doc[k], tid[k], start[k]))
+    whole: list[int] = []
+    k = 0
+    anchors, docs, tids, starts = anchor.tolist(), doc.tolist(), tid.tolist(), start.tolist()
+    while k < len(by):
+        i = by[k]
+        own = [i]
+        k += 1
+        while k < len(by) and anchors[by[k]] == anchors[i] and exts[by[k]] == exts[i]:
+            j = by[k]
+            if docs[j] == docs[i]:
+                if (tids[j], starts[j]) != (tids[own[-1]], starts[own[-1]]):  # rows that repeat both id and text
+                    own.append(j)
+            else:
+                whole.append(j)
+            k += 1
+        out["anchor"].append(anchors[i])
+        out["bytes"].append(exts[i])
+        out["doc"].append(docs[i])
+        out["places"].append(np.array([(tids[x], starts[x]) for x in own], np.int64).tobytes())
+    if whole:
+        at = np.array(whole)
+        t, s, n = merged(tid[at], start[at], start[at] + np.array([len(exts[x]) for x in whole], np.int64), _PACK - 1)
+        line = np.argsort(n, kind="stable")
+        t, s, n = t[line], s[line], n[line]
+        cuts = np.flatnonzero(np.append(True, n[1:] != n[:-1]))
+        for i, j in zip(cuts.tolist(), np.append(cuts[1:], len(n)).tolist(), strict=True):
+            for x in range(i, j, 4096):
+                y = min(j, x + 4096)
+                out["anchor"].append(int(t[x]))
+                out["bytes"].append(None)
+                out["doc"].append(int(n[x]))
+                out["places"].append(np.stack((t[x:y], s[x:y]), axis=1).astype(np.int64).tobytes())
+    return out
+
+
 _PACK = 1 << 16
 
 
@@ -231,30 +405,29 @@ def _marked(docs: DataFrame, length: int, gram: int) -> DataFrame:
     docs = docs.withColumns({"doc_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "text": F.coalesce(F.col("text").cast("string"), F.lit(""))})
     docs = docs.withColumn("tid", F.xxhash64("text")).select("doc_id", "tid", "text", "rest")
     ship(docs.sparkSession)
-    ids = docs.select("doc_id", "tid", F.md5("text").alias("m")).groupBy("tid").agg(F.min("doc_id").alias("rep"), F.min("m").alias("_a"), F.max("m").alias("_b"))
-    checked = F.when(F.col("_a") == F.col("_b"), F.col("rep")).otherwise(F.raise_error(F.lit("two texts share a 64-bit hash")))
-    ids = cut(ids.select("tid", checked.alias("rep")))
-    anchors = cut(shared_anchors(docs.select("tid", "text"), length, gram).groupBy("tid").agg(F.collect_list("anchor").alias("anchors")))
-    needed = anchors.join(ids, "tid").select(F.col("rep").alias("_id"), F.col("tid").alias("_tid"), "anchors")
+    single, ids = one_per_text(docs)
+    size = ids.agg(F.sum("n")).first()[0] or 0
+    marks = shared_anchors(single.select("tid", "text"), max(1, -(-size // BUCKET_BYTES)), length, gram)
+    marks = cut(marks.groupBy("tid").agg(F.collect_list("marks").alias("marks")))
+    needed = marks.join(ids, "tid").select(F.col("rep").alias("_id"), F.col("tid").alias("_tid"), "marks")
 
     def cut_out(b: pa.RecordBatch) -> dict:
         doc, tid, texts = b.column(0).to_numpy(), b.column(1).to_numpy(), as_bytes(b.column(2))
-        lists = b.column(b.schema.get_field_index("anchors"))
-        known = np.unique(lists.flatten().to_numpy())
-        cols: dict[str, list] = {c: [] for c in ("anchor", "doc", "tid", "start", "bytes")}
-        for r, text, a, lo, hi in extents(texts, length, gram):
-            keep = np.isin(a, known)
-            at = text[keep] + r.start
-            cols["anchor"].append(a[keep])
-            cols["doc"].append(doc[at])
-            cols["tid"].append(tid[at])
-            cols["start"].append(lo[keep])
-            cols["bytes"] += [texts[t][x:y] for t, x, y in zip(at.tolist(), lo[keep].tolist(), hi[keep].tolist(), strict=True)]
-        return {c: pa.array(np.concatenate(v) if v else np.empty(0, np.int64)) if c != "bytes" else pa.array(v, pa.binary()) for c, v in cols.items()}
-
-    with_anchors = docs.join(needed, (F.col("doc_id") == F.col("_id")) & (F.col("tid") == F.col("_tid"))).select("doc_id", "tid", "text", "rest", "anchors")
-    # rows that repeat both id and text are told apart by nothing: their equal extents count as one place
-    rows = map_arrow(with_anchors, "anchor long, doc long, tid long, start long, bytes binary", cut_out)
+        # a text's marks as 2**16 * its number + mark, sorted
+        known = np.sort(np.concatenate([np.frombuffer(b"".join(x), "<u2").astype(np.int64) + (k << 16) for k, x in enumerate(b.column(b.schema.get_field_index("marks")).to_pylist())]))
+        cols: tuple[list, ...] = ([], [], [], [])
+        exts: list[bytes] = []
+        for text, a, lo, hi in extents(texts, length, gram):
+            want = (text << 16) + _marks(a).astype(np.int64)
+            keep = known[np.minimum(np.searchsorted(known, want), len(known) - 1)] == want
+            at = text[keep]
+            for c, v in zip(cols, (a[keep], doc[at], tid[at], lo[keep]), strict=True):
+                c.append(v)
+            exts += [texts[t][x:y] for t, x, y in zip(at.tolist(), lo[keep].tolist(), hi[keep].tolist(), strict=True)]
+        return send(*(np.concatenate(c) if c else np.empty(0, np.int64) for c in cols), exts)
+
+    with_marks = docs.join(needed, (F.col("doc_id") == F.col("_id")) & (F.col("tid") == F.col("_tid"))).select("doc_id", "tid", "text", "rest", "marks")
+    rows = map_arrow(with_marks, "anchor long, bytes binary, doc long, places binary", cut_out, 12 << 20)
     found = spans(rows, length).groupBy("tid").agg(F.collect_set(F.col("start") * _PACK + F.col("size")).alias("spans"))
     found = ids.join(found, "tid", "left").select(F.col("tid").alias("_tid"), "rep", "spans")
     # spans are needed where the text stands, and whether a row is a copy of an earlier text

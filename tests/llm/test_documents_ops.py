@@ -70,50 +70,139 @@ def test_jaccard(docs, rows, k, num, den, chunk):
     assert sum(n for x, n in got.items() if x[0] is None) == 2
 
 
+def test_jaccard_of_large_groups_without_bitmaps(docs, rows, monkeypatch):
+    """Groups beyond PRUNED keep all their nodes: the result is the same."""
+    monkeypatch.setattr(jaccard, "PRUNED", 1)
+    known = [r for r in rows if r[0] is not None]
+    got = Counter(tuple(r) for r in jaccard.join(docs, 5, 8, 10, 3).collect())
+    assert Counter({x: n for x, n in got.items() if x[0] is not None}) == Counter({x: n for x, n in components(known, 5, 8, 10).items()})
+
+
+def test_join_beyond_the_broadcast_size(docs, monkeypatch):
+    from reportloom.llm import common
+
+    want = Counter(tuple(r) for r in jaccard.join(docs, 5, 8, 10).collect())
+    monkeypatch.setattr(common, "BROADCAST_KEYS", 0)
+    assert Counter(tuple(r) for r in jaccard.join(docs, 5, 8, 10).collect()) == want
+
+
+def test_one_of_each(spark):
+    r = __import__("random").Random(3)
+    a, b, c = (" ".join(str(r.randrange(10**6)) for _ in range(60)) for _ in range(3))
+    near = a + " tail"
+    rows = [(1, a), (1, a), (2, near), (7, near), (7, b), (None, a), (None, a), (9, ""), (9, ""), (11, None), (12, "  "), (5, c), (5, c + " x")]
+    got = Counter(tuple(x) for x in jaccard.one_of_each(spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, tid string"), 5, 8, 10).select("doc_id", "text").collect())
+    (five,) = [t for i, t in got if i == 5]
+    assert five in (c, c + " x")
+    assert got == Counter([(1, a), (7, b), (None, a), (None, a), (9, ""), (9, ""), (11, None), (12, "  "), (5, five)])
+
+
+def changed(a, num, den, r):
+    """A set as far from a as the threshold lets it be."""
+    b = a.copy()
+    while True:
+        c = b[r.permutation(len(b))[: len(b) - 1]] if r.random() < 0.5 and len(b) > 1 else np.append(b, r.integers(0, 1 << 64, 1, dtype=np.uint64))
+        c = np.unique(c)
+        both = len(np.intersect1d(a, c))
+        if den * both < num * (len(a) + len(c) - both):
+            return b
+        b = c
+
+
 def test_pairs_that_link_share_a_key():
     r = np.random.default_rng(1)
-    for num, den in ((9, 10), (8, 10)):
+    for num, den in ((9, 10), (8, 10), (6, 10)):
         classes = jaccard.Classes(num, den)
         for n in (1, 2, 5, 9, 10, 11, 19, 30, 47, 48, 49, 120, 500):
             for _ in range(20):
-                a = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
-                b = a.copy()
-                while True:
-                    c = b[r.permutation(len(b))[: len(b) - 1]] if r.random() < 0.5 and len(b) > 1 else np.append(b, r.integers(0, 1 << 63, 1, dtype=np.uint64))
-                    c = np.unique(c)
-                    both = len(np.intersect1d(a, c))
-                    if den * both < num * (len(a) + len(c) - both):
-                        break
-                    b = c
-                assert set(classes.keys(a).tolist()) & set(classes.keys(b).tolist())
+                a = np.unique(r.integers(0, 1 << 64, n, dtype=np.uint64))
+                b = changed(a, num, den, r)
+                assert (len(a) == len(b) and (a == b).all()) or set(classes.keys(a).tolist()) & set(classes.keys(b).tolist())
+
+
+def test_pairs_that_link_share_a_key_when_bins_stay_empty(monkeypatch):
+    """Too few bins in the first rounds, so that sets need several."""
+    r = np.random.default_rng(4)
+    plain = jaccard.Classes.bins
+    monkeypatch.setattr(jaccard.Classes, "bins", lambda self, level, round_: max(2, plain(self, level, round_) // 4))
+    classes = jaccard.Classes(8, 10)
+    for n in (6, 10, 40, 200):
+        for _ in range(20):
+            a = np.unique(r.integers(0, 1 << 64, n, dtype=np.uint64))
+            b = changed(a, 8, 10, r)
+            assert (len(a) == len(b) and (a == b).all()) or set(classes.keys(a).tolist()) & set(classes.keys(b).tolist())
+
+
+@pytest.mark.parametrize("n,low,high", [(2000, 40, 60), (5000, 600, 900), (20000, 40, 60), (20000, 300, 500)])
+def test_unrelated_sets_share_no_key(n, low, high):
+    r = np.random.default_rng(n)
+    classes = jaccard.Classes(8, 10)
+    keys = np.concatenate([classes.keys(np.unique(r.integers(0, 1 << 64, int(r.integers(low, high)), dtype=np.uint64))) for _ in range(n)])
+    assert len(np.unique(keys)) == len(keys)
+
+
+def test_long_texts_in_windows():
+    r = __import__("random").Random(8)
+    texts = [" ".join("".join(r.choice("abC") for _ in range(r.randrange(1, 30))) for _ in range(n)) + " " * (n % 3) for n in (0, 1, 3, 40, 200)] + ["x" * 500, " " * 90, "  a  "]
+    for window in (1, 5, 64, 1000):
+        for t in texts:
+            (a,), (b,) = list(jaccard.shingle_sets([t.encode()], 5)), list(jaccard.shingle_sets([t.encode()], 5, window))
+            assert a.tolist() == b.tolist()
+        assert [x.tolist() for x in jaccard.shingle_sets([t.encode() for t in texts], 5, window)] == [x.tolist() for x in jaccard.shingle_sets([t.encode() for t in texts], 5)]
+
+
+def near_sets(r, n=12):
+    sets = []
+    for _ in range(n):
+        base = np.unique(r.integers(0, 1 << 64, int(r.integers(5, 300)), dtype=np.uint64))
+        sets += [base, np.unique(np.append(base[1:], r.integers(0, 1 << 64, 1, dtype=np.uint64)))]
+    return sets
 
 
 def test_bitmaps_prune_no_link():
     r = np.random.default_rng(2)
-    sets = []
-    for _ in range(12):
-        base = np.unique(r.integers(0, 1 << 63, int(r.integers(5, 300)), dtype=np.uint64))
-        sets += [base, np.unique(np.append(base[1:], r.integers(0, 1 << 63, 1, dtype=np.uint64)))]
-    want = {(i, j) for i in range(len(sets)) for j in range(i) if 10 * (b := len(np.intersect1d(sets[i], sets[j]))) >= 8 * (len(sets[i]) + len(sets[j]) - b)}
-    alive = jaccard.with_partner([jaccard.signature(x) for x in sets], [len(x) for x in sets], 8, 10)
-    assert {k for p in want for k in p} <= set(np.flatnonzero(alive).tolist())
-    links = jaccard.tree_links(list(range(len(sets))), sets, list(range(len(sets))), 8, 10)
-    assert {tuple(sorted(x, reverse=True)) for x in links} <= want and len(links) == len({frozenset(x) for x in links})
+    groups = [near_sets(r, n) for n in (1, 12, 3, 40)]
+    alive = jaccard.with_partner([([jaccard.signature(x) for x in sets], [len(x) for x in sets]) for sets in groups], 8, 10)
+    found = jaccard.Links(8, 10)
+    at, every, whole = 0, [], set()
+    for sets, left in zip(groups, alive, strict=True):
+        want = {(i, j) for i in range(len(sets)) for j in range(i) if 10 * (b := len(np.intersect1d(sets[i], sets[j]))) >= 8 * (len(sets[i]) + len(sets[j]) - b)}
+        assert {k for p in want for k in p} <= set(np.flatnonzero(left).tolist())
+        ids = list(range(at, at + len(sets)))
+        every.append((ids, sets, ids, None))
+        whole |= {(at + i, at + j) for i, j in want}
+        at += len(sets)
+    found.add(every)
+    assert {tuple(sorted(x, reverse=True)) for x in found.found} <= whole
+    joined, exact = {found.root(i): 0 for i in range(at)}, jaccard.Links(8, 10)
+    for i, j in whole:
+        exact.link(i, j, (i, j))
+    assert len(joined) == len({exact.root(i) for i in range(at)})
+    tiles = jaccard.Links(8, 10)
+    half = [(ids, sets, ids, len(sets) // 2) for ids, sets, *_ in every]
+    tiles.add(half)
+    assert {tuple(sorted(x, reverse=True)) for x in tiles.found} == {(i, j) for i, j in whole for ids, _, _, n in half if j in ids[:n] and i in ids[n:]}
 
 
 # ------------------------------------------------------------ 2
 
 
-def test_quality(docs, rows):
-    got = {(r.doc_id, r.n_chars0): r for r in quality.apply_rules(docs).select("*", F.coalesce(F.length("row.text"), F.lit(-1)).alias("n_chars0")).collect()}
+@pytest.mark.parametrize("count", ["documents", "texts"])
+def test_quality(spark, count):
+    """With twelve copies of one text in a host: lines of theirs are frequent by documents, and one line by texts."""
+    rows = documents()
+    rows += [(1000 + k, rows[0][1], "en", "src0", None) for k in range(12)] + [(1000, rows[3][1], "en", "src0", None)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = {(r.doc_id, r.n_chars0): r for r in quality.apply_rules(docs, count=count).select("*", F.coalesce(F.length("row.text"), F.lit(-1)).alias("n_chars0")).collect()}
     lines = Counter()
-    texts = {}
+    texts, units = {}, {}
     for r in rows:
-        texts.setdefault(r[3], set()).add(r[1] or "")
+        unit = r[0] if count == "documents" else r[1] or ""
+        texts.setdefault(r[3], set()).add(unit)
+        units.setdefault((r[3], unit), []).append(r[1] or "")
     norm = lambda x: " ".join(x.split()).lower()
-    for host, ts in texts.items():
-        for t in ts:
-            lines.update({(host, norm(x)) for x in t.split("\n") if x.split()})
+    for (host, _), ts in units.items():
+        lines.update({(host, norm(x)) for t in ts for x in t.split("\n") if x.split()})
     for r in rows:
         t = r[1] or ""
         w = words(t)
@@ -223,6 +312,52 @@ def test_suffix_dedup(docs, rows):
     assert Counter(tuple(r) for r in suffixes.dedup_digests(docs).collect()) == removed(rows)
 
 
+def test_suffix_dedup_by_small_buckets(docs, rows, monkeypatch, spark):
+    from reportloom.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(suffixes, "BUCKET_BYTES", 1 << 12)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        assert Counter(tuple(r) for r in suffixes.dedup_digests(docs).collect()) == removed(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_extents_of_long_texts_in_windows(rows):
+    texts = [(r[1] or "").encode()[:3000] for r in rows]
+
+    def strings(window):
+        return {(int(t), int(a), s) for n, anchors, lo, hi in suffixes.extents(texts, window=window) for t, a, i, j in zip(n, anchors, lo, hi, strict=True) for s in range(i, j - 49)}
+
+    want = strings(None)
+    assert {(t, s) for t, _, s in want} == {(k, s) for k, x in enumerate(texts) for s in range(len(x) - 49)}
+    for window in (7, 50, 333, 2048):
+        assert strings(window) == want
+
+
+def test_merged_spans():
+    r = np.random.default_rng(6)
+    tid, start = r.integers(0, 4, 200), r.integers(0, 900, 200)
+    end = start + r.integers(1, 30, 200)
+    for most in (7, 1000):
+        got = list(zip(*map(np.ndarray.tolist, suffixes.merged(tid, start, end, most)), strict=True))
+        assert sorted((t, x) for t, s, n in got for x in range(s, s + n)) == sorted({(t, x) for t, i, j in zip(tid.tolist(), start.tolist(), end.tolist(), strict=True) for x in range(i, j)})
+        assert all(0 < n <= most for *_, n in got)
+
+
+def test_one_text_of_twenty_megabytes(spark):
+    r = np.random.default_rng(11)
+    words = np.array(["".join(r.choice(list("abcdefghij"), 6)) for _ in range(5000)])
+    long = " ".join(words[r.integers(0, 5000, 3_000_000)])
+    passage = long[9_000_000:9_000_200]
+    docs = spark.createDataFrame([(1, long), (2, "start " + passage + " end"), (3, "nothing of it")], "doc_id long, text string")
+    got = {r.doc_id: r for r in suffixes.dedup_digests(docs).collect()}
+    assert (got[1].n_removed, got[2].n_removed, got[2].n_spans, got[3].n_removed) == (0, 200, 1, 0) or (got[2].n_removed, got[2].n_spans) in ((201, 1), (202, 1))
+    n = {r.doc_id: r.n_shingles for r in jaccard.join(docs, 5, 8, 10).collect()}
+    assert n[3] == 1 and n[1] > 2_900_000
+
+
 def test_suffix_dedup_low_entropy(spark):
     r = np.random.default_rng(3)
     rows = [(k, "".join(r.choice(list("ab"), int(r.integers(0, 400))))) for k in range(30)] + [(40, "a" * 300), (41, "a" * 120 + "b"), (42, "ab" * 100), (43, "b" + "ab" * 60)]
@@ -290,7 +425,7 @@ def test_media(docs, rows, spark):
 
 # ------------------------------------------------------------ 9, 10
 
-ODD = ["<|endoftext|>a <|startoftext|>", "can't I'LL  x'd", "a b c", "é É ́x", "\x1c\x1d a\x00b", "İSTANBUL ΣΑΣ ǅ", "日本語 12345 ４５", "a\u0085b​c", "🙂🙂 ok", "x" * 3000, "﻿ bom"]
+ODD = ["<|endoftext|>a <|startoftext|>", "can't I'LL  x'd", "a b c", "é É ́x", "\x1c\x1d a\x00b", "İSTANBUL ΣΑΣ ǅ", "日本語 12345 ４５", "a\u0085b​c", "🙂🙂 ok", "x" * 3000, "﻿ bom", "it's 'S 'ſ ''t rock'n'roll 12'34 x''s", "naïve ÀÉÎ-ÿ ×÷ µ ª Œuvre straße à", "[a]{b}~`^_@  ab\ncd", "<|x|> a<|endoftext|>b"]
 
 
 def test_bpe(spark, rows):
@@ -320,6 +455,20 @@ def test_packing(spark, rows):
     assert len({r.sequence_id for r in got}) <= total // 2048 + 2
 
 
+def test_many_rows_of_one_id_and_one_text(spark):
+    """One doc_id of 10,000 rows and copies of one text: blocks stay small, and every row gets its answer."""
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rows = [(1, f"row {k} of one id") for k in range(10_000)] + [(k, "a copy") for k in range(2, 2002)] + [(5, "a copy")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter((r.doc_id, r.ids_sha256) for r in bpe.encode_decode(docs, block_bytes=20_000).collect())
+    digest = lambda x: hashlib.sha256(" ".join(map(str, t.encode(x, add_special_tokens=False).ids)).encode()).hexdigest()
+    assert got == Counter((i, digest(x)) for i, x in rows)
+    from reportloom.llm import common
+
+    single, ids = common.one_per_text(docs.withColumn("tid", F.xxhash64("text")))
+    assert single.where("text = 'a copy'").count() == 1 and ids.count() == 10_001
+
+
 def check_sequences(pieces, capacity, segments):
     by = {}
     for s, o, n in pieces:
