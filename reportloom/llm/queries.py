@@ -13,6 +13,12 @@ def _over(table: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
     return lambda spark, sf_dir: f(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
+def _packed_chats(conversations: DataFrame) -> DataFrame:
+    """Whole conversations in sequences whose loss-bearing tokens are limited, too: here to a quarter of the tokens."""
+    sizes = chat.digest(chat.format_chats(conversations)).selectExpr("conv_id AS id", "n_tokens", "n_loss_tokens AS n_loss")
+    return packing.pack(sizes, capacity=2048, max_segments=16, max_loss=512)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_signature_tree_join": _over("documents", jaccard.op1),
@@ -25,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_telephony_media": _over("documents", media.text_media),
         "op9_word_table_bpe": _over("documents", bpe.encode_decode),
         "op10_vector_bin_packing": _over("documents", packing.pack_documents),
+        "chats_packed_by_loss": _over("conversations", _packed_chats),
         "license_variants": _over("documents", licenses.variants),
         "shards_by_bytes": _over("documents", lambda docs: sharding.assign(docs).select("doc_id", "size", "shard", "slot")),
     }

@@ -1,16 +1,19 @@
 """Chat formatting, HTML extraction and the pipeline against brute force."""
 
 import hashlib
+import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from reportloom.llm import chat, html
 
 from .fixtures import SCHEMA, documents
-from .test_documents_ops import components, removed, words
+from .test_documents_ops import check_sequences, components, words
 
 TURNS = [
     (1, 0, "system", "be\nkind"), (1, 1, "user", "a <|end|>\\n b \\ <| c"), (1, 2, "assistant", "<|turn|>assistant\nx<|end|>\n"), (1, 3, "assistant", ""), (1, 4, "user", None),
@@ -35,9 +38,26 @@ def test_chat(spark, monkeypatch, segment):
         assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in turns).encode()).hexdigest()
         assert got[c].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
         assert got[c].formatted_chars == len(chat.render(turns)[0])
+    assert chat.op4(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 1
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_segments_change_no_ids(spark, monkeypatch):
+    """Ids and mask of a conversation are the same in one segment and in many."""
+
+    def whole():
+        got = {}
+        for r in sorted(chat.format_chats(spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string")).collect(), key=lambda r: r.segment):
+            ids, loss = got.setdefault(r.conv_id, ([], []))
+            ids += r.ids
+            loss += r.loss
+        return got
+
+    one = whole()
+    monkeypatch.setattr(chat, "SEGMENT_CHARS", 60)
+    assert whole() == one and any(any(loss) for _, loss in one.values())
+
+
 def test_loss_mask_brute_force():
     r = np.random.default_rng(6)
     for _ in range(200):
@@ -149,6 +169,30 @@ def test_html_survives_anything():
         html.main_blocks("".join(r.choice(parts, 30)))
 
 
+def deduped(rows, length=50):
+    """By id: what whole characters are left of each text, but for texts of which nothing is."""
+    first = {}
+    for i, x, *_ in rows:
+        b = x.encode()
+        for k in range(len(b) - length + 1):
+            first[b[k : k + length]] = min(first.get(b[k : k + length], i), i)
+    out = {}
+    for i, x, *_ in rows:
+        b = x.encode()
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - length + 1):
+            if first[b[k : k + length]] < i:
+                gone[k : k + length] = True
+        left, at = "", 0
+        for c in x:
+            n = len(c.encode())
+            left += "" if gone[at : at + n].all() else c
+            at += n
+        if left or not gone.any():
+            out[i] = left
+    return out
+
+
 def test_pipeline(spark, tmp_path):
     rows = [r for r in documents() if r[0] is not None]
     rows = list(dict.fromkeys(rows))
@@ -161,14 +205,18 @@ def test_pipeline(spark, tmp_path):
     got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, table, "").collect()]
     assert {r[0] for r in got} == near and set(got) <= set(quality)
     out = [tuple(r) for r in corpus_pipeline.suffix_dedup(spark, spark.createDataFrame(got, SCHEMA), "").collect()]
-    gone = {x[0]: x[2] for x in removed(got)}
-    before = {r[0]: r[1] for r in got}
-    for r in out:
-        assert r[4] == len(r[1]) and (r[1] == before[r[0]] if not gone[r[0]] else len(r[1]) < len(before[r[0]]))
-    assert {k for k, t in before.items() if gone[k] < len(t.encode())} - {r[0] for r in out} <= {k for k in before if gone[k]}
+    want = deduped(got)
+    assert {r[0]: r[1] for r in out} == want and all(r[4] == len(r[1]) for r in out)
+    assert 0 < sum(want[k] != t for k, t in {r[0]: r[1] for r in got}.items() if k in want)
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert {r.doc_id for r in pieces} == {r[0] for r in out}
-    assert all(n == 1 for n in Counter((r.doc_id, r.start) for r in pieces).values())
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for k, text in want.items():
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        own = sorted((r for r in pieces if r.doc_id == k), key=lambda r: r.start)
+        assert sum(r.length for r in own) == len(ids) and all(r.start == sum(x.length for x in own[:j]) for j, r in enumerate(own))
+        assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) and r.doc_tokens == len(ids) for r in own)
+    assert {r.doc_id for r in pieces} == set(want)
+    check_sequences([(r.sequence_id, r.offset, r.length) for r in pieces], 2048, 64)
     assert [c for c in corpus_pipeline.quality_rules(spark, docs, "").columns] == docs.columns
 
 
