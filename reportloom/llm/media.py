@@ -2,8 +2,10 @@
 
 A media column is a binary column of whole RIFF/WAVE files, so rows are read back without outside knowledge.
 
-Defined results: a null or empty payload is stored as silence of the shortest unit; nulls in other columns pass through;
-equal payloads give equal files and features; a file that is no WAVE file of a known codec raises ValueError.
+Defined results: a null or empty payload is stored as silence of the shortest unit; nulls in other columns pass through, null
+ids stay null; equal payloads, in repeated rows too, give equal files and features; an empty table gives an empty result;
+text_media ignores other columns, store and to_pcm keep them but replace one of the name of their output; a file that is no
+WAVE file of a known codec raises ValueError.
 """
 
 from __future__ import annotations

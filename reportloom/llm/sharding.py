@@ -9,7 +9,8 @@ splitters x fanout sums to the driver, whatever the input. It ends when every sp
 Law of the query: bytes. Shard i starts at the first key below which i/n of all bytes lie.
 
 Defined results: a null text has size 1; null ids sort before others; rows equal in id and text have one key and stay
-together, in any order among themselves; an empty table gives an empty result; other columns are not touched.
+together, in any order among themselves; an empty table gives an empty result; assign ignores other columns, write_shards keeps
+them.
 """
 
 from __future__ import annotations

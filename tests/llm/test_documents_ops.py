@@ -517,6 +517,30 @@ def test_near_copies_with_null_ids_only(spark):
     assert got == {(5, 198, 5): 1, (None, 199, 5): 3, (6, 198, 6): 1, (None, 5, None): 1}
 
 
+_CLASH = ("tid", "rep", "n", "key", "cell", "shard", "slot", "node", "size", "row", "h", "digest", "spans", "block", "words", "start", "payload", "media", "id", "label", "kept", "marks")
+
+
+@pytest.mark.parametrize("op", [jaccard.op1, quality.op2, licenses.op3, sharding.op5, suffixes.dedup_digests, media.text_media, bpe.encode_decode])
+def test_columns_that_clash_change_nothing(docs, op):
+    plain = Counter(tuple(r) for r in op(docs).collect())
+    assert Counter(tuple(r) for r in op(docs.withColumns({c: F.lit("x") for c in _CLASH})).collect()) == plain
+    assert sum(plain.values()) == docs.count()
+
+
+def test_packing_ignores_columns_that_clash(docs):
+    more = docs.withColumns({c: F.lit("x") for c in _CLASH})
+    sizes = lambda d: Counter((r.doc_id, r.doc_tokens) for r in packing.pack_documents(d).where("start = 0").collect())
+    assert sizes(more) == sizes(docs) and sum(sizes(docs).values()) == docs.count()
+
+
+def test_license_rows_repeat_and_variants_hit(spark, docs):
+    row = (None, licenses.KNOWN["ISC"], "id")
+    got = [tuple(r) for r in licenses.scan(spark.createDataFrame([row, row, (3, None, "x"), (4, "", "x")], "doc_id long, text string, license_id string")).select("doc_id", "license_id").collect()]
+    assert Counter(got) == Counter({(None, "ISC"): 2, (3, None): 1, (4, None): 1})
+    found = licenses.variants(docs).where("variant >= 0").collect()
+    assert all((r.license_id is not None) == (r.variant < 4) for r in found) and len(found) == 5 * len(licenses.KNOWN)
+
+
 @pytest.mark.parametrize("op", [jaccard.op1, quality.op2, licenses.op3, sharding.op5, suffixes.dedup_digests, media.text_media, bpe.encode_decode, packing.pack_documents])
 def test_empty_table(docs, op):
     assert op(docs.where("false")).count() == 0
