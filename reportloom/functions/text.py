@@ -33,8 +33,12 @@ def bind(value: Column, f) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
+#: The characters that WS matches.
+SPACES = "".join(map(chr, (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def strip(c: Column) -> Column:
-    return sub(c, rf"^{WS}+|{WS}+\z", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def one_line(c: Column | str) -> Column:

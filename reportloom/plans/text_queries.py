@@ -219,6 +219,19 @@ def _t46(spark: SparkSession, d: str) -> DataFrame:
     return views.view(spark, d, views.PAIRS).select("study_id", similarity.shown_diff(F.col("src_full"), F.col("cand_full")).alias("diff"))
 
 
+_COUNTED = r"len(regexp_extract_all({0}, '[\p{{L}}\p{{M}}\p{{N}}_]+'))"
+_FLAGGED = ("findings_empty", "impression_empty", "findings_word_le_1", "impression_word_le_1", "raw_starts_impression", "raw_has_findings_header", "multiple_impression_markers", "no_impression_marker", "has_time_like", "max_punct_run_char", "long_punct_run", "raw_pred_preview", "pred_findings_preview", "pred_impression_preview", "ref_impression_preview")
+
+
+@query(
+    "e3_pathology_flags",
+    rf"SELECT CAST(study_id AS VARCHAR) AS study_id, {sql.strip('findings')} = '' AS findings_empty, {sql.strip('impression')} = '' AS impression_empty, {_COUNTED.format('findings')} <= 1 AS findings_word_le_1, {_COUNTED.format('impression')} <= 1 AS impression_word_le_1, regexp_matches(raw, '^\s*/?\s*impression\s*:', 'i') AS raw_starts_impression, regexp_matches(raw, '\bfindings\s*:', 'i') AS raw_has_findings_header, m > 1 AS multiple_impression_markers, m = 0 AS no_impression_marker, regexp_matches(lower(raw), 'at\s+\d\d?:\d\d') AS has_time_like, coalesce(list_filter(runs, lambda x: length(x) = list_max(list_transform(runs, lambda y: length(y))))[1][1], '') AS max_punct_run_char, coalesce(list_max(list_transform(runs, lambda y: length(y))), 0) >= 30 AS long_punct_run, left(raw, 240) AS raw_pred_preview, left(findings, 160) AS pred_findings_preview, left(impression, 160) AS pred_impression_preview, left(ref_impression, 160) AS ref_impression_preview FROM y",
+    **G, x=split("g", "raw_pred"), y=rf"SELECT *, len(regexp_extract_all(lower(raw), '\bimpression\s*:')) AS m, regexp_extract_all(raw, '_{{10,}}|-{{10,}}') AS runs FROM (SELECT *, {sql.strip('raw_pred')} AS raw FROM x)",
+)
+def _e3(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.pathology(evaluate.predictions(views.view(spark, d, views.PREDICTIONS))).select("study_id", *_FLAGGED)
+
+
 # ---------------------------------------------------------------- gates in two stages, candidates
 
 

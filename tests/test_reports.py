@@ -444,3 +444,10 @@ def test_cohort_from_files(spark, tmp_path):
         got = io.build_cohort(*args).collect()
         assert [(r.study_id, r.split, r.ViewPosition, r.ref_findings, r.ref_impression) for r in got] == [(9, "train", "AP", "ok", "fine")]
         (tmp_path / "r.csv").write_text("")  # the second time it comes from the cache
+
+
+def test_strip_takes_all_white_space(spark):
+    marks = spark.range(0x3100).where("id < 55296").select(F.expr("char(id % 256)").alias("_"), "id").collect()
+    texts = [chr(r.id) + " a" + chr(r.id) + "b" + chr(r.id) for r in marks if r.id]
+    t = spark.createDataFrame([(x,) for x in texts], "t string")
+    assert t.where(T.strip(F.col("t")) != T.sub(F.col("t"), rf"^{T.WS}+|{T.WS}+\z", "")).count() == 0
