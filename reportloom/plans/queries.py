@@ -444,6 +444,15 @@ def _l2(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.length_outliers(_predictions(spark, d)).select("study_id", *[F.col(c).cast("long").alias(c) for c in ("pred_len", "ref_len", "len_abs_delta")])
 
 
+def repeats(source: str, key: str, text: str, longest: int = 5) -> str:
+    """T43 as a query: key, count and gram of texts with a repeat. Equal words n apart, k + n of them in a row, are an n-gram in succession."""
+    words = f"SELECT {key}, unnest(w) AS w, unnest(range(len(w))) AS i FROM (SELECT {key}, regexp_extract_all(lower({text}), '[a-z0-9:/.]+') AS w FROM {source})"
+    equal = " UNION ALL ".join(f"SELECT {key}, {n} AS n, i, coalesce(lead(w, {n}) OVER (PARTITION BY {key} ORDER BY i) = w, false) AS same FROM _words" for n in range(1, longest + 1))
+    runs = f"SELECT *, min(CASE WHEN NOT same THEN i END) OVER (PARTITION BY {key}, n ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - i AS run FROM _equal"
+    best = f"SELECT {key}, n, i, run // n + 1 AS count FROM _runs WHERE run >= n QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY run // n + 1 DESC, n, i) = 1"
+    return f"WITH _words AS ({words}), _equal AS ({equal}), _runs AS ({runs}), _best AS ({best}) SELECT b.{key}, CAST(b.count AS INTEGER) AS count, string_agg(w.w, ' ' ORDER BY w.i) AS gram FROM _best b JOIN _words w ON w.{key} = b.{key} AND w.i >= b.i AND w.i < b.i + b.n GROUP BY b.{key}, b.count"
+
+
 _FLAGGED = rf"""SELECT CAST(study_id AS VARCHAR) AS study_id, length(raw) AS raw_chars, len(regexp_extract_all(raw, '[\p{{L}}\p{{M}}\p{{N}}_]+')) AS raw_words,
   regexp_matches(raw, '^\s*and\b', 'i') AS raw_starts_and, regexp_matches(raw, '^\s*/') AS raw_starts_slash, len(regexp_extract_all(lower(raw), '\bimpression\s*:')) AS impression_marker_count,
   len(regexp_extract_all(lower(raw), 'at\s+\d\d?:\d\d\s*(a\.?m\.?|p\.?m\.?)?')) AS time_like_count,
@@ -457,9 +466,9 @@ def _e3(spark: SparkSession, d: str) -> DataFrame:
     return f.select("study_id", "raw_starts_and", "raw_starts_slash", *[F.col(c).cast("long").alias(c) for c in longs])
 
 
-@query("e3_pathology_all_columns")
+@query("e3_pathology_repeats", "SELECT CAST(w.study_id AS VARCHAR) AS study_id, coalesce(x.count, 1) AS repeat_count, coalesce(x.gram, '') AS repeat_gram, coalesce(x.count, 1) >= 5 AS has_ngram_repeat_ge_5 FROM w LEFT JOIN x USING (study_id)", **G, w=f"SELECT study_id, {sql.strip('raw_pred')} AS raw FROM g", x=repeats("w", "study_id", "raw"))
 def _e3b(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.pathology(_predictions(spark, d))
+    return evaluate.pathology(_predictions(spark, d)).select("study_id", "repeat_count", "repeat_gram", "has_ngram_repeat_ge_5")
 
 
 @query("a8_pathology_summary", "SELECT count(*) AS n, count(*) FILTER (raw_starts_and) AS raw_starts_and, count(*) FILTER (impression_marker_count > 1) AS multiple_impression_markers, count(*) FILTER (max_punct_run_len >= 30) AS long_punct_run, CAST(sum(time_like_count) AS BIGINT) AS time_like_total_occurrences, max(max_punct_run_len) AS max_punct_run_len FROM f", g=views.PREDICTIONS, f=_FLAGGED)
@@ -468,7 +477,7 @@ def _a8(spark: SparkSession, d: str) -> DataFrame:
     return s.select("n", "raw_starts_and", "multiple_impression_markers", "long_punct_run", F.col("time_like_total_occurrences"), F.col("max_punct_run_len").cast("long").alias("max_punct_run_len"))
 
 
-@query("t43_ngram_repeat")
+@query("t43_ngram_repeat", "SELECT d.doc_id, coalesce(x.count, 1) AS count, coalesce(x.gram, '') AS gram FROM documents d LEFT JOIN x USING (doc_id)", x=repeats("documents", "doc_id", "text"))
 def _t43(spark: SparkSession, d: str) -> DataFrame:
     t = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", similarity.ngram_repeat(F.col("text")).alias("g"))
     return t.select("doc_id", "g.count", "g.gram")

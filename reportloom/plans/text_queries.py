@@ -229,6 +229,7 @@ _FLAGGED = ("findings_empty", "impression_empty", "findings_word_le_1", "impress
     **G, x=split("g", "raw_pred"), y=rf"SELECT *, len(regexp_extract_all(lower(raw), '\bimpression\s*:')) AS m, regexp_extract_all(raw, '_{{10,}}|-{{10,}}') AS runs FROM (SELECT *, {sql.strip('raw_pred')} AS raw FROM x)",
 )
 def _e3(spark: SparkSession, d: str) -> DataFrame:
+    """The columns that e3_pathology_t41_t42 hasn't, but for n-gram repeats, which e3_pathology_repeats has."""
     return evaluate.pathology(evaluate.predictions(views.view(spark, d, views.PREDICTIONS))).select("study_id", *_FLAGGED)
 
 
