@@ -42,7 +42,7 @@ from reportloom.llm.common import LAST, arrow_schema, as_bytes, cut, map_arrow,
 from reportloom.llm.jaccard import HASHED, mix, powers
 
 LENGTH, GRAM = 50, 24
-_BATCH = 300_000
+_BATCH = 150_000
 #: Bytes of text whose anchors meet in one bucket, some two million.
 BUCKET_BYTES = 32 << 20
 #: Anchors of a bucket that are sorted together.
@@ -427,7 +427,7 @@ def _marked(docs: DataFrame, length: int, gram: int) -> DataFrame:
         return send(*(np.concatenate(c) if c else np.empty(0, np.int64) for c in cols), exts)
 
     with_marks = docs.join(needed, (F.col("doc_id") == F.col("_id")) & (F.col("tid") == F.col("_tid"))).select("doc_id", "tid", "text", "rest", "marks")
-    rows = map_arrow(with_marks, "anchor long, bytes binary, doc long, places binary", cut_out, 12 << 20)
+    rows = map_arrow(with_marks, "anchor long, bytes binary, doc long, places binary", cut_out)
     found = spans(rows, length).groupBy("tid").agg(F.collect_set(F.col("start") * _PACK + F.col("size")).alias("spans"))
     found = ids.join(found, "tid", "left").select(F.col("tid").alias("_tid"), "rep", "spans")
     # spans are needed where the text stands, and whether a row is a copy of an earlier text
