@@ -139,10 +139,12 @@ def structural_bank(df: DataFrame, tries: int = 5, seed: int = 42, max_delta: in
     rows = df.select("study_id", T.one_line("ref_findings").alias("findings"), T.one_line("ref_impression").alias("impression"))
     empty = rows.where("findings = '' OR impression = ''").select(F.lit("empty_ref").alias("reason"))
     tried = change_attempts(rows.where("findings <> '' AND impression <> ''"), tries, seed)
-    tried = tried.select("study_id", T.sectioned_target("findings", "impression").alias("src"), F.posexplode("attempts").alias("attempt", "a")).select("study_id", "src", "attempt", "a.*")
+    # what depends on the source is computed once a study, before its attempts become rows
+    tried = tried.withColumn("s", T.filter_form(T.sectioned_target("findings", "impression")))
+    tried = tried.withColumn("named", gates.named_words(F.col("s"))).select("study_id", "s", "named", F.posexplode("attempts").alias("attempt", "a")).select("study_id", "s", "named", "attempt", "a.*")
     tried = tried.withColumn("cand", T.sectioned_target("af", "ai"))
-    forms = F.struct(T.filter_form("src").alias("s"), T.filter_form("cand").alias("c"), gates.same_words(F.col("src"), F.col("cand")).ok.alias("same"))
-    tried = tried.withColumn("reason", T.bind(forms, lambda x: gates._first((F.col("cand") == "", "empty_cand"), (x.s == x.c, "identical"), (F.abs(F.length(x.s) - F.length(x.c)) > max_delta, "len_delta"), (~x.same, "quick_safety"))))
+    rules = lambda c: gates._first((F.col("cand") == "", "empty_cand"), (F.col("s") == c, "identical"), (F.abs(F.length("s") - F.length(c)) > max_delta, "len_delta"), (F.col("named") != gates.named_words(c), "quick_safety"))
+    tried = tried.withColumn("reason", T.bind(T.filter_form("cand"), rules))
     best = first_per(tried.where("reason = 'ok'"), "study_id", "attempt")
     nothing = F.lit(None).cast("double")
     bank = best.select(F.col("study_id").cast("string").alias("study_id"), T.keep_newlines("af").alias("aug_findings"), T.keep_newlines("ai").alias("aug_impression"), T.keep_newlines("cand").alias("aug_full"), *[nothing.alias(f"rg_{x}") for x in ("ent_p", "ent_r", "rel_p", "rel_r")])

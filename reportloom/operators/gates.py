@@ -61,9 +61,14 @@ def _first(*rules: tuple[Column, str], otherwise: str = "ok") -> Column:
     return out
 
 
+def named_words(t: Column) -> Column:
+    """The sides and the degrees that a text in the form T4 names."""
+    return F.struct(matched_words(t, SIDES).alias("lat"), matched_words(t, DEGREES).alias("sev"))
+
+
 def same_words(src: Column, cand: Column) -> Column:
     """G1: the sides and the degrees named are the same."""
-    words = F.struct(*[bind(filter_form(x), lambda t: F.struct(matched_words(t, SIDES).alias("lat"), matched_words(t, DEGREES).alias("sev"))).alias(n) for n, x in (("s", src), ("c", cand))])
+    words = F.struct(*[bind(filter_form(x), named_words).alias(n) for n, x in (("s", src), ("c", cand))])
 
     def judge(w: Column) -> Column:
         ok = (w.s.lat == w.c.lat) & (w.s.sev == w.c.sev)
