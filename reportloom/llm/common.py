@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from reportloom.session import cut, scratch, ship
 
-__all__ = ["arrow_schema", "as_bytes", "cut", "map_arrow", "one_per_text", "partitions", "pick", "record", "scratch", "ship", "slices"]
+__all__ = ["arrow_schema", "as_bytes", "cut", "map_arrow", "one_per_text", "partitions", "pick", "record", "release", "scratch", "ship", "slices"]
 
 #: Words are maximal runs of bytes other than ASCII white space, as bytes.split() gives them.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -54,6 +55,19 @@ def slices(b: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
         yield b.slice(at, step)
 
 
+try:  # glibc keeps what numpy frees, unless it is told to give it back
+    _TRIM = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):
+    _TRIM = None
+
+
+def release() -> None:
+    """Give a worker's free memory back to the machine, on which an executor's JVM and other workers need it."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def map_arrow(df: DataFrame, schema: str, f: Callable[[pa.RecordBatch], dict | None], size: int = 8 << 20) -> DataFrame:
     """df.mapInArrow with f from a part of a batch, of about `size` bytes, to the columns of a batch of any length."""
     ship(df.sparkSession)
@@ -64,7 +78,8 @@ def map_arrow(df: DataFrame, schema: str, f: Callable[[pa.RecordBatch], dict | N
             for part in slices(b, size):
                 if (got := f(part)) is not None:
                     yield record(got, out)
-            pa.default_memory_pool().release_unused()
+                    del got
+                release()
 
     return df.mapInArrow(run, schema)
 

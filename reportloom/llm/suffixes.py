@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reportloom.llm.bpe import chunks
-from reportloom.llm.common import LAST, arrow_schema, as_bytes, cut, map_arrow, one_per_text, record, ship
+from reportloom.llm.common import LAST, arrow_schema, as_bytes, cut, map_arrow, one_per_text, record, release, ship
 from reportloom.llm.jaccard import HASHED, mix, powers
 
 LENGTH, GRAM = 50, 24
@@ -211,6 +211,7 @@ def shared_anchors(texts: DataFrame, buckets: int, length: int, gram: int) -> Da
                     if bucket != now and rows:
                         put(shared(rows))
                         rows = []
+                        release()
                     now = bucket
                     rows.append((base, anchors, owners, known))
                 if held > 4 * _RANGE:
@@ -219,6 +220,7 @@ def shared_anchors(texts: DataFrame, buckets: int, length: int, gram: int) -> Da
             put(shared(rows))
         if held:
             yield given()
+        release()
 
     asked = map_arrow(texts, "bucket int, base long, anchors binary, owners binary, tids binary", ask).repartition("bucket").sortWithinPartitions("bucket")
     return asked.mapInArrow(answer, "tid long, marks binary")
@@ -299,6 +301,7 @@ def spans(rows: DataFrame, length: int) -> DataFrame:
                             put(tid, start + int(o[k]), prefix)
                 exts.clear(), docs.clear(), places.clear()
                 size = 0
+                release()
 
         def ended() -> None:
             nonlocal size
@@ -335,6 +338,7 @@ def spans(rows: DataFrame, length: int) -> DataFrame:
         scan()
         if out[0]:
             yield given()
+        release()
 
     dealt = rows.select("anchor", "bytes", "doc", "places").repartition("anchor").sortWithinPartitions("anchor", "bytes", "doc")
     return dealt.mapInArrow(run, "tid long, start long, size long")
