@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reportloom.llm import bpe, chat, html, jaccard, licenses, media, packing, quality, sharding, spelling, suffixes
+from reportloom.llm import alignment, bpe, chat, html, jaccard, licenses, media, packing, quality, sharding, spelling, suffixes
 
 
 def _over(table: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -32,6 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_word_table_bpe": _over("documents", bpe.encode_decode),
         "op10_vector_bin_packing": _over("documents", packing.pack_documents),
         "op11_deletion_key_variants": _over("documents", spelling.variants),
+        "op12_token_alignment": _over("documents", alignment.corpus_links),
         "chats_packed_by_loss": _over("conversations", _packed_chats),
         "license_variants": _over("documents", licenses.variants),
         "shards_by_bytes": _over("documents", lambda docs: sharding.assign(docs).select("doc_id", "size", "shard", "slot")),
