@@ -76,28 +76,28 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def _word_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, polynomial sum) of each word of bytes, ASCII letters in lower case."""
+def _word_sums(data: np.ndarray, values: np.ndarray = _BYTE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, polynomial sum) of each word of bytes; by default ASCII letters count in lower case."""
     space = _SPACE[data]
     edge = np.diff(space.view(np.int8), prepend=1, append=1)
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     up, down = powers(len(data) + 1)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64)))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values[data] * up[: len(data)], dtype=np.uint64)))
     return start, end, (total[end] - total[start]) * down[start]
 
 
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, values: np.ndarray = _BYTE) -> tuple[np.ndarray, np.ndarray]:
     """(start, hash) of each word of bytes."""
-    start, _, sums = _word_sums(data)
+    start, _, sums = _word_sums(data, values)
     return start, mix(sums)
 
 
-def long_word_hashes(text: bytes, window: int) -> np.ndarray:
+def long_word_hashes(text: bytes, window: int, values: np.ndarray = _BYTE) -> np.ndarray:
     """The hash of each word of a text, of which a window at a time is held as numbers; a word may cross any number of windows."""
     out, carry, size = [], 0, 0  # the sum and the length of the word that the last window left open
     for at in range(0, len(text), window):
         data = np.frombuffer(text, np.uint8, min(window, len(text) - at), at)
-        start, end, sums = _word_sums(data)
+        start, end, sums = _word_sums(data, values)
         if size and not (len(start) and start[0] == 0):
             out.append(np.array([carry], np.uint64))
             carry = size = 0

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reportloom.llm import alignment, bpe, chat, html, jaccard, licenses, media, packing, quality, sharding, spelling, suffixes
+from reportloom.llm import alignment, bpe, chat, html, jaccard, licenses, media, packing, quality, sharding, spelling, suffixes, windows
 
 
 def _over(table: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -33,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_vector_bin_packing": _over("documents", packing.pack_documents),
         "op11_deletion_key_variants": _over("documents", spelling.variants),
         "op12_token_alignment": _over("documents", alignment.corpus_links),
+        "op13_count_min_windows": _over("documents", windows.dedup_words),
         "chats_packed_by_loss": _over("conversations", _packed_chats),
         "license_variants": _over("documents", licenses.variants),
         "shards_by_bytes": _over("documents", lambda docs: sharding.assign(docs).select("doc_id", "size", "shard", "slot")),
@@ -46,6 +47,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_license_digests": licenses.ORACLE,
         "op4_chat_loss_masks": chat.ORACLE,
         "op6_interval_tree_dedup": suffixes.ORACLE,
+        "op13_count_min_windows": windows.ORACLE,
         "license_variants": licenses.VARIANTS_ORACLE,
         "shards_by_bytes": sharding.ORACLE,
     }
