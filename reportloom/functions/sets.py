@@ -1,12 +1,10 @@
-"""Set overlap, entity annotations, label vectors and scores, as Columns."""
+"""Set overlap, parsed annotations, label vectors and scores, as Columns; annotations are compared in operators.graphs."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from reportloom.functions.text import clean_tokens
-
 ENTITY = "map<string,struct<tokens:array<string>,label:string,relations:array<array<string>>>>"
 
 
@@ -27,45 +25,6 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)).cast("double") / F.greatest(F.lit(1), union)
 
 
-def _key(entity: Column) -> Column:
-    return F.struct(clean_tokens(entity.tokens).alias("tokens"), F.trim(F.coalesce(entity.label, F.lit(""))).alias("label"))
-
-
-def entities(annotation: Column) -> Column:
-    """M7: the distinct (tokens, label) of an annotation map; null gives none."""
-    found = F.array_distinct(F.transform(F.map_values(annotation), _key))
-    return F.coalesce(found, F.array().cast("array<struct<tokens:array<string>,label:string>>"))
-
-
-def relations(annotation: Column) -> Column:
-    """M7: the distinct (source, type, target); a relation of other than two parts or with an unknown target is skipped."""
-
-    def of(entity: Column) -> Column:
-        good = F.filter(F.coalesce(entity.relations, F.array().cast("array<array<string>>")), lambda r: (F.size(r) == 2) & F.try_element_at(annotation, r[1]).isNotNull())
-        return F.transform(good, lambda r: F.struct(_key(entity).alias("source"), r[0].alias("type"), _key(F.try_element_at(annotation, r[1])).alias("target")))
-
-    kind = "struct<tokens:array<string>,label:string>"
-    found = F.array_distinct(F.flatten(F.transform(F.map_values(annotation), of)))
-    return F.coalesce(found, F.array().cast(f"array<struct<source:{kind},type:string,target:{kind}>>"))
-
-
-def entities_related(annotation: Column) -> Column:
-    """The entities, each with whether it has relations."""
-    none = F.array().cast("array<struct<tokens:array<string>,label:string,related:boolean>>")
-    found = F.array_distinct(F.transform(F.map_values(annotation), lambda e: F.struct(clean_tokens(e.tokens).alias("tokens"), F.trim(F.coalesce(e.label, F.lit(""))).alias("label"), (F.coalesce(F.size(e.relations), F.lit(0)) > 0).alias("related"))))
-    return F.coalesce(found, none)
-
-
-def entities_and_relations(annotation: Column) -> Column:
-    """The entities without relations, and the relations, as texts."""
-
-    def key(x: Column) -> Column:
-        return F.concat_ws("\x01", F.array_join(x.tokens, " "), x.label)
-
-    lone = F.transform(F.filter(entities_related(annotation), lambda e: ~e.related), key)
-    return F.array_distinct(F.concat(lone, F.transform(relations(annotation), lambda r: F.concat_ws("\x02", key(r.source), r.type, key(r.target)))))
-
-
 def annotation(json: Column) -> Column:
     """M6: the entity map of an annotation in JSON, through wrappings of up to four levels with one key, or with key 0."""
     now = json
@@ -79,17 +38,6 @@ def annotation(json: Column) -> Column:
     return F.transform_values(parsed, lambda _, e: F.struct(F.flatten(F.transform(e.tokens, lambda t: F.split(t, " "))).alias("tokens"), e.label.alias("label"), e.relations.alias("relations")))
 
 
-def pair_stats(ref: Column, hyp: Column) -> dict[str, Column]:
-    """Precision, recall, extra and missing counts of entities and relations of two annotations."""
-    out = {}
-    for name, of in (("ent", entities), ("rel", relations)):
-        r, h = of(ref), of(hyp)
-        out[f"{name}_p"], out[f"{name}_r"] = overlap(r, h)
-        out[f"extra_{name}"] = F.size(F.array_except(h, r))
-        out[f"miss_{name}"] = F.size(F.array_except(r, h))
-    return out
-
-
 def label_agreement(src: Column, cand: Column) -> dict[str, Column]:
     """Counts over two label vectors (1 positive, 0 negative)."""
 

@@ -11,10 +11,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reportloom.functions import sets
 from reportloom.functions.sections import split_prediction
 from reportloom.functions.similarity import ROUGE, ngram_repeat, rouge_scores
 from reportloom.functions.text import WS, bind, counted, punctuation_run, runs, scorer_form, strip, text, tokens_13a, unescaped, word_count
+from reportloom.operators import graphs
 from reportloom.operators.select import PRIME, det_rand, ordinal
 from reportloom.session import cut
 
@@ -82,11 +82,12 @@ def safe_mean(c: Column) -> Column:
 
 def overlap_detail(df: DataFrame, ref: str = "ref_ann", hyp: str = "hyp_ann") -> DataFrame:
     """Mean precision and recall of entities and relations; rows without an annotation are skipped and counted."""
-    s = sets.pair_stats(F.col(ref), F.col(hyp))
+    rows = graphs.numbered(df, ref, hyp)
     scored = F.col(ref).isNotNull() & F.col(hyp).isNotNull()
     names = {"ent_p": "entity_precision", "ent_r": "entity_recall", "rel_p": "relation_precision", "rel_r": "relation_recall"}
-    rows = df.select(scored.alias("ok"), *[F.when(scored, s[k]).alias(k) for k in names])
-    return rows.agg(F.count("*").alias("n"), F.count_if("ok").alias("n_scored"), F.count_if(~F.col("ok")).alias("n_skipped"), *[safe_mean(F.col(k)).alias(v) for k, v in names.items()])
+    n = rows.agg(F.count("*").alias("n"), F.count_if(scored).alias("n_scored"), F.count_if(~scored).alias("n_skipped"))
+    means = graphs.overlap(rows.where(scored), "_row", ref, hyp).agg(*[safe_mean(F.col(k)).alias(v) for k, v in names.items()])
+    return n.crossJoin(means)  # a row with a row
 
 
 def sanitised(df: DataFrame, *columns: str, form: Callable[[str], Column] = scorer_form) -> DataFrame:
@@ -154,12 +155,17 @@ def entity_f1(df: DataFrame, pred: str = "hyp_ann", ref: str = "ref_ann") -> Dat
     A row without an annotation on either side scores 0; without rows the means are 0.
     """
 
-    def f1(a: Column, b: Column) -> Column:
-        both, n = F.size(F.array_intersect(a, b)), F.size(a) + F.size(b)
-        return F.when(F.col(pred).isNull() | F.col(ref).isNull(), 0.0).when(n == 0, 1.0).otherwise(2.0 * both / F.greatest(n, F.lit(1)))
+    rows = graphs.numbered(df, ref, pred)
+    there = F.col(pred).isNotNull() & F.col(ref).isNotNull()
+    forms = {"rg_e": "entities", "rg_er": "related", "rg_bar_er": "graph"}
 
-    forms = {"rg_e": sets.entities, "rg_er": sets.entities_related, "rg_bar_er": sets.entities_and_relations}
-    return df.select(*[f1(of(F.col(pred)), of(F.col(ref))).alias(k) for k, of in forms.items()]).agg(F.count("*").alias("n"), *[safe_mean(F.col(k)).alias(k) for k in forms])
+    def f1(kind: str) -> Column:
+        n = F.col(f"{kind}_ref") + F.col(f"{kind}_hyp")
+        return F.when(n == 0, 1.0).otherwise(2.0 * F.col(f"{kind}_both") / F.greatest(n, F.lit(1)))
+
+    sums = graphs.counted(rows.where(there), "_row", ref, pred, tuple(forms.values())).agg(*[F.coalesce(F.sum(f1(kind)), F.lit(0.0)).alias(k) for k, kind in forms.items()])
+    n = F.greatest(F.col("n"), F.lit(1))
+    return rows.agg(F.count("*").alias("n")).crossJoin(sums).select("n", *[(F.col(k) / n).alias(k) for k in forms])  # a row with a row
 
 
 VIEWS = ("findings", "impression", "full")

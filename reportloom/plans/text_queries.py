@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reportloom.functions import sections, sets, similarity
 from reportloom.functions import text as T
-from reportloom.operators import augment, candidates, evaluate, gates, manifests
+from reportloom.operators import augment, candidates, evaluate, gates, graphs, manifests
 from reportloom.plans import sql, views
 from reportloom.plans.registry import query
 
@@ -356,7 +356,8 @@ def annotated(spark: SparkSession, d: str) -> DataFrame:
         return F.when(F.size(words) > 0, F.map_from_entries(F.transform(words, entity)))
 
     a = F.split("ref_findings", " ")
-    return reports(spark, d).select("study_id", ann(a).alias("ref_ann"), ann(F.filter(a, lambda w, i: i % 7 != F.col("study_id") % 9)).alias("hyp_ann"))
+    rows = reports(spark, d).select("study_id", "ref_findings").repartition("study_id")  # a table of one file is one partition
+    return rows.select("study_id", ann(a).alias("ref_ann"), ann(F.filter(a, lambda w, i: i % 7 != F.col("study_id") % 9)).alias("hyp_ann"))
 
 
 _KEY = "regexp_replace(lower({0}), '[^a-z0-9]+', '', 'g')"
@@ -385,9 +386,8 @@ _OVERLAP = {
 )
 def _g6(spark: SparkSession, d: str) -> DataFrame:
     """A14, M7, G6, G15 over whole texts."""
-    s = sets.pair_stats(F.col("ref_ann"), F.col("hyp_ann"))
-    t = annotated(spark, d).where("hyp_ann IS NOT NULL").select("study_id", *[v.alias(k) for k, v in s.items()])
-    x = {k: F.col(k) for k in s}
+    t = graphs.overlap(annotated(spark, d).where("hyp_ann IS NOT NULL"), "study_id")
+    x = {k: F.col(k) for k in t.columns}
     return t.select("study_id", gates.entities_kept(x).reason.alias("reason"), F.round(gates.candidate_score(x), 6).alias("score"), *[F.round(k, 9).alias(k) for k in ("ent_p", "ent_r", "rel_p", "rel_r")])
 
 
