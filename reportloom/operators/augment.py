@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from reportloom.config import image_recipe
 from reportloom.functions import text as T
-from reportloom.operators import gates
+from reportloom.functions.twister import change_plans, coin_and_choice
+from reportloom.operators import gates, graphs
 from reportloom.operators.select import det_rand, first_per, integer_key
-from reportloom.session import ship
+from reportloom.session import cut, ship
 
 
 def alternatives(df: DataFrame, key: str, value: str, order: str | Column, keep_newlines: bool = False) -> DataFrame:
@@ -39,18 +40,28 @@ def paraphrase_map(df: DataFrame, order: str = "cand_id") -> DataFrame:
     return alternatives(df, key, value, order)
 
 
-def training_view(df: DataFrame, alts: DataFrame | None = None, apply_p: float = 0.0, seed: int = 0, index: str = "study_id", form: str | None = None, eos: str | None = None, is_train: bool = True) -> DataFrame:
-    """V1: prompt, target, used_aug and full_text of each row; the coin falls for a text if its number is at most apply_p."""
+def training_view(df: DataFrame, alts: DataFrame | None = None, apply_p: float = 0.0, seed: int = 0, index: str = "study_id", form: str | None = None, eos: str | None = None, is_train: bool = True, draws: str = "portable") -> DataFrame:
+    """V1, M9: prompt, target, used_aug and full_text of each row; the coin falls for a text if its number is at most apply_p.
+
+    draws: portable, by whole-number arithmetic; sequential, those of random.Random(seed * 1000003 + index).
+    """
+    if draws not in ("portable", "sequential"):
+        raise ValueError(f"draws are portable or sequential, not {draws}")
     p = apply_p if is_train else 0.0
     rows = df.withColumn("_k", integer_key(F.col("study_id")))
     rows = rows.join(alts.withColumnRenamed("study_key", "_k"), "_k", "left") if alts is not None else rows.withColumn("alts", F.lit(None).cast("array<string>"))
     n = F.coalesce(F.size("alts"), F.lit(0))
-    used = (n > 0) & F.lit(p > 0) & (det_rand(F.col(index), seed) <= p)
-    pick = F.try_element_at("alts", (F.floor(det_rand(F.col(index), seed + 1) * n) + 1).cast("int"))
+    if draws == "sequential":
+        rows = rows.withColumn("_d", coin_and_choice(F.lit(seed * 1_000_003) + F.col(index), n))
+        u, at = F.col("_d.u"), F.col("_d.pick")
+    else:
+        u, at = det_rand(F.col(index), seed), F.floor(det_rand(F.col(index), seed + 1) * n)
+    used = (n > 0) & F.lit(p > 0) & (u <= p)
+    pick = F.try_element_at("alts", (at + 1).cast("int"))
     target = F.when(used, T.ended(T.augmented_target(pick), eos)).otherwise(T.target("ref_findings", "ref_impression", form, eos))
     out = rows.withColumns({"prompt": T.prompt("indication"), "used_aug": used, "target": target})
     between = F.when(T.on_new_line("target"), F.lit("\n")).otherwise(F.lit(" "))
-    return out.withColumn("full_text", F.concat("prompt", between, "target")).drop("_k", "alts")
+    return out.withColumn("full_text", F.concat("prompt", between, "target")).drop("_k", "alts", "_d")
 
 
 def chat_view(view: DataFrame) -> DataFrame:
@@ -79,15 +90,29 @@ def in_drawn_order(parts: Column, key: Column, seed: int) -> Column:
     return F.transform(F.array_sort(drawn), lambda e: e.x)
 
 
+def _joined(parts: Column, pick: Column) -> Column:
+    """Sentences in one of three styles."""
+    return F.when(pick == 0, T.join_sentences(parts, 0, True)).when(pick == 1, T.join_sentences(parts, 1, True)).otherwise(T.join_sentences(parts, 2, True))
+
+
 def _mixed(parts: Column, key: Column, seed: int) -> Column:
     """Sentences in another order, now and then with short ones merged, joined in a drawn style; '' where one depends on another."""
     pick = F.floor(det_rand(key * 64 + 62, seed) * STYLES)
+    new = T.bind(in_drawn_order(parts, key, seed), lambda p: F.when(det_rand(key * 64 + 61, seed) < MERGED, T.merge_short(p, normal=True)).otherwise(p))
+    return F.when(T.can_shuffle(parts), T.bind(new, lambda p: _joined(p, pick))).otherwise("")
 
-    def joined(p: Column) -> Column:
-        return F.when(pick == 0, T.join_sentences(p, 0, True)).when(pick == 1, T.join_sentences(p, 1, True)).otherwise(T.join_sentences(p, 2, True))
 
-    new = T.bind(in_drawn_order(parts, key, seed), lambda p: F.when(det_rand(key * 64 + 61, seed) < MERGED, T.merge_short(p, normal=True)).otherwise(p))
-    return F.when(T.can_shuffle(parts), T.bind(new, joined)).otherwise("")
+def _others(t: Column, parts: Column, listed: Column) -> tuple[Column, Column, Column]:
+    """The changes but the first, '' where one isn't made."""
+    return (
+        F.when(listed & (F.size(parts) > 0), T.join_sentences(parts, 1, True)).otherwise(""), F.when(listed | (F.size(parts) < 2), "").otherwise(T.join_sentences(parts, 3, True)),
+        T.sub(t, rf"{T.WS}+([,.;])", "$1"),
+    )
+
+
+def _new(made: Column, t: Column) -> Column:
+    """What a change made, in normal form; null where it is empty or the text as it was."""
+    return T.bind(T.keep_newlines(made), lambda y: F.when((y != "") & (y != t), y))
 
 
 def change(c: Column | str, key: Column, seed: int = 42) -> Column:
@@ -98,16 +123,13 @@ def change(c: Column | str, key: Column, seed: int = 42) -> Column:
 
     def of(x: Column) -> Column:
         t, parts, listed = x.t, x.parts, x.listed
-        made = (
-            _mixed(parts, key, seed), F.when(listed & (F.size(parts) > 0), T.join_sentences(parts, 1, True)).otherwise(""), F.when(listed | (F.size(parts) < 2), "").otherwise(T.join_sentences(parts, 3, True)),
-            T.sub(t, rf"{T.WS}+([,.;])", "$1"),
-        )
+        made = (_mixed(parts, key, seed), *_others(t, parts, listed))
 
         def attempt(found: Column, n: Column) -> Column:
             new = F.lit("")
             for k, one in enumerate(made):
                 new = F.when(n == k, one).otherwise(new)
-            return F.when(found.isNotNull(), found).otherwise(T.bind(T.keep_newlines(new), lambda y: F.when((y != "") & (y != t), y)))
+            return F.when(found.isNotNull(), found).otherwise(_new(new, t))
 
         order = in_drawn_order(F.array(*[F.lit(k) for k in range(len(CHANGES))]), key, seed + 1)
         return F.coalesce(F.aggregate(order, F.lit(None).cast("string"), attempt), t)
@@ -118,8 +140,50 @@ def change(c: Column | str, key: Column, seed: int = 42) -> Column:
     return T.bind(T.keep_newlines(c), cut)
 
 
-def change_attempts(df: DataFrame, tries: int = 5, seed: int = 42) -> DataFrame:
-    """Rows (study_id, findings, impression) with attempts: array of (af, ai), each with draws of its own."""
+def _prepared(c: Column | str) -> Column:
+    """What a text's drawn changes are made of: the text in normal form, its sentences, whether they may be mixed, and the other changes' results."""
+
+    def of(x: Column) -> Column:
+        return F.struct(x.t.alias("t"), x.parts.alias("parts"), T.can_shuffle(x.parts).alias("mixes"), F.array(*[_new(y, x.t) for y in _others(x.t, x.parts, x.listed)]).alias("others"))
+
+    return T.bind(T.keep_newlines(c), lambda t: T.bind(F.struct(t.alias("t"), T.split_sentences(t).alias("parts"), T.lists(t).alias("listed")), of))
+
+
+def _as_planned(x: Column, plan: Column) -> Column:
+    """T16 of a prepared text with the draws of a plan (twister.change_plans)."""
+    placed = F.transform(plan.places, lambda i: F.get(x.parts, i))
+    mixed = _new(T.bind(F.when(plan.merged, T.merge_short(placed, normal=True)).otherwise(placed), lambda p: _joined(p, plan.style)), x.t)
+
+    def attempt(found: Column, n: Column) -> Column:
+        return F.when(found.isNotNull(), found).when(n == 0, F.when(plan.places.isNotNull(), mixed)).otherwise(F.get(x.others, n - 1))
+
+    return F.coalesce(F.aggregate(plan.order, F.lit(None).cast("string"), attempt), x.t)
+
+
+def _sequential_attempts(df: DataFrame, tries: int, seed: int) -> DataFrame:
+    rows = df.withColumns({"_f": _prepared("findings"), "_i": _prepared("impression")})
+
+    def text(x: str) -> tuple[Column, Column, Column]:
+        sentences = F.when(F.col(f"{x}.mixes"), F.size(f"{x}.parts")).otherwise(0)
+        return F.col(f"{x}.t") != "", sentences, F.transform(f"{x}.others", lambda y: y.isNotNull())
+
+    generator = F.lit(seed) + F.pmod(F.col("study_id").cast("long"), F.lit(10_000_000))
+    # kept, so that what is prepared is made once, and no Python function stands within what follows
+    rows = cut(rows.withColumn("_p", change_plans(generator, [text("_f"), text("_i")], tries, len(CHANGES), MERGED, STYLES)))
+    turns = [F.struct(_as_planned(F.col("_f"), F.col("_p")[2 * k]).alias("af"), _as_planned(F.col("_i"), F.col("_p")[2 * k + 1]).alias("ai")) for k in range(tries)]
+    return rows.withColumn("attempts", F.array(*turns)).drop("_f", "_i", "_p")
+
+
+def change_attempts(df: DataFrame, tries: int = 5, seed: int = 42, draws: str = "portable") -> DataFrame:
+    """Rows (study_id, findings, impression) with attempts: array of (af, ai).
+
+    draws: portable, each attempt has draws of its own by whole-number arithmetic; sequential, all attempts of a study, its
+    findings and impression in turn, draw from one random.Random(seed + study_id % 10 million).
+    """
+    if draws not in ("portable", "sequential"):
+        raise ValueError(f"draws are portable or sequential, not {draws}")
+    if draws == "sequential":
+        return _sequential_attempts(df, tries, seed)
     sid = F.col("study_id").cast("long") % 1_000_000
 
     def attempt(k: int) -> Column:
@@ -131,24 +195,44 @@ def change_attempts(df: DataFrame, tries: int = 5, seed: int = 42) -> DataFrame:
     return df.withColumn("attempts", F.array(*[attempt(k) for k in range(tries)]))
 
 
-def structural_bank(df: DataFrame, tries: int = 5, seed: int = 42, max_delta: int = 800) -> tuple[DataFrame, DataFrame]:
-    """(bank, reasons): each study's first attempt that passes all gates, and the counts of what was rejected.
+_AGREEMENT = ("ent_p", "ent_r", "rel_p", "rel_r")
+
+
+def structural_bank(df: DataFrame, tries: int = 5, seed: int = 42, max_delta: int = 800, draws: str = "portable", annotator: Callable[[DataFrame], DataFrame] | None = None, limits: gates.Limits = gates.STRUCTURAL) -> tuple[DataFrame, DataFrame]:
+    """(bank, reasons): each study's best attempt that passes all gates, and the counts of what was rejected.
 
-    Without an annotator every score is 0 and the first passing attempt wins. Attempts go through the gates as rows.
+    Attempts go through the gates as rows. An annotator takes rows (_row, src, cand), those that passed the other gates, and
+    gives (_row, ref_ann, hyp_ann): attempts whose entities and relations don't agree are rejected (rg_ and the reason), and of
+    the others the one of the highest score is best, the first of equals. Without one the first passing attempt is best.
     """
     rows = df.select("study_id", T.one_line("ref_findings").alias("findings"), T.one_line("ref_impression").alias("impression"))
     empty = rows.where("findings = '' OR impression = ''").select(F.lit("empty_ref").alias("reason"))
-    tried = change_attempts(rows.where("findings <> '' AND impression <> ''"), tries, seed)
+    tried = change_attempts(rows.where("findings <> '' AND impression <> ''"), tries, seed, draws)
     # what depends on the source is computed once a study, before its attempts become rows
-    tried = tried.withColumn("s", T.filter_form(T.sectioned_target("findings", "impression")))
-    tried = tried.withColumn("named", gates.named_words(F.col("s"))).select("study_id", "s", "named", F.posexplode("attempts").alias("attempt", "a")).select("study_id", "s", "named", "attempt", "a.*")
+    tried = tried.withColumns({"source": T.sectioned_target("findings", "impression")})
+    tried = tried.withColumn("s", T.filter_form("source"))
+    tried = tried.withColumn("named", gates.named_words(F.col("s"))).select("study_id", "source", "s", "named", F.posexplode("attempts").alias("attempt", "a")).select("study_id", "source", "s", "named", "attempt", "a.*")
     tried = tried.withColumn("cand", T.sectioned_target("af", "ai"))
     rules = lambda c: gates._first((F.col("cand") == "", "empty_cand"), (F.col("s") == c, "identical"), (F.abs(F.length("s") - F.length(c)) > max_delta, "len_delta"), (F.col("named") != gates.named_words(c), "quick_safety"))
-    tried = tried.withColumn("reason", T.bind(T.filter_form("cand"), rules))
-    best = first_per(tried.where("reason = 'ok'"), "study_id", "attempt")
+    tried = tried.withColumn("reason", T.bind(T.filter_form("cand"), rules)).drop("s", "named")
+    rejected = tried.where("reason <> 'ok'").select("reason")
     nothing = F.lit(None).cast("double")
-    bank = best.select(F.col("study_id").cast("string").alias("study_id"), T.keep_newlines("af").alias("aug_findings"), T.keep_newlines("ai").alias("aug_impression"), T.keep_newlines("cand").alias("aug_full"), *[nothing.alias(f"rg_{x}") for x in ("ent_p", "ent_r", "rel_p", "rel_r")])
-    return bank, reject_reasons(empty.union(tried.where("reason <> 'ok'").select("reason")))
+    if annotator is None:
+        passed = tried.where("reason = 'ok'").withColumns({"score": F.lit(0.0), **{x: nothing for x in _AGREEMENT}})
+    else:
+        # the tried rows are kept, so that all that follows sees the same numbers
+        tried = cut(tried.withColumn("_row", F.monotonically_increasing_id()))
+        rejected = tried.where("reason <> 'ok'").select("reason")
+        passed = tried.where("reason = 'ok'")
+        found = graphs.overlap(annotator(passed.select("_row", F.col("source").alias("src"), "cand")), "_row")
+        x = {k: F.col(k) for k in found.columns}
+        found = found.withColumns({"score": gates.candidate_score(x), "rg": gates.entities_kept(x, limits).reason})
+        judged = passed.join(found.select("_row", "score", "rg", *_AGREEMENT), "_row")
+        rejected = rejected.union(judged.where("rg <> 'ok'").select(F.concat(F.lit("rg_"), "rg")))
+        passed = judged.where("rg = 'ok'")
+    best = first_per(passed, "study_id", F.desc("score"), "attempt")
+    bank = best.select(F.col("study_id").cast("string").alias("study_id"), T.keep_newlines("af").alias("aug_findings"), T.keep_newlines("ai").alias("aug_impression"), T.keep_newlines("cand").alias("aug_full"), *[F.col(x).alias(f"rg_{x}") for x in _AGREEMENT])
+    return bank, reject_reasons(empty.union(rejected))
 
 
 def reject_reasons(rows: DataFrame, top: int = 20) -> DataFrame:
