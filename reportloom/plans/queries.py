@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reportloom.functions import sections, sets, similarity
 from reportloom.functions import text as T
-from reportloom.operators import augment, cohort, evaluate, gates, manifests, select
+from reportloom.operators import augment, cohort, evaluate, gates, manifests, resampling, select
 from reportloom.plans import sql, views
 from reportloom.plans.registry import QUERIES, SQL, Query, query
 from reportloom.sources import io
@@ -508,6 +508,16 @@ def _a12(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- training views, vectors
 
 
+@query("a11_bootstrap_by_splitting", "SELECT avg(n_chars) AS mean, count(n_chars) AS n, CAST(200 AS BIGINT) AS resamples, count(n_chars) * 200 AS draws, true AS around_mean FROM documents")
+def _a11_splitting(spark: SparkSession, d: str) -> DataFrame:
+    """A11 with counts drawn by splitting: the numbers that any draws have."""
+    values = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), "n_chars")
+    reps, whole = resampling.resampled_sums(values, "n_chars", 200)
+    q = reps.agg(F.count("*").alias("resamples"), F.sum("n").alias("draws"), F.percentile(F.col("s") / F.col("n"), F.lit(0.025)).alias("low"), F.percentile(F.col("s") / F.col("n"), F.lit(0.975)).alias("high"))
+    mean = F.col("s") / F.col("n")
+    return whole.crossJoin(q).select(mean.alias("mean"), "n", "resamples", "draws", mean.between(F.col("low"), F.col("high")).alias("around_mean"))  # a row with a row
+
+
 @query(
     "v1_training_view_m9",
     f"SELECT study_id, u <= 0.5 AND n > 0 AS used_aug, CASE WHEN u <= 0.5 AND n > 0 THEN 'alt ' || (1 + CAST(floor(u2 * n) AS INTEGER)) || ' END_REPORT' ELSE trim(CASE WHEN i = '' THEN f ELSE f || ' impression: ' || i END) || ' END_REPORT' END AS target FROM (SELECT study_id, {_rand_sql('study_id', 0)} AS u, {_rand_sql('study_id', 1)} AS u2, study_id % 3 AS n, {_LINE.format('ref_findings')} AS f, {_LINE.format('ref_impression')} AS i FROM r)",
