@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +13,8 @@ from reportloom.operators import cohort, evaluate, manifests, select
 from reportloom.plans import sql, views
 from reportloom.plans.registry import query
 from reportloom.plans.text_queries import documents, reports
-from reportloom.session import cut, scratch
-from reportloom.sources import io
+from reportloom.session import cut, scratch, ship
+from reportloom.sources import files, images, io
 from reportloom.streaming import resume
 
 R, C, Q = {"r": views.REPORTS}, {"c": views.CANDIDATES}, {"q": views.QC}
@@ -223,3 +225,53 @@ def _p1(spark: SparkSession, d: str) -> DataFrame:
     io.write_csv(r.select("ViewPosition", "subject_id", "dicom_id"), f"{path}/views")
     out = io.build_cohort(spark, f"{path}/records", f"{path}/splits", f"{path}/views", f"{path}/records", f"{path}/cache")
     return out.where("ref_findings = '' AND ref_impression = '' AND indication = ''").select("study_id", "subject_id", "dicom_id", "split", "ViewPosition")
+
+
+# ---------------------------------------------------------------- files that rows name, images
+
+
+@query("s6_report_files_read_back", "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE text END AS report FROM documents")
+def _s6(spark: SparkSession, d: str) -> DataFrame:
+    """A report file for each text but every seventh, some with a byte that isn't UTF-8, read back by the rows that name them."""
+    root = f"{scratch(spark)}/files"
+    studies = documents(spark, d).select("doc_id", "text", (F.col("doc_id") % 97 + 10).alias("subject_id"), F.col("doc_id").alias("study_id"))
+    data = F.concat(F.encode("text", "UTF-8"), F.when(F.col("doc_id") % 5 == 0, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit(""))))
+    named = studies.where("doc_id % 7 <> 0").select(io.report_path(F.col("subject_id"), F.col("study_id"), root).alias("path"), data.alias("data"))
+    files.write_files(named, "path", "data")
+    return io.with_texts(studies.drop("text"), root).select("doc_id", "report")
+
+
+def _radiographs(spark: SparkSession, d: str) -> DataFrame:
+    """DICOM files made of embeddings as images of eight rows, written and read back: vec_id, rows, columns, pixels, problem."""
+    vectors = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: F.floor((x.cast("double") + 8) * 1000).cast("int")).alias("values"))
+    root = scratch(spark)
+
+    def encoded(frames):
+        for f in frames:
+            data = [images.encode_dicom(np.array(v).reshape(8, -1), "MONOCHROME1" if k % 2 else "MONOCHROME2", *((2, -1024) if k % 3 == 1 else ())) for k, v in zip(f["vec_id"].tolist(), f["values"], strict=True)]
+            yield pd.DataFrame({"vec_id": f["vec_id"], "data": data})
+
+    ship(spark)
+    made = vectors.mapInPandas(encoded, "vec_id long, data binary").withColumn("path", F.concat(F.lit(f"{root}/i"), "vec_id", F.lit(".dcm")))
+    files.write_files(made, "path", "data")
+    paths = vectors.select("vec_id", F.concat(F.lit(f"{root}/i"), "vec_id", F.lit(".dcm")).alias("path"))
+    return images.decoded(files.read_files(paths, "path")).drop("path")
+
+
+_SCALED = "CASE WHEN hi > lo THEN CAST(v - lo AS FLOAT) / CAST(hi - lo AS FLOAT) ELSE 0::FLOAT END"
+
+
+@query(
+    "s9_dicom_pixels",
+    f"SELECT vec_id, 8 AS rows, CAST(len(p) // 8 AS INTEGER) AS columns, list_aggregate(list_transform(p, lambda v: printf('%02X', CAST(trunc((CASE WHEN vec_id % 2 = 1 THEN 1::FLOAT - {_SCALED} ELSE {_SCALED} END) * 255::FLOAT) AS INTEGER))), 'string_agg', '') AS pixels FROM q",
+    p="SELECT vec_id, list_transform(embedding, lambda x: CAST(floor((x::DOUBLE + 8) * 1000) AS INTEGER)) AS p FROM embeddings",
+    q="SELECT vec_id, p, list_min(p) AS lo, list_max(p) AS hi FROM p",
+)
+def _s9(spark: SparkSession, d: str) -> DataFrame:
+    return _radiographs(spark, d).select("vec_id", "rows", "columns", F.hex("pixels").alias("pixels"))
+
+
+@query("s10_squared_images")
+def _s10(spark: SparkSession, d: str) -> DataFrame:
+    """S10 over images that are read from files; tests hold the resampling against a direct double loop."""
+    return images.squared(_radiographs(spark, d), 96).select("vec_id", F.length("square").alias("n"), F.sha1("square").alias("square"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, IntegralType
 
 from reportloom.functions.sections import sections
+from reportloom.sources import files
 
 # Schemas of the source tables.
 RECORDS = "subject_id bigint, study_id bigint, dicom_id string, path string"
@@ -62,22 +63,41 @@ def valid_utf8(content: Column) -> Column:
     return F.replace(F.replace(valid, F.lit("\ue000b"), F.lit("\ufffd")), F.lit("\ue000a"), F.lit("\ue000"))
 
 
+def with_texts(studies: DataFrame, root: str, name: str = "report") -> DataFrame:
+    """Studies with the text of their report files; null without a file. Bytes that aren't UTF-8 are dropped.
+
+    Each task opens the files that its rows name; only in a store that tasks can't open is the tree listed by Spark and joined.
+    """
+    path = report_path(F.col("subject_id"), F.col("study_id"), root)
+    if files.reachable(root):
+        found = files.read_files(studies.withColumn("_path", path), "_path", "_content")
+        return found.withColumn(name, valid_utf8(F.col("_content"))).drop("_path", "_content")
+    listed = studies.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "s*.txt").load(root)
+    key = r"(p[^/]*/p[^/]*/s[^/]*\.txt)$"
+    listed = listed.select(F.regexp_extract("path", key, 1).alias("_key"), valid_utf8(F.col("content")).alias(name))
+    return studies.withColumn("_key", F.regexp_extract(path, key, 1)).join(listed, "_key", "left").drop("_key")
+
+
 def with_sections(studies: DataFrame, root: str) -> DataFrame:
-    """Studies with indication, ref_findings and ref_impression of their report files; '' without a file. Bytes that aren't UTF-8 are dropped."""
-    spark = studies.sparkSession
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "s*.txt").load(root)
-    clean = valid_utf8(F.col("content"))
-    files = files.select(F.regexp_extract("path", r"(p[^/]*/p[^/]*/s[^/]*\.txt)$", 1).alias("_key"), clean.alias("_text"))
-    keyed = studies.withColumn("_key", F.regexp_extract(report_path(F.col("subject_id"), F.col("study_id")), r"(p[^/]*/p[^/]*/s[^/]*\.txt)$", 1))
+    """Studies with indication, ref_findings and ref_impression of their report files; '' without a file."""
     s = sections(F.col("_text"))
-    joined = keyed.join(files, "_key", "left")
-    return joined.withColumns({"indication": s["indication"], "ref_findings": s["findings"], "ref_impression": s["impression"]}).drop("_key", "_text")
+    return with_texts(studies, root, "_text").withColumns({"indication": s["indication"], "ref_findings": s["findings"], "ref_impression": s["impression"]}).drop("_text")
 
 
 def existing(df: DataFrame, column: str, root: str, glob: str = "*") -> DataFrame:
-    """Rows whose path is among the files under root."""
-    files = df.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root).select(F.regexp_replace("path", "^file:/*", "/").alias("_path"))
-    return df.join(files, F.regexp_replace(F.col(column), "^file:/*", "/") == F.col("_path"), "left_semi")
+    """Rows whose path is among the files under root; each task looks for those of its rows. A listing, where tasks can't open the store, doesn't find empty files."""
+    if files.reachable(root):
+        under = F.regexp_replace(F.lit(f"{root.rstrip('/')}/"), "^file:/*", "/")
+        name = F.regexp_extract(column, r"([^/]*)$", 1)
+        named = glob_pattern(glob)
+        return files.existing_files(df.where(F.startswith(F.regexp_replace(F.col(column), "^file:/*", "/"), under) & name.rlike(named)), column)
+    listed = df.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root).select(F.regexp_replace("path", "^file:/*", "/").alias("_path"))
+    return df.join(listed, F.regexp_replace(F.col(column), "^file:/*", "/") == F.col("_path"), "left_semi")
+
+
+def glob_pattern(glob: str) -> str:
+    """A file name's glob of * and ? as a pattern."""
+    return "^" + "".join({"*": ".*", "?": "."}.get(c, c if c.isalnum() else f"\\{c}") for c in glob) + "$"
 
 
 def build_cohort(spark: SparkSession, records: str, splits: str, metadata: str, reports: str, cache: str, images: str | None = None) -> DataFrame:
