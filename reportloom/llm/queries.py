@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from reportloom.llm import alignment, bpe, chat, html, jaccard, licenses, media, packing, quality, sharding, spelling, suffixes, windows
+from reportloom.llm import alignment, bpe, chat, html, jaccard, licenses, loss_packing, media, packing, quality, sharding, spelling, suffixes, windows
 
 
 def _over(table: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -14,9 +15,12 @@ def _over(table: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
 
 
 def _packed_chats(conversations: DataFrame) -> DataFrame:
-    """Whole conversations in sequences whose loss-bearing tokens are limited, too: here to a quarter of the tokens."""
-    sizes = chat.digest(chat.format_chats(conversations)).selectExpr("conv_id AS id", "n_tokens", "n_loss_tokens AS n_loss")
-    return packing.pack(sizes, capacity=2048, max_segments=16, max_loss=512)
+    """Conversations in sequences whose loss-bearing tokens, counted on the masks, are limited, too: here to a quarter of the tokens.
+
+    A conversation is one example, or one a part where it is so long that it is formatted in segments.
+    """
+    masks = chat.format_chats(conversations).select(F.col("conv_id").alias("id"), F.col("segment").alias("part"), "loss")
+    return loss_packing.pack_masked(masks, capacity=2048, max_segments=16, max_loss=512)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
