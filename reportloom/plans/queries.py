@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reportloom.functions import sections, sets, similarity
 from reportloom.functions import text as T
-from reportloom.operators import augment, cohort, evaluate, gates, manifests, resampling, select
+from reportloom.operators import augment, batching, cohort, evaluate, gates, manifests, resampling, select
 from reportloom.plans import sql, views
 from reportloom.plans.registry import QUERIES, SQL, Query, query
 from reportloom.sources import io
@@ -530,6 +530,21 @@ def _v1(spark: SparkSession, d: str) -> DataFrame:
     return augment.training_view(r, alts, 0.5).select("study_id", "used_aug", "target")
 
 
+@query(
+    "v5_collated_by_batch",
+    "SELECT doc_id, batch, place, width, width - n AS n_pad, CAST(list_sum(i) AS BIGINT) AS ids, CAST(n AS BIGINT) AS attended, CAST(list_sum(i) - i[1] - 100 * (width - n + 1) AS BIGINT) AS labels FROM (SELECT *, max(n) OVER (PARTITION BY batch) AS width FROM (SELECT doc_id, i, n, pos // 32 AS batch, CAST(pos % 32 AS INTEGER) AS place FROM (SELECT *, row_number() OVER (ORDER BY n, doc_id) - 1 AS pos FROM t)))",
+    t="SELECT doc_id, list_transform(string_split(text, ' '), lambda w: length(w) + 1) AS i, CAST(len(string_split(text, ' ')) AS INTEGER) AS n FROM documents",
+)
+def _v5_batches(spark: SparkSession, d: str) -> DataFrame:
+    """V4, V5 over all texts: an id a word, the first label masked, batches of 32 texts of similar length."""
+    ids = F.transform(F.split("text", " "), lambda w: F.length(w) + 1)
+    t = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", ids.alias("input_ids"))
+    t = batching.collated(t.withColumn("labels", sets.masked(F.col("input_ids"), first=F.lit(1))), "doc_id", 32)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    attended = total("attention_mask")
+    return t.select("doc_id", "batch", "place", "width", (F.col("width") - attended.cast("int")).alias("n_pad"), total("input_ids").alias("ids"), attended.alias("attended"), total("labels").alias("labels"))
+
+
 @query("v4_masked_v5_padded", "SELECT doc_id, array_to_string(list_concat([-100, 2, -100, CAST(doc_id % 7 AS INTEGER)], CASE WHEN doc_id % 2 = 0 THEN [-100, -100] ELSE [] END), ',') AS labels FROM documents")
 def _v4(spark: SparkSession, d: str) -> DataFrame:
     base = F.array(F.lit(1), F.lit(2), F.lit(9), (F.col("doc_id") % 7).cast("int"))

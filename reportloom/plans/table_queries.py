@@ -57,7 +57,17 @@ def _s3b(spark: SparkSession, d: str) -> DataFrame:
     for k in range(2):
         t.where(F.col("doc_id") % 2 == k).write.mode("append").parquet(f"{path}/in")
         resume.stream_new(spark, f"{path}/in", "doc_id long, lang string", f"{path}/out", f"{path}/check", lambda x: x)
-    return io.read_parts(spark, f"{path}/out").groupBy("lang").agg(F.count("*").alias("n"))
+    return resume.results(spark, f"{path}/out").groupBy("lang").agg(F.count("*").alias("n"))
+
+
+@query("w4_p8_accepted_from_a_stream", "SELECT doc_id FROM (SELECT doc_id, doc_id % 2 AS k, row_number() OVER (ORDER BY doc_id % 2, doc_id) AS n FROM documents WHERE length(text) > 300) WHERE n <= 300")
+def _w4_stream(spark: SparkSession, d: str) -> DataFrame:
+    """W4 over two arrivals: the first 300 texts of more than 300 characters, counted over both."""
+    path, t = scratch(spark), documents(spark, d).select("doc_id", "text")
+    for k in range(2):
+        t.where(F.col("doc_id") % 2 == k).write.mode("append").parquet(f"{path}/in")
+        resume.stream_accepted(spark, f"{path}/in", "doc_id long, text string", f"{path}/out", f"{path}/check", lambda x: x.select("doc_id", (F.length("text") > 300).alias("ok")), 300, "ok", "doc_id")
+    return resume.results(spark, f"{path}/out").select("doc_id")
 
 
 @query("s8_existing_files", "SELECT doc_id FROM documents WHERE doc_id % 3 <> 0")
