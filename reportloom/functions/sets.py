@@ -100,10 +100,10 @@ def pooled(vectors: Column) -> Column:
     return normalised(F.transform(total, lambda x: x / n))
 
 
-def class_label(logits: Column, mode: str = "rrg") -> Column:
-    """M5: the first greatest class; rrg: 1 and 3 count as positive, otherwise 1, 0 for 2 and -1 for 3, 0 for none."""
+def class_label(logits: Column, mode: str = "positives") -> Column:
+    """M5: the first greatest class; positives: 1 and 3 count as positive, otherwise 1, 0 for 2 and -1 for 3, 0 for none."""
     k = F.array_position(logits, F.array_max(logits)) - 1
-    if mode == "rrg":
+    if mode == "positives":
         return F.when(k.isin(1, 3), 1).otherwise(0)
     return F.when(k == 1, 1).when(k == 3, -1).otherwise(0)
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reportloom.functions.text import generation_form, text
+from reportloom.functions.text import bind, generation_form, text
 from reportloom.operators.gates import technical
 from reportloom.operators.select import best_passing, first_per, head, id_text, ordinal, present, score, shuffled, truthy
 
@@ -115,12 +115,26 @@ def candidate_seed(order: Column, idx: Column, per_study: int = 2, base: int = 1
 
 
 def image_stats(images: DataFrame, key: str, pixels: str) -> DataFrame:
-    """Mean, std, percentiles and shares of each image's intensities (array in 0..1), with the technical verdict."""
-    p = images.select(key, F.explode(pixels).alias("p")).withColumn("p", F.col("p").cast("double"))
-    s = p.groupBy(key).agg(
-        F.avg("p").alias("mean"), F.stddev_pop("p").alias("std"), F.percentile("p", F.lit(0.01)).alias("p01"), F.percentile("p", F.lit(0.99)).alias("p99"),
-        F.avg((F.col("p") <= 0.02).cast("double")).alias("near_black"), F.avg((F.col("p") >= 0.98).cast("double")).alias("near_white"),
-    ).withColumn("range", F.col("p99") - F.col("p01"))
+    """Mean, std, percentiles and shares of each image's intensities (array in 0..1), with the technical verdict.
+
+    All within the row, without an exchange. Null intensities are left out; images without any have no row; a key must be unique.
+    """
+    sorted_ = F.array_sort(F.transform(F.filter(pixels, lambda x: x.isNotNull()), lambda x: x.cast("double")))
+    total = lambda p, f: F.aggregate(p, F.lit(0.0), lambda s, x: s + f(x))
+
+    def ranked(p: Column, share: float) -> Column:
+        """Between the two nearest ranks in proportion, as percentile does."""
+        at = (F.size(p) - 1) * F.lit(share)
+        low, high = F.get(p, F.floor(at).cast("int")), F.get(p, F.ceil(at).cast("int"))
+        return low + (high - low) * (at - F.floor(at))
+
+    def stats(p: Column, n: Column, mean: Column) -> Column:
+        std = F.sqrt(total(p, lambda x: (x - mean) * (x - mean)) / n)
+        near = lambda test: total(p, lambda x: test(x).cast("double")) / n
+        return F.struct(mean.alias("mean"), std.alias("std"), ranked(p, 0.01).alias("p01"), ranked(p, 0.99).alias("p99"), near(lambda x: x <= 0.02).alias("near_black"), near(lambda x: x >= 0.98).alias("near_white"))
+
+    made = bind(F.struct(sorted_.alias("p"), F.size(sorted_).alias("n")), lambda v: bind(F.struct(v.p.alias("p"), v.n.alias("n"), (total(v.p, lambda x: x) / v.n).alias("mean")), lambda w: stats(w.p, w.n, w.mean)))
+    s = images.where(F.size(F.filter(pixels, lambda x: x.isNotNull())) > 0).select(key, made.alias("_s")).select(key, "_s.*").withColumn("range", F.col("p99") - F.col("p01"))
     verdict = technical({c: F.col(c) for c in ("near_black", "near_white", "std", "range")})
     return s.withColumn("_t", verdict).select("*", F.col("_t.ok").alias("technical_ok"), F.col("_t.reason").alias("technical_reason")).drop("_t")
 
