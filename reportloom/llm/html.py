@@ -2,10 +2,12 @@
 
 Each text run of a block element is a paragraph. It passes points for its length and commas to its container and, halved and
 then by thirds, to the ancestors above; a container's points are discounted by its link density. If the best container is in an
-article or main, all of that is the text, but for lists of links beside the article. Else the best container is kept, with
-h1 beside it and those siblings that score a fifth of it or are long paragraphs with few links. What a page says is
-furniture - by element, role or class - takes no part; but a class or id that only describes the layout says nothing, one on the
-container of the text doesn't count, and in an article or main only names wholly made of furniture's words do. Blocks come out in page order, each on one line.
+article or main, all of that is the text, but for lists of links beside the article, and so are other articles beside it. Else the best
+container is kept, with h1 and sections beside it, those siblings that score a fifth of it or are long paragraphs with few links, and
+what stands between these, but for lists of links. What a page says is furniture - by element, role or class - takes no part; but a class
+or id that only describes the layout says nothing, one on the container of the text doesn't count, and in an article or main only names
+do that are wholly made of furniture's words or, unless most of the article stands under them, have a part that tells comments or adverts.
+Blocks come out in page order, each on one line. The work is linear in a page's size, whatever its nesting and its unclosed tags.
 
 Defined results: a null or empty page gives the empty text; unclosed, misnested and cut-off markup is closed where a browser
 would close it, as far as it shapes the text; a page without any paragraph that scores gives what text its body has outside
@@ -24,7 +26,10 @@ from pyspark.sql import functions as F
 
 from reportloom.llm.common import map_arrow
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]{0,63}+)")
+_ATTRS = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?=>)")
+_DELIMITER = re.compile("[>\"']")
+_ZEROS, _LONG_NUMBER = re.compile("&#0+(?=[0-9])"), re.compile("&#[0-9]{8,};?")
 _ATTR = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "template", "svg", "math"}
 _VOID = {"br", "hr", "img", "input", "link", "meta", "area", "base", "col", "embed", "param", "source", "track", "wbr"}
@@ -50,113 +55,183 @@ _NEUTRAL = re.compile(
 )
 #: Compounds that describe a layout or state and no furniture (has-sidebar, comments-open), and headers of a text.
 _LAYOUT = re.compile(r"(?:^|[_-])(?:has|with|no|without)[_-]|[_-](?:open|closed|enabled|disabled)$|(?:^|[_-])(?:post|entry|article|story)[_-]+header$", re.I)
+#: Parts of names that tell comments and adverts, whatever other parts stand beside them: user-comments, google-ad-slot, promo-offer.
+_DECISIVE = re.compile(r"comments?|commentlist|disqus|ads?|advert(?:s|isements?|ising)?|sponsor(?:s|ed)?|promos?|promoted|promotions?", re.I)
+#: Whole names of comments' containers.
+_RESPONSES = re.compile(r"(?:(?:reader|user)s?[_-]+)?(?:responses?|replies)(?:[_-]+(?:list|section|thread|area|wrap|wrapper|container))?", re.I)
+#: A decisive part says nothing on an element that holds more than this share of its article's points.
+_BRAKE = 0.75
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
+_CELLS = {"td", "th", "button", "table"}
+# What an opening tag may close: the nearest open element of these is closed if it is among the first, and a border if among the second.
+_P_GROUP, _H_GROUP = ({"p"}, _CELLS), ({"p"} | _HEADINGS, _CELLS)
+_GROUPS = [*{str(sorted(g[0])): g for g in _CLOSES.values()}.values(), _P_GROUP, _H_GROUP]
+_GROUP_OF = {t: next((k for k, g in enumerate(_GROUPS) if g == _CLOSES.get(t)), len(_GROUPS) - 1 if t in _HEADINGS else len(_GROUPS) - 2) for t in _BLOCK}
+_MEMBER_OF = {t: [k for k, g in enumerate(_GROUPS) if t in g[0] or t in g[1]] for t in _BLOCK}
 
 
 class _Node:
-    __slots__ = ("tag", "up", "score", "chars", "link_chars", "drop", "head", "own", "named", "title", "points", "h1")
+    """An open or closed block element. What its ancestors say - dropped, inside an article, furniture - is put down when it is made."""
 
-    def __init__(self, tag: str, up: _Node | None, head: bool, own: bool = False, named: bool = False, title: bool = False):
-        self.tag, self.up, self.head, self.own, self.named, self.title = tag, up, head, own, named, title
-        self.score, self.chars, self.link_chars, self.points, self.h1 = 0.0, 0, 0, 0.0, False
-        self.drop = _dropped(self, own)
+    __slots__ = ("tag", "up", "score", "chars", "link_chars", "drop", "head", "own", "named", "title", "points", "h1", "inside", "furniture", "braked", "depth", "rank")
 
+    def __init__(self, tag: str, up: _Node | None, head: bool, own: bool = False, named: bool = False, title: bool = False, braked: bool = False):
+        self.tag, self.up, self.head, self.own, self.named, self.title, self.braked = tag, up, head, own, named, title, braked
+        self.score, self.chars, self.link_chars, self.points, self.h1, self.rank = 0.0, 0, 0, 0.0, False, -1
+        self.inside = tag in ("article", "main") or up is not None and up.inside
+        self.judge(own)
 
-def _dropped(x: _Node, own: bool) -> bool:
-    return own or x.up is not None and x.up.drop and not (x.title and not _within_furniture(x.up))
+    def judge(self, own: bool) -> None:
+        """Whether it is dropped, and whether anything but a header drops it. The parent must have been judged before."""
+        up = self.up
+        above = up is not None and up.drop
+        self.drop = own or above and not (self.title and not up.furniture)
+        self.furniture = self.drop and (above if self.tag == "header" else not above or up.furniture)
 
 
-def _names_furniture(name: str, inside: bool) -> bool:
-    """Whether one class or id names furniture; inside an article or main every part of it must."""
+def _names_furniture(name: str, inside: bool) -> tuple[bool, bool]:
+    """Whether one class or id names furniture, and whether by a decisive part alone; inside an article or main, else every part of it must."""
+    if _RESPONSES.fullmatch(name):
+        return True, False
     if not _NAMES.search(name) or _LAYOUT.search(name):
-        return False
-    return not inside or all(_NAMES.fullmatch(x) or _NEUTRAL.fullmatch(x) for x in re.split("[_-]+", name) if x)
+        return False, False
+    if not inside:
+        return True, False
+    parts = [x for x in re.split("[_-]+", name) if x]
+    if all(_NAMES.fullmatch(x) or _NEUTRAL.fullmatch(x) for x in parts):
+        return True, False
+    decisive = any(_DECISIVE.fullmatch(x) for x in parts)
+    return decisive, decisive
 
 
-def _furniture(tag: str, attrs: str, inside: bool) -> tuple[bool, bool]:
-    """Whether an element is furniture, and whether a class or id says so; inside: it stands in an article or main."""
+def _furniture(tag: str, attrs: str, inside: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is furniture, whether a class or id says so, and whether by decisive parts alone; inside: it stands in an article or main."""
     if tag in _FURNITURE or tag == "header":
-        return True, False
+        return True, False, False
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False, False
-    named = False
+        return False, False, False
+    said = []
     for k, a, b, c in _ATTR.findall(attrs):
         v, k = a or b or c, k.lower()
         if k == "hidden" or k == "role" and v.lower() in _ROLES:
-            return True, False
-        if k in ("class", "id") and _NAMES.search(v):
-            named = named or any(_names_furniture(x, inside) for x in v.split())
-    return False, named
+            return True, False, False
+        if k in ("class", "id"):
+            said += [braked for named, braked in (_names_furniture(x, inside) for x in v.split()) if named]
+    return False, bool(said), bool(said) and all(said)
 
 
 def _points(tag: str, text: str) -> float:
     return 0.0 if tag in _HEADINGS or len(text) < 25 else 1 + text.count(",") + text.count("，") + min(len(text) / 100, 3)
 
 
+def _unname(named: list[_Node], nodes: list[_Node], holders: list[_Node]) -> None:
+    """Takes names off, in the order given, until one of the holders is under no name any more.
+
+    An element's rank is the last place in that order among the names over it, so the least rank of the holders is the place to stop at.
+    """
+    order = {id(x): k for k, x in enumerate(named)}
+    for x in nodes:
+        own = order.get(id(x), len(named)) if x.named else -1
+        x.rank = max(own, x.up.rank if x.up is not None else -1)
+    for x in named[: min((h.rank for h in holders), default=-1) + 1]:
+        x.named = False
+
+
 def _drop_named(nodes: list[_Node], blocks: list[tuple[_Node, str, int]]) -> None:
-    """Drops what classes and ids name furniture, but for containers of the text.
+    """Drops what classes and ids name furniture, but for containers of the text. nodes: all, parents before children.
 
-    These are elements that hold more than half of the page's points and an h1; while no article or main is left, those that hold
-    one, by points; and, if no block is left, the one with more than half of the points.
+    These are elements named by a decisive part alone that hold most of their article's points; elements that hold more than half of the
+    page's points and an h1; while no article or main is left, those that hold one, by points; and, if no block is left, the one with more
+    than half of the points.
     """
-    articles: dict[int, _Node] = {}
-    total = 0.0
+    holding = set()
     for node, text, _ in blocks:
-        points = _points(node.tag, text)
-        total += points
-        x = node
-        while x is not None:
-            x.points += points
-            x.h1 = x.h1 or node.tag == "h1"
-            if x.tag in ("article", "main"):
-                articles[id(x)] = x
-            x = x.up
+        node.points += _points(node.tag, text)
+        node.h1 = node.h1 or node.tag == "h1"
+        holding.add(id(node))
+    articles, holds = [], set()
+    for x in reversed(nodes):
+        if x.up is not None:
+            x.up.points += x.points
+            x.up.h1 = x.up.h1 or x.h1
+            if id(x) in holding:
+                holding.add(id(x.up))
+            if id(x) in holds or x.tag in ("article", "main") and id(x) in holding:
+                holds.add(id(x.up))
+        if x.tag in ("article", "main") and id(x) in holding:
+            articles.append(x)
+    total = nodes[0].points
+    around: dict[int, _Node | None] = {}  # the outermost article or main
+    for x in nodes:
+        above = around.get(id(x.up)) if x.up is not None else None
+        around[id(x)] = above or (x if x.tag in ("article", "main") else None)
+        if x.named and x.braked and around[id(x)] is not None and x.points > _BRAKE * around[id(x)].points:
+            x.named = False
     named = sorted((x for x in nodes if x.named), key=lambda x: -x.points)
-    free = [a for a in articles.values() if not _any_named(a)]
-    if not any(a.h1 for a in free):
+    for x in nodes:
+        x.rank = 0 if x.named or x.up is not None and x.up.rank == 0 else -1
+    if not any(a.h1 for a in articles if a.rank < 0):
         for x in named:
             if x.points > 0.5 * total and x.h1:
                 x.named = False
-    holds = {id(y) for a in articles.values() for y in _above(a)}
-    for x in [x for x in named if id(x) in holds]:
-        if any(not _any_named(a) for a in articles.values()):
-            break
-        x.named = False
-    for x in [x for x in named if x.points > 0.5 * total]:
-        if any(not _any_named(b[0]) for b in blocks):
-            break
-        x.named = False
+    if articles:
+        _unname([x for x in named if x.named and id(x) in holds], nodes, articles)
+    else:
+        for x in (x for x in named if id(x) in holds):
+            x.named = False
+    _unname([x for x in named if x.named and x.points > 0.5 * total], nodes, [b[0] for b in blocks])
     for x in nodes:
-        x.drop = _dropped(x, x.own or x.named)
-
-
-def _above(x: _Node) -> list[_Node]:
-    found = []
-    while x.up is not None:
-        x = x.up
-        found.append(x)
-    return found
-
-
-def _any_named(x: _Node | None) -> bool:
-    while x is not None:
-        if x.named:
-            return True
-        x = x.up
-    return False
-
-
-def _blocks(page: str) -> list[tuple[_Node, str, int]]:
-    """(element, text, characters inside links) of each text run outside furniture, in page order."""
+        x.judge(x.own or x.named)
+
+
+class _Tags:
+    """Finds the end of a tag: the next > outside quotes. A quote from which none is found is remembered, so that a page is looked over once."""
+
+    def __init__(self, page: str):
+        self.page, self.failed, self.next, self.start = page, set(), -1, 0
+
+    def end(self, at: int) -> int:
+        """The place of the > that ends the tag whose attributes begin at `at`, or -1."""
+        if not self.start <= at <= self.next:
+            m = _ATTRS.match(self.page, at, at + 256)
+            if m:
+                return m.end()
+        seen = []
+        while True:
+            if not self.start <= at <= self.next:
+                d = _DELIMITER.search(self.page, at)
+                self.start, self.next = at, d.start() if d else len(self.page)
+            d = self.next
+            if d < len(self.page) and self.page[d] == ">":
+                return d
+            shut = -1 if d == len(self.page) or d in self.failed else self.page.find(self.page[d], d + 1)
+            seen.append(d)
+            if shut < 0:
+                self.failed.update(seen)
+                return -1
+            at = shut + 1
+
+
+def _unescape(text: str) -> str:
+    """Character references decoded; decimal ones too long for a number are U+FFFD, as those out of range."""
+    if "&" not in text:
+        return text
+    return html.unescape(_LONG_NUMBER.sub("\ufffd", _ZEROS.sub("&#", text)) if "&#" in text else text)
+
+
+def _blocks(page: str) -> tuple[list[tuple[_Node, str, int]], list[_Node]]:
+    """(element, text, characters inside links) of each text run outside furniture, in page order, and all elements, parents first."""
     top = _Node("#page", None, False)
-    node, out, run, nodes = top, [], [], []
+    node, out, run, nodes = top, [], [], [top]
     linked, in_link = 0, False
-    at, n = 0, len(page)
+    at, n, tags = 0, len(page), _Tags(page)
+    opened: dict[str, list[_Node]] = {t: [] for t in _BLOCK}
+    groups: list[list[_Node]] = [[] for _ in _GROUPS]
 
     def flush() -> None:
         nonlocal linked
         if run:
-            if not node.drop and (text := " ".join(html.unescape("".join(run)).split())):
+            if not node.drop and (text := " ".join(_unescape("".join(run)).split())):
                 out.append((node, text, min(linked, len(text))))
             run.clear()
         linked = 0
@@ -165,19 +240,41 @@ def _blocks(page: str) -> list[tuple[_Node, str, int]]:
         nonlocal node, in_link
         flush()
         in_link = False
-        node = until
+        while node is not until:
+            opened[node.tag].pop()
+            for k in _MEMBER_OF[node.tag]:
+                groups[k].pop()
+            node = node.up
+
+    def say(text: str) -> None:
+        nonlocal linked
+        run.append(text)
+        if in_link:
+            linked += len(text)
 
     while at < n:
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        name = m[2]
-        if name is None:
-            if page[m.start()] != "<" or m.end() - m.start() == 1:
-                run.append(m[0])
-                if in_link:
-                    linked += len(m[0])
+        if page[at] != "<":
+            end = page.find("<", at)
+            end = n if end < 0 else end
+            say(page[at:end])
+            at = end
             continue
-        name, ending, attrs = name.lower(), m[1], m[3]
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = n if end < 0 else end + 3
+            continue
+        m = _NAME.match(page, at)
+        end = tags.end(m.end()) if m else -1
+        if end < 0:
+            if page[at + 1 : at + 2] in ("!", "?", "/"):
+                end = page.find(">", at)
+                at = n if end < 0 else end + 1
+            else:
+                say("<")
+                at += 1
+            continue
+        name, ending, attrs = m[2].lower(), m[1], page[m.end() : end]
+        at = end + 1
         if name == "a":
             in_link = not ending
         elif name == "br":
@@ -186,53 +283,31 @@ def _blocks(page: str) -> list[tuple[_Node, str, int]]:
             flush()
         elif name in _RAW:
             if not ending and not attrs.endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
-                at = end.end() if end else n
+                shut = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
+                at = shut.end() if shut else n
         elif name in _BLOCK:
             if ending:
-                x = node
-                while x is not top and x.tag != name:
-                    x = x.up
-                if x is not top:
-                    close(x.up)
+                if opened[name]:
+                    close(opened[name][-1].up)
                 else:
                     flush()
             else:
                 flush()
-                inner = node
-                if name in _CLOSES:
-                    same, stop = _CLOSES[name]
-                    x = node
-                    while x is not top and x.tag not in stop:
-                        if x.tag in same:
-                            inner = x.up
-                            break
-                        x = x.up
-                elif name not in ("td", "th"):
-                    x = node
-                    while x is not top and x.tag not in ("td", "th", "button", "table"):
-                        if x.tag == "p" or name in _HEADINGS and x.tag in _HEADINGS:
-                            inner = x.up
-                            break
-                        x = x.up
-                if inner is not node:
-                    close(inner)
-                title = name in _HEADINGS and node.head and _within(node, ("article", "main"))  # a heading in the article's own header
-                node = _Node(name, node, node.head or name == "header", *_furniture(name, attrs, _within(node, ("article", "main"))), title)
+                k = _GROUP_OF[name]
+                if groups[k] and groups[k][-1].tag in _GROUPS[k][0]:
+                    close(groups[k][-1].up)
+                title = name in _HEADINGS and node.head and node.inside  # a heading in the article's own header
+                own, named, braked = _furniture(name, attrs, node.inside)
+                node = _Node(name, node, node.head or name == "header", own, named, title, braked)
                 nodes.append(node)
+                opened[name].append(node)
+                for k in _MEMBER_OF[name]:
+                    groups[k].append(node)
     flush()
     if any(x.named for x in nodes):
         _drop_named(nodes, out)
         out = [b for b in out if not b[0].drop]
-    return out
-
-
-def _within(x: _Node | None, tags: tuple[str, ...]) -> bool:
-    while x is not None:
-        if x.tag in tags:
-            return True
-        x = x.up
-    return False
+    return out, nodes
 
 
 def _outermost(x: _Node | None, tag: str) -> _Node | None:
@@ -244,29 +319,15 @@ def _outermost(x: _Node | None, tag: str) -> _Node | None:
     return found
 
 
-def _within_furniture(x: _Node) -> bool:
-    """Whether anything but a header drops x."""
-    while x is not None and x.drop:
-        if x.tag != "header" and not (x.up is not None and x.up.drop):
-            return True
-        if x.tag == "header":
-            return x.up is not None and x.up.drop
-        x = x.up
-    return False
-
-
 def main_blocks(page: str) -> list[str]:
     """The blocks of the main text of a page."""
-    blocks = _blocks(page)
+    blocks, nodes = _blocks(page)
     if not blocks:
         return []
     scored: dict[int, _Node] = {}
     for node, text, linked in blocks:
-        x = node
-        while x is not None:
-            x.chars += len(text)
-            x.link_chars += linked
-            x = x.up
+        node.chars += len(text)
+        node.link_chars += linked
         holder = node if node.tag in ("div", "section", "article", "main", "body", "#page", "td") else node.up or node
         points = _points(node.tag, text)
         part, level = points, 0
@@ -278,8 +339,12 @@ def main_blocks(page: str) -> list[str]:
             level += 1
             part = points / 2 if level == 1 else points / (3 * level)
             holder = holder.up
+    for x in reversed(nodes):
+        if x.up is not None:
+            x.up.chars += x.chars
+            x.up.link_chars += x.link_chars
     if not scored:
-        named = [b for b in blocks if _within(b[0], ("article", "main"))]
+        named = [b for b in blocks if b[0].inside]
         return [t for node, t, linked in named or blocks if named or linked < 0.5 * len(t)]
     value = {k: x.score * (1 - x.link_chars / max(1, x.chars)) for k, x in scored.items()}
     best = scored[max(value, key=value.__getitem__)]
@@ -313,9 +378,9 @@ def main_blocks(page: str) -> list[str]:
             if x.up is best.up and best.up is not None:
                 few = x.link_chars / max(1, x.chars) < 0.25
                 if best.tag in ("article", "main") and best.up.tag in ("body", "html", "#page"):
-                    got = x.tag == best.tag and value.get(id(x), 0) >= least
+                    got = x.tag == best.tag and x.link_chars < 0.5 * x.chars
                 else:
-                    got = value.get(id(x), 0) >= least or x.tag == "p" and few and x.chars > 80 or x.tag == "h1"
+                    got = value.get(id(x), 0) >= least or x.tag == "p" and few and x.chars > 80 or x.tag == "h1" or few and x.tag == best.tag == "section"
                 break
             x = x.up
         else:
@@ -324,7 +389,12 @@ def main_blocks(page: str) -> list[str]:
             kept[id(y)] = got
         return got
 
-    return [t for node, t, _ in blocks if keep(node, t)]
+    got = [keep(node, t) for node, t, _ in blocks]
+    if best.tag not in ("article", "main"):
+        # what stands between parts of the text is text, unless it is a list of links
+        first, last = got.index(True), len(got) - got[::-1].index(True)
+        got[first:last] = [g or node.link_chars < 0.5 * node.chars for g, (node, _, _) in zip(got[first:last], blocks[first:last], strict=True)]
+    return [t for (_, t, _), g in zip(blocks, got, strict=True) if g]
 
 
 def extract(pages: DataFrame) -> DataFrame:
