@@ -6,7 +6,7 @@ article or main, all of that is the text, but for lists of links beside the arti
 container is kept, with h1 and sections beside it, those siblings that score a fifth of it or are long paragraphs with few links, and
 what stands between these, but for lists of links. What a page says is furniture - by element, role or class - takes no part; but a class
 or id that only describes the layout says nothing, one on the container of the text doesn't count, and in an article or main only names
-do that are wholly made of furniture's words or, unless most of the article stands under them, have a part that tells comments or adverts.
+do that are wholly made of furniture's words or, unless most of the article stands under them, tell comments or adverts by their head.
 Blocks come out in page order, each on one line. The work is linear in a page's size, whatever its nesting and its unclosed tags.
 
 Defined results: a null or empty page gives the empty text; unclosed, misnested and cut-off markup is closed where a browser
@@ -55,11 +55,13 @@ _NEUTRAL = re.compile(
 )
 #: Compounds that describe a layout or state and no furniture (has-sidebar, comments-open), and headers of a text.
 _LAYOUT = re.compile(r"(?:^|[_-])(?:has|with|no|without)[_-]|[_-](?:open|closed|enabled|disabled)$|(?:^|[_-])(?:post|entry|article|story)[_-]+header$", re.I)
-#: Parts of names that tell comments and adverts, whatever other parts stand beside them: user-comments, google-ad-slot, promo-offer.
+#: Parts of names that tell comments and adverts where a name's head is one, whatever stands before it: user-comments, google-ad-slot, but
+#: not ad-price-table. The head is the last part that isn't neutral and doesn't tell a piece of such (comment-thread, promo-offer).
 _DECISIVE = re.compile(r"comments?|commentlist|disqus|ads?|advert(?:s|isements?|ising)?|sponsor(?:s|ed)?|promos?|promoted|promotions?", re.I)
+_PIECE = re.compile(r"threads?|feed|body|author|meta|replies|offers?|placement|spot|space|break", re.I)
 #: Whole names of comments' containers.
 _RESPONSES = re.compile(r"(?:(?:reader|user)s?[_-]+)?(?:responses?|replies)(?:[_-]+(?:list|section|thread|area|wrap|wrapper|container))?", re.I)
-#: A decisive part says nothing on an element that holds more than this share of its article's points.
+#: A head says nothing on an element that holds more than this share of its article's points.
 _BRAKE = 0.75
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 _CELLS = {"td", "th", "button", "table"}
@@ -90,7 +92,7 @@ class _Node:
 
 
 def _names_furniture(name: str, inside: bool) -> tuple[bool, bool]:
-    """Whether one class or id names furniture, and whether by a decisive part alone; inside an article or main, else every part of it must."""
+    """Whether one class or id names furniture, and whether by its head alone; inside an article or main, else every part of it must."""
     if _RESPONSES.fullmatch(name):
         return True, False
     if not _NAMES.search(name) or _LAYOUT.search(name):
@@ -100,12 +102,13 @@ def _names_furniture(name: str, inside: bool) -> tuple[bool, bool]:
     parts = [x for x in re.split("[_-]+", name) if x]
     if all(_NAMES.fullmatch(x) or _NEUTRAL.fullmatch(x) for x in parts):
         return True, False
-    decisive = any(_DECISIVE.fullmatch(x) for x in parts)
+    head = next((x for x in reversed(parts) if _DECISIVE.fullmatch(x) or not (_NEUTRAL.fullmatch(x) or _PIECE.fullmatch(x))), "")
+    decisive = _DECISIVE.fullmatch(head) is not None
     return decisive, decisive
 
 
 def _furniture(tag: str, attrs: str, inside: bool) -> tuple[bool, bool, bool]:
-    """Whether an element is furniture, whether a class or id says so, and whether by decisive parts alone; inside: it stands in an article or main."""
+    """Whether an element is furniture, whether a class or id says so, and whether by heads of names alone; inside: it stands in an article or main."""
     if tag in _FURNITURE or tag == "header":
         return True, False, False
     if not attrs or tag in ("html", "body", "article", "main"):
@@ -140,7 +143,7 @@ def _unname(named: list[_Node], nodes: list[_Node], holders: list[_Node]) -> Non
 def _drop_named(nodes: list[_Node], blocks: list[tuple[_Node, str, int]]) -> None:
     """Drops what classes and ids name furniture, but for containers of the text. nodes: all, parents before children.
 
-    These are elements named by a decisive part alone that hold most of their article's points; elements that hold more than half of the
+    These are elements named by heads of names alone that hold most of their article's points; elements that hold more than half of the
     page's points and an h1; while no article or main is left, those that hold one, by points; and, if no block is left, the one with more
     than half of the points.
     """

@@ -30,12 +30,12 @@ def test_comments_and_adverts_in_an_article_go(part):
 
 
 def test_other_names_in_an_article_stay():
-    for name in ("share-price-table", "related-work", "social-history", "navigation-of-ships"):
+    for name in ("share-price-table", "related-work", "social-history", "navigation-of-ships", "ad-price-table", "comment-war-chart"):
         assert H.main_blocks(ARTICLE.format(f"<div class='{name}'><p>{LONG} Inner.</p></div>")) == [*KEPT[:2], f"{LONG} Inner.", *KEPT[2:]]
 
 
-def test_a_decisive_part_over_most_of_an_article_says_nothing():
-    page = f"<body><article><h1>Head</h1><div class='ad-free-body'><p>{LONG}</p><p>{LONG} End.</p></div></article></body>"
+def test_a_name_over_most_of_an_article_says_nothing():
+    page = f"<body><article><h1>Head</h1><div class='story-promo-body'><p>{LONG}</p><p>{LONG} End.</p></div></article></body>"
     assert H.main_blocks(page) == ["Head", LONG, f"{LONG} End."]
 
 
