@@ -30,17 +30,30 @@ SPELLINGS = {
     "realise": "realize", "recognise": "recognize", "signalling": "signaling", "utilisation": "utilization", "whilst": "while", "wilful": "wilfull",
 }
 _SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F\x{A0}\x{AB}\x{BB}\x{2010}-\x{201F}\x{2026}]+"
-#: Copyright lines: with a year, sign or holder. "copyright notice" or "(c) You must" at the start of a line is the licence's own text.
+#: Words that go on from "copyright" or "(c)" in a licence's own text, also where a wrapped line begins with them.
+_GOES_ON = (
+    r"notices?|holders?|owners?|ownership|laws?|licen[cs]es?|permissions?|statements?|treaty|treaties|doctrines?|disclaimers?|interests?|acts?|rights?|protection|"
+    r"infringements?|status|and|or|are|is|was|if|on|in|of|to|as|for|under|with|the (?:software|library|program|work)"
+)
+_ITEM = r"you|the|any|an?|all|in|to|such|each|this|that|these|if|for|by|or|and|of|under|when|where|as|on|it|is|no|not|may|must|shall|with|year|representations|accompany|prohibiting|requiring|limiting|declining"
+_MARK = "\x01"
+#: Lines that begin a licence's own sentence, and lines with its usual words: they are marked, and marked lines go only by a year, sign or the like.
+_OWN = rf"(^|\n)([^a-z0-9\n]*(?:copyright[ \t]*(?:[^a-z0-9 \t\n(©&:<\[{{]|\n|$|(?:{_GOES_ON})(?:[^a-z0-9]|$))|\(c\)[ \t]*(?:\n|$|(?:{_ITEM})(?:[^a-z0-9]|$))))"
+_BODY = r"(\n)([^\n]*(?:licen|permission|permitted|redistribut|software|provided|granted))"
+#: Copyright lines: those that begin with copyright, portions copyright or (c), and one short line that goes on before an empty one.
 _COPYRIGHT = (
-    r"(^|\n)[^a-z0-9\n]*(?:all rights reserved|©|\(c\)[ \t:,]*(?:copyright|[0-9]{4}|[<\[{])|"
-    r"copyright[ \t:]*(?:\(c\)|©|&copy;|[0-9]{4}|[<\[{]|by\b|the\b)|copyright\b[^\n]*(?:\b(?:19|20)[0-9]{2}\b|all rights reserved))[^\n]*"
+    r"(^|\n)(?:[^a-z0-9\n]*(?:all rights reserved|©|\(c\)[ \t:,]*(?:copyright|[0-9]{4}|[<\[{])|"
+    r"copyright[ \t:]*(?:\(c\)|©|&copy;|[0-9]{4}|[<\[{])|copyright\b[^\n]*(?:\b(?:19|20)[0-9]{2}\b|all rights reserved))|"
+    r"[^a-z0-9\n\x01]*(?:(?:portions[ \t]+(?:are[ \t]+)?)?(?:copyright[ \t:]|\(c\)[ \t])[ \t]*[^ \t\n]|copy;))[^\n]*(?:\n[^\n\x01]{1,80}(\n[ \t]*\n))?"
 )
 _SPELLED = "(" + "|".join(sorted(SPELLINGS)) + ")"
 
 
 def canonical(text: Column) -> Column:
     low = F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"\r\n?", "\n")
-    plain = F.btrim(F.regexp_replace(F.regexp_replace(low, _COPYRIGHT, "$1"), _SEPARATORS, " "), F.lit(" "))
+    marked = F.regexp_replace(F.regexp_replace(low, _BODY, f"$1{_MARK}$2"), _OWN, f"$1{_MARK}$2")
+    told = low.contains("copyright") | low.contains("(c)") | low.contains("©") | low.contains("&copy;") | low.contains("all rights reserved")
+    plain = F.btrim(F.regexp_replace(F.when(told, F.regexp_replace(marked, _COPYRIGHT, "$1$2")).otherwise(low), _SEPARATORS, " "), F.lit(" "))
     known = F.create_map(*[F.lit(x) for pair in SPELLINGS.items() for x in pair])
     spelled = F.array_join(F.transform(F.split(plain, " "), lambda w: F.coalesce(F.try_element_at(known, w), w)), " ")
     return F.when(plain.rlike(_SPELLED), spelled).otherwise(plain)
@@ -139,7 +152,9 @@ def known_texts() -> list[tuple[str, str]]:
 def plain_canonical(text: str) -> str:
     """canonical() of one text, without Spark."""
     low = re.sub(r"\r\n?", "\n", text.lower())
-    plain = re.sub(_PY_SEPARATORS, " ", re.sub(_COPYRIGHT, r"\1", low)).strip(" ")
+    for pattern, to in ((_BODY, rf"\1{_MARK}\2"), (_OWN, rf"\1{_MARK}\2"), (_COPYRIGHT, r"\1\2")):
+        low = re.sub(pattern, to, low)
+    plain = re.sub(_PY_SEPARATORS, " ", low).strip(" ")
     return " ".join(SPELLINGS.get(w, w) for w in plain.split(" "))
 
 
@@ -148,7 +163,8 @@ _PY_SEPARATORS = re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: "\\u" + m[1].zfill(4),
 
 def _sql(text: str) -> str:
     low = rf"regexp_replace(lower(coalesce({text}, '')), '\r\n?', chr(10), 'g')"
-    plain = rf"trim(regexp_replace(regexp_replace({low}, '{_COPYRIGHT}', '\1', 'g'), '{_SEPARATORS}', ' ', 'g'), ' ')"
+    marked = rf"regexp_replace(regexp_replace({low}, '{_BODY}', '\1' || chr(1) || '\2', 'g'), '{_OWN}', '\1' || chr(1) || '\2', 'g')"
+    plain = rf"trim(regexp_replace(regexp_replace({marked}, '{_COPYRIGHT}', '\1\2', 'g'), '{_SEPARATORS}', ' ', 'g'), ' ')"
     cases = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in SPELLINGS.items())
     return f"array_to_string(list_transform(string_split({plain}, ' '), lambda w: CASE w {cases} ELSE w END), ' ')"
 
