@@ -14,7 +14,7 @@ from reportloom.plans import sql, views
 from reportloom.plans.registry import query
 from reportloom.plans.text_queries import documents, reports
 from reportloom.session import cut, scratch, ship
-from reportloom.sources import files, images, io
+from reportloom.sources import files, images, io, manifest
 from reportloom.streaming import resume
 
 R, C, Q = {"r": views.REPORTS}, {"c": views.CANDIDATES}, {"q": views.QC}
@@ -104,6 +104,38 @@ def _k5(spark: SparkSession, d: str) -> DataFrame:
     return io.fingerprints(spark, path).where("path LIKE '%.txt'").select("sha1", "length")
 
 
+_PARTS = "SELECT doc_id % 8 AS part, 1 AS run, 'same' AS state, length(coalesce(text, '')) AS chars FROM documents"
+_CHANGED = f"""
+SELECT CAST(part AS VARCHAR) AS part, state, run, CAST(count(*) AS BIGINT) AS n, CAST(sum(chars) AS BIGINT) AS chars FROM (
+  SELECT part, run, state, chars FROM ({_PARTS}) WHERE part NOT IN (3, 5)
+  UNION ALL SELECT part, 2, 'changed', chars + 1 FROM ({_PARTS}) WHERE part = 3
+  UNION ALL SELECT 8, 2, 'new', length(coalesce(text, '')) FROM documents WHERE doc_id % 8 = 0) GROUP BY part, state, run
+UNION ALL SELECT '5', 'gone', CAST(NULL AS INTEGER), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT)
+"""
+
+
+@query("k5_j6_changed_parts_made_again", _CHANGED)
+def _k5_parts(spark: SparkSession, d: str) -> DataFrame:
+    """A cache of all documents by part, brought up to a source of which one part has changed, one has gone and one has come; run is the run that made a part."""
+    source, cache = scratch(spark), scratch(spark)
+    docs = documents(spark, d).select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (F.col("doc_id") % 8).alias("part"))
+
+    def put(rows: DataFrame) -> None:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(source)
+
+    def work(run: int):
+        return lambda rows: rows.select("doc_id", "part", F.length("text").alias("chars"), F.lit(run).alias("run"))
+
+    put(docs)
+    manifest.refresh(spark, source, cache, "part", work(1))
+    put(docs.where("part = 3").withColumn("text", F.concat("text", F.lit("!"))).union(docs.where("part = 0").withColumn("part", F.lit(8).cast("long"))))
+    gone = spark._jvm.org.apache.hadoop.fs.Path(f"{source}/part=5")
+    gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+    found = manifest.refresh(spark, source, cache, "part", work(2))
+    made = manifest.cached(spark, cache).groupBy(F.col("part").cast("string").alias("part"), "run").agg(F.count("*").alias("n"), F.sum("chars").cast("long").alias("chars"))
+    return found.join(made, "part", "left").select("part", "state", "run", "n", "chars")
+
+
 # ---------------------------------------------------------------- bundles and order
 
 _COMPLETE = "SELECT * FROM r WHERE ref_findings <> '' AND ref_impression <> ''"
