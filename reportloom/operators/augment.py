@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,7 +14,7 @@ from reportloom.functions import text as T
 from reportloom.functions.twister import change_plans, coin_and_choice
 from reportloom.operators import gates, graphs
 from reportloom.operators.select import det_rand, first_per, integer_key
-from reportloom.session import cut, ship
+from reportloom.session import cut, scratch, ship
 
 
 def alternatives(df: DataFrame, key: str, value: str, order: str | Column, keep_newlines: bool = False) -> DataFrame:
@@ -40,15 +41,28 @@ def paraphrase_map(df: DataFrame, order: str = "cand_id") -> DataFrame:
     return alternatives(df, key, value, order)
 
 
+def laid_out(df: DataFrame, key: str | None = None, buckets: int = 200) -> DataFrame:
+    """Df as a table in the shared folder, bucketed and sorted by study_key (with a key: the integer form of that column, added).
+
+    Tables of as many buckets join on study_key without an exchange: a map of alternatives is laid out once and joined in every epoch.
+    Each bucket is one task's, so a key's rows stand together; a map has one row a key. Choose buckets by the larger table's bytes.
+    """
+    rows = df.withColumn("study_key", integer_key(F.col(key))) if key else df
+    name, spark = f"laid_out_{uuid.uuid4().hex}", df.sparkSession
+    rows.repartition(buckets, "study_key").write.bucketBy(buckets, "study_key").sortBy("study_key").option("path", scratch(spark)).saveAsTable(name)
+    return spark.table(name)
+
+
 def training_view(df: DataFrame, alts: DataFrame | None = None, apply_p: float = 0.0, seed: int = 0, index: str = "study_id", form: str | None = None, eos: str | None = None, is_train: bool = True, draws: str = "portable") -> DataFrame:
     """V1, M9: prompt, target, used_aug and full_text of each row; the coin falls for a text if its number is at most apply_p.
 
     draws: portable, by whole-number arithmetic; sequential, those of random.Random(seed * 1000003 + index).
+    A df with a study_key (laid_out) is joined on that, without an exchange if both sides are laid out; it isn't among the results.
     """
     if draws not in ("portable", "sequential"):
         raise ValueError(f"draws are portable or sequential, not {draws}")
     p = apply_p if is_train else 0.0
-    rows = df.withColumn("_k", integer_key(F.col("study_id")))
+    rows = df.withColumnRenamed("study_key", "_k") if "study_key" in df.columns else df.withColumn("_k", integer_key(F.col("study_id")))
     rows = rows.join(alts.withColumnRenamed("study_key", "_k"), "_k", "left") if alts is not None else rows.withColumn("alts", F.lit(None).cast("array<string>"))
     n = F.coalesce(F.size("alts"), F.lit(0))
     if draws == "sequential":

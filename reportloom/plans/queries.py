@@ -518,16 +518,30 @@ def _a11_splitting(spark: SparkSession, d: str) -> DataFrame:
     return whole.crossJoin(q).select(mean.alias("mean"), "n", "resamples", "draws", mean.between(F.col("low"), F.col("high")).alias("around_mean"))  # a row with a row
 
 
+_VIEW = f"SELECT study_id, u <= 0.5 AND n > 0 AS used_aug, CASE WHEN u <= 0.5 AND n > 0 THEN 'alt ' || (1 + CAST(floor(u2 * n) AS INTEGER)) || ' END_REPORT' ELSE trim(CASE WHEN i = '' THEN f ELSE f || ' impression: ' || i END) || ' END_REPORT' END AS target FROM (SELECT study_id, {_rand_sql('study_id', 0)} AS u, {_rand_sql('study_id', 1)} AS u2, study_id % 3 AS n, {_LINE.format('ref_findings')} AS f, {_LINE.format('ref_impression')} AS i FROM r)"
+
+
+def _alternatives_of(r: DataFrame) -> DataFrame:
+    return r.where("study_id % 3 > 0").select(F.col("study_id").cast("string").alias("study_key"), F.transform(F.sequence(F.lit(1), (F.col("study_id") % 3).cast("int")), lambda k: F.concat(F.lit("alt "), k.cast("string"))).alias("alts"))
+
+
 @query(
     "v1_training_view_m9",
-    f"SELECT study_id, u <= 0.5 AND n > 0 AS used_aug, CASE WHEN u <= 0.5 AND n > 0 THEN 'alt ' || (1 + CAST(floor(u2 * n) AS INTEGER)) || ' END_REPORT' ELSE trim(CASE WHEN i = '' THEN f ELSE f || ' impression: ' || i END) || ' END_REPORT' END AS target FROM (SELECT study_id, {_rand_sql('study_id', 0)} AS u, {_rand_sql('study_id', 1)} AS u2, study_id % 3 AS n, {_LINE.format('ref_findings')} AS f, {_LINE.format('ref_impression')} AS i FROM r)",
+    _VIEW,
     **R,
 )
 def _v1(spark: SparkSession, d: str) -> DataFrame:
     """J9, M9, T20 to T22."""
     r = _reports(spark, d)
-    alts = r.where("study_id % 3 > 0").select(F.col("study_id").cast("string").alias("study_key"), F.transform(F.sequence(F.lit(1), (F.col("study_id") % 3).cast("int")), lambda k: F.concat(F.lit("alt "), k.cast("string"))).alias("alts"))
-    return augment.training_view(r, alts, 0.5).select("study_id", "used_aug", "target")
+    return augment.training_view(r, _alternatives_of(r), 0.5).select("study_id", "used_aug", "target")
+
+
+@query("j9_a7_joined_as_laid_out", _VIEW, **R)
+def _j9(spark: SparkSession, d: str) -> DataFrame:
+    """The same from tables that are laid out for the join: no exchange when they are read."""
+    r = _reports(spark, d)
+    rows, alts = augment.laid_out(r, "study_id", 16), augment.laid_out(_alternatives_of(r), buckets=16)
+    return augment.training_view(rows, alts, 0.5).select("study_id", "used_aug", "target")
 
 
 @query(
