@@ -11,13 +11,21 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _own(master: str, warehouse: str) -> str:
+    """A folder for checkpoints where none is named: on one machine a temporary one, on a cluster one under the warehouse, which must not be a machine's own."""
+    if master.startswith("local") and "cluster" not in master:
+        return tempfile.mkdtemp(prefix="checkpoint-")
+    if warehouse.startswith(("file:", "/")):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share; the warehouse at {warehouse} may be each machine's own")
+    return f"{warehouse}/_checkpoint"
+
+
 def shared(spark: SparkSession) -> str:
     """The folder that driver and executors share: that of spark.checkpoint.dir or, where it is unset, one under the warehouse (on one machine, a temporary one)."""
     sc = spark.sparkContext
     given = sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
-        own = given or (tempfile.mkdtemp(prefix="checkpoint-") if sc.master.startswith("local") and "cluster" not in sc.master else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoint")
-        sc.setCheckpointDir(own)
+        sc.setCheckpointDir(given or _own(sc.master, spark.conf.get("spark.sql.warehouse.dir")))
     return given or sc.getCheckpointDir()
 
 
