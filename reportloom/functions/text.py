@@ -321,7 +321,7 @@ def unescaped(c: Column | str) -> Column:
 
 
 def clean_token(c: Column) -> Column:
-    return sub(F.lower(strip(text(c))), "[^a-z0-9]+", "")
+    return sub(F.lower(text(c)), "[^a-z0-9]+", "")
 
 
 def clean_tokens(c: Column) -> Column:

@@ -1,13 +1,13 @@
-"""Agreement of annotation graphs, with entities and relations as rows.
+"""Agreement of annotation graphs, within the rows that hold them.
 
-An annotation is a map of entities, each with tokens, a label and relations (type, id of another entity). Entities become rows,
-relations find their targets by a hash join on the row and the entity's id, and both become atoms: one text for what an entity
-or a relation is, whatever its id. One grouped pass tells which side has each atom of a row, another counts a row's atoms. So
-work grows with the number of entities, however long a text is, and one long report is many rows, not one task.
+An annotation is a map of entities, each with tokens, a label and relations (type, id of another entity). Entities and relations
+become atoms: one text for what an entity or a relation is, whatever its id. Relations find their targets in one sorted array of
+the entities and of what is asked of them, and sides are compared as hashed sets. So work grows with the number of entities (their
+sort apart), and nothing is exchanged, joined or kept.
 
 Defined results: a null annotation has no atoms, as has an empty one; a null entity counts as one without tokens and label; a
-relation of other than two parts, or whose target isn't there, is none; atoms that repeat count once; rows with equal ids are
-one row, so ids must differ; an empty table gives an empty result.
+relation of other than two parts, or whose target isn't there, is none; atoms that repeat count once; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -15,61 +15,81 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reportloom.functions.text import clean_tokens
-from reportloom.session import cut
+from reportloom.functions.text import bind, clean_tokens
 
 #: What of an annotation is compared: entities; entities with whether they have relations; entities without relations, and relations; relations.
-KINDS = {"entities": "e", "related": "f", "graph": "g", "relations": "r"}
+KINDS = ("entities", "related", "graph", "relations")
 
 
 def _sized(c: Column) -> Column:
     return F.concat(F.length(c).cast("string"), F.lit(":"), c)
 
 
-def atoms(rows: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    """(_row, kind, atom, in_ref) of the annotations of rows (_row, ref, hyp); the last column says which of both an atom is of."""
-    both = F.array(F.struct(F.lit(True).alias("in_ref"), F.col("ref").alias("ann")), F.struct(F.lit(False).alias("in_ref"), F.col("hyp").alias("ann")))
-    # the annotation is a column of its own, or each of its entities would carry all of it along
-    sides = rows.select("_row", F.explode(both).alias("x")).select("_row", "x.in_ref", "x.ann").select("_row", "in_ref", F.explode("ann").alias("id", "e")).repartition("_row", "in_ref", "id")
-    # tokens hold letters and digits only, so these texts are equal where tokens and labels are
-    name = F.concat(F.concat_ws(" ", clean_tokens(F.col("e.tokens"))), F.lit("|"), F.trim(F.coalesce(F.col("e.label"), F.lit(""))))
-    # kept as they are dealt: what follows reads them thrice, and the join finds its targets in place
-    entities = cut(sides.select("_row", "in_ref", "id", name.alias("name"), F.col("e.relations").alias("relations")))
-    related = F.coalesce(F.size("relations"), F.lit(0)) > 0
-
-    def of(found: DataFrame, kind: str, atom: Column) -> DataFrame:
-        return found.select("_row", F.lit(KINDS[kind]).alias("kind"), atom.alias("atom"), "in_ref")
-
-    parts = []
-    if "entities" in kinds:
-        parts.append(of(entities, "entities", F.col("name")))
-    if "related" in kinds:
-        parts.append(of(entities, "related", F.concat(F.when(related, "+").otherwise("-"), F.col("name"))))
-    if "graph" in kinds:
-        parts.append(of(entities.where(~related), "graph", F.col("name")))
-    if "relations" in kinds or "graph" in kinds:
-        asked = entities.select("_row", "in_ref", "name", F.explode("relations").alias("r")).where(F.size("r") == 2).select("_row", "in_ref", "name", F.coalesce(F.col("r")[0], F.lit("")).alias("type"), F.col("r")[1].alias("id"))
-        found = asked.join(entities.select("_row", "in_ref", "id", F.col("name").alias("target")), ["_row", "in_ref", "id"])
-        relation = F.concat(F.lit(">"), _sized(F.col("name")), _sized(F.col("type")), F.col("target"))
-        parts += [of(found, kind, relation) for kind in ("graph", "relations") if kind in kinds]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
-
-
-def counted(df: DataFrame, key: str, ref: str, hyp: str, kinds: tuple[str, ...] = ("entities", "relations")) -> DataFrame:
-    """A row for each id: _row (the id) and, for each kind, <kind>_ref, <kind>_hyp and <kind>_both, the atoms of each side and of both."""
-    rows = df.select(F.col(key).alias("_row"), F.col(ref).alias("ref"), F.col(hyp).alias("hyp"))
-    marks = rows.select("_row", F.lit("").alias("kind"), F.lit("").alias("atom"), F.lit(None).cast("boolean").alias("in_ref"))  # rows without atoms have counts, too
-    met = atoms(rows, kinds).unionAll(marks).groupBy("_row", "kind", "atom").agg(F.max("in_ref").alias("r"), F.max(~F.col("in_ref")).alias("h"))
-    tests = {"ref": F.col("r"), "hyp": F.col("h"), "both": F.col("r") & F.col("h")}
-    return met.groupBy("_row").agg(*[F.count_if((F.col("kind") == KINDS[k]) & t).alias(f"{k}_{n}") for k in kinds for n, t in tests.items()])
-
-
-def shares(kind: str) -> tuple[Column, Column]:
+def _entities(ann: Column) -> Column:
+    """An annotation as an array of (id, name, relations)."""
+
+    def one(e: Column) -> Column:
+        # tokens hold letters and digits only, so these texts are equal where tokens and labels are
+        name = F.concat(F.concat_ws(" ", clean_tokens(e.value.tokens)), F.lit("|"), F.trim(F.coalesce(e.value.label, F.lit(""))))
+        return F.struct(e.key.alias("id"), name.alias("name"), F.coalesce(e.value.relations, F.array().cast("array<array<string>>")).alias("relations"))
+
+    return F.transform(F.map_entries(ann), one)
+
+
+def _relations(entities: Column) -> Column:
+    """The relations of named entities that find their target, as texts."""
+
+    def asked(e: Column) -> Column:
+        begin = lambda r: F.concat(F.lit(">"), _sized(e["name"]), _sized(F.coalesce(r[0], F.lit(""))))
+        return F.transform(F.filter(e.relations, lambda r: F.size(r) == 2), lambda r: F.struct(r[1].alias("id"), F.lit(True).alias("asks"), begin(r).alias("text")))
+
+    def found(s: Column) -> Column:
+        """Each entity stands before what is asked of its id; other ids' questions may follow, where there is no such entity."""
+        places = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: ~F.get(s, i).asks)
+
+        def of(at: Column) -> Column:
+            def group(p: Column, k: Column) -> Column:
+                asks = F.slice(s, p + 2, F.coalesce(F.get(at, k + 1), F.size(s)) - p - 1)
+                return bind(F.get(s, p), lambda e: F.transform(F.filter(asks, lambda a: a.id == e.id), lambda a: F.concat(a.text, e.text)))
+
+            return F.flatten(F.transform(at, group))
+
+        return bind(places, of)
+
+    have = F.transform(entities, lambda e: F.struct(e.id.alias("id"), F.lit(False).alias("asks"), e["name"].alias("text")))
+    return F.when(F.size(entities) > 0, bind(F.sort_array(F.concat(have, F.flatten(F.transform(entities, asked)))), found))
+
+
+def atoms(ann: Column, kinds: tuple[str, ...]) -> Column:
+    """The distinct atoms of an annotation: a struct with an array for each kind."""
+    none = F.array().cast("array<string>")
+
+    def of(x: Column) -> Column:
+        e, found = x.e, F.coalesce(x.relations, none)
+        related = lambda y: F.size(y.relations) > 0
+        made = {
+            "entities": lambda: F.transform(e, lambda y: y["name"]), "related": lambda: F.transform(e, lambda y: F.concat(F.when(related(y), "+").otherwise("-"), y["name"])),
+            "graph": lambda: F.concat(F.transform(F.filter(e, lambda y: ~related(y)), lambda y: y["name"]), found), "relations": lambda: found,
+        }
+        return F.struct(*[F.array_distinct(F.coalesce(made[k](), none)).alias(k) for k in kinds])
+
+    targets = {"relations", "graph"} & set(kinds)
+    return bind(_entities(ann), lambda e: bind(F.struct(e.alias("e"), (_relations(e) if targets else none).alias("relations")), of))
+
+
+def counts(ref: Column, hyp: Column, kinds: tuple[str, ...] = ("entities", "relations")) -> Column:
+    """A struct with <kind>_ref, <kind>_hyp and <kind>_both for each kind: the atoms of each side and of both."""
+
+    def of(x: Column) -> Column:
+        sizes = [(k, {"ref": x.r[k], "hyp": x.h[k], "both": F.array_intersect(x.r[k], x.h[k])}) for k in kinds]
+        return F.struct(*[F.size(v).cast("long").alias(f"{k}_{n}") for k, sides in sizes for n, v in sides.items()])
+
+    return bind(F.struct(atoms(ref, kinds).alias("r"), atoms(hyp, kinds).alias("h")), of)
+
+
+def shares(x: Column, kind: str) -> tuple[Column, Column]:
     """Precision and recall from the counts of a kind; both empty gives 1, hyp empty 0."""
-    r, h, both = (F.col(f"{kind}_{x}") for x in ("ref", "hyp", "both"))
+    r, h, both = (x[f"{kind}_{n}"] for n in ("ref", "hyp", "both"))
 
     def part(of: Column) -> Column:
         return F.when((r == 0) & (h == 0), 1.0).when(h == 0, 0.0).otherwise(both / F.greatest(F.lit(1), of))
@@ -77,16 +97,20 @@ def shares(kind: str) -> tuple[Column, Column]:
     return part(h), part(r)
 
 
+def agreement(ref: Column, hyp: Column) -> Column:
+    """struct(ent_p, ent_r, extra_ent, miss_ent, rel_p, rel_r, extra_rel, miss_rel)."""
+
+    def of(x: Column) -> Column:
+        out = []
+        for short, kind in (("ent", "entities"), ("rel", "relations")):
+            p, r = shares(x, kind)
+            both = x[f"{kind}_both"]
+            out += [p.alias(f"{short}_p"), r.alias(f"{short}_r"), (x[f"{kind}_hyp"] - both).alias(f"extra_{short}"), (x[f"{kind}_ref"] - both).alias(f"miss_{short}")]
+        return F.struct(*out)
+
+    return bind(counts(ref, hyp), of)
+
+
 def overlap(df: DataFrame, key: str, ref: str = "ref_ann", hyp: str = "hyp_ann") -> DataFrame:
-    """Key, ent_p, ent_r, extra_ent, miss_ent, rel_p, rel_r, extra_rel and miss_rel of each row; key must be unique."""
-    out = []
-    for short, kind in (("ent", "entities"), ("rel", "relations")):
-        p, r = shares(kind)
-        both = F.col(f"{kind}_both")
-        out += [p.alias(f"{short}_p"), r.alias(f"{short}_r"), (F.col(f"{kind}_hyp") - both).alias(f"extra_{short}"), (F.col(f"{kind}_ref") - both).alias(f"miss_{short}")]
-    return counted(df, key, ref, hyp).select(F.col("_row").alias(key), *out)
-
-
-def numbered(df: DataFrame, *columns: str) -> DataFrame:
-    """(_row, columns) with a number for each row; the rows are kept, so that all passes see the same numbers."""
-    return cut(df.select(F.monotonically_increasing_id().alias("_row"), *columns))
+    """Key, ent_p, ent_r, extra_ent, miss_ent, rel_p, rel_r, extra_rel and miss_rel of each row."""
+    return df.select(F.col(key).alias("_key"), agreement(F.col(ref), F.col(hyp)).alias("_a")).select(F.col("_key").alias(key), "_a.*")

@@ -72,3 +72,19 @@ def test_clashing_columns_and_long_texts(spark):
     df = spark.range(1).select(F.lit(5).alias("kind"), F.map_from_entries(words).alias("ref"), F.map_from_entries(F.slice(words, 1, 15_000)).alias("name"))
     x = graphs.overlap(df, "kind", "ref", "name").first()
     assert (x.kind, x.miss_ent, x.extra_ent, x.miss_rel, x.extra_rel) == (5, 5000, 0, 5001, 0)
+
+
+def test_nothing_is_exchanged_or_kept(spark):
+    """Entities stay within their row: no exchange but of the sums, and no copy of the annotations."""
+    df = spark.range(3).selectExpr("id", f"CAST(NULL AS {ENTITY}) AS ref_ann", f"CAST(NULL AS {ENTITY}) AS hyp_ann")
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in (graphs.overlap(df, "id"), evaluate.overlap_detail(df), evaluate.entity_f1(df))]
+    assert [p.count("Exchange") for p in plans] == [0, 1, 1]
+    assert not any("ExistingRDD" in p or "Join" in p for p in plans)
+
+
+def test_targets_that_are_not_there(spark):
+    """Questions after ids without an entity, or without an id, find nothing."""
+    ann = {"5": {"tokens": ["a"], "label": "A", "relations": [["at", "6"], ["at", None], ["at", "1"], ["at", "9"]]}, "9": {"tokens": ["b"], "label": "B", "relations": [["at", "99"], ["at", "5"], None]}}
+    df = spark.createDataFrame([(1, ann, {**ann, "9": {"tokens": ["b"], "label": "B", "relations": []}})], f"id long, ref_ann {ENTITY}, hyp_ann {ENTITY}")
+    x = graphs.overlap(df, "id").first()
+    assert (x.ent_p, x.ent_r, x.rel_p, x.rel_r, x.miss_rel, x.extra_rel) == (1.0, 1.0, 1.0, 0.5, 1, 0)
