@@ -220,8 +220,9 @@ def _breaks(t: Column) -> Column:
     return F.contains(t, F.lit("\n")) | t.rlike(rf"(?U)\A{BULLET}")
 
 
-def sectioned_target(findings: Column | str, impression: Column | str) -> Column:
-    """T20."""
+def sectioned_target(findings: Column | str, impression: Column | str, normal: bool = False) -> Column:
+    """T20. normal: both are in the form T2."""
+    form = (lambda x: sub(x, r"\n{2,}", "\n")) if normal else augmented_target
 
     def put(x: Column) -> Column:
         f, i = x.f, x.i
@@ -229,7 +230,7 @@ def sectioned_target(findings: Column | str, impression: Column | str) -> Column
         between = F.when(_breaks(f), F.lit("\n")).otherwise(F.lit(" "))
         return F.when(i == "", f).when(f == "", block).otherwise(strip(F.concat(f, between, block)))
 
-    return bind(F.struct(augmented_target(findings).alias("f"), augmented_target(impression).alias("i")), put)
+    return bind(F.struct(form(findings).alias("f"), form(impression).alias("i")), put)
 
 
 def prompt(indication: Column | str, template: str = "<start_of_image> {indication} findings:") -> Column:
