@@ -402,8 +402,11 @@ def matched_words(c: Column, words: tuple[str, ...]) -> Column:
 
 def matched_categories(c: Column, patterns: dict[str, str]) -> Column:
     """The names of the patterns that occur, as a sorted array."""
-    low = F.concat(F.lit(" "), F.lower(text(c)), F.lit(" "))
-    return F.array_sort(F.filter(F.array(*[F.when(low.rlike("(?U)" + p), F.lit(k)) for k, p in patterns.items()]), lambda x: x.isNotNull()))
+
+    def named(low: Column) -> Column:
+        return F.array(*[F.when(low.rlike("(?U)" + p), F.lit(k)) for k, p in patterns.items()])
+
+    return F.array_sort(F.filter(bind(F.concat(F.lit(" "), F.lower(text(c)), F.lit(" ")), named), lambda x: x.isNotNull()))
 
 
 def artifact_name(c: Column | str) -> Column:
