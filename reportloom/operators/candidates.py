@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reportloom.functions import text as T
-from reportloom.functions.sections import parse_two_lines
+from reportloom.functions.sections import two_lines
 from reportloom.operators import gates
 from reportloom.operators.select import best_candidates, not_done
-from reportloom.session import ship
+from reportloom.session import cut, ship
 
 #: From prompts to lists of raw answers; made once a worker by the factory that is passed.
 Generator = Callable[[list[str]], list[list[str]]]
@@ -73,17 +73,23 @@ def candidates(studies: DataFrame, factory: Callable[[], Generator], scorers: di
     rows = not_done(rows, done, "ex_id") if done is not None else rows
     rows = rows.withColumns({"src_full": T.plain_target("ref_findings", "ref_impression", T.literal_one_line), "prompt": T.paraphrase_prompt("ref_findings", "ref_impression")})
     made = generate(rows, factory).join(rows.drop("prompt"), "ex_id")
-    findings, impression = parse_two_lines("raw")
-    made = made.withColumns({"aug_findings": findings, "aug_impression": impression})
+    made = made.withColumn("_two", two_lines("raw")).withColumns({"aug_findings": F.col("_two.findings"), "aug_impression": F.col("_two.impression")}).drop("_two")
     made = made.withColumn("parsed_ok", F.col("error").isNull() & (F.col("aug_findings") != "") & (F.col("aug_impression") != ""))
     made = made.withColumns({"cand_full": F.when(F.col("parsed_ok"), T.plain_target("aug_findings", "aug_impression", T.literal_one_line)).otherwise(F.lit("")), "row_id": F.concat_ws("/", "ex_id", F.col("cand_id").cast("string"))})
-    judged = gates.evaluate(made.where("parsed_ok"), scorers, limits, enabled)
-    failed = made.where("NOT parsed_ok")
-    for name in ("quick", "lex", "ascii", "format", "chex", "rg", "msl"):
-        failed = failed.withColumns({f"{name}_ok": F.lit(False), f"{name}_reason": F.lit("not_parsed")})
-    failed = failed.withColumns({"keep_ok": F.lit(False), "all_filters_pass": F.lit(False)})
+    if {"chex", "rg", "msl"} & enabled:
+        # scorers are for rows that parsed; all that was made is kept, so that the generator runs once
+        made = cut(made)
+        failed = made.where("NOT parsed_ok")
+        for name in gates.NAMES:
+            failed = failed.withColumns({f"{name}_ok": F.lit(False), f"{name}_reason": F.lit("not_parsed")})
+        judged = gates.evaluate(made.where("parsed_ok"), scorers, limits, enabled).unionByName(failed.withColumns({"keep_ok": F.lit(False), "all_filters_pass": F.lit(False)}))
+    else:
+        parsed = F.col("parsed_ok")
+        judged = gates.evaluate(made, scorers, limits, enabled)
+        judged = judged.withColumns({f"{name}_{x}": F.when(parsed, F.col(f"{name}_{x}")).otherwise(none) for name in gates.NAMES for x, none in (("ok", F.lit(False)), ("reason", F.lit("not_parsed")))})
+        judged = judged.withColumns({x: parsed & F.col(x) for x in ("keep_ok", "all_filters_pass")})
     reason = F.when(F.col("parsed_ok"), F.lit(None).cast("string")).otherwise(F.coalesce("error", F.lit("parse_failed")))
-    return judged.unionByName(failed).withColumn("filter_error", reason).drop("error", "row_id")
+    return judged.withColumn("filter_error", reason).drop("error", "row_id")
 
 
 def reselect(cands: DataFrame, limits: gates.Limits = gates.PARAPHRASE, **options) -> DataFrame:
