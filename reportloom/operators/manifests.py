@@ -42,24 +42,28 @@ def _matches(found: Column, sex: str | None, source: str) -> Column:
     return F.transform(found, lambda x: F.struct((F.upper(F.right(x, F.lit(1))) if sex is None else F.lit(sex)).alias("sex"), F.lit(source).alias("source"), x.alias("evidence")))
 
 
+def _told_by(t: Column, source: str) -> Column:
+    return bind(t, lambda x: F.concat(*[_matches(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), sex, source) for pattern, sex in ((MARKED, None), (FEMALE, "F"), (MALE, "M"))]))
+
+
 def patient_sex(fields: dict[str, Column | str]) -> Column:
     """struct(sex, label, source, evidence, status) from texts in order; marks come before female, then male words, of each text."""
     groups = []
     for name, c in fields.items():
-        t = generation_form(c)
-        for pattern, sex in ((MARKED, None), (FEMALE, "F"), (MALE, "M")):
-            found = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
-            groups.append(_matches(found, sex, name))
-    m = F.concat(*groups)
-    sexes = F.size(F.array_distinct(F.transform(m, lambda x: x.sex)))
-    first = F.try_element_at(m, F.lit(1))
-    clash = F.array_join(F.transform(F.slice(m, 1, 8), lambda x: F.concat(x.source, F.lit("="), x.evidence)), "; ")
-    one = sexes == 1
-    return F.struct(
-        F.when(one, first.sex).otherwise("unknown").alias("sex"), F.when(one & (first.sex == "F"), "female").when(one, "male").otherwise("unknown").alias("label"),
-        F.when(one, first.source).when(sexes > 1, "conflict").otherwise("").alias("source"), F.when(one, first.evidence).when(sexes > 1, clash).otherwise("").alias("evidence"),
-        F.when(one, "ok").when(sexes > 1, "conflict").otherwise("not_found").alias("status"),
-    )
+        groups.append(_told_by(generation_form(c), name))
+
+    def told(m: Column) -> Column:
+        sexes = F.size(F.array_distinct(F.transform(m, lambda x: x.sex)))
+        first = F.try_element_at(m, F.lit(1))
+        clash = F.array_join(F.transform(F.slice(m, 1, 8), lambda x: F.concat(x.source, F.lit("="), x.evidence)), "; ")
+        one = sexes == 1
+        return F.struct(
+            F.when(one, first.sex).otherwise("unknown").alias("sex"), F.when(one & (first.sex == "F"), "female").when(one, "male").otherwise("unknown").alias("label"),
+            F.when(one, first.source).when(sexes > 1, "conflict").otherwise("").alias("source"), F.when(one, first.evidence).when(sexes > 1, clash).otherwise("").alias("evidence"),
+            F.when(one, "ok").when(sexes > 1, "conflict").otherwise("not_found").alias("status"),
+        )
+
+    return bind(F.concat(*groups), told)
 
 
 def token_count(c: Column) -> Column:
