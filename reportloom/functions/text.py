@@ -155,15 +155,14 @@ def join_sentences(parts: Column, style: int = 0, normal: bool = False) -> Colum
 
 def paragraph_to_bullets(c: Column | str, marker: str = "-") -> Column:
     """Two sentences or more as a list."""
-    s = sentences(c)
     mark = marker if marker in ("-", "*", "\u2022") else "-"
-    return F.when(F.size(s) < 2, keep_newlines(c)).otherwise(F.array_join(F.transform(s, lambda x: F.concat(F.lit(f"{mark} "), _without_period(x))), "\n"))
+    listing = lambda s: F.array_join(F.transform(s, lambda x: F.concat(F.lit(f"{mark} "), _without_period(x))), "\n")
+    return bind(keep_newlines(c), lambda t: bind(split_sentences(t), lambda s: F.when(F.size(s) < 2, t).otherwise(listing(s))))
 
 
 def bullets_to_paragraph(c: Column | str) -> Column:
     """T13."""
-    items = bullet_items(c)
-    return F.when(F.size(items) == 0, keep_newlines(c)).otherwise(join_sentences(items, 1))
+    return bind(keep_newlines(c), lambda t: bind(_items(t), lambda i: F.when(F.size(i) == 0, t).otherwise(join_sentences(i, 1, True))))
 
 
 def can_shuffle(parts: Column) -> Column:
