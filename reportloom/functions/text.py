@@ -353,22 +353,6 @@ def runs(words: Column, n: int) -> Column:
     return bind(words, of)
 
 
-def counted(grams: Column) -> Column:
-    """A multiset of texts as a set: each occurrence with its number among its equals, so that intersections count clipped."""
-
-    def of(s: Column) -> Column:
-        n = F.size(s)
-        at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-        first = F.filter(at, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-
-        def numbered(f: Column) -> Column:
-            return F.flatten(F.transform(f, lambda p, k: F.transform(F.sequence(F.lit(0), F.coalesce(F.get(f, k + 1), n) - p - 1), lambda j: F.concat(F.get(s, p), F.lit("\x02"), j.cast("string")))))
-
-        return bind(first, numbered)
-
-    return bind(F.array_sort(grams), of)
-
-
 # The steps of the customary tokenizer of machine translation scores (mteval 13a), as (pattern, replacement).
 TOKENIZER_13A = ((r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 "), (r"([^0-9])([\.,])", "$1 $2 "), (r"([\.,])([^0-9])", " $1 $2"), (r"([0-9])(-)", "$1 $2 "))
 

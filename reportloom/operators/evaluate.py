@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reportloom.functions.sections import split_prediction
-from reportloom.functions.similarity import ROUGE, ngram_repeat, rouge_scores
-from reportloom.functions.text import WS, bind, counted, punctuation_run, runs, scorer_form, strip, text, tokens_13a, unescaped, word_count
+from reportloom.functions.similarity import ROUGE, clipped_counts, ngram_repeat, rouge_scores
+from reportloom.functions.text import WS, punctuation_run, scorer_form, strip, text, tokens_13a, unescaped, word_count
 from reportloom.operators import graphs
 from reportloom.operators.select import PRIME, det_rand, ordinal
 from reportloom.session import cut
@@ -105,15 +105,7 @@ def extra_positives(df: DataFrame, names: list[str], pred: str = "pred", ref: st
 
 def _bleu_counts(pred: Column | str, ref: Column | str, order: int = 4) -> Column:
     """Of a pair of texts: token counts, and for each n the number of n-grams of pred and how many of them ref has, clipped."""
-
-    def count(x: Column) -> Column:
-        of = {"hyp": F.size(x.p), "ref": F.size(x.r)}
-        for n in range(1, order + 1):
-            of[f"t{n}"] = F.greatest(F.size(x.p) - n + 1, F.lit(0))
-            of[f"m{n}"] = F.size(F.array_intersect(counted(runs(x.p, n)), counted(runs(x.r, n))))
-        return F.struct(*[v.cast("long").alias(k) for k, v in of.items()])
-
-    return bind(F.struct(tokens_13a(pred).alias("p"), tokens_13a(ref).alias("r")), count)
+    return clipped_counts(tokens_13a(pred), tokens_13a(ref), order)
 
 
 def _bleu_score(x: Callable[[str], Column], order: int = 4, smooth: bool = True) -> dict[str, Column]:
