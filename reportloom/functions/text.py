@@ -331,11 +331,12 @@ def clean_tokens(c: Column) -> Column:
 
 #: A run of letters and digits, or any other character but a backslash. White space is a token, as is the letter s or S in upper case texts.
 TOKEN = r"[A-Za-z0-9]+|[^\\sA-Za-z0-9]"
+PLAIN_TOKEN = r"[A-Za-z0-9]+|[^ \t-\rA-Za-z0-9]"
 
 
 def tokens(c: Column | str, strict: bool = True) -> Column:
     """T35; not strict: white space is no token and a backslash is one."""
-    return F.regexp_extract_all(F.lower(text(c)), F.lit(TOKEN if strict else r"[A-Za-z0-9]+|[^\sA-Za-z0-9]"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text(c)), F.lit(TOKEN if strict else PLAIN_TOKEN), F.lit(0))
 
 
 def ngrams(words: Column, n: int = 4) -> Column:
